@@ -129,3 +129,12 @@ def words_of(low: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray
     begins = is_word & ~(np.concatenate([[False], is_word[:-1]]) & same)
     after = np.concatenate([is_word[1:] & same[1:], [False]])
     return np.flatnonzero(begins), np.flatnonzero(is_word & ~after) + 1
+
+
+def texts_of(docs: DataFrame, chosen: DataFrame, key: str, text: str) -> DataFrame:
+    """chosen (column `key`, a bounded number of different ids) with one text each.
+
+    The ids are broadcast to the documents, so no other text is shuffled.
+    """
+    told = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return told.join(F.broadcast(chosen), "key").groupBy(*chosen.columns).agg(F.first("text").alias("text"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptlake.llm.base import chunks, fold, multipliers, utf8, words_of
+from promptlake.llm.base import chunks, fold, multipliers, texts_of, utf8, words_of
 
 TERMS = 2048
 DIMENSIONS = 48
@@ -83,8 +83,8 @@ def _vectors(counts: np.ndarray, idf: np.ndarray, directions: np.ndarray) -> np.
 def train(docs: DataFrame, labels: DataFrame, learn, max_labelled: int = MAX_LABELLED, text: str = "text", key: str = "doc_id") -> dict:
     """Directions and labelled vectors, from rows where `learn` (a column of docs) holds."""
     told = labels.where(F.col("quality").isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max("quality").alias("quality"))
-    rows = docs.where(learn).select(F.col(key).alias("key"), F.col(text).alias("text")).join(told, "key")
-    sample = rows.orderBy(F.xxhash64("key")).limit(max_labelled)
+    ids = docs.where(learn).select(F.col(key).alias("key")).distinct().join(told, "key")
+    sample = texts_of(docs, ids.orderBy(F.xxhash64("key"), "key").limit(max_labelled), key, text)
 
     def counted(batches):
         for batch in batches:

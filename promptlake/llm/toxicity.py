@@ -17,7 +17,7 @@ ids; the prior is counted over all labelled training rows. Every text is scored,
 whole, in one vectorised pass; long texts add up piece by piece.
 
 Defined results: null, empty and wordless texts get the model's base score; rows
-with null labels don't train; repeated rows score alike. Without any toxic
+with null labels or ids don't train; repeated rows score alike. Without any toxic
 training text every score is the prior.
 """
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptlake.llm.base import WORD, chunks, fold, multipliers, utf8, words_of
+from promptlake.llm.base import WORD, chunks, fold, multipliers, texts_of, utf8, words_of
 
 BITS = 18
 #: Word beginnings of so many bytes are features beside the word itself.
@@ -176,22 +176,24 @@ def fit(positive: Sparse, unlabelled: Sparse, prior: float) -> dict:
 def train(docs: DataFrame, labels: DataFrame, learn, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, text: str = "text", key: str = "doc_id") -> dict:
     """The model, from rows where `learn` (a column of docs) holds."""
     told = labels.where(F.col("toxic").isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max("toxic").alias("toxic"))
-    rows = docs.where(learn).select(F.col(key).alias("key"), F.col(text).alias("text")).join(told, "key", "left")
-    share = rows.where("toxic IS NOT NULL").agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
-    order = F.xxhash64("key")
-    toxic = rows.where("toxic = 1").orderBy(order).limit(max_positive)
-    other = rows.where("toxic IS NULL OR toxic <> 1").orderBy(order).limit(max_unlabelled)
+    ids = docs.where(learn).select(F.col(key).alias("key")).where("key IS NOT NULL").distinct()
+    rows = ids.join(told, "key", "left").select("key", (F.coalesce(F.col("toxic"), F.lit(0)) == 1).alias("toxic"), F.col("toxic").isNotNull().alias("looked"))
+    share = rows.where("looked").agg(F.avg(F.col("toxic").cast("double"))).first()[0]
+    order = F.xxhash64("key"), F.col("key")
+    toxic = texts_of(docs, rows.where("toxic").select("key").orderBy(*order).limit(max_positive), key, text)
+    other = texts_of(docs, rows.where("NOT toxic").select("key").orderBy(*order).limit(max_unlabelled), key, text)
 
     def sparse(batches):
         for batch in batches:
             row, bins, rates = _rates(batch.column("text"))
             edges = pa.array(np.searchsorted(row, np.arange(len(batch) + 1)), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.ListArray.from_arrays(edges, pa.array(bins, pa.int32())), pa.ListArray.from_arrays(edges, pa.array(rates, pa.float32()))], ["bins", "rates"]
+                [batch.column("h"), pa.ListArray.from_arrays(edges, pa.array(bins, pa.int32())), pa.ListArray.from_arrays(edges, pa.array(rates, pa.float32()))],
+                ["h", "bins", "rates"],
             )
 
     def gathered(sample: DataFrame) -> list:
-        found = sample.select("text").mapInArrow(sparse, "bins array<int>, rates array<float>").toArrow()
+        found = sample.select(F.xxhash64("key").alias("h"), "text").mapInArrow(sparse, "h bigint, bins array<int>, rates array<float>").toArrow().sort_by("h")
         return list(zip((x.values.to_numpy() for x in found["bins"]), (x.values.to_numpy() for x in found["rates"]), strict=True))
 
     prior = min(0.5, max(0.01, share or 0.01))

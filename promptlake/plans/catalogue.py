@@ -1,4 +1,14 @@
-"""The registered queries and the SQL that gives the same rows."""
+"""The registered queries, and the SQL that gives the same rows where SQL can."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from promptlake.plans import queries_decide, queries_store, queries_text
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {**queries_text.QUERIES, **queries_decide.QUERIES, **queries_store.QUERIES}
+ORACLE_SQL: dict[str, str] = {**queries_text.ORACLE_SQL, **queries_decide.ORACLE_SQL, **queries_store.ORACLE_SQL}

@@ -8,6 +8,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from promptlake.functions.patterns import ARABIC_DIGITS, BLANK, BLANKS, PERSIAN_DIGITS, ZWNJ, text_of
 
@@ -15,7 +16,7 @@ from promptlake.functions.patterns import ARABIC_DIGITS, BLANK, BLANKS, PERSIAN_
 _LETTER = r"[A-Za-zء-يٱ-ۓەۥۦ]"
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _nfkc(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
 

@@ -7,6 +7,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from promptlake.functions.patterns import AFTER, BLANK, BLANKS, SOLID, found, has_any, spans, text_of
 from promptlake.functions.text import normalize, normalized_literal, sentences, sha256, squeeze, strip
@@ -232,7 +233,16 @@ def lines(documents: DataFrame, key: str = "document_id", text: str = "text", or
     return each.select(*keys, "line_no", F.col("p.line").alias("line"), *(c.alias(n) for n, c in flags.items()))
 
 
-_UNIT = "array<struct<kind: string, first: int, last: int, carried: array<int>>>"
+_UNIT = ArrayType(
+    StructType(
+        [
+            StructField("kind", StringType()),
+            StructField("first", IntegerType()),
+            StructField("last", IntegerType()),
+            StructField("carried", ArrayType(IntegerType())),
+        ]
+    )
+)
 
 
 def _ends(line: str, marks: str) -> bool:
@@ -631,7 +641,7 @@ def _anchored(chunk: str, anchor: str) -> str | None:
     return chunk[start : header.start() if header else len(chunk)].strip() or None
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def anchor_quote(chunks_: pa.Array, anchors: pa.Array) -> pa.Array:
     """The passage of a chunk that begins like the anchor, up to the next rule header; null if none is alike enough."""
     return pa.array([_anchored(c.as_py() or "", a.as_py() or "") for c, a in zip(chunks_, anchors, strict=True)], pa.string())

@@ -10,6 +10,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from promptlake.functions.patterns import BLANK, BLANKS, ZWNJ
 from promptlake.functions.text import char_hygiene, strip
@@ -114,7 +115,7 @@ def _collapse(line: str) -> tuple[str, int]:
     return (" ".join(words), times) if times else (line, 0)
 
 
-@F.arrow_udf("struct<text: string, collapsed: int>")
+@F.arrow_udf(StructType([StructField("text", StringType()), StructField("collapsed", IntegerType())]))
 def collapsed_repeats(lines: pa.Array) -> pa.Array:
     """A line without phrases of 3 to 8 words that follow themselves; up to three."""
     told = [_collapse(x.as_py() or "") for x in lines]

@@ -195,9 +195,16 @@ def top_keywords(spark, sf_dir):
 def quote_provenance(spark, sf_dir):
     """Where benchmark texts are quoted. The benchmark is this query's list of quotes; its windows meet documents by hash."""
     words = F.split(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^a-z0-9À-ÿ]+", " "), " ")
-    runs = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 8, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, 8), " "))
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.explode(runs(words)).alias("run")).distinct()
-    seen = documents(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(runs(words))).alias("run"))
+
+    def runs(df, key):
+        """Each run of eight words once: the word list, shifted eight times, is zipped, which takes time linear in it."""
+        n = F.greatest(F.size("w") - 7, F.lit(1))
+        shifted = F.arrays_zip(*(F.slice("w", i + 1, n).alias(f"w{i}") for i in range(8)))
+        joined = F.transform(shifted, lambda x: F.concat_ws(" ", *(x[f"w{i}"] for i in range(8))))
+        return df.select(key, words.alias("w")).select(key, F.explode(F.array_distinct(joined)).alias("run"))
+
+    items = runs(table(spark, sf_dir, "benchmark"), "item_id").distinct()
+    seen = runs(documents(spark, sf_dir), "doc_id")
     return seen.join(items, "run").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_runs"))
 
 

@@ -36,7 +36,7 @@ def limited(attempts: DataFrame, key: str = "user_id", at: str = "ts", tie: str
     lie in one window, so a busy key is many small folds as far as its pauses allow.
     """
     order = Window.partitionBy(key).orderBy(at, tie)
-    second = F.unix_micros(at) / 1e6
+    second = F.unix_micros(F.col(at).cast("timestamp")) / 1e6
     told = attempts.withColumn("s__", second)
     told = told.withColumn("run__", F.sum(F.when(F.col("s__") - F.lag("s__").over(order) <= window, 0).otherwise(1)).over(order))
     rows = F.array_sort(F.collect_list(F.struct("s__", tie)))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptlake.llm.base import WORD, chunks, fold, multipliers, utf8
+from promptlake.llm.base import WORD, chunks, fold, multipliers, stored, utf8
 
 BINS = 4096
 MAX_LANGUAGES = 256
@@ -37,6 +37,8 @@ STRENGTH = 5.0
 #: Prior of the background model.
 UNKNOWN = 1e-3
 UND = "und"
+#: A table of sums up to this size is broadcast; a row counts for so many bytes beside its key and sums.
+MAX_SENT_BYTES, ROW_BYTES = 16 << 20, 64
 
 _M = multipliers(3, 6)
 _LETTER = WORD.copy()
@@ -60,9 +62,9 @@ def _padded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets with a blank around every text, so that first and last letters count."""
     data, offsets = utf8(texts)
     n = len(offsets) - 1
-    padded = np.full(len(data) + 2 * n, 32, np.uint8)
-    padded[np.arange(len(data)) + np.repeat(2 * np.arange(n) + 1, np.diff(offsets))] = data
-    return padded, offsets + 2 * np.arange(n + 1)
+    view, at = memoryview(data), offsets.tolist()
+    joined = b"  ".join([view[a:b] for a, b in zip(at, at[1:], strict=False)])
+    return np.frombuffer(b" " + joined + b" " if n else b"", np.uint8), offsets + 2 * np.arange(n + 1)
 
 
 def train(labelled: DataFrame, text: str = "text", language: str = "lang") -> dict:
@@ -106,7 +108,7 @@ def likelihood(text, model: dict, spark):
     def f(texts: pa.Array) -> pa.Array:
         log, n = sent.value, len(texts)
         sums, seen = np.zeros((n, log.shape[1])), np.zeros(n)
-        for data, owner in chunks(*_padded(texts), size=1 << 20):
+        for data, owner in chunks(*_padded(texts)):
             bins, owners = _triples(data, owner)
             if len(bins):
                 seen += np.bincount(owners, minlength=n)
@@ -147,9 +149,21 @@ def identify(
         seen = seen.withColumn(name, F.col(column) if column else F.lit(None).cast("string"))
     seen = seen.withColumn("own__", F.when(F.col("loglik__").isNotNull(), _softmax(_added(F.col("loglik__"), prior))))
 
+    given = ["host__", "suffix__", "declared__"]
+    adds = [F.coalesce(F.sum(F.col("own__")[i]), F.lit(0.0)) for i in range(n)]
+    # one pass over the texts: the other sums add up these
+    grouped = stored(seen.where("own__ IS NOT NULL").groupBy(*given).agg(F.array(*adds).alias("own__")), "language-evidence")
+
     def sums(*keys):
-        rows = seen.where("own__ IS NOT NULL" + "".join(f" AND {k} IS NOT NULL" for k in keys))
-        return rows.groupBy(*keys).agg(F.array(*(F.coalesce(F.sum(F.col("own__")[i]), F.lit(0.0)) for i in range(n))).alias("sums__"))
+        rows = grouped.where(" AND ".join(f"{k} IS NOT NULL" for k in keys) or "true")
+        return rows.groupBy(*keys).agg(F.array(*adds).alias("sums__"))
+
+    def looked_up(rows, key, name):
+        """rows with the sums of their key: sent to every task if the table is small, else joined by a shuffle."""
+        found = sums(key).withColumnRenamed("sums__", name)
+        size = found.agg(F.sum(F.octet_length(key) + 8 * n + ROW_BYTES)).first()[0] or 0
+        small = size <= MAX_SENT_BYTES
+        return rows.join(F.broadcast(found) if small else found, key, "left")
 
     total = F.lit(0.0)
     every = sums().first()
@@ -163,13 +177,12 @@ def identify(
         return F.zip_with(counts, parent, lambda c, p: (c + STRENGTH * p) / size)
 
     if suffix:
-        seen = seen.join(sums("suffix__").withColumnRenamed("sums__", "bysuffix__"), "suffix__", "left")
+        seen = looked_up(seen, "suffix__", "bysuffix__")
     else:
         seen = seen.withColumn("bysuffix__", F.lit(None).cast("array<double>"))
     suffix_share = F.when(F.col("bysuffix__").isNotNull(), smoothed(F.col("bysuffix__"), corpus_share)).otherwise(corpus_share)
     if host:
-        hosts = sums("host__").withColumnRenamed("sums__", "byhost__")
-        seen = seen.join(hosts, "host__", "left")
+        seen = looked_up(seen, "host__", "byhost__")
         others = F.when(
             F.col("own__").isNotNull(), F.zip_with("byhost__", "own__", lambda a, b: F.greatest(a - b, F.lit(0.0)))
         ).otherwise(F.col("byhost__"))
@@ -177,8 +190,7 @@ def identify(
     else:
         host_share = suffix_share
     if declared:
-        names = sums("declared__").withColumnRenamed("sums__", "bydeclared__")
-        seen = seen.join(names, "declared__", "left")
+        seen = looked_up(seen, "declared__", "bydeclared__")
         # P(declared | language), up to a factor that all languages share
         declared_log = F.zip_with("bydeclared__", corpus_count, lambda c, t: F.log((c + 0.5) / (t + 1.0)))
     else:

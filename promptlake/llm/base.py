@@ -98,6 +98,16 @@ def chunks(data: np.ndarray, offsets: np.ndarray, size: int = CHUNK_BYTES):
         start = stop
 
 
+def slices(texts: pa.Array, size: int = CHUNK_BYTES):
+    """Yield consecutive parts of a text column of about `size` bytes each (one row at least)."""
+    offsets = utf8(texts)[1]
+    start, n = 0, len(offsets) - 1
+    while start < n:
+        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + size, "right")) - 1)
+        yield texts[start : min(n, stop)]
+        start = stop
+
+
 #: ASCII capitals to small letters, byte by byte.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

@@ -122,11 +122,19 @@ def likelihood(text, model: dict, spark):
     return f(text)
 
 
+def _let(value, body):
+    """body of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _total(array):
+    return F.aggregate(array, F.lit(0.0), lambda a, x: a + x)
+
+
 def _softmax(scores):
-    top = F.array_max(scores)
-    shifted = F.transform(scores, lambda x: F.exp(x - top))
-    total = F.aggregate(shifted, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(shifted, lambda x: x / total)
+    shares = lambda e: _let(_total(e), lambda total: F.transform(e, lambda x: x / total))
+    shifted = lambda s: _let(F.array_max(s), lambda top: F.transform(s, lambda x: F.exp(x - top)))
+    return _let(scores, lambda s: _let(shifted(s), shares))
 
 
 def _added(*arrays):
@@ -165,7 +173,6 @@ def identify(
         small = size <= MAX_SENT_BYTES
         return rows.join(F.broadcast(found) if small else found, key, "left")
 
-    total = F.lit(0.0)
     every = sums().first()
     corpus = np.array(every["sums__"] if every else [0.0] * n) + 1.0
     corpus_share = F.array(*(F.lit(float(x)) for x in corpus / corpus.sum()))
@@ -173,8 +180,8 @@ def identify(
 
     def smoothed(counts, parent):
         """(counts + STRENGTH * parent) / total, counts never below zero."""
-        size = F.aggregate(counts, total, lambda a, x: a + x) + STRENGTH
-        return F.zip_with(counts, parent, lambda c, p: (c + STRENGTH * p) / size)
+        given = lambda n, size: F.zip_with(n, parent, lambda c, p: (c + STRENGTH * p) / size)
+        return _let(counts, lambda n: _let(_total(n) + STRENGTH, lambda size: given(n, size)))
 
     if suffix:
         seen = looked_up(seen, "suffix__", "bysuffix__")

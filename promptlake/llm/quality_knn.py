@@ -41,7 +41,7 @@ def _counts(texts: pa.Array) -> np.ndarray:
     n = len(texts)
     total = np.zeros((n, TERMS), np.float32)
     words, fresh, twice = np.zeros(n), np.zeros(n), np.zeros(n)
-    for data, owner in chunks(*utf8(texts), size=1 << 21):
+    for data, owner in chunks(*utf8(texts)):
         shape = _SHAPE[data]
         keep = np.concatenate([[True], (shape[1:] != shape[:-1]) | (shape[1:] > 3) | (owner[1:] != owner[:-1])])
         shape, of = shape[keep].astype(np.uint64), owner[keep]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptlake.llm.base import WORD, chunks, fold, multipliers, texts_of, utf8, words_of
+from promptlake.llm.base import WORD, chunks, fold, multipliers, slices, texts_of, utf8, words_of
 
 BITS = 18
 #: Word beginnings of so many bytes are features beside the word itself.
@@ -76,7 +76,7 @@ def _rates(texts: pa.Array, kept: np.ndarray | None = None) -> tuple[np.ndarray,
     """(row, bin, square root of rate), ordered by row and bin; only of kept bins, if those are given."""
     n = len(texts)
     keys, words = [np.zeros((2, 0), np.int64)], np.zeros(n)
-    for data, owner in chunks(*utf8(texts), size=1 << 21):
+    for data, owner in chunks(*utf8(texts)):
         bins, owners, of = _features(data, owner)
         words += np.bincount(of, minlength=n)
         if kept is not None:
@@ -211,8 +211,10 @@ def score(df: DataFrame, model: dict, text: str = "text", as_column: str = "toxi
 
     @F.arrow_udf("double")
     def f(texts: pa.Array) -> pa.Array:
-        w = sent.value["weights"]
-        row, bins, rates = _rates(texts, w != 0)
-        return pa.array(_sigmoid(sent.value["bias"] + np.bincount(row, w[bins] * rates, len(texts))))
+        w, z = sent.value["weights"], [np.zeros(0)]
+        for part in slices(texts):
+            row, bins, rates = _rates(part, w != 0)
+            z.append(sent.value["bias"] + np.bincount(row, w[bins] * rates, len(part)))
+        return pa.array(_sigmoid(np.concatenate(z)))
 
     return df.withColumn(as_column, f(F.col(text)))

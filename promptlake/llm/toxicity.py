@@ -5,14 +5,15 @@ and word beginnings (square roots of their rates per word of the text). The risk
 
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)),
 
-so the unlabelled texts stand for both classes in the share that the class prior
-says, and the estimate of the clean class's risk can't fall below zero. Features
-whose means in the two samples differ by less than ``SCREEN`` standard errors are
-left out, and the bias is then moved to where the same risk with the zero-one loss
+where the unlabelled texts are drawn from all training texts whatever their label,
+so that they hold both classes in the share that the class prior says, and the
+estimate of the clean class's risk can't fall below zero. Features whose means in
+the two samples differ by less than ``SCREEN`` standard errors are left out, and the
+bias is then moved to where the same risk with the zero-one loss
 is least, so that 0.5 is the decision's boundary.
 
 Training reads a bounded sample: at most ``max_positive`` toxic and
-``max_unlabelled`` other training texts, those with the smallest hashes of their
+``max_unlabelled`` unlabelled training texts, those with the smallest hashes of their
 ids; the prior is counted over all labelled training rows. Every text is scored,
 whole, in one vectorised pass; long texts add up piece by piece.
 
@@ -36,7 +37,7 @@ BEGINNINGS = (3, 4, 5, 6, 8)
 #: Rates are counted per hundred words.
 PER = 100.0
 MAX_POSITIVE = 1500
-MAX_UNLABELLED = 3000
+MAX_UNLABELLED = 4000
 #: Standard errors between the samples' means that a feature needs, and texts that it occurs in.
 SCREEN = 3.0
 MIN_TEXTS = 8
@@ -181,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, learn, max_positive: int = MAX_POS
     share = rows.where("looked").agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     order = F.xxhash64("key"), F.col("key")
     toxic = texts_of(docs, rows.where("toxic").select("key").orderBy(*order).limit(max_positive), key, text)
-    other = texts_of(docs, rows.where("NOT toxic").select("key").orderBy(*order).limit(max_unlabelled), key, text)
+    other = texts_of(docs, rows.select("key").orderBy(*order).limit(max_unlabelled), key, text)
 
     def sparse(batches):
         for batch in batches:
@@ -200,9 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, learn, max_positive: int = MAX_POS
     positive, other = gathered(toxic), gathered(other)
     if not positive or not other:
         return {"weights": np.zeros(1 << BITS, np.float32), "bias": float(np.log(prior / (1 - prior)))}
-    # unlabelled means that nobody looked, so toxic texts are put among them in the share of the whole
-    hidden = positive[: max(1, round(len(other) * prior / (1 - prior)))]
-    return fit(Sparse(positive, 1 << BITS), Sparse(other + hidden, 1 << BITS), prior)
+    return fit(Sparse(positive, 1 << BITS), Sparse(other, 1 << BITS), prior)
 
 
 def score(df: DataFrame, model: dict, text: str = "text", as_column: str = "toxicity") -> DataFrame:

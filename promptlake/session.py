@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+BATCH_ROWS = 2000
+BATCH_BYTES = "8m"
 
 
 def local_session(cores: str = "8", **settings: str) -> SparkSession:
@@ -29,8 +31,17 @@ def local_session(cores: str = "8", **settings: str) -> SparkSession:
     return ship_package(spark)
 
 
+def _bound_batches(spark: SparkSession) -> None:
+    """Texts are long: tasks hand them to Python in batches of fewer rows than Spark's default, and of bounded size."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def ship_package(spark: SparkSession) -> SparkSession:
-    """Let every Python worker import this package, wherever it is installed. Once per application."""
+    """Let every Python worker import this package, wherever it is installed (once per application), in bounded batches."""
+    _bound_batches(spark)
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         root = Path(__file__).resolve().parent

@@ -42,7 +42,7 @@ class Codec:
 
     built: dict[str, Codec] = {}
 
-    def __init__(self, spec: dict, memory: int = 1_000_000):
+    def __init__(self, spec: dict, memory: int = 250_000):
         vocabulary = spec["model"]["vocab"]
         special = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         to_byte = {c: b for b, c in byte_letters().items()}

@@ -35,7 +35,7 @@ class Counter:
 
     built: dict[str, Counter] = {}
 
-    def __init__(self, model: bytes, kind: str, memory: int = 1_000_000):
+    def __init__(self, model: bytes, kind: str, memory: int = 250_000):
         self.kind, self.memory, self.known = kind, memory, {}
         if kind == "sentencepiece":
             import sentencepiece

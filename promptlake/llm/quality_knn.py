@@ -89,13 +89,13 @@ def train(docs: DataFrame, labels: DataFrame, learn, max_labelled: int = MAX_LAB
     def counted(batches):
         for batch in batches:
             c = _counts(batch.column("text"))
-            yield pa.RecordBatch.from_pydict({"quality": batch.column("quality").cast(pa.float64()), "counts": pa.array([x.tobytes() for x in c.astype(np.float16)], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"quality": batch.column("quality").cast(pa.float64()), "counts": pa.array([x.tobytes() for x in c], pa.binary())})
 
     found = sample.select("text", "quality").mapInArrow(counted, "quality double, counts binary").toArrow()
     label = found["quality"].to_numpy()
     if not len(label):
         return {"label": label, "base": 0.5}
-    counts = np.stack([np.frombuffer(x.as_py(), np.float16) for x in found["counts"]]).astype(np.float32)
+    counts = np.stack([np.frombuffer(x.as_py(), np.float32) for x in found["counts"]])
     idf = np.log((1 + len(label)) / (1 + (counts > 0).sum(0))).astype(np.float32) + 1
     weighted = (np.log1p(counts) * idf).astype(np.float32)
     gram = weighted.T @ weighted

@@ -65,3 +65,17 @@ def test_crowded_buckets_lose_no_link(spark):
     for r in got.collect():
         by.setdefault(r.g, set()).add(r.doc_id)
     assert {frozenset(x) for x in by.values()} == {frozenset(i for i in range(150) if root[i] == r) for r in root}
+
+
+def test_very_long_labelled_text(spark):
+    import numpy as np
+
+    from promptlake.llm import quality_knn
+
+    texts = ["plain words of a plain text " * 20_000] + [f"number {i} is told in plain words here" for i in range(20)] + [f"BUY!!! {i} NOW### $$$ {i}" for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i <= 20)) for i in range(len(texts))], "doc_id bigint, quality int")
+    model = quality_knn.train(docs, labels, F.lit(True))
+    assert np.isfinite(model["directions"]).all() and np.isfinite(model["vectors"]).all()
+    got = {r.doc_id: r.quality for r in quality_knn.score(docs, model).collect()}
+    assert min(got[i] for i in range(1, 21)) > model["base"] > max(got[i] for i in range(21, 41))

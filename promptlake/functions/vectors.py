@@ -22,6 +22,11 @@ def usable(v: Column, dim: int) -> Column:
     return F.coalesce((F.size(v) == dim) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def hashed_words(text: Column, dim: int) -> Column:
     """Words counted at a 32-bit rolling hash's place, scaled to length one."""
     from promptlake.functions.patterns import BLANK
@@ -33,7 +38,6 @@ def hashed_words(text: Column, dim: int) -> Column:
         step = lambda h, c: wrap(h * 31 + F.ascii(c).cast("bigint"))
         return F.abs(F.aggregate(F.filter(F.split(word, ""), lambda c: c != ""), F.lit(0).cast("bigint"), step)) % dim
 
-    places = F.transform(words, place)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
-    size = F.sqrt(dot(counts, counts))
-    return F.when(size > 0, F.transform(counts, lambda x: x / size)).otherwise(counts)
+    count = lambda places: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
+    scaled = lambda counts: _let(F.sqrt(dot(counts, counts)), lambda size: F.when(size > 0, F.transform(counts, lambda x: x / size)).otherwise(counts))
+    return _let(F.transform(words, place), lambda places: _let(count(places), scaled))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptlake.functions.text import tokens_ascii
 from promptlake.functions.vectors import cosine, usable
+from promptlake.session import ship_package
 
 K1, B = 1.5, 0.75
 RRF = 60
@@ -53,6 +56,60 @@ def dense_top(queries: DataFrame, candidates: DataFrame, k: int = 5, minimum: fl
     return scored.withColumn("dense_rank", F.row_number().over(order)).where(F.col("dense_rank") <= k)
 
 
+def _best(asked: np.ndarray, told: np.ndarray, k: int, minimum: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of asked, row of told, cosine) of each asked row's k best; ties by row of told.
+
+    Products are added one dimension after the other, as `cosine` does, so equal vectors score alike in any block.
+    """
+
+    def products(a, b):
+        total = np.zeros(np.broadcast_shapes(a.shape[:-1], b.shape[:-1]))
+        for i in range(a.shape[-1]):
+            total += a[..., i] * b[..., i]
+        return total
+
+    size = np.sqrt(products(asked, asked))[:, None] * np.sqrt(products(told, told))[None, :]
+    score = np.where(size > 0, products(asked[:, None], told[None]) / np.where(size > 0, size, 1), 0.0)
+    order = np.argsort(-score, axis=1, kind="stable")[:, :k]
+    best = np.take_along_axis(score, order, 1)
+    row, at = np.nonzero(best >= minimum)
+    return row, order[row, at], best[row, at]
+
+
+def dense_top_blocks(queries: DataFrame, candidates: DataFrame, k: int = 5, minimum: float = 0.45, block: int = 512, query_key: str = "query_id", key: str = "id", vector: str = "vector") -> DataFrame:
+    """What dense_top gives, for queries and candidates of any number whose vectors have one length and no nulls.
+
+    Both are packed into blocks of about `block` rows. Every pair of blocks is one row; a query's best of each
+    block meet in the last ranking, so pairs of rows are never rows of Spark.
+    """
+
+    ship_package(queries.sparkSession)
+
+    def packed(df, name, of):
+        n = max(1, -(-df.count() // block))
+        told = df.select(F.col(of).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(of), F.lit(n)).alias(f"{name}_block"))
+        rows = told.groupBy(f"{name}_block").agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("rows"))
+        return n, rows.select(f"{name}_block", F.col("rows.id").alias(f"{name}_ids"), F.col("rows.v").alias(f"{name}_vectors"))
+
+    _, asked = packed(queries, "q", query_key)
+    n, told = packed(candidates, "c", key)
+
+    @F.arrow_udf("array<struct<q int, c int, score double>>")
+    def best(q: pa.Array, c: pa.Array) -> pa.Array:
+        matrix = lambda rows: np.array(rows.as_py(), np.float64)
+        found = []
+        for a, b in zip(q, c, strict=True):
+            found.append([{"q": int(i), "c": int(j), "score": float(s)} for i, j, s in zip(*_best(matrix(a), matrix(b), k, minimum), strict=True)])
+        return pa.array(found, pa.list_(pa.struct([("q", pa.int32()), ("c", pa.int32()), ("score", pa.float64())])))
+
+    pairs = asked.withColumn("c_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))).join(told, "c_block")
+    scored = pairs.select("q_ids", "c_ids", F.explode(best(F.col("q_vectors"), F.col("c_vectors"))).alias("s")).select(
+        F.get("q_ids", F.col("s.q")).alias(query_key), F.get("c_ids", F.col("s.c")).alias(key), F.col("s.score").alias("dense_score")
+    )
+    order = Window.partitionBy(query_key).orderBy(F.desc("dense_score"), key)
+    return scored.withColumn("dense_rank", F.row_number().over(order)).where(F.col("dense_rank") <= k)
+
+
 def lexical_ranks(scores: DataFrame, minimum: float = 0.0, query_key: str = "query_id", key: str = "id") -> DataFrame:
     order = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
     kept = scores.where(F.col("score") > minimum)

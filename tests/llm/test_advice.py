@@ -129,3 +129,13 @@ def test_every_item_is_a_query(spark, tmp_path):
     for minimum in (-1.0, 0.45):
         rows = [{tuple(r) for r in f(asked, vectors, k=7, minimum=minimum, **more).select("query_id", "id", "dense_score", "dense_rank").collect()} for f, more in ((scoring.dense_top, {}), (scoring.dense_top_blocks, {"block": 9}))]
         assert rows[0] == rows[1]
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline as p
+
+    a, b, c, d = ("".join(f"{x}{i} " for i in range(60)) for x in "abcd")
+    data = [(1, a), (2, a), (2, b), (2, c), (None, a), (None, d), (None, d), (3, d + "x"), (None, None), (None, ""), (None, b), (7, c), (7, c)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in data], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = sorted(((r.doc_id, r.text) for r in p.near_duplicates(spark, docs, "").collect()), key=repr)
+    assert got == sorted([(1, a), (2, b), (2, c), (3, d + "x"), (None, None)], key=repr)

@@ -7,7 +7,9 @@ and phrases, the original for secrets and dictionaries).
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from promptlake.functions.checksums import card_ok, flat, iban_ok, national_id_ok
@@ -172,12 +174,22 @@ def dictionary(text: Column, terms: dict[str, list[str]], limit: int = 201) -> C
     return F.slice(F.concat(*parts), 1, limit)
 
 
+def readable(pattern: str) -> bool:
+    """Whether Java can compile a pattern; one that it can't is a rule without hits, never a failed job."""
+    session = SparkSession.getActiveSession()
+    try:
+        session.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+        return True
+    except (Py4JJavaError, IllegalArgumentException):
+        return False
+
+
 def compiled_rules(normal: Column, rules: list[dict]) -> Column:
     """Hits of a policy's compiled rules: REGEX (three at most), SEMANTIC (first keyword found), CHECKSUM."""
     parts = [none()]
     for rule in rules:
         kind, rule_id = rule["detector_type"], rule["id"]
-        if kind == "REGEX" and rule.get("pattern"):
+        if kind == "REGEX" and rule.get("pattern") and readable(rule["pattern"]):
             parts.append(hits("REGEX", "قاعدهٔ سیاست", "policy_regex", KEYWORD, F.slice(spans(normal, rule["pattern"]), 1, 3), rule_id))
         elif kind == "SEMANTIC" and rule.get("keywords"):
             parts.append(F.slice(phrases(normal, rule["keywords"], "SEMANTIC", "قاعدهٔ معنایی سیاست", "policy_semantic", KEYWORD, rule_id), 1, 1))

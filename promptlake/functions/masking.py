@@ -57,16 +57,23 @@ def _replace_valid(text: Column, pattern: str, valid, put: str) -> tuple[Column,
     return joined, F.size(F.filter(found(text, pattern), valid))
 
 
+def _where(text: Column, needs: str, replaced: Column, n: Column) -> tuple[Column, Column]:
+    """A step's results; texts without what its matches need (a cheaper pattern) stay as they are."""
+    some = text.rlike(needs)
+    return F.when(some, replaced).otherwise(text), F.when(some, n).otherwise(0)
+
+
 def steps(text: Column, terms: dict[str, list[str]] | None = None, guard: str = "strict"):
     """Yield (label, text after the step, number of masks of the step), in the fixed order."""
     told = patterns(guard)
-    for label in ("MASKED_MOBILE", "MASKED_LANDLINE", "INTERNAL_IP"):
-        yield label, lambda t, p=told[label], put=f"[{label}]": (F.regexp_replace(t, p, put), F.regexp_count(t, F.lit(p)))
-    yield "NATIONAL_ID", lambda t: _replace_valid(t, told["NATIONAL_ID"], lambda m: national_id_ok(ascii_digits(m)), "[NATIONAL_ID]")
+    digits = f"[{ANY_DIGIT}]{{8}}"
+    for label, needs in (("MASKED_MOBILE", digits), ("MASKED_LANDLINE", digits), ("INTERNAL_IP", r"[0-9]\.[0-9]")):
+        yield label, lambda t, p=told[label], put=f"[{label}]", needs=needs: _where(t, needs, F.regexp_replace(t, p, put), F.regexp_count(t, F.lit(p)))
+    yield "NATIONAL_ID", lambda t: _where(t, digits, *_replace_valid(t, told["NATIONAL_ID"], lambda m: national_id_ok(ascii_digits(m)), "[NATIONAL_ID]"))
     for kind in DICTIONARY_KINDS:
         pattern = alternation((terms or {}).get(kind, []))
         if pattern:
-            yield kind, lambda t, p=pattern, put=f"[{kind}]": (F.regexp_replace(t, p, put), F.regexp_count(t, F.lit(p)))
+            yield kind, lambda t, p=pattern, put=f"[{kind}]": _where(t, p, F.regexp_replace(t, p, put), F.regexp_count(t, F.lit(p)))
 
 
 def mask(df, text: str = "text", terms: dict[str, list[str]] | None = None, guard: str = "strict", masked: str = "masked_text", findings: str = "findings"):

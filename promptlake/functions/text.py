@@ -43,14 +43,37 @@ def squeeze(text: Column) -> Column:
     return F.regexp_replace(text, f"{BLANK}+", " ")
 
 
+_FOLDED = {ord(d): str(i) for script in (PERSIAN_DIGITS, ARABIC_DIGITS) for i, d in enumerate(script)} | {ord("ي"): "ی", ord("ك"): "ک"}
+_TO_FOLD = re.compile(f"[{''.join(map(chr, _FOLDED))}]")
+_STRAY = re.compile(f"(?<!{_LETTER}){ZWNJ}|{ZWNJ}(?!{_LETTER})")
+_BLANK_RUN, _EDGES = re.compile(f"{BLANK}+"), re.compile(rf"\A{BLANK}+|{BLANK}+\Z")
+
+
+def normalized_literal(text: str) -> str:
+    """What `normalize` makes of a literal, without a job."""
+    if not text.isascii():
+        if _TO_FOLD.search(text):
+            text = text.translate(_FOLDED)
+        if ZWNJ in text:
+            text = _STRAY.sub("", text)
+    text = _BLANK_RUN.sub(" ", text)
+    if not text.isascii() and not unicodedata.is_normalized("NFKC", text):
+        text = unicodedata.normalize("NFKC", text)
+    return _EDGES.sub("", text).lower()
+
+
+@F.arrow_udf(StringType())
+def _normalize(texts: pa.Array) -> pa.Array:
+    return pa.array([normalized_literal(t or "") for t in texts.to_pylist()], pa.string())
+
+
 def normalize(text: Column) -> Column:
-    """Letters and digits unified, stray joiners dropped, blanks squeezed, then NFKC, trimmed, small letters.
+    """Letters and digits unified, stray joiners dropped, blanks squeezed, then NFKC, trimmed, small letters; null is empty.
 
     The order matters: presentation forms that NFKC opens up keep their Arabic letters.
+    One Arrow function does it all, so the result is computed once however often a plan names it.
     """
-    t = ascii_digits(persian_letters(text_of(text)))
-    t = F.regexp_replace(t, f"(?<!{_LETTER}){ZWNJ}|{ZWNJ}(?!{_LETTER})", "")
-    return F.lower(strip(nfkc(squeeze(t))))
+    return _normalize(text)
 
 
 def char_hygiene(text: Column) -> Column:
@@ -77,11 +100,3 @@ def sentences(text: Column) -> Column:
 
 def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
-
-
-def normalized_literal(text: str) -> str:
-    """What `normalize` makes of a literal, without a job."""
-    digits = {ord(d): str(i) for script in (PERSIAN_DIGITS, ARABIC_DIGITS) for i, d in enumerate(script)}
-    text = text.translate(digits | {ord("ي"): "ی", ord("ك"): "ک"})
-    text = re.sub(f"(?<!{_LETTER}){ZWNJ}|{ZWNJ}(?!{_LETTER})", "", text)
-    return unicodedata.normalize("NFKC", re.sub(r"\s+", " ", text)).strip().lower()

@@ -75,7 +75,7 @@ UNIT_WORDS = [
 def boilerplate(text: Column) -> Column:
     """Too short, mostly digits and marks, or one line over half of at least three lines and three times."""
     t = strip(text_of(text))
-    solid = F.length(F.regexp_replace(t, rf"[0-9{BLANKS}\-–—/().،,:؛|صفحه]", ""))
+    solid = F.length(F.regexp_replace(t, rf"[0-9{BLANKS}\-–—/().،,:؛|صفحه]+", ""))
     lines = F.array_sort(F.filter(F.transform(F.split(t, r"\n+"), strip), lambda x: x != ""))
     start = F.struct(F.lit("").alias("line"), F.lit(0).alias("run"), F.lit(0).alias("most"), F.lit(0).alias("n"))
 
@@ -677,3 +677,60 @@ def page_lines(items: DataFrame, key: str = "page") -> DataFrame:
     numbers = F.reverse(F.transform(said, lambda s: s.rlike(r"\A[0-9۰-۹\-– ]+\z")))
     trailing = F.coalesce(F.nullif(F.array_position(numbers, F.lit(False)), F.lit(0)) - 1, F.size(said)).cast("int")
     return page.select(key, F.array_join(F.slice(said, F.lit(1), F.size(said) - trailing), "\n").alias("text"))
+
+
+def units_to_extract(units_: DataFrame, least: int = 20, bullets: int = 30) -> DataFrame:
+    """Units from which concepts are drawn: candidates, clauses and paragraphs, bullet groups of some length; no headings, none too short."""
+    kind, size = F.col("unit_type"), F.length("text")
+    wanted = F.col("is_candidate") | kind.isin("CLAUSE", "PARAGRAPH") | ((kind == "BULLET_GROUP") & (size > bullets))
+    return units_.where((kind != "HEADING") & wanted & (size >= least))
+
+
+# What a proposed rule may name, and the reasons why an answer is refused.
+DETECTOR_TYPES = ("REGEX", "CHECKSUM", "DICTIONARY", "SEMANTIC")
+CHECKSUM_KINDS = ("IR_NATIONAL_ID", "IR_BANK_CARD", "IBAN")
+RULE_ACTIONS = ("BLOCK_EXTERNAL", "MASK", "FLAG_REVIEW")
+REJECTIONS = ("MALFORMED_RESPONSE", "INVALID_RULE", "ANCHOR_NOT_FOUND_IN_SOURCE", "QUOTE_NOT_FOUND_IN_SOURCE")
+
+PROPOSAL = (
+    "struct<label: string, category: string, detectorType: string, regex: struct<source: string, flags: string>, checksumKind: string, action: string, "
+    "priority: int, keywordsHint: array<string>, confidence: double, anchor: string>"
+)
+
+
+def validated_extraction(raw: Column, chunk: Column) -> Column:
+    """array<struct<rule, quote, rejection>> of a model's answer about a chunk: every proposed rule with its quote, or why it is refused.
+
+    An answer that is no object with a list of rules is one MALFORMED_RESPONSE.
+    """
+    told = F.from_json(json_part(raw), f"struct<sourceQuote: string, rules: array<{PROPOSAL}>>")
+    quote = strip(F.coalesce(told["sourceQuote"], F.lit("")))
+    quoted = (quote != "") & (F.contains(squeeze(chunk), squeeze(quote)) | F.contains(chunk, quote))
+    between = lambda c, lo, hi: F.coalesce(F.length(c).between(lo, hi), F.lit(False))
+    among = lambda c, known: F.coalesce(c.isin(*known), F.lit(False))
+    hints = lambda r: F.coalesce((F.size(r["keywordsHint"]) <= 12) & F.forall(r["keywordsHint"], lambda k: F.length(k).between(2, 60)), F.lit(True))
+
+    def fits(r):
+        typed = F.when(r["detectorType"] == "REGEX", between(r["regex"]["source"], 1, 500)).when(r["detectorType"] == "CHECKSUM", among(r["checksumKind"], CHECKSUM_KINDS)).otherwise(True)
+        known = r["checksumKind"].isNull() | among(r["checksumKind"], CHECKSUM_KINDS)
+        shaped = between(r["label"], 3, 120) & between(r["category"], 2, 80) & among(r["detectorType"], DETECTOR_TYPES) & among(r["action"], RULE_ACTIONS)
+        return shaped & typed & known & hints(r) & F.coalesce(r["priority"].between(1, 1000) & r["confidence"].between(0, 1), F.lit(False))
+
+    def judged(r):
+        rejection = (
+            F.when(~F.coalesce(fits(r), F.lit(False)), REJECTIONS[1])
+            .when((F.coalesce(r["anchor"], F.lit("")) == "") & ~quoted, REJECTIONS[3])
+        )
+        return F.struct(r.alias("rule"), F.when(rejection.isNull() & (F.coalesce(r["anchor"], F.lit("")) == ""), quote).alias("quote"), rejection.alias("rejection"))
+
+    nothing = F.array(F.struct(F.lit(None).cast(PROPOSAL).alias("rule"), F.lit(None).cast("string").alias("quote"), F.lit(REJECTIONS[0]).alias("rejection")))
+    return F.coalesce(F.transform(told["rules"], judged), nothing)
+
+
+def extraction(df: DataFrame, raw: str, chunk: str) -> DataFrame:
+    """df, one row for each proposed rule: rule, quote, rejection. Anchors are looked up in the chunk."""
+    each = df.withColumn("e__", F.explode(validated_extraction(F.col(raw), text_of(F.col(chunk)))))
+    anchored = F.col("e__.rejection").isNull() & (F.coalesce(F.col("e__.rule.anchor"), F.lit("")) != "")
+    each = each.withColumn("at__", F.when(anchored, anchor_quote(F.col(chunk), F.col("e__.rule.anchor"))))
+    rejection = F.when(anchored & F.col("at__").isNull(), REJECTIONS[2]).otherwise(F.col("e__.rejection"))
+    return each.withColumns({"rule": F.col("e__.rule"), "quote": F.coalesce("e__.quote", "at__"), "rejection": rejection}).drop("e__", "at__")

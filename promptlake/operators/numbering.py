@@ -19,3 +19,26 @@ def numbered(df: DataFrame, order: str, column: str = "row_no", buckets: int = 6
     before = sizes.withColumn("before__", F.coalesce(F.sum("n").over(Window.orderBy("range__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     within = F.row_number().over(Window.partitionBy("range__").orderBy(order))
     return told.join(F.broadcast(before), "range__").withColumn(column, within + F.col("before__")).drop("range__", "before__")
+
+
+def placed(df: DataFrame, by: str, coarse: list[str], value: str, tie: str, column: str = "place", buckets: int = 64) -> DataFrame:
+    """df with each row's place from 1 within its group `by`: by the few values of `coarse`, then `value` from high to low, then `tie`.
+
+    A group is cut by quantiles of `value`, and the rows of a value so frequent that it
+    is a quantile itself by those of `tie`, so a large group is numbered in many tasks.
+    Both are numbers; `tie` tells a group's rows apart.
+    """
+    shares = [i / buckets for i in range(1, buckets)]
+    row = df.agg(F.percentile_approx(value, shares, 1000).alias("v"), F.percentile_approx(tie, shares, 1000).alias("t")).first()
+    cuts = [F.array(*(F.lit(c).cast(df.schema[name].dataType) for c in sorted(set(found)))) if found else F.array().cast(f"array<{df.schema[name].dataType.simpleString()}>") for name, found in ((value, row.v), (tie, row.t))]
+    exact = F.coalesce(F.array_contains(cuts[0], F.col(value)), F.lit(False))
+    above = F.size(F.filter(cuts[0], lambda c: c > F.col(value))) * 2 + F.when(exact, 1).otherwise(0)
+    told = df.withColumn("range__", above).withColumn("part__", F.when(exact, F.size(F.filter(cuts[1], lambda c: c < F.col(tie)))).otherwise(0))
+    keys = [by, *coarse, "range__", "part__"]
+    ordered = Window.partitionBy(by).orderBy(*coarse, "range__", "part__").rowsBetween(Window.unboundedPreceding, -1)
+    before = told.groupBy(*keys).agg(F.count("*").alias("n__")).withColumn("before__", F.coalesce(F.sum("n__").over(ordered), F.lit(0))).drop("n__")
+    within = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(value), tie))
+    numbered_ = told.withColumn("within__", within).alias("a")
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    joined = numbered_.join(before.alias("b"), same)
+    return joined.select(*(F.col(f"a.{c}") for c in df.columns), (F.col("a.within__") + F.col("b.before__")).alias(column))

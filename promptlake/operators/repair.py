@@ -2,7 +2,8 @@
 
 Damaged words are looked up once per different word: texts are cut into words by
 Spark, the different words repaired, and the repairs joined back by hash, so the
-work grows with the vocabulary. The lexicon (word, rank) is a table the caller gives.
+work grows with the vocabulary. The lexicon (word, rank) is a table of any size that
+the caller gives: whatever a word's repair may look up is joined to it.
 """
 
 from __future__ import annotations
@@ -14,11 +15,11 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from promptlake.functions.patterns import BLANK, BLANKS, ZWNJ
 from promptlake.functions.text import char_hygiene, strip
+from promptlake.session import ship_package
 
 # Pairs that extraction turns round, and endings that a stem may carry.
 PAIRS = ("ال", "لا", "رت", "تر", "نت", "تن", "رب", "بر")
 ENDINGS = ("های", "ها", "ان", "ی")
-MAX_LEXICON = 200_000
 
 _PERSIAN = "[؀-ۿ]"
 
@@ -52,19 +53,34 @@ def repaired_word(token: str, ranks: dict[str, int]) -> str | None:
     return None
 
 
+def lookups(token: str) -> set[str]:
+    """Every word that the repair of a token may look up."""
+    if not 3 <= len(token) <= 32:
+        return set()
+    once = swaps(token)
+    found = {token, *once, *(w for mid in once for w in swaps(mid))}
+    for ending in ENDINGS:
+        if token.endswith(ending) and len(token) - len(ending) >= 3:
+            found |= lookups(token[: -len(ending)])
+    return found
+
+
 def word_repairs(words: DataFrame, lexicon_: DataFrame) -> DataFrame:
-    """(word, repaired) of the different words that have a repair. The lexicon's size is checked before it is sent out."""
-    rows = lexicon_.limit(MAX_LEXICON + 1).collect()
-    if len(rows) > MAX_LEXICON:
-        raise ValueError("the lexicon is larger than may be sent to every task")
-    sent = words.sparkSession.sparkContext.broadcast({r.word: r["rank"] for r in rows})
+    """(word, repaired) of the different words that have a repair."""
+    ship_package(words.sparkSession)
+
+    @F.arrow_udf("array<string>")
+    def asked(tokens: pa.Array) -> pa.Array:
+        return pa.array([sorted(lookups(t.as_py())) for t in tokens], pa.list_(pa.string()))
 
     @F.arrow_udf("string")
-    def fix(tokens: pa.Array) -> pa.Array:
-        return pa.array([repaired_word(t.as_py(), sent.value) for t in tokens], pa.string())
+    def fix(tokens: pa.Array, known: pa.Array) -> pa.Array:
+        ranks = [{x["candidate"]: x["rank"] for x in k.as_py()} for k in known]
+        return pa.array([repaired_word(t.as_py(), r) for t, r in zip(tokens, ranks, strict=True)], pa.string())
 
-    different = words.select("word").distinct()
-    return different.withColumn("repaired", fix("word")).where("repaired IS NOT NULL AND repaired <> word")
+    each = words.select("word").distinct().select("word", F.explode(asked("word")).alias("candidate"))
+    known = each.join(lexicon_.select(F.col("word").alias("candidate"), "rank"), "candidate").groupBy("word").agg(F.collect_list(F.struct("candidate", "rank")).alias("known"))
+    return known.select("word", fix("word", "known").alias("repaired")).where("repaired IS NOT NULL AND repaired <> word")
 
 
 def _is_persian(token: Column) -> Column:
@@ -153,4 +169,4 @@ def totals(reports: DataFrame) -> DataFrame:
     return reports.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("swapped", "glued", "junk", "collapsed")))
 
 
-__all__ = ["lexicon", "looks_corrupted", "repaired", "repaired_word", "swaps", "tidy", "totals", "word_repairs"]
+__all__ = ["lexicon", "looks_corrupted", "lookups", "repaired", "repaired_word", "swaps", "tidy", "totals", "word_repairs"]

@@ -64,18 +64,29 @@ def phrase_pattern(keyword: Column) -> Column:
     return F.when(F.size(words) > 0, F.concat(F.lit(f"(?i)(?:\\A|{BLANK})"), F.array_join(quoted, f"[{BLANKS}]+"), F.lit(f"(?:{BLANK}|\\z)")))
 
 
-def keyword_rules(docs: DataFrame, rules: DataFrame, key: str, normal: str) -> DataFrame:
+#: Keywords that may become patterns of a plan; more than a policy's list holds.
+MAX_KEYWORDS = 10_000
+
+
+def keyword_rules(docs: DataFrame, rules: DataFrame, key: str, normal: str, max_keywords: int = MAX_KEYWORDS) -> DataFrame:
     """(key, codes, score) of every document: active rules with a keyword that stands in the text.
 
-    rules (rule_code, keywords, severity, is_active) is the policy's bounded list; each
-    text carries the matching codes on as an array, so no pair of text and rule is shuffled.
+    rules (code, keywords, severity, is_active) is the policy's bounded list: it is read
+    first, each rule becomes one pattern of all its keywords (compiled once in a task),
+    and no pair of text and rule is made. A list beyond the bound is refused.
     """
-    active = rules.where("is_active").select("code", "severity", F.explode("keywords").alias("keyword")).withColumn("pattern", phrase_pattern(F.col("keyword")))
-    listed = active.where("pattern IS NOT NULL").agg(F.collect_list(F.struct("code", "severity", "pattern")).alias("rules__"))
-    told = docs.select(F.col(key), F.col(normal)).crossJoin(F.broadcast(listed))
-    hit = F.filter("rules__", lambda r: F.regexp_like(F.col(normal), r["pattern"]))
-    score = F.aggregate(hit, F.lit(0.0), lambda a, r: F.greatest(a, F.coalesce(F.create_map(*(F.lit(x) for kv in SEVERITY.items() for x in kv))[r["severity"]], F.lit(0.5))))
-    return told.select(key, F.array_sort(F.array_distinct(F.transform(hit, lambda r: r["code"]))).alias("codes"), score.alias("score"))
+    active = rules.where("is_active").select("code", "severity", F.explode("keywords").alias("keyword"))
+    listed = active.select("code", "severity", phrase_pattern(F.col("keyword")).alias("pattern")).where("pattern IS NOT NULL").limit(max_keywords + 1).collect()
+    if len(listed) > max_keywords:
+        raise ValueError("more keywords than a plan may hold as patterns")
+    patterns: dict[tuple[str, str | None], list[str]] = {}
+    for r in listed:
+        patterns.setdefault((r.code, r.severity), []).append(r.pattern)
+    empty = F.expr("cast(array() as array<struct<code: string, score: double>>)")
+    hit = [F.when(F.col(normal).rlike("|".join(p)), F.struct(F.lit(code).alias("code"), F.lit(SEVERITY.get(severity, 0.5)).alias("score"))) for (code, severity), p in sorted(patterns.items(), key=repr)]
+    told = docs.select(key, F.array_compact(F.array(*hit)).alias("hit") if hit else empty.alias("hit"))
+    score = F.coalesce(F.array_max(F.transform("hit", lambda r: r["score"])), F.lit(0.0))
+    return told.select(key, F.array_sort(F.array_distinct(F.transform("hit", lambda r: r["code"]))).alias("codes"), score.alias("score"))
 
 
 def heuristic(text: Column, families=None) -> Column:
@@ -148,10 +159,18 @@ def identity_hash(label: Column, detector_type: Column, regex_source: Column, ch
 
 
 def deduplicated(proposals: DataFrame, hashed: str = "identity_hash", label: str = "label", order: str = "ordinal") -> DataFrame:
-    """proposals with `verdict` ACCEPT or DUPLICATE, and the label of the first of the same hash."""
-    same = Window.partitionBy(hashed).orderBy(order)
-    first = F.row_number().over(same) == 1
-    return proposals.withColumn("verdict", F.when(first, "ACCEPT").otherwise("DUPLICATE")).withColumn("duplicate_of", F.when(~first, F.first(label).over(same)))
+    """proposals with `verdict` ACCEPT or DUPLICATE, and the label of the first of the same hash.
+
+    `order` tells the rows of one hash apart (rows that tie for the first place are all
+    accepted). Firsts are found by aggregation and joined back, so a hash that a third
+    of all rows share is never one task's. A null hash is a hash like any other.
+    """
+    first = F.min(F.struct(F.col(order).alias("order"), F.col(label).alias("label"))).alias("first__")
+    firsts = proposals.groupBy(F.col(hashed).alias("hash__")).agg(first)
+    told = proposals.join(firsts, F.col(hashed).eqNullSafe(F.col("hash__")), "left")
+    is_first = F.col(order).eqNullSafe(F.col("first__.order"))
+    told = told.withColumn("verdict", F.when(is_first, "ACCEPT").otherwise("DUPLICATE")).withColumn("duplicate_of", F.when(~is_first, F.col("first__.label")))
+    return told.drop("hash__", "first__")
 
 
 def conflicts(rules: DataFrame) -> DataFrame:

@@ -145,3 +145,22 @@ def index_health(index: DataFrame, dim: int, current_hash: Column | None = None,
         good = good & F.coalesce(F.col("text_hash") == current_hash, F.lit(False))
     told = index.agg(F.count("*").alias("n"), F.count_if(~good).alias("n_bad"))
     return told.withColumn("healthy", (F.col("n") > 0) & (F.col("n_bad") == 0))
+
+
+def rebuilt_index(concepts: DataFrame, dim: int | None = None, vector: str = "vector") -> DataFrame:
+    """Active concepts with `indexed`: whether their vector is there (and, with dim, usable). The table replaces the old index as a whole."""
+    there = F.coalesce(F.size(vector) > 0, F.lit(False))
+    return concepts.where(F.col("review_status") == "ACTIVE").withColumn("indexed", there if dim is None else there & usable(F.col(vector), dim))
+
+
+def index_counts(rebuilt: DataFrame) -> DataFrame:
+    return rebuilt.agg(F.count_if("indexed").alias("indexed"), F.count_if(~F.col("indexed")).alias("failed"))
+
+
+def regenerated(index: DataFrame, concepts: DataFrame, key: str = "concept_key") -> DataFrame:
+    """The index after some concepts changed: their old rows go first, active ones with a vector come back.
+
+    index and concepts share the index's columns; concepts has review_status beside.
+    """
+    kept = index.join(concepts.select(key).distinct(), key, "left_anti")
+    return kept.unionByName(rebuilt_index(concepts).where("indexed").select(index.columns))

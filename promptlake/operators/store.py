@@ -66,11 +66,55 @@ def created(concepts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return concepts.drop("positive_examples", "negative_examples", "sources"), examples, sources
 
 
-def updated(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """table with each change's non-null values; rows without a change stay."""
+def updated(table: DataFrame, changes: DataFrame, key: str, fields: str | None = None) -> DataFrame:
+    """table with each change's values; rows without a change stay.
+
+    Without `fields` a null says nothing. With it (a column of changes, an array of the
+    names of columns that a change sets) a named column takes its value, null included.
+    """
     told = changes.select(key, *(F.col(c).alias(f"new__{c}") for c in changes.columns if c != key))
     joined = table.join(told, key, "left")
-    return joined.select(*(F.coalesce(f"new__{c}", c).alias(c) if c != key and c in changes.columns else F.col(c) for c in table.columns))
+
+    def value(c: str) -> Column:
+        if c == key or c not in changes.columns or c == fields:
+            return F.col(c)
+        new = F.col(f"new__{c}")
+        return F.coalesce(new, c).alias(c) if fields is None else F.when(F.array_contains(f"new__{fields}", c), new).otherwise(F.col(c)).alias(c)
+
+    return joined.select(*map(value, table.columns))
+
+
+def replaced_examples(examples: DataFrame, new: DataFrame, key: str = "concept_key") -> DataFrame:
+    """A concept's examples give way to its new ones as a whole; concepts without new ones keep theirs."""
+    return examples.join(new.select(key).distinct(), key, "left_anti").unionByName(new.select(examples.columns))
+
+
+def stamped(table: DataFrame, old: DataFrame, key: str, now: Column, status: str = "status") -> DataFrame:
+    """table with the time of each row's own move: updated_at where anything changed, activated_at and archived_at where its status did.
+
+    table and old have the same columns, key and the stamps among them.
+    """
+    same = [c for c in table.columns if c not in (key, "updated_at", "activated_at", "archived_at")]
+    before = old.select(key, *(F.col(c).alias(f"old__{c}") for c in same))
+    joined = table.join(before, key, "left")
+    changed = F.lit(False)
+    for c in same:
+        changed = changed | ~F.col(c).eqNullSafe(F.col(f"old__{c}"))
+    moved = lambda to: (F.col(status) == to) & ~F.col(status).eqNullSafe(F.col(f"old__{status}"))
+    told = joined.withColumn("updated_at", F.when(changed, now).otherwise(F.col("updated_at")))
+    for column, to in (("activated_at", "ACTIVE"), ("archived_at", "ARCHIVED")):
+        told = told.withColumn(column, F.when(moved(to), now).otherwise(F.col(column)))
+    return told.select(table.columns)
+
+
+def owned(table: DataFrame, org_id: str, key: str, wanted: Column) -> DataFrame:
+    """(key value, row or null): the row of a key, only if it belongs to this organisation."""
+    return table.where((F.col(key) == wanted) & (F.col("org_id") == org_id))
+
+
+def owned_children(children: DataFrame, parents: DataFrame, org_id: str, key: str) -> DataFrame:
+    """Children whose parent belongs to this organisation."""
+    return children.join(parents.where(F.col("org_id") == org_id).select(key), key, "left_semi")
 
 
 def upserted(table: DataFrame, rows: DataFrame, keys: list[str], stamp: str) -> DataFrame:
@@ -124,10 +168,14 @@ def with_codes(new: DataFrame, rules: DataFrame, order: str) -> DataFrame:
     return told.withColumn("code", F.concat(F.lit("R-"), F.when(F.length(n) < 3, F.lpad(n, 3, "0")).otherwise(n))).drop("max_code", "row_no")
 
 
-def activated(documents: DataFrame, document_id: str) -> DataFrame:
-    """One document active, the one before archived."""
-    this = F.col("document_id") == document_id
-    return documents.withColumn("status", F.when(this, "ACTIVE").when(F.col("status") == "ACTIVE", "ARCHIVED").otherwise(F.col("status")))
+def activated(documents: DataFrame, document_id: str, org_id: str) -> DataFrame:
+    """One document of an organisation active, its active one before archived; nothing changes if it has no such document."""
+    mine = F.col("org_id").eqNullSafe(F.lit(org_id))
+    this = mine & (F.col("document_id") == document_id)
+    there = documents.where(this).limit(1).select(F.lit(True).alias("there__"))
+    told = documents.join(F.broadcast(there), how="left")  # one row at most
+    status = F.when(this, "ACTIVE").when(mine & (F.col("status") == "ACTIVE"), "ARCHIVED").otherwise(F.col("status"))
+    return told.withColumn("status", F.when(F.col("there__"), status).otherwise(F.col("status"))).drop("there__")
 
 
 def scoped_rules(rules: DataFrame, document_id: str) -> DataFrame:
@@ -170,8 +218,20 @@ def may_activate(documents: DataFrame, concepts: DataFrame, index: DataFrame) ->
     return told.select("document_id", (ready & (F.col("n_active") > 0) & (F.col("n_waiting") == 0) & (F.col("n_indexed") == F.col("n_active"))).alias("may_activate"), "n_active", "n_waiting", "n_indexed")
 
 
+#: Orders of a review list, first keys first; ties go to the caller's column.
+ORDERS = {
+    "risk": lambda: [F.desc(F.size("flags")), F.asc(F.coalesce("confidence", F.lit(0.8))), F.desc(F.length("source_quote"))],
+    "confidence": lambda: [F.asc(F.coalesce("confidence", F.lit(0.8)))],
+    "newest": lambda: [F.desc("created_at")],
+}
+
+
+def review_order(concepts: DataFrame, by: str = "risk", tie: str = "id") -> DataFrame:
+    return concepts.orderBy(*ORDERS[by](), tie)
+
+
 def riskiest_first(concepts: DataFrame, tie: str = "id") -> DataFrame:
-    return concepts.orderBy(F.desc(F.size("flags")), F.asc(F.coalesce("confidence", F.lit(0.8))), F.desc(F.length("source_quote")), tie)
+    return review_order(concepts, "risk", tie)
 
 
 def log_page(log: DataFrame, page: int, size: int, start=None, end=None, newest: str = "created_at", tie: str = "id", **equal) -> DataFrame:

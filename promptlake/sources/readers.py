@@ -30,3 +30,12 @@ def routing_set(spark: SparkSession, path: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores if it was read in fewer parts, as a small table of one row group is.
+
+    Tables of many parts, which is every large one, stay as they are: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -79,6 +79,7 @@ def parsed_answer(raw: Column) -> Column:
     return F.when(good, answer)
 
 
+# Categories of the first classifier.
 LEGACY_CATEGORIES = [
     "general",
     "standards_docs",
@@ -124,6 +125,22 @@ def reviewed_example(messages: DataFrame, concepts: DataFrame) -> DataFrame:
     return hits.where(F.size("a") == 1).select("conv_id", "concept_key", F.col("a")[0].alias("applies"))
 
 
+def candidates(concepts: Column) -> Column:
+    """Retrieved concepts as a classifier gets them: missing sensitivity and action filled in, blocking ones first.
+
+    concepts: array<struct<concept_key, sensitivity, action, ...>>; the order within blocking and others stays.
+    """
+    filled = F.transform(
+        concepts,
+        lambda c, i: F.struct(
+            F.when(F.coalesce(c["action"], F.lit("")) == "BLOCK", 0).otherwise(1).alias("first"),
+            i.alias("at"),
+            c.withField("sensitivity", F.coalesce(c["sensitivity"], F.lit("CONFIDENTIAL"))).withField("action", F.coalesce(c["action"], F.lit("ROUTE_LOCAL"))).alias("c"),
+        ),
+    )
+    return F.transform(F.array_sort(filled, lambda a, b: F.when((a["first"] * 1_000_000 + a["at"]) < (b["first"] * 1_000_000 + b["at"]), -1).otherwise(1)), lambda x: x["c"])
+
+
 def checked_answer(proposed: Column, retrieved: Column, verified: Column) -> Column:
     """struct<decision, scope, concepts, confidence, method>: unknown or unverified concepts make the answer uncertain;
     a verified concept that doesn't allow sending makes it sensitive.
@@ -137,7 +154,7 @@ def checked_answer(proposed: Column, retrieved: Column, verified: Column) -> Col
     empty = F.expr("cast(array() as array<string>)")
     answer = lambda d, s, c, p, m: F.struct(F.lit(d).alias("decision") if isinstance(d, str) else d.alias("decision"), F.lit(s).alias("scope") if isinstance(s, str) else s.alias("scope"), c.alias("concepts"), p.alias("confidence"), F.lit(m).alias("method"))
     return (
-        F.when(proposed.isNull() | failed, answer("UNCERTAIN", "UNKNOWN", empty, F.lit(0.0), "fallback"))
+        F.when(proposed.isNull() | failed, answer("UNCERTAIN", "UNKNOWN", empty, F.coalesce(proposed["confidence"], F.lit(0.0)), "fallback"))
         .when(closed, answer("SENSITIVE", "ORG_SPECIFIC", held, proposed["confidence"], "local_llm"))
         .otherwise(answer(proposed["decision"], proposed["scope"], held, proposed["confidence"], "local_llm"))
     )

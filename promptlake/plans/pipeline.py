@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from promptlake.functions import detectors as det
 from promptlake.functions.detectors import dlp
 from promptlake.functions.text import normalize
+from promptlake.functions.vectors import hashed_words
 from promptlake.operators import conversations as conv
+from promptlake.operators import scoring
 from promptlake.plans import decide
 
 #: Maps (normalised text, hits) to struct<decision, scope, concepts, confidence, method>.
@@ -53,3 +56,80 @@ def route_conversations(messages: DataFrame, classifier: Classifier = cautious,
         F.col("outcome.action").alias("action"),
         conv.payload_hash(F.col("payload")).alias("payload_hash"),
     )
+
+
+_CONCEPT = "array<struct<concept_key: string, sensitivity: string, action: string>>"
+
+
+def retrieved(prompts: DataFrame, concepts: DataFrame, key: str = "conv_id", k: int = 5, dim: int = 64, minimum: float = 0.45) -> DataFrame:
+    """(key, concepts): each prompt's k best concepts by reciprocal-rank fusion of dense and lexical ranks, the best first.
+
+    prompts has (key, normal); concepts has (concept_key, sensitivity, action, text), the
+    policy's active ones. Prompts that no concept answers are missing.
+    """
+    asked = prompts.select(F.col(key).alias("query_id"), F.col("normal").alias("text"))
+    told = concepts.select(F.col("concept_key").alias("id"), normalize(F.col("text")).alias("text"))
+    vectors = lambda df, name: df.select(name, hashed_words(F.col("text"), dim).alias("vector"))
+    dense = scoring.dense_top_blocks(vectors(asked, "query_id"), vectors(told, "id"), k=2 * k, minimum=minimum)
+    lexical = scoring.lexical_ranks(scoring.bm25(asked, told, chunk_key="id"))
+    best = scoring.fused(dense, lexical, k=k).join(concepts.select(F.col("concept_key").alias("id"), "sensitivity", "action"), "id")
+    ranked = best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("id").alias("concept_key"), "sensitivity", "action"))).alias("r"))
+    return ranked.select(F.col("query_id").alias(key), F.transform("r", lambda x: F.struct(x["concept_key"].alias("concept_key"), x["sensitivity"].alias("sensitivity"), x["action"].alias("action"))).alias("concepts"))
+
+
+def detect(
+    messages: DataFrame, concepts: DataFrame, classifier: Callable[[Column, Column, Column], Column], terms: dict[str, list[str]] | None = None, rules: list[dict] | None = None, k: int = 5
+) -> DataFrame:
+    """(conv_id, n_hits, n_concepts, health, sensitivity, route, decision, action) by the second pipeline.
+
+    Texts that always block are decided from their hits alone: neither retrieval nor the
+    classifier sees them. The rest meets the retrieved concepts; a prompt without any is
+    judged, but degraded. Payloads over the limit are closed (FAILED). The classifier maps
+    (normalised text, hits, candidates) to struct<decision, scope, concepts, confidence, method>.
+    """
+    told = conv.folded(conv.last_messages(conv.admitted(messages)))
+    told = told.withColumn("normal", normalize(F.col("dlp_text")))
+    told = told.withColumn("hits", dlp(F.col("dlp_text"), F.col("normal"), terms, rules))
+    always, critical = F.exists("hits", lambda h: h["always_block"]), F.exists("hits", lambda h: h["severity"] == "critical")
+    told = told.withColumns({"always": always, "critical": critical, "too_long": F.length("payload") > conv.MAX_PAYLOAD})
+    open_ = told.where("NOT always AND NOT too_long")
+    found = open_.join(retrieved(open_.select("conv_id", "normal"), concepts, k=k), "conv_id", "left")
+    found = found.withColumn("concepts", decide.candidates(F.coalesce("concepts", F.expr(f"cast(array() as {_CONCEPT})"))))
+    answer = classifier(F.col("normal"), F.col("hits"), F.col("concepts"))
+    found = found.withColumn("semantic", decide.checked_answer(answer, F.col("concepts"), F.transform(answer["concepts"], lambda c: F.struct(c.alias("concept_key"), F.lit(True).alias("applies")))))
+    found = found.withColumn("fused", decide.fuse(F.col("semantic"), F.col("concepts"), F.col("always"), F.col("critical"), F.lit(False), F.lit(True), F.size("concepts") == 0))
+    none = F.expr("cast(null as struct<decision: string, scope: string, concepts: array<string>, confidence: double, method: string>)")
+    blocked = told.where("always AND NOT too_long").withColumn("concepts", F.expr(f"cast(array() as {_CONCEPT})"))
+    blocked = blocked.withColumn("fused", decide.fuse(none, F.col("concepts"), F.col("always"), F.col("critical"), F.lit(False), F.lit(True), F.lit(False)))
+
+    def decided(df):
+        f = lambda name: F.col(f"fused.{name}")
+        out = decide.decide(f("health"), f("conflict"), f("decision"), f("scope"), f("confidence"), f("action"), F.col("always"), F.size("hits") > 0)
+        return df.select("conv_id", F.size("hits").alias("n_hits"), F.size("concepts").alias("n_concepts"), f("health").alias("health"), f("sensitivity").alias("sensitivity"), out.alias("o")).select(
+            "conv_id", "n_hits", "n_concepts", "health", "sensitivity", "o.route", "o.decision", "o.action"
+        )
+
+    every = decided(found).unionByName(decided(blocked))
+    return decide.closed_where_missing(every, told, "conv_id")
+
+
+def detect_first(messages: DataFrame, terms: dict[str, list[str]] | None = None, rules: list[dict] | None = None) -> DataFrame:
+    """(conv_id, n_hits, decision, action) by the first pipeline: detectors and classification, no retrieval."""
+    told = conv.folded(conv.last_messages(conv.admitted(messages)))
+    told = told.withColumn("normal", normalize(F.col("dlp_text")))
+    text, normal = F.col("dlp_text"), F.col("normal")
+    every = F.concat(
+        det.national_ids(normal), det.bank_cards(normal), det.ibans(normal), det.secrets(text), det.bulk_contacts(text, normal),
+        det.dictionary(text, terms or {}), det.compiled_rules(normal, rules or []), det.jailbreaks(normal),
+    )
+    out = decide.classify(every)
+    return told.select("conv_id", out.alias("o")).select("conv_id", F.size("o.hits").alias("n_hits"), "o.decision", "o.action")
+
+
+def detection(messages: DataFrame, mode: str, concepts: DataFrame | None = None, classifier=None, **options) -> DataFrame:
+    """The pipeline of a mode: `semantic` (needs concepts and a classifier) or `rules`."""
+    if mode == "semantic":
+        return detect(messages, concepts, classifier, **options)
+    if mode == "rules":
+        return detect_first(messages, **options)
+    raise ValueError("mode must be semantic or rules")

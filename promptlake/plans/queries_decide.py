@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from promptlake.operators import conversations as conv
-from promptlake.plans import decide
-from promptlake.plans.pipeline import route_conversations
+from promptlake.plans import decide, queries_text
+from promptlake.plans.pipeline import detection, route_conversations
 from promptlake.sources.readers import table
 from promptlake.streaming import logs
 
@@ -18,7 +18,7 @@ def messages(spark, sf_dir):
 
 
 def conv_last30(spark, sf_dir):
-    last = conv.last_messages(conv.admitted(messages(spark, sf_dir)), 3)
+    last = conv.last_messages(conv.admitted(messages(spark, sf_dir)), conv.WINDOW)
     return last.select("conv_id", "turn", "role", F.length("text").cast("bigint").alias("n_chars"))
 
 
@@ -35,6 +35,28 @@ def conv_route(spark, sf_dir):
     return route_conversations(messages(spark, sf_dir))
 
 
+def _answered(normal, hits, candidates):
+    """A stand-in for the model: the first candidate is matched where the text is long; hits are sensitive."""
+    some = F.size(hits) > 0
+    matched = F.when((F.length(normal) > 400) & (F.size(candidates) > 0), F.array(F.get(candidates, F.lit(0))["concept_key"])).otherwise(F.array().cast("array<string>"))
+    return F.struct(F.when(some, "SENSITIVE").otherwise("SAFE").alias("decision"), F.when(some, "ORG_SPECIFIC").otherwise("GENERAL").alias("scope"), matched.alias("concepts"), F.lit(0.9).alias("confidence"), F.lit("local_llm").alias("method"))
+
+
+def _policy(spark, sf_dir):
+    """Benchmark texts as the policy's active concepts."""
+    k = F.col("item_id")
+    return table(spark, sf_dir, "benchmark").select(F.concat(F.lit("k"), k.cast("string")).alias("concept_key"), F.when(k % 3 == 0, "CONFIDENTIAL").otherwise("PUBLIC").alias("sensitivity"), F.when(k % 3 == 0, "ROUTE_LOCAL").when(k % 3 == 1, "ALLOW_EXTERNAL").otherwise("BLOCK").alias("action"), "text")
+
+
+def detection_semantic(spark, sf_dir):
+    """The second pipeline over all conversations, with retrieval over the benchmark's texts."""
+    return detection(messages(spark, sf_dir), "semantic", concepts=_policy(spark, sf_dir), classifier=_answered)
+
+
+def detection_rules(spark, sf_dir):
+    return detection(messages(spark, sf_dir), "rules", terms={"PROPRIETARY_SERVICE": ["que", "der"]})
+
+
 def conv_route_counts(spark, sf_dir):
     return conv_route(spark, sf_dir).groupBy("route", "decision", "health").agg(F.count("*").alias("n"))
 
@@ -141,7 +163,7 @@ def sse_parse(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (conv_last30, conv_last_user, conv_payload_hash, conv_route, conv_route_counts, route_truth_table, fusion_truth_table, egress_guard, parsed_answers, sse_parse)
+    for f in (conv_last30, conv_last_user, conv_payload_hash, conv_route, conv_route_counts, detection_semantic, detection_rules, route_truth_table, fusion_truth_table, egress_guard, parsed_answers, sse_parse)
 }
 
 
@@ -153,8 +175,28 @@ def _values(grid):
 _TRIM = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
 _SAID = f"SELECT conv_id, turn, role, {_TRIM} AS text FROM conversations WHERE role IN ('system', 'user', 'assistant') AND {_TRIM} <> ''"
 
+_ROUTED = f"""
+WITH s AS ({_SAID}), t AS (SELECT conv_id, turn, role, text FROM s QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) <= 30),
+p AS (SELECT conv_id, count(*) AS n_messages, string_agg(text, chr(10) ORDER BY turn, role, text) AS text, '[' || string_agg('{{"role":' || to_json(role) || ',"content":' || to_json(text) || '}}', ',' ORDER BY turn, role, text) || ']' AS payload FROM t GROUP BY conv_id),
+h AS ({{evidence}}),
+e AS (SELECT conv_id, CAST(sum(n) AS INT) AS n_hits, string_agg(category, ',' ORDER BY category) AS categories, bool_or(category = 'jailbreak_injection') AS always, bool_or(category IN ({queries_text._CRITICAL_SQL})) AS critical FROM h GROUP BY conv_id)"""
+_ROUTE = (
+    _ROUTED.replace("{evidence}", queries_text.evidence_sql("p", "conv_id"))
+    + """, r AS (SELECT p.conv_id, n_messages, payload, coalesce(n_hits, 0) AS n_hits, coalesce(categories, '') AS categories, coalesce(always, false) AS always, coalesce(critical, false) AS critical, length(payload) > 24000 AS long FROM p LEFT JOIN e USING (conv_id)),
+d AS (SELECT *, CASE WHEN always THEN 'BLOCKED' WHEN NOT long AND n_hits = 0 THEN 'EXTERNAL_DIRECT' ELSE 'LOCAL' END AS route FROM r)
+SELECT conv_id, CAST(n_messages AS INT) AS n_messages, CAST(n_hits AS INT) AS n_hits, categories, CASE WHEN long THEN 'DEGRADED' ELSE 'HEALTHY' END AS health,
+  CASE WHEN always THEN 'HIGHLY_CONFIDENTIAL' WHEN critical OR (n_hits > 0 AND NOT long) THEN 'CONFIDENTIAL' ELSE 'PUBLIC' END AS sensitivity, route,
+  CASE WHEN route = 'EXTERNAL_DIRECT' THEN 'SAFE' WHEN long AND route = 'LOCAL' THEN 'UNCERTAIN' ELSE 'SENSITIVE' END AS decision, CASE WHEN route = 'EXTERNAL_DIRECT' THEN 'EXTERNAL_ALLOWED' ELSE 'LOCAL_ONLY' END AS action, sha256(payload) AS payload_hash FROM d"""
+)
+
 ORACLE_SQL = {
-    "conv_last30": f"SELECT conv_id, turn, role, length(text) AS n_chars FROM ({_SAID}) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) <= 3",
+    "conv_route": _ROUTE,
+    "conv_route_counts": f"SELECT route, decision, health, count(*) AS n FROM ({_ROUTE}) GROUP BY ALL",
+    "detection_rules": _ROUTED.replace("{evidence}", queries_text.evidence_sql("p", "conv_id", [("proprietary_service", "(?i)que|der")]))
+    + """, m AS (SELECT p.conv_id, coalesce(least(n_hits, 100000), 0) AS n_hits, categories FROM p LEFT JOIN e USING (conv_id))
+SELECT conv_id, CAST(coalesce(k.n, 0) AS INT) AS n_hits, CASE WHEN k.n IS NULL THEN 'SAFE' WHEN k.sure THEN 'SENSITIVE' ELSE 'UNCERTAIN' END AS decision, CASE WHEN k.n IS NULL THEN 'EXTERNAL_ALLOWED' ELSE 'LOCAL_ONLY' END AS action
+FROM m LEFT JOIN (SELECT conv_id, sum(CASE WHEN category = 'proprietary_service' THEN least(n, 201) ELSE n END) AS n, bool_or(category NOT LIKE 'bulk%') AS sure FROM h GROUP BY conv_id) k USING (conv_id)""",
+    "conv_last30": f"SELECT conv_id, turn, role, length(text) AS n_chars FROM ({_SAID}) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) <= 30",
     "conv_last_user": f"SELECT conv_id, max({{'t': turn, 'x': text}}) FILTER (role = 'user').x AS text FROM ({_SAID}) GROUP BY conv_id".replace(
         "max({'t': turn, 'x': text}) FILTER (role = 'user').x", "(max({'t': turn, 'x': text}) FILTER (role = 'user')).x"
     ),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from promptlake.functions.vectors import hashed_words
 from promptlake.operators import evaluation, rules, scoring, store
-from promptlake.operators.numbering import numbered
+from promptlake.operators.numbering import numbered, placed
 from promptlake.sources.readers import table
 from promptlake.streaming import logs
 
@@ -44,7 +44,7 @@ def _concepts(spark, sf_dir):
 def cosine_topk(spark, sf_dir):
     """Every vector's nearest concepts (label means)."""
     queries = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector"))
-    top = scoring.dense_top(queries, F.broadcast(_concepts(spark, sf_dir)), k=3, minimum=-1.0)
+    top = scoring.dense_top_blocks(queries, _concepts(spark, sf_dir), k=3, minimum=-1.0)
     return top.select("query_id", F.col("id").cast("bigint").alias("id"), F.round("dense_score", 6).alias("score"), F.col("dense_rank").cast("bigint").alias("rank"))
 
 
@@ -197,14 +197,12 @@ def log_daily(spark, sf_dir):
 
 def risk_first_order(spark, sf_dir):
     """Each document's place by the riskiest-first order within its source."""
-    from pyspark.sql import Window
-
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     l_ = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     told = d.join(l_, "doc_id", "left")
     flags = F.coalesce(F.col("toxic"), F.lit(0)) + F.when(F.col("quality") == 0, 1).otherwise(0)
-    order = Window.partitionBy("source").orderBy(flags.desc(), F.coalesce(F.col("quality").cast("double"), F.lit(0.8)).asc(), F.desc("n_chars"), "doc_id")
-    return told.select("doc_id", "source", F.row_number().over(order).cast("bigint").alias("place"))
+    told = told.select("doc_id", "source", "n_chars", (-flags).alias("flags"), F.coalesce(F.col("quality").cast("double"), F.lit(0.8)).alias("confidence"))
+    return placed(told, "source", ["flags", "confidence"], "n_chars", "doc_id").select("doc_id", "source", F.col("place").cast("bigint").alias("place"))
 
 
 def login_limiter(spark, sf_dir):

@@ -19,7 +19,7 @@ def spark():
     from promptlake.session import local_session
 
     scratch = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    session = local_session("8", **{"spark.local.dir": scratch, "spark.sql.warehouse.dir": f"{scratch}/warehouse", "spark.ui.showConsoleProgress": "false"})
+    session = local_session(os.environ.get("TEST_CORES", "8"), **{"spark.local.dir": scratch, "spark.sql.warehouse.dir": f"{scratch}/warehouse", "spark.ui.showConsoleProgress": "false"})
     yield session
     session.stop()
 

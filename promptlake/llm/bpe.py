@@ -6,8 +6,8 @@ skips it if either symbol has changed since, merges, and queues the two new
 neighbours. Decoding concatenates the vocabulary's byte strings.
 
 The vocabulary file is a parameter; it is read on the driver and sent to the
-tasks by broadcast (its size is checked). Each Python worker remembers the ids of
-pieces it has met, up to ``memory`` pieces, then starts afresh.
+tasks by broadcast (its size is checked). Each Python worker keeps one codec and
+remembers the ids of pieces it has met, up to ``memory`` bytes, then starts afresh.
 
 Defined results: null counts as empty; an empty text has no ids; special tokens
 inside a text are recognised as the library does by default; texts are encoded whole.
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from promptlake.llm.pretoken import pieces
 
 MAX_VOCABULARY_BYTES = 64 << 20
+#: Bytes of pieces and their ids that a worker remembers, each entry's own upkeep included; longer pieces aren't kept.
+MEMORY_BYTES, ENTRY_BYTES, LONGEST = 16 << 20, 160, 64
 
 
 def byte_letters() -> dict[int, str]:
@@ -40,9 +42,10 @@ def byte_letters() -> dict[int, str]:
 class Codec:
     """Encodes and decodes with one byte-level vocabulary."""
 
-    built: dict[str, Codec] = {}
+    #: The last one built, with its key: a worker keeps no other.
+    last: tuple[str, Codec] | None = None
 
-    def __init__(self, spec: dict, memory: int = 250_000):
+    def __init__(self, spec: dict, memory: int = MEMORY_BYTES):
         vocabulary = spec["model"]["vocab"]
         special = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         to_byte = {c: b for b, c in byte_letters().items()}
@@ -61,13 +64,14 @@ class Codec:
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             self.rule.append((vocabulary[left], vocabulary[right], vocabulary[left + right]))
             self.rank[self.rule[-1][:2]] = rank
-        self.memory, self.known = memory, {}
+        self.memory, self.used, self.known = memory, 0, {}
 
     @classmethod
     def of(cls, key: str, spec: str) -> Codec:
-        if key not in cls.built:
-            cls.built[key] = cls(json.loads(spec))
-        return cls.built[key]
+        if cls.last is None or cls.last[0] != key:
+            cls.last = None
+            cls.last = key, cls(json.loads(spec))
+        return cls.last[1]
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one piece. A queued number is rank * n + place, so ranks order it, then places."""
@@ -100,13 +104,21 @@ class Codec:
 
     def _plain(self, text: str) -> bytes:
         parts, known = pieces(text), self.known
-        missing = set(parts).difference(known)
-        if len(known) + len(missing) > self.memory:
+        if self.used > self.memory:
             known.clear()
-            missing = set(parts)
-        for p in missing:
-            known[p] = np.array(self.merge(p.encode("utf-8", "surrogatepass")), "<u4").tobytes()
-        return b"".join(map(known.__getitem__, parts))
+            self.used = 0
+        long = {}
+        for p in set(parts).difference(known):
+            raw = p.encode("utf-8", "surrogatepass")
+            ids = np.array(self.merge(raw), "<u4").tobytes()
+            if len(raw) > LONGEST:
+                long[p] = ids
+            else:
+                known[p] = ids
+                self.used += len(raw) + len(ids) + ENTRY_BYTES
+        if not long:
+            return b"".join(map(known.__getitem__, parts))
+        return b"".join(long[p] if p in long else known[p] for p in parts)
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:

@@ -4,22 +4,27 @@ Benchmark texts and documents are lower-cased (A-Z) and cut into words of digits
 letters and characters beyond ASCII. Every 13 consecutive item words form a
 window (a shorter item is one window); the automaton finds all windows in one
 scan of the document's words, and each word inside a found window is hit. Hits
-are mapped back to code-point offsets of the original text.
+are mapped back to code-point offsets of the original text. The automaton's symbols
+are whole words, numbered by the benchmark's own vocabulary.
 
 The windows travel to the tasks as text, and each Python worker builds the
-automaton once. Their size is measured first: beyond ``max_window_words`` the
-items are dealt over several automata that scan one after the other in the same
-pass over the documents, each within the bound.
+automaton once and keeps one at a time. Their size is measured first: beyond
+``max_window_words`` the items are dealt over several sets, each within the bound,
+that are collected, sent and scanned one after the other, in one pass over the
+documents each, so neither the driver nor a worker ever holds two of them.
 
 Defined results: null and wordless texts have no words, no hits and are clean;
-null or wordless items match nothing; equal windows of several items count for
-each of them; repeated rows are judged one by one.
+null or wordless items match nothing; an item without an id hits words, but is no
+named item; equal windows of several items count for each of them; repeated rows
+are judged one by one.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import defaultdict
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -27,90 +32,108 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptlake.llm.base import LOWER, WORD
+from promptlake.llm.base import LOWER, WORD, discard, hidden, stored
 
 WINDOW = 13
+#: Words of windows (each window's counted) in one automaton, which takes some 50 bytes for each.
+MAX_WINDOW_WORDS = 4_000_000
 _NORMAL = np.where(WORD, LOWER, 32).astype(np.uint8).tobytes()
 _WORDS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
-_RESULT = pa.struct(
-    [
-        ("n_words", pa.int64()),
-        ("n_hit", pa.int64()),
-        ("items", pa.list_(pa.string())),
-        ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-    ]
+_RANGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_RESULT = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", _RANGES), ("words", _RANGES)])
+_DDL = (
+    "struct<n_words: bigint, n_hit: bigint, items: array<string>, "
+    "spans: array<struct<start: bigint, end: bigint>>, words: array<struct<start: bigint, end: bigint>>>"
 )
-_DDL = "struct<n_words: bigint, n_hit: bigint, items: array<string>, spans: array<struct<start: bigint, end: bigint>>>"
 
 
 def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_NORMAL).split()
 
 
-def windows(items: list[tuple[str, str]], size: int = WINDOW) -> dict[str, list[str]]:
-    """Each window's text and the items that hold it."""
+def windows(items: list[tuple[str | None, str]], size: int = WINDOW) -> dict[str, list[str]]:
+    """Each window's text and the named items that hold it."""
     found = defaultdict(set)
     for item, text in items:
         w = words(text)
         for i in range(max(1, len(w) - size + 1) if w else 0):
             found[b" ".join(w[i : i + size]).decode()].add(item)
-    return {w: sorted(held) for w, held in found.items()}
+    return {w: sorted(held - {None}) for w, held in found.items()}
 
 
 class Matcher:
-    """Built once in each Python worker from the windows it was sent."""
+    """An automaton over word numbers, built in each Python worker from the windows it was sent."""
 
-    built: dict[str, Matcher] = {}
+    #: The last one built, with its key: a worker keeps no other.
+    last: tuple[str, Matcher] | None = None
 
     def __init__(self, found: dict[str, list[str]]):
-        self.automaton = ahocorasick.Automaton()
+        self.empty = not found
+        self.number: dict[bytes, int] = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for window, items in found.items():
-            self.automaton.add_word(f" {window} ", (window.count(" ") + 1, items))
+            split = window.encode().split()
+            self.automaton.add_word(tuple(self.number.setdefault(w, len(self.number) + 1) for w in split), (len(split), items))
         if found:
             self.automaton.make_automaton()
-        self.empty = not found
 
     @classmethod
-    def of(cls, key: str, found: dict[str, list[str]]) -> Matcher:
-        if key not in cls.built:
-            cls.built[key] = cls(found)
-        return cls.built[key]
-
-    def hits(self, normal: str) -> list[tuple[int, int, list[str]]]:
-        """(end offset in the normalised text, words, items) of every window found."""
-        return [] if self.empty else [(end, *value) for end, value in self.automaton.iter(normal)]
-
-
-def judge(text: str | None, matchers: list[Matcher]) -> dict:
+    def of(cls, key: str, found) -> Matcher:
+        """The matcher of this key; `found` is called for its windows if it isn't the last one."""
+        if cls.last is None or cls.last[0] != key:
+            cls.last = None
+            cls.last = key, cls(found())
+        return cls.last[1]
+
+    def hits(self, split: list[bytes]) -> list[tuple[int, int, list[str]]]:
+        """(last word's place, words, items) of every window found; 0 stands for words that no window has."""
+        if self.empty:
+            return []
+        return [(at, *value) for at, value in self.automaton.iter(tuple(map(self.number.get, split, repeat(0))))]
+
+
+def judge(text: str | None, matcher: Matcher, before: dict | None = None) -> dict:
+    """What the matcher finds in a text, added to what was found `before`."""
     split = words(text)
-    normal = f" {b' '.join(split).decode('utf-8', 'surrogatepass')} "
-    hits = [h for m in matchers for h in m.hits(normal)] if split else []
-    if not hits:
-        return {"n_words": len(split), "n_hit": 0, "items": [], "spans": []}
-    blanks = np.flatnonzero(np.frombuffer(normal.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
-    last = np.searchsorted(blanks, [end for end, _, _ in hits])  # words up to the window's end
+    hits = matcher.hits(split) if split else []
+    known = before or {"items": [], "words": []}
+    if not hits and not known["words"]:
+        return {"n_words": len(split), "n_hit": 0, "items": [], "spans": [], "words": []}
     change = np.zeros(len(split) + 1, np.int64)
-    np.add.at(change, last - [n for _, n, _ in hits], 1)
-    np.add.at(change, last, -1)
+    last = np.array([at for at, _, _ in hits], np.int64)
+    np.add.at(change, last + 1 - np.array([n for _, n, _ in hits], np.int64), 1)
+    np.add.at(change, last + 1, -1)
+    for r in known["words"]:
+        change[r["start"]] += 1
+        change[r["end"]] -= 1
     hit = np.cumsum(change[:-1]) > 0
     edges = np.flatnonzero(np.diff(np.concatenate([[0], hit, [0]])))
+    runs = list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
     at = [(m.start(), m.end()) for m in _WORDS.finditer(text)]
     return {
         "n_words": len(split),
         "n_hit": int(hit.sum()),
-        "items": sorted({i for _, _, items in hits for i in items}),
-        "spans": [{"start": at[a][0], "end": at[b - 1][1]} for a, b in zip(edges[::2], edges[1::2], strict=True)],
+        "items": sorted({i for _, _, items in hits for i in items} | set(known["items"])),
+        "spans": [{"start": at[a][0], "end": at[b - 1][1]} for a, b in runs],
+        "words": [{"start": a, "end": b} for a, b in runs],
     }
 
 
-def _sets(benchmark: DataFrame, key: str, text: str, size: int, max_window_words: int) -> list[dict[str, list[str]]]:
-    """The windows of all items, in as many sets as keep each within the bound (its items are read set by set)."""
-    items = benchmark.select(F.col(key).cast("string").alias("item"), F.col(text).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
-    n_words = items.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0] or 0
-    n_sets = max(1, -(-int(n_words) * size // max_window_words))
-    dealt = items.withColumn("set", F.pmod(F.xxhash64("text"), F.lit(n_sets)))
-    return [windows([(r.item, r.text) for r in dealt.where(F.col("set") == k).collect()], size) for k in range(n_sets)]
+def _scanned(key: str, sent, text, before=None):
+    """The result of one set's scan of a text column, added to what earlier scans found."""
+
+    @F.arrow_udf(_DDL)
+    def first(texts: pa.Array) -> pa.Array:
+        matcher = Matcher.of(key, lambda: sent.value)
+        return pa.array([judge(t.as_py(), matcher) for t in texts], _RESULT)
+
+    @F.arrow_udf(_DDL)
+    def further(texts: pa.Array, before: pa.Array) -> pa.Array:
+        matcher = Matcher.of(key, lambda: sent.value)
+        return pa.array([judge(t.as_py(), matcher, b.as_py()) for t, b in zip(texts, before, strict=True)], _RESULT)
+
+    return first(text) if before is None else further(text, before)
 
 
 def contamination(
@@ -120,20 +143,30 @@ def contamination(
     item_key: str = "item_id",
     item_text: str = "text",
     size: int = WINDOW,
-    max_window_words: int = 20_000_000,
+    max_window_words: int = MAX_WINDOW_WORDS,
     as_column: str = "contamination",
 ) -> DataFrame:
-    """docs with a struct column: n_words, n_hit, items (sorted ids), spans of the original text (code points)."""
+    """docs with a struct column: n_words, n_hit, items (sorted ids), spans of the original text (code points), words (places of hit words)."""
     context = docs.sparkSession.sparkContext
-    sent = [context.broadcast(s) for s in _sets(benchmark, item_key, item_text, size, max_window_words)]
-    key = f"{context.applicationId}-{[b._jbroadcast.id() for b in sent]}"
-
-    @F.arrow_udf(_DDL)
-    def scan(texts: pa.Array) -> pa.Array:
-        matchers = [Matcher.of(f"{key}-{i}", b.value) for i, b in enumerate(sent)]
-        return pa.array([judge(t.as_py(), matchers) for t in texts], _RESULT)
-
-    return docs.withColumn(as_column, scan(F.col(text)))
+    items = benchmark.select(F.col(item_key).cast("string").alias("item"), F.col(item_text).alias("text")).where("text IS NOT NULL")
+    n_words = items.agg(F.sum(F.regexp_count("text", F.lit(_WORDS.pattern)))).first()[0] or 0
+    n_sets = max(1, -(-int(n_words) * size // max_window_words))
+    told, part, older = docs, hidden(docs, "found"), None
+    for k in range(n_sets):
+        dealt = items.where(F.pmod(F.xxhash64("text"), F.lit(n_sets)) == k).collect() if n_sets > 1 else items.collect()
+        found = windows([(r.item, r.text) for r in dealt], size)
+        key = hashlib.sha256(repr(sorted(found.items())).encode()).hexdigest()
+        sent = context.broadcast(found)
+
+        name = as_column if k == n_sets - 1 else part
+        told = told.withColumn(name, _scanned(key, sent, F.col(text), F.col(part) if k else None))
+        if k < n_sets - 1:
+            told = stored(told, "contamination")
+            sent.destroy()
+            if older is not None:
+                discard(older)
+            older = told
+    return told.drop(part)
 
 
 def contaminated(found: str = "contamination"):
@@ -159,7 +192,7 @@ def cut_spans(text: str, found: str = "contamination"):
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without contaminated rows, same columns."""
-    name = "contamination__"
+    name = hidden(docs, "contamination")
     return contamination(docs, benchmark, as_column=name, **options).where(~contaminated(name)).drop(name)
 
 

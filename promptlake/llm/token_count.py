@@ -28,15 +28,18 @@ from promptlake.llm.pretoken import pieces
 
 SCHEMA = "content string, tokenizer string, n_tokens bigint"
 MAX_MODEL_BYTES = 64 << 20
+#: Bytes of pieces and their counts that a worker remembers, each entry's own upkeep included; longer pieces aren't kept.
+MEMORY_BYTES, ENTRY_BYTES, LONGEST = 16 << 20, 160, 64
 
 
 class Counter:
     """The library's tokenizer of one file, with the counts of pieces it has met."""
 
-    built: dict[str, Counter] = {}
+    #: The last one built, with its key: a worker keeps no other.
+    last: tuple[str, Counter] | None = None
 
-    def __init__(self, model: bytes, kind: str, memory: int = 250_000):
-        self.kind, self.memory, self.known = kind, memory, {}
+    def __init__(self, model: bytes, kind: str, memory: int = MEMORY_BYTES):
+        self.kind, self.memory, self.used, self.known = kind, memory, 0, {}
         if kind == "sentencepiece":
             import sentencepiece
 
@@ -52,9 +55,10 @@ class Counter:
 
     @classmethod
     def of(cls, key: str, model: bytes, kind: str) -> Counter:
-        if key not in cls.built:
-            cls.built[key] = cls(model, kind)
-        return cls.built[key]
+        if cls.last is None or cls.last[0] != key:
+            cls.last = None
+            cls.last = key, cls(model, kind)
+        return cls.last[1]
 
     def counts(self, texts: list[str]) -> list[int]:
         if self.kind == "sentencepiece":
@@ -65,14 +69,18 @@ class Counter:
 
     def _pieces(self, text: str) -> int:
         parts, known = pieces(text), self.known
-        missing = set(parts).difference(known)
-        if len(known) + len(missing) > self.memory:
+        if self.used > self.memory:
             known.clear()
-            missing = set(parts)
+            self.used = 0
+        missing, long = list(set(parts).difference(known)), {}
         if missing:
-            missing = list(missing)
-            known.update(zip(missing, (len(e.ids) for e in self.library.encode_batch_fast(missing, add_special_tokens=False)), strict=True))
-        return sum(map(known.__getitem__, parts))
+            for p, e in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False), strict=True):
+                if len(p) > LONGEST:
+                    long[p] = len(e.ids)
+                else:
+                    known[p] = len(e.ids)
+                    self.used += 4 * len(p) + ENTRY_BYTES
+        return sum(long[p] if p in long else known[p] for p in parts) if long else sum(map(known.__getitem__, parts))
 
 
 def read_model(path: str) -> tuple[bytes, str, str]:

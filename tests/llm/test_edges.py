@@ -62,8 +62,10 @@ def test_decontamination(spark, docs, none):
     for bound in (20_000_000, 20):  # one automaton, and several
         got = {r.doc_id: r.contamination for r in decontaminate.contamination(docs, items, max_window_words=bound).collect()}
         assert (got[8].n_words, got[8].n_hit, got[8].items) == (14, 14, ["i1"])
-        assert (got[4].n_hit, got[4].items, got[0].n_words, got[6].n_hit) == (3, ["i2"], 0, 0)
+        assert (got[4].n_hit, got[4].items, got[0].n_words) == (3, ["i2"], 0)
         assert [tuple(s) for s in got[4].spans] == [(0, 5)]
+        # an item without an id hits words but can't be named
+        assert (got[6].n_words, got[6].n_hit, got[6].items) == (40, 40, [])
     assert decontaminate.clean(docs, items).columns == docs.columns
     assert decontaminate.clean(docs, items.limit(0)).count() == docs.count()
     assert decontaminate.clean(none, items).count() == 0
@@ -82,10 +84,13 @@ def test_encoding(docs, none):
 def test_pieces_cache_starts_afresh():
     codec = bpe.Codec.of("test", bpe.read_spec(BPE))
     small = object.__new__(bpe.Codec)
-    small.__dict__ = codec.__dict__ | {"memory": 3, "known": {}}
-    for t in ("one two three four five", "six seven one two", "it's 12345 a\n\n b"):
+    small.__dict__ = codec.__dict__ | {"memory": 3, "used": 0, "known": {}}
+    for t in ("one two three four five", "six seven one two", "it's 12345 a\n\n b", "x" * 500 + " y " + "-" * 300):
         assert small.encode(t).tolist() == codec.encode(t).tolist()
-        assert len(small.known) <= 6
+        assert len(small.known) <= 6 and all(len(p) <= bpe.LONGEST for p in small.known)
+    assert bpe.Codec.of("test", "never read") is codec
+    other = bpe.Codec.of("other", bpe.read_spec(BPE))
+    assert bpe.Codec.last == ("other", other)
 
 
 def test_token_cache(spark, docs, none):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptlake.llm.base import stored
+from promptlake.llm.base import discard, stored
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -41,7 +41,8 @@ def connected(edges: DataFrame, name: str = "graph") -> DataFrame:
         if state == last or not state[0]:
             break
         last = state
-        edges = stored(_small(_large(edges)), name)
+        older, edges = edges, stored(_small(_large(edges)), name)
+        discard(older)
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(
         edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
     )

@@ -9,8 +9,9 @@ where the unlabelled texts are drawn from all training texts whatever their labe
 so that they hold both classes in the share that the class prior says, and the
 estimate of the clean class's risk can't fall below zero. Features whose means in
 the two samples differ by less than ``SCREEN`` standard errors are left out, and the
-bias is then moved to where the same risk with the zero-one loss
-is least, so that 0.5 is the decision's boundary.
+bias is then moved to where the same risk with the zero-one loss is least, half way
+between neighbouring scores, so that 0.5 is the decision's boundary; calling no text
+toxic is one of the choices.
 
 Training reads a bounded sample: at most ``max_positive`` toxic and
 ``max_unlabelled`` unlabelled training texts, those with the smallest hashes of their
@@ -19,7 +20,8 @@ whole, in one vectorised pass; long texts add up piece by piece.
 
 Defined results: null, empty and wordless texts get the model's base score; rows
 with null labels or ids don't train; repeated rows score alike. Without any toxic
-training text every score is the prior.
+training text, or without any feature that passes the screen, every score is the
+prior, below 0.5, so nothing is called toxic.
 """
 
 from __future__ import annotations
@@ -38,9 +40,11 @@ BEGINNINGS = (3, 4, 5, 6, 8)
 PER = 100.0
 MAX_POSITIVE = 1500
 MAX_UNLABELLED = 4000
-#: Standard errors between the samples' means that a feature needs, and texts that it occurs in.
+#: Standard errors between the samples' means that a feature needs, and texts that it occurs in (two for each toxic text, if that is less).
 SCREEN = 3.0
 MIN_TEXTS = 8
+#: The class prior's range: learning from positive texts needs one above zero.
+LEAST_PRIOR, MOST_PRIOR = 0.01, 0.49
 
 _LONGEST = 64
 _M = multipliers(_LONGEST + 16, 1)
@@ -91,14 +95,36 @@ def _rates(texts: pa.Array, kept: np.ndarray | None = None) -> tuple[np.ndarray,
     return row, key & ((1 << BITS) - 1), np.sqrt(count * PER / np.maximum(words, 1)[row])
 
 
+Rows = list[tuple[np.ndarray, np.ndarray]]
+
+
+def moments(rows: Rows, width: int, block: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean and variance of each bin's value, and the number of rows that have it; gathered block by block."""
+    total, squares, known = np.zeros((3, width))
+    for at in range(0, len(rows), block):
+        bins = np.concatenate([b for b, _ in rows[at : at + block]])
+        values = np.concatenate([v for _, v in rows[at : at + block]]).astype(np.float64)
+        total += np.bincount(bins, values, width)
+        squares += np.bincount(bins, values**2, width)
+        known += np.bincount(bins, minlength=width)
+    mean = total / max(1, len(rows))
+    return mean, squares / max(1, len(rows)) - mean**2, known
+
+
 class Sparse:
     """Rows of (bins, values), with the products that gradient steps need."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], width: int):
+    def __init__(self, rows: Rows, new: np.ndarray | None = None, scale: np.ndarray | None = None, width: int = 0):
+        """new: the number of each bin, below 0 for those left out; scale: what its values are multiplied by."""
+        kept = []
+        for bins, values in rows:
+            some = slice(None) if new is None else new[bins] >= 0
+            b = bins[some]
+            kept.append((b if new is None else new[b], values[some] * (1.0 if scale is None else scale[b])))
         self.n, self.width = len(rows), width
-        self.row = np.repeat(np.arange(self.n), [len(b) for b, _ in rows])
-        self.bin = np.concatenate([np.zeros(0, np.int64), *(b for b, _ in rows)]).astype(np.int64)
-        self.value = np.concatenate([np.zeros(0), *(v for _, v in rows)]).astype(np.float64)
+        self.row = np.repeat(np.arange(self.n), [len(b) for b, _ in kept])
+        self.bin = np.concatenate([np.zeros(0, np.int64), *(b for b, _ in kept)]).astype(np.int64)
+        self.value = np.concatenate([np.zeros(0), *(v for _, v in kept)])
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w[self.bin] * self.value, self.n)
@@ -106,17 +132,6 @@ class Sparse:
     def back(self, g: np.ndarray) -> np.ndarray:
         return np.bincount(self.bin, g[self.row] * self.value, self.width)
 
-    def moments(self) -> tuple[np.ndarray, np.ndarray]:
-        mean = np.bincount(self.bin, self.value, self.width) / max(1, self.n)
-        return mean, np.bincount(self.bin, self.value**2, self.width) / max(1, self.n) - mean**2
-
-    def select(self, new: np.ndarray, scale: np.ndarray, width: int) -> Sparse:
-        """Only the bins with a new number, scaled."""
-        some = new[self.bin] >= 0
-        out = Sparse([], width)
-        out.n, out.row, out.bin, out.value = self.n, self.row[some], new[self.bin[some]], (self.value * scale[self.bin])[some]
-        return out
-
 
 def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
@@ -152,24 +167,33 @@ def fit_nnpu(positive: Sparse, unlabelled: Sparse, prior: float, steps: int = 50
 
 
 def boundary(zp: np.ndarray, zu: np.ndarray, prior: float) -> float:
-    """The score above which calling a text toxic has the least non-negative zero-one risk."""
-    at = np.unique(np.concatenate([zp, zu]))
+    """The score above which calling a text toxic has the least non-negative zero-one risk; infinite if calling none has.
+
+    Of thresholds with the same risk the highest is taken, so that doubt leaves texts alone.
+    """
+    seen = np.unique(np.concatenate([zp, zu]))
+    at = np.concatenate([[np.inf], (seen[:0:-1] + seen[-2::-1]) / 2])
     hit = 1 - np.searchsorted(np.sort(zp), at) / len(zp)
     called = 1 - np.searchsorted(np.sort(zu), at) / len(zu)
     return float(at[np.argmin(prior * (1 - hit) + np.maximum(0, called - prior * hit))])
 
 
-def fit(positive: Sparse, unlabelled: Sparse, prior: float) -> dict:
-    (mean_p, var_p), (mean_u, var_u) = positive.moments(), unlabelled.moments()
-    apart = np.abs(mean_p - mean_u) / np.sqrt(np.maximum(var_p, var_u) / positive.n + var_u / unlabelled.n + 1e-9)
-    known = np.bincount(np.concatenate([positive.bin, unlabelled.bin]), minlength=positive.width)
-    kept = (apart > SCREEN) & (known >= MIN_TEXTS)
+def fit(positive: Rows, unlabelled: Rows, prior: float, width: int = 1 << BITS) -> dict:
+    (mean_p, var_p, known_p), (mean_u, var_u, known_u) = moments(positive, width), moments(unlabelled, width)
+    apart = np.abs(mean_p - mean_u) / np.sqrt(np.maximum(var_p, var_u) / len(positive) + var_u / len(unlabelled) + 1e-9)
+    kept = (apart > SCREEN) & (known_p + known_u >= min(MIN_TEXTS, 2 * len(positive)))
+    base = float(np.log(prior / (1 - prior)))
+    if not kept.any():
+        return {"weights": np.zeros(width, np.float32), "bias": base}
     new = np.where(kept, np.cumsum(kept) - 1, -1)
     scale = 1 / np.sqrt(np.sqrt(var_u + mean_u**2) + 0.02)
-    few_p, few_u = (x.select(new, scale, int(kept.sum()) + 1) for x in (positive, unlabelled))
+    few_p, few_u = (Sparse(x, new, scale, int(kept.sum()) + 1) for x in (positive, unlabelled))
     w, b = fit_nnpu(few_p, few_u, prior)
-    b -= boundary(few_p.dot(w) + b, few_u.dot(w) + b, prior)
-    weights = np.zeros(positive.width, np.float32)
+    zp, zu = few_p.dot(w) + b, few_u.dot(w) + b
+    at = boundary(zp, zu, prior)
+    # if none is to be called, the largest score seen falls to the prior's
+    b = b - at if np.isfinite(at) else b - max(zp.max(), zu.max()) + base
+    weights = np.zeros(width, np.float32)
     weights[kept] = (w[:-1] * scale[kept]).astype(np.float32)
     return {"weights": weights, "bias": b}
 
@@ -193,15 +217,15 @@ def train(docs: DataFrame, labels: DataFrame, learn, max_positive: int = MAX_POS
                 ["h", "bins", "rates"],
             )
 
-    def gathered(sample: DataFrame) -> list:
+    def gathered(sample: DataFrame) -> Rows:
         found = sample.select(F.xxhash64("key").alias("h"), "text").mapInArrow(sparse, "h bigint, bins array<int>, rates array<float>").toArrow().sort_by("h")
         return list(zip((x.values.to_numpy() for x in found["bins"]), (x.values.to_numpy() for x in found["rates"]), strict=True))
 
-    prior = min(0.5, max(0.01, share or 0.01))
+    prior = min(MOST_PRIOR, max(LEAST_PRIOR, share or LEAST_PRIOR))
     positive, other = gathered(toxic), gathered(other)
     if not positive or not other:
         return {"weights": np.zeros(1 << BITS, np.float32), "bias": float(np.log(prior / (1 - prior)))}
-    return fit(Sparse(positive, 1 << BITS), Sparse(other, 1 << BITS), prior)
+    return fit(positive, other, prior)
 
 
 def score(df: DataFrame, model: dict, text: str = "text", as_column: str = "toxicity") -> DataFrame:

@@ -1,11 +1,12 @@
 """Quality by nearest-neighbour voting in a latent-semantic space (operator 10).
 
-Each text becomes counts of terms: hashed triples of character shapes (runs of
-letters collapsed), and how far its words repeat. Log counts times inverse
-document frequency are projected on the leading singular directions of the
-labelled texts. The labelled vectors (at most ``max_labelled``, by smallest hash
-of id) are broadcast; every text's cosines to all of them are computed in blocks
-and the labels of the nearest ``k`` vote with their similarity as weight.
+Each text becomes counts of terms of two kinds: its hashed words, and hashed triples
+of character shapes (runs of letters collapsed) with how far its words repeat. Log
+counts times inverse document frequency, each kind scaled to its weight, are
+projected on the leading singular directions of the labelled texts. The labelled
+vectors (at most ``max_labelled``, by smallest hash of id) are broadcast; every
+text's cosines to all of them are computed in blocks and the labels of the nearest
+``k`` vote with their similarity as weight.
 
 Defined results: null and empty texts have no terms and get the labelled texts'
 mean label, as does everything if nothing is labelled (then 0.5); repeated rows
@@ -21,11 +22,14 @@ from pyspark.sql import functions as F
 
 from promptlake.llm.base import chunks, fold, multipliers, texts_of, utf8, words_of
 
-TERMS = 2048
+#: Terms below SHAPES are shapes and repetition, the rest words.
+SHAPES, TERMS = 2048, 4096
+#: Lengths of the two kinds' parts of a vector; 0 leaves a kind out.
+SHAPE_WEIGHT, WORD_WEIGHT = 1.0, 0.5
 DIMENSIONS = 48
 NEIGHBOURS = 25
 MAX_LABELLED = 4000
-#: Terms 0-63 tell how words repeat, the rest are shape triples.
+#: Terms 0-63 tell how words repeat, those up to SHAPES are shape triples.
 _SPECIAL = 64
 _WEIGHT = 200.0
 
@@ -37,6 +41,13 @@ _SHAPE[65:91] = 2
 _SHAPE[48:58] = 3
 
 
+def _add(total: np.ndarray, owner: np.ndarray, bins: np.ndarray) -> None:
+    """Count (owner, bin) occurrences, owners in order, into the rows they are of."""
+    if len(owner):
+        lo, hi = int(owner[0]), int(owner[-1]) + 1
+        total[lo:hi] += np.bincount((owner - lo) * TERMS + bins.astype(np.int64), minlength=(hi - lo) * TERMS).reshape(-1, TERMS)
+
+
 def _counts(texts: pa.Array) -> np.ndarray:
     n = len(texts)
     total = np.zeros((n, TERMS), np.float32)
@@ -48,8 +59,7 @@ def _counts(texts: pa.Array) -> np.ndarray:
         if len(shape) > 2:
             inside = np.flatnonzero(of[2:] == of[:-2])
             mixed = shape[inside] * _M[0] + shape[inside + 1] * _M[1] + shape[inside + 2] * _M[2]
-            bins = _SPECIAL + (mixed >> np.uint64(33)) % np.uint64(TERMS - _SPECIAL)
-            total += np.bincount(of[inside] * TERMS + bins.astype(np.int64), minlength=n * TERMS).reshape(n, TERMS)
+            _add(total, of[inside], _SPECIAL + (mixed >> np.uint64(33)) % np.uint64(SHAPES - _SPECIAL))
         low = fold(data)
         starts, ends = words_of(low, owner)
         if len(starts):
@@ -60,6 +70,7 @@ def _counts(texts: pa.Array) -> np.ndarray:
             lengths = (ends - starts).astype(np.uint64)
             mark = (power[ends] - power[starts]) * _M[5] + (second[ends] - second[starts]) + lengths * _M[6] + low[starts].astype(np.uint64) * _M[7] + low[ends - 1].astype(np.uint64) * _M[2]
             who = owner[starts]
+            _add(total, who, SHAPES + ((mark * _M[1]) >> np.uint64(40)) % np.uint64(TERMS - SHAPES))
             words += np.bincount(who, minlength=n)
             keyed = np.stack([who.astype(np.uint64), mark])
             order = np.lexsort(keyed[::-1])
@@ -75,11 +86,27 @@ def _counts(texts: pa.Array) -> np.ndarray:
     return total
 
 
-def _vectors(counts: np.ndarray, idf: np.ndarray, directions: np.ndarray) -> np.ndarray:
-    v = (np.log1p(counts) * idf) @ directions
+def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    v = (np.log1p(counts) * idf).astype(np.float32)
+    for part, weight in ((v[:, :SHAPES], SHAPE_WEIGHT), (v[:, SHAPES:], WORD_WEIGHT)):
+        part *= weight / np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-12)
+    return v
+
+
+def _vectors(weighted: np.ndarray, directions: np.ndarray) -> np.ndarray:
+    v = weighted @ directions
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
 
+def _directions(x: np.ndarray, n: int = DIMENSIONS, more: int = 16, rounds: int = 5) -> np.ndarray:
+    """The leading right singular directions of x, by subspace iteration."""
+    q = np.random.default_rng(10).normal(size=(x.shape[1], n + more)).astype(np.float32)
+    for _ in range(rounds):
+        q, _ = np.linalg.qr(x.T @ (x @ q))
+    _, _, v = np.linalg.svd(x @ q, full_matrices=False)
+    return (q @ v.T)[:, :n].astype(np.float32)
+
+
 def train(docs: DataFrame, labels: DataFrame, learn, max_labelled: int = MAX_LABELLED, text: str = "text", key: str = "doc_id") -> dict:
     """Directions and labelled vectors, from rows where `learn` (a column of docs) holds."""
     told = labels.where(F.col("quality").isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max("quality").alias("quality"))
@@ -88,20 +115,33 @@ def train(docs: DataFrame, labels: DataFrame, learn, max_labelled: int = MAX_LAB
 
     def counted(batches):
         for batch in batches:
-            c = _counts(batch.column("text"))
-            yield pa.RecordBatch.from_pydict({"quality": batch.column("quality").cast(pa.float64()), "counts": pa.array([x.tobytes() for x in c], pa.binary())})
-
-    found = sample.select("text", "quality").mapInArrow(counted, "quality double, counts binary").toArrow()
+            for at in range(0, len(batch), 512):
+                part = batch.slice(at, 512)
+                c = _counts(part.column("text"))
+                row, term = np.nonzero(c)
+                edges = pa.array(np.searchsorted(row, np.arange(len(part) + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(edges, pa.array(x, kind)) for x, kind in ((term, pa.int32()), (c[row, term], pa.float32()))]
+                yield pa.RecordBatch.from_arrays([part.column("quality").cast(pa.float64()), *lists], ["quality", "terms", "counts"])
+
+    found = sample.select("text", "quality").mapInArrow(counted, "quality double, terms array<int>, counts array<float>").toArrow()
     label = found["quality"].to_numpy()
     if not len(label):
         return {"label": label, "base": 0.5}
-    counts = np.stack([np.frombuffer(x.as_py(), np.float32) for x in found["counts"]])
+    counts = np.zeros((len(label), TERMS), np.float32)
+    for row, terms, n in zip(counts, found["terms"], found["counts"], strict=True):
+        row[terms.values.to_numpy()] = n.values.to_numpy()
+    return fitted(counts, label)
+
+
+def fitted(counts: np.ndarray, label: np.ndarray) -> dict:
+    """The model of labelled texts' term counts."""
     idf = np.log((1 + len(label)) / (1 + (counts > 0).sum(0))).astype(np.float32) + 1
-    weighted = (np.log1p(counts) * idf).astype(np.float32)
-    gram = weighted.T @ weighted
-    _, directions = np.linalg.eigh(gram.astype(np.float64))
-    directions = directions[:, ::-1][:, :DIMENSIONS].astype(np.float32)
-    return {"idf": idf, "directions": directions, "vectors": _vectors(counts, idf, directions).astype(np.float32), "label": label, "base": float(label.mean())}
+    weighted = _weighted(counts, idf)
+    directions = _directions(weighted)
+    vectors = _vectors(weighted, directions)
+    if not np.isfinite(vectors).all():
+        raise ArithmeticError("the labelled texts' vectors are not finite")
+    return {"idf": idf, "directions": directions, "vectors": vectors, "label": label, "base": float(label.mean())}
 
 
 def score(df: DataFrame, model: dict, text: str = "text", k: int = NEIGHBOURS, as_column: str = "quality") -> DataFrame:
@@ -116,7 +156,7 @@ def score(df: DataFrame, model: dict, text: str = "text", k: int = NEIGHBOURS, a
             return pa.array(np.full(len(texts), m["base"]))
         for at in range(0, len(texts), 512):
             counts = _counts(texts[at : at + 512])
-            cosine = _vectors(counts, m["idf"], m["directions"]) @ m["vectors"].T
+            cosine = _vectors(_weighted(counts, m["idf"]), m["directions"]) @ m["vectors"].T
             best = np.argpartition(-cosine, near - 1, axis=1)[:, :near]
             weight = np.maximum(np.take_along_axis(cosine, best, 1), 0).astype(np.float64) ** 2
             voted = (weight * m["label"][best]).sum(1) / np.maximum(weight.sum(1), 1e-12)

@@ -44,9 +44,10 @@ ENDS_P = frozenset(
 )
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(>)?")
-_ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NAMING = frozenset(("class", "id", "role", "aria-label"))
 _NAMES = re.compile(r"[a-z]+")
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
+_NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 
 
 @dataclass
@@ -58,11 +59,16 @@ class Block:
     features: list[str] = field(default_factory=list)
 
 
-def _names(attributes: str) -> tuple[str, ...]:
-    words = []
+def _told(attributes: str) -> tuple[tuple[str, ...], bool]:
+    """The words that name an element, and whether it is hidden (by attribute or style, not by what a value says)."""
+    words, hidden = [], False
     for m in _ATTRIBUTE.finditer(attributes):
-        words += _NAMES.findall((m[2] or m[3] or m[4] or "").lower())
-    return tuple(words)
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name in _NAMING:
+            words += _NAMES.findall(value.lower())
+        elif name == "hidden" or (name == "style" and _NOT_SHOWN.search(value)):
+            hidden = True
+    return tuple(words), hidden
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -157,8 +163,9 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if m[3].endswith("/") and tag in ("svg", "math"):
             continue
-        off = tag in RAW or bool(_HIDDEN.search(m[3]))
-        stack.append((tag, _names(m[3]), off))
+        names, off = _told(m[3]) if m[3] else ((), False)
+        off = off or tag in RAW
+        stack.append((tag, names, off))
         links += tag == "a"
         hidden += off
     flush()
@@ -178,8 +185,13 @@ _SAYS = {w: k for k, words in SAYS.items() for w in words.split()}
 _WORD = re.compile(r"©|[^\W\d_]+")
 
 
+#: A block of so few words that are all links is like a menu's entry.
+MENU_WORDS = 5
+
+
 def features(found: list[Block]) -> None:
     n = len(found)
+    entry = [b.linked > 0.9 and b.text.count(" ") < MENU_WORDS for b in found]
     for i, b in enumerate(found):
         f = ["bias"]
         tags = [t for t, _ in b.path]
@@ -189,6 +201,9 @@ def features(found: list[Block]) -> None:
         words = b.text.count(" ") + 1
         f.append(f"words:{min(8, words.bit_length())}")
         f.append(f"linked:{min(4, int(b.linked * 4))}")
+        if entry[i]:
+            f.append("entry")
+            f.append(f"entries:{(i > 0 and entry[i - 1]) + (i + 1 < n and entry[i + 1])}")
         f.append(f"ends:{b.text[-1] in '.!?…:;»”'}")
         f.append(f"marks:{min(4, sum(b.text.count(x) for x in '|•·»>'))}")
         if words <= NOTICE_WORDS:
@@ -260,6 +275,7 @@ def fit(pages: list[str], rounds: int = 25, rate: float = 0.1, decay: float = 1e
         for b in found:
             b.label = int(MARK in b.text)
             b.text = b.text.replace(MARK, "")
+        found = [b for b in found if b.text]  # a page may end right after a mark
         features(found)
         if found:
             data.append(found)
@@ -286,7 +302,7 @@ def fit(pages: list[str], rounds: int = 25, rate: float = 0.1, decay: float = 1e
     return model
 
 
-def labelled_pages(n: int = 300, seed: int = 2) -> list[str]:
+def labelled_pages(n: int = 500, seed: int = 2) -> list[str]:
     """Invented pages, the article's blocks marked. Words are random, so only form can be learned."""
     rng = random.Random(seed)
 
@@ -301,6 +317,8 @@ def labelled_pages(n: int = 300, seed: int = 2) -> list[str]:
         menu = rng.choice([f"<ul>{links}</ul>", " | ".join(f'<a href="/{word()}">{word()}</a>' for _ in range(4)), links.replace("<li>", "<div>").replace("</li>", "</div>")])
         prose = lambda: " ".join(text(3, 14) for _ in range(rng.randint(1, 3)))
         wrap = lambda tag, names, inner: f'<{tag}{rng.choice(["", f" class=\"{rng.choice(names)}\"", f" id=\"{rng.choice(names)}\""]) if tag not in ("div", "section", "p") else f" {rng.choice(["class", "id"])}=\"{rng.choice(names)}\""}>{inner}</{tag}>'
+        if kind == "bare":
+            return rng.choice([f"<div>{menu}</div>", f"<ul>{links.replace('</li>', '')}</ul>", f"<table><tr><td>{menu}</td></tr></table>", f"<p>{menu}</p>"])
         if kind == "nav":
             return wrap(rng.choice(["nav", "div", "nav"]), ["nav", "menu", "main-menu", "navbar", "breadcrumb", "navigation", "topnav", "site-nav"], menu)
         if kind == "header":
@@ -334,11 +352,12 @@ def labelled_pages(n: int = 300, seed: int = 2) -> list[str]:
         return said
 
     def body():
+        para = rng.choice(["p", "p", "p", "p", "div"])
         out = [f"<h{rng.choice('112')}>{MARK}{text(2, 10, rng.choice(['', '.']))}</h1>"] if rng.random() < 0.9 else []
         for _ in range(rng.choice([1, 2, 4, 8, 12])):
             kind = rng.random()
             if kind < 0.7:
-                out.append(f"<p>{paragraph()}</p>")
+                out.append(f"<{para}>{paragraph()}</{para}>")
             elif kind < 0.78:
                 out.append(f"<p><b>{paragraph()}<br><p>{paragraph()}</p>")
             elif kind < 0.84:
@@ -357,9 +376,9 @@ def labelled_pages(n: int = 300, seed: int = 2) -> list[str]:
 
     pages = []
     for _ in range(n):
-        before = "".join(boiler(k) for k in rng.sample(["nav", "header", "notice", "ad", "aside", "form"], rng.randint(0, 4)))
-        after = "".join(boiler(k) for k in rng.sample(["footer", "comments", "aside", "ad", "share", "form", "notice", "nav"], rng.randint(0, 5)))
-        tag = rng.choice(["<article>", "<main>", "<main><article>", '<div class="content">', '<div id="article-body">', '<div class="post entry">', '<section class="story">', "<div>", ""])
+        before = "".join(boiler(k) for k in rng.sample(["nav", "header", "notice", "ad", "aside", "form", "bare"], rng.randint(0, 4)))
+        after = "".join(boiler(k) for k in rng.sample(["footer", "comments", "aside", "ad", "share", "form", "notice", "nav", "bare"], rng.randint(0, 5)))
+        tag = rng.choice(["<article>", "<main>", "<main><article>", '<div class="content">', '<div id="article-body">', '<div class="post entry">', '<section class="story">', "<div>", "", "<table><tr><td>", '<table class="layout"><tr><td><div>'])
         close = "".join(f"</{t}>" for t in reversed(re.findall(r"<(\w+)", tag)))
         page = f'<!DOCTYPE html><html><head><title>{text(2, 8, "")}</title><style>p{{margin:0}}</style></head><body>{before}{tag}{body()}{close}{after}</body></html>'
         pages.append(page[: rng.randint(len(page) // 2, len(page))] if rng.random() < 0.1 else page)

@@ -4,19 +4,23 @@ Vectors are cut in two halves, each quantised with its own k-means codebook (fit
 on a bounded sample); a vector's cell is its pair of centroids. A query walks the
 pairs by the sum of its two distances (here negative inner products, which add up
 over the halves) with a heap, until the cells hold enough candidates, and these are
-reranked by their exact inner products. How many are enough is measured: a bounded
-sample of queries is searched exhaustively, and the least share of rows with which
-the walk finds ``recall`` of their neighbours is used for all (on vectors without
-structure that share is large; on clustered ones it is small).
-
-Vectors meet queries by grid row, cut into blocks of bounded size on both sides, so
-a crowded cell is many tasks, none of them larger; every block keeps its best k per
-query before the results are merged.
+reranked by their exact inner products. How many are enough is measured: two bounded
+samples of queries are searched exhaustively, and the larger of the two numbers of
+rows with which the walk finds ``recall`` of their neighbours is used for all (on
+vectors without structure that is a large share; on clustered ones a small one).
+Finer codebooks lower the share, so there are as many centroids as leave an eighth
+of a vector a cell, up to ``MAX_CENTROIDS`` a half.
+
+Vectors meet queries in blocks of neighbouring grid rows of bounded size on both
+sides; a crowded row is cut, so it is many tasks, none of them larger. A query is
+sent to the blocks that it visits, once each, with the visited cells as bits; every
+block keeps its best k per query before the results are merged.
 
 Defined results: vectors that are null, zero, of another length than most, or that
-hold null or non-finite components take no part; a query never finds its own row;
-ties go to the smaller id; fewer than k candidates are all returned; a repeated id
-is a row of its own; a null id takes no part.
+hold null or non-finite components take no part (one component is enough); a query
+never finds its own row; ties go to the smaller id; fewer than k candidates are all
+returned; a repeated id is a row of its own, found by other ids only; a null id takes
+no part.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 from promptlake.llm.base import stored
 
 MAX_TRAIN = 20_000
-MAX_CENTROIDS = 256
+MAX_CENTROIDS = 128
 MAX_TRIALS = 64
 BLOCK_VECTORS = 4096
 BLOCK_QUERIES = 1024
@@ -40,12 +44,14 @@ BLOCK_QUERIES = 1024
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """(id, v) of the rows that take part, v as doubles."""
     v = F.col(vector).cast("array<double>")
-    told = vectors.select(F.col(key).cast("long").alias("id"), v.alias("v")).where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 1")
+    told = vectors.select(F.col(key).cast("long").alias("id"), v.alias("v")).where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
     told = told.where(
         F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     )
     width = told.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return told.where(F.size("v") == (width.d if width else 0))
+    told = told.where(F.size("v") == (width.d if width else 0))
+    # two halves need two components; a zero beside changes no product
+    return told.withColumn("v", F.concat("v", F.array(F.lit(0.0)))) if width and width.d == 1 else told
 
 
 def _matrix(column) -> np.ndarray:
@@ -84,33 +90,50 @@ class Index:
         a, b = -self.first @ q[: self.cut], -self.second @ q[self.cut :]
         order_a, order_b = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
         a, b = a[order_a].tolist(), b[order_b].tolist()
+        rows, columns = order_a.tolist(), order_b.tolist()
         heap = [(a[0] + b[0], 0, 0)]
         while heap:
-            _, i, j = heapq.heappop(heap)
-            yield int(order_a[i]), int(order_b[j])
+            _, i, j = heap[0]
+            yield rows[i], columns[j]
             if j + 1 < len(b):
-                heapq.heappush(heap, (a[i] + b[j + 1], i, j + 1))
+                heapq.heapreplace(heap, (a[i] + b[j + 1], i, j + 1))
+            else:
+                heapq.heappop(heap)
             if j == 0 and i + 1 < len(a):
                 heapq.heappush(heap, (a[i + 1] + b[0], i + 1, 0))
 
-    def probe(self, q: np.ndarray, enough: int) -> dict[int, list[int]]:
-        """Grid rows and their columns until `enough` candidates are reached."""
-        found: dict[int, list[int]] = {}
-        total = 0
+    def probe(self, q: np.ndarray, enough: int) -> np.ndarray:
+        """Which cells the walk visits until `enough` candidates are reached."""
+        width, left = len(self.second), enough
+        sizes, visited = self.sizes.ravel().tolist(), []
         for row, column in self.walk(q):
-            if self.sizes[row, column]:
-                found.setdefault(row, []).append(column)
-                total += int(self.sizes[row, column])
-                if total >= enough:
+            at = row * width + column
+            if sizes[at]:
+                visited.append(at)
+                left -= sizes[at]
+                if left <= 0:
                     break
-        return found
+        seen = np.zeros(self.sizes.size, bool)
+        seen[visited] = True
+        return seen.reshape(self.sizes.shape)
+
+    def groups(self, size: int) -> list[tuple[int, int]]:
+        """Runs (first, last + 1) of grid rows that hold about `size` vectors; a row of more is alone."""
+        held = self.sizes.sum(1)
+        out, start, total = [], 0, 0
+        for i, n in enumerate(held.tolist()):
+            if i > start and total + n > size:
+                out.append((start, i))
+                start, total = i, 0
+            total += n
+        return [*out, (start, len(held))]
 
 
 def build(vectors: DataFrame, n_centroids: int | None = None, max_train: int = MAX_TRAIN) -> tuple[Index, DataFrame, int]:
     """The index, its table (id, v, row, column) with every vector, and their number."""
     n = vectors.count()
     sample = _matrix(vectors.orderBy(F.xxhash64("id")).limit(max_train).select("v").toArrow()["v"])
-    k = n_centroids or max(2, min(MAX_CENTROIDS, round(n**0.25)))
+    k = n_centroids or max(2, min(MAX_CENTROIDS, int((8 * n) ** 0.5)))
     cut = sample.shape[1] // 2
     index = Index(codebook(sample[:, :cut], k), codebook(sample[:, cut:], k))
     sent = vectors.sparkSession.sparkContext.broadcast(index)
@@ -148,27 +171,33 @@ def exhaustive(table: DataFrame, queries: list[tuple[int, np.ndarray]], k: int)
 
 
 def enough_candidates(index: Index, table: DataFrame, asked, k: int, recall: float, trials: int) -> int:
-    """The number of candidates with which a sample of queries finds this share of its true neighbours."""
-    sample = table.where(asked).orderBy(F.xxhash64("id"), "id").limit(trials).toArrow()
+    """The number of candidates with which either of two samples of queries finds this share of its true neighbours."""
+    sample = table.where(asked).orderBy(F.xxhash64("id"), "id").limit(2 * trials).toArrow()
     queries = list(zip(sample["id"].to_pylist(), _matrix(sample["v"]), strict=True))
     if not queries:
         return k + 1
     truth: dict[int, list[tuple[int, int]]] = {}
     for r in exhaustive(table, queries, k).collect():  # trials * k rows
         truth.setdefault(r.query_id, []).append((r.row, r.column))
-    needed = []
-    for i, q in queries:
-        seen, at = 0, {}
+    needed: tuple[list[int], list[int]] = ([], [])
+    for half, (i, q) in enumerate(queries):
+        seen, at, wanted = 0, {}, set(truth.get(i, []))
         for cell in index.walk(q):
             seen += int(index.sizes[cell])
-            at[cell] = seen
-        needed += [at[c] for c in truth.get(i, [])]
-    needed.sort()
-    return max(k + 1, needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))] if needed else 0)
+            if cell in wanted:
+                at[cell] = seen
+                if len(at) == len(wanted):
+                    break
+        needed[half % 2].extend(at[c] for c in truth.get(i, []))
+    enough = k + 1
+    for counts in map(sorted, needed):
+        if counts:
+            enough = max(enough, counts[min(len(counts) - 1, int(np.ceil(recall * len(counts))))])
+    return enough
 
 
 def search(
-    vectors: DataFrame, asked, key: str = "vec_id", vector: str = "embedding", k: int = 20, recall: float = 0.96, n_centroids: int | None = None, trials: int = MAX_TRIALS
+    vectors: DataFrame, asked, key: str = "vec_id", vector: str = "embedding", k: int = 20, recall: float = 0.93, n_centroids: int | None = None, trials: int = MAX_TRIALS
 ) -> DataFrame:
     """(query_id, rank, id, score) of the rows for which `asked` (a column of `id`) holds, against all rows."""
     table = usable(vectors, key, vector)
@@ -179,39 +208,57 @@ def search(
     context = table.sparkSession.sparkContext
     sent = context.broadcast(index)
 
+    groups = index.groups(BLOCK_VECTORS)
+    edges = np.array([lo for lo, _ in groups])
+
     def probe(batches):
         for batch in batches:
-            out: dict[str, list] = {"query_id": [], "q": [], "row": [], "columns": []}
+            out: dict[str, list] = {"query_id": [], "q": [], "part": [], "cells": []}
             for i, q in zip(batch.column("id").to_pylist(), _matrix(batch.column("v")), strict=True):
-                for row, columns in sent.value.probe(q, enough).items():
-                    for name, value in zip(out, (i, q, row, columns), strict=True):
-                        out[name].append(value)
+                seen = sent.value.probe(q, enough)
+                for part, (lo, hi) in enumerate(groups):
+                    if seen[lo:hi].any():
+                        for name, value in zip(out, (i, q, part, np.packbits(seen[lo:hi]).tobytes()), strict=True):
+                            out[name].append(value)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out["query_id"], pa.int64()), pa.array(out["q"], pa.list_(pa.float64())), pa.array(out["row"], pa.int32()), pa.array(out["columns"], pa.list_(pa.int32()))],
+                [pa.array(out["query_id"], pa.int64()), pa.array(out["q"], pa.list_(pa.float64())), pa.array(out["part"], pa.int32()), pa.array(out["cells"], pa.binary())],
                 list(out),
             )
 
-    probes = stored(table.where(asked).select("id", "v").mapInArrow(probe, "query_id long, q array<double>, row int, columns array<int>"), "ann-probes")
-    # grid rows are at most MAX_CENTROIDS; each is cut by the numbers counted here
-    per_row = {r.row: r["count"] for r in probes.groupBy("row").count().collect()}
-    cuts = {r: (-(-int(index.sizes[r].sum()) // BLOCK_VECTORS), -(-int(m) // BLOCK_QUERIES)) for r, m in per_row.items()}
-    by_row = F.create_map(*(F.lit(x) for r, c in cuts.items() for x in (r, c[0]))), F.create_map(*(F.lit(x) for r, c in cuts.items() for x in (r, c[1])))
+    probes = stored(table.where(asked).select("id", "v").mapInArrow(probe, "query_id long, q array<double>, part int, cells binary"), "ann-probes")
+    # blocks of grid rows are at most MAX_CENTROIDS; each is cut by the numbers counted here
+    per_part = {r.part: r["count"] for r in probes.groupBy("part").count().collect()}
+    cuts = {p: (-(-int(index.sizes[slice(*groups[p])].sum()) // BLOCK_VECTORS), -(-int(m) // BLOCK_QUERIES)) for p, m in per_part.items()}
+    if not cuts:
+        return table.sparkSession.createDataFrame([], "query_id long, rank int, id long, score double")
+    by_part = F.create_map(*(F.lit(x) for p, c in cuts.items() for x in (p, c[0]))), F.create_map(*(F.lit(x) for p, c in cuts.items() for x in (p, c[1])))
     numbers = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    v_cut, q_cut = (F.element_at(m, F.col("row")) for m in by_row)
-    left = table.where(F.col("row").isin(list(cuts))).select("id", "v", "row", "column", F.pmod(F.xxhash64("id"), v_cut).cast("int").alias("vb"), numbers(q_cut).alias("qb"))
-    right = probes.select("query_id", "q", "row", "columns", F.pmod(F.xxhash64("query_id"), q_cut).cast("int").alias("qb"), numbers(v_cut).alias("vb"))
-    grid = ["row", "vb", "qb"]
+    v_cut, q_cut = (F.element_at(m, F.col("part")) for m in by_part)
+    part_of = F.element_at(F.array(*(F.lit(int(np.searchsorted(edges, r, "right")) - 1) for r in range(len(index.first)))), F.col("row") + 1)
+    left = table.withColumn("part", part_of).where(F.col("part").isin(list(cuts)))
+    left = left.select("id", "v", "row", "column", "part", F.pmod(F.xxhash64("id"), v_cut).cast("int").alias("vb"), numbers(q_cut).alias("qb"))
+    right = probes.select("query_id", "q", "cells", "part", F.pmod(F.xxhash64("query_id"), q_cut).cast("int").alias("qb"), numbers(v_cut).alias("vb"))
+    grid = ["part", "vb", "qb"]
 
     def rerank(v: pa.Table, q: pa.Table) -> pa.Table:
         out = {"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())}
         if not len(v) or not len(q):
             return pa.table(out)
-        ids, x, column = v["id"].to_numpy(), _matrix(v["v"]), v["column"].to_numpy()
+        lo, hi = groups[v["part"][0].as_py()]
+        width = len(sent.value.second)
+        order = np.argsort(v["row"].to_numpy(), kind="stable")
+        v = v.take(pa.array(order))
+        ids, x, column, row = v["id"].to_numpy(), _matrix(v["v"]), v["column"].to_numpy(), v["row"].to_numpy()
         asked_ids, y = q["query_id"].to_numpy(), _matrix(q["q"])
-        probed = np.zeros((len(y), len(sent.value.second)), bool)
-        columns = q["columns"].combine_chunks()
-        probed[np.repeat(np.arange(len(y)), np.diff(columns.offsets.to_numpy())), columns.flatten().to_numpy()] = True
-        score = np.where(probed[:, column] & (asked_ids[:, None] != ids[None, :]), y @ x.T, -np.inf)
+        bits = np.stack([np.frombuffer(c.as_py(), np.uint8) for c in q["cells"]])
+        seen = np.unpackbits(bits, axis=1, count=(hi - lo) * width).reshape(len(y), hi - lo, width).astype(bool)
+        score = np.full((len(y), len(ids)), -np.inf)
+        for r in np.unique(row):  # rows of the grid that a query doesn't visit cost it nothing
+            some = np.flatnonzero(seen[:, r - lo].any(1))
+            at = slice(*np.searchsorted(row, [r, r + 1]))
+            if len(some):
+                score[some, at] = np.where(seen[some, r - lo][:, column[at]], y[some] @ x[at].T, -np.inf)
+        score[asked_ids[:, None] == ids[None, :]] = -np.inf
         order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k] if len(ids) <= 4 * k else _best(score, ids, k)
         best = np.take_along_axis(score, order, 1)
         some = best > -np.inf

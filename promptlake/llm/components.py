@@ -9,10 +9,10 @@ from promptlake.llm.base import discard, stored
 
 
 def _large(edges: DataFrame) -> DataFrame:
-    """Every node's larger neighbours move to the smallest node in its reach of one."""
+    """Every node's larger neighbours move to the smallest node in its reach of one; edges may repeat."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
+    return both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a < b")
 
 
 def _small(edges: DataFrame) -> DataFrame:
@@ -28,19 +28,22 @@ def _small(edges: DataFrame) -> DataFrame:
     )
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node is only a centre, or below one centre only."""
+    side = edges.select(F.col("a").alias("n"), F.lit(0).alias("below")).distinct().unionByName(edges.select(F.col("b").alias("n"), F.lit(1).alias("below")))
+    mixed = side.groupBy("n").agg(F.count("*").alias("times")).where("times > 1")
+    return mixed.isEmpty()
+
+
 def connected(edges: DataFrame, name: str = "graph") -> DataFrame:
     """(node, root) for every node of edges (a, b); root is the component's smallest node.
 
     Each round's edges are written to the shared folder; the number of rounds
-    grows with the logarithm of the longest path. An empty table gives an empty one.
+    grows with the logarithm of the longest path, and the last is the one after which
+    no node is both above and below another. An empty table gives an empty one.
     """
     edges = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
-    last = None
-    while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == last or not state[0]:
-            break
-        last = state
+    while not _stars(edges):
         older, edges = edges, stored(_small(_large(edges)), name)
         discard(older)
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(

@@ -42,6 +42,8 @@ MAX_POSITIVE = 1500
 MAX_UNLABELLED = 4000
 #: Standard errors between the samples' means that a feature needs, and texts that it occurs in (two for each toxic text, if that is less).
 SCREEN = 3.0
+#: From so many toxic texts on; fewer tell less apart, so their screen is lower by this power of their share.
+SCREEN_FROM, SCREEN_POWER = 300, 0.1
 MIN_TEXTS = 8
 #: The class prior's range: learning from positive texts needs one above zero.
 LEAST_PRIOR, MOST_PRIOR = 0.01, 0.49
@@ -112,25 +114,29 @@ def moments(rows: Rows, width: int, block: int = 256) -> tuple[np.ndarray, np.nd
 
 
 class Sparse:
-    """Rows of (bins, values), with the products that gradient steps need."""
+    """Rows of (bins, values) in blocks, with the products that gradient steps need."""
 
-    def __init__(self, rows: Rows, new: np.ndarray | None = None, scale: np.ndarray | None = None, width: int = 0):
+    def __init__(self, rows: Rows, new: np.ndarray | None = None, scale: np.ndarray | None = None, width: int = 0, block: int = 256):
         """new: the number of each bin, below 0 for those left out; scale: what its values are multiplied by."""
-        kept = []
-        for bins, values in rows:
-            some = slice(None) if new is None else new[bins] >= 0
-            b = bins[some]
-            kept.append((b if new is None else new[b], values[some] * (1.0 if scale is None else scale[b])))
-        self.n, self.width = len(rows), width
-        self.row = np.repeat(np.arange(self.n), [len(b) for b, _ in kept])
-        self.bin = np.concatenate([np.zeros(0, np.int64), *(b for b, _ in kept)]).astype(np.int64)
-        self.value = np.concatenate([np.zeros(0), *(v for _, v in kept)])
+        self.n, self.width, self.blocks = len(rows), width, []
+        for at in range(0, len(rows), block):
+            part = rows[at : at + block]
+            bins, values = np.concatenate([b for b, _ in part]), np.concatenate([v for _, v in part])
+            row = np.repeat(np.arange(len(part), dtype=np.int16), [len(b) for b, _ in part])
+            if new is not None:
+                some = new[bins] >= 0
+                bins, values, row = bins[some], values[some] * scale[bins[some]], row[some]
+                bins = new[bins]
+            self.blocks.append((at, len(part), row, bins.astype(np.int32), values.astype(np.float32)))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.bin] * self.value, self.n)
+        return np.concatenate([np.zeros(0), *(np.bincount(row, w[bins] * values, n) for _, n, row, bins, values in self.blocks)])
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.bin, g[self.row] * self.value, self.width)
+        out = np.zeros(self.width)
+        for at, n, row, bins, values in self.blocks:
+            out += np.bincount(bins, g[at : at + n][row] * values, self.width)
+        return out
 
 
 def _sigmoid(z):
@@ -181,7 +187,7 @@ def boundary(zp: np.ndarray, zu: np.ndarray, prior: float) -> float:
 def fit(positive: Rows, unlabelled: Rows, prior: float, width: int = 1 << BITS) -> dict:
     (mean_p, var_p, known_p), (mean_u, var_u, known_u) = moments(positive, width), moments(unlabelled, width)
     apart = np.abs(mean_p - mean_u) / np.sqrt(np.maximum(var_p, var_u) / len(positive) + var_u / len(unlabelled) + 1e-9)
-    kept = (apart > SCREEN) & (known_p + known_u >= min(MIN_TEXTS, 2 * len(positive)))
+    kept = (apart > SCREEN * min(1.0, len(positive) / SCREEN_FROM) ** SCREEN_POWER) & (known_p + known_u >= min(MIN_TEXTS, 2 * len(positive)))
     base = float(np.log(prior / (1 - prior)))
     if not kept.any():
         return {"weights": np.zeros(width, np.float32), "bias": base}
@@ -218,14 +224,18 @@ def train(docs: DataFrame, labels: DataFrame, learn, max_positive: int = MAX_POS
             )
 
     def gathered(sample: DataFrame) -> Rows:
-        found = sample.select(F.xxhash64("key").alias("h"), "text").mapInArrow(sparse, "h bigint, bins array<int>, rates array<float>").toArrow().sort_by("h")
-        return list(zip((x.values.to_numpy() for x in found["bins"]), (x.values.to_numpy() for x in found["rates"]), strict=True))
+        found = sample.select(F.xxhash64("key").alias("h"), "text").mapInArrow(sparse, "h bigint, bins array<int>, rates array<float>").toArrow()
+        order = np.argsort(found["h"].to_numpy(), kind="stable").tolist()
+        return [(found["bins"][i].values.to_numpy(), found["rates"][i].values.to_numpy()) for i in order]
 
     prior = min(MOST_PRIOR, max(LEAST_PRIOR, share or LEAST_PRIOR))
     positive, other = gathered(toxic), gathered(other)
     if not positive or not other:
         return {"weights": np.zeros(1 << BITS, np.float32), "bias": float(np.log(prior / (1 - prior)))}
-    return fit(positive, other, prior)
+    model = fit(positive, other, prior)
+    del positive, other
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(df: DataFrame, model: dict, text: str = "text", as_column: str = "toxicity") -> DataFrame:

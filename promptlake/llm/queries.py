@@ -84,8 +84,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts through the cache that the session's ``promptlake.token.cache`` names; without it, through a new one."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    counted = token_count.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), new_path(spark, "token-counts"))
+    cache = spark.conf.get("promptlake.token.cache", None) or new_path(spark, "token-counts")
+    counted = token_count.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), cache)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
@@ -112,8 +114,10 @@ QUERIES = {
     )
 }
 
-_STRICT = "|".join(url_filter.VOCABULARY["strict"].split())
-_SOFT = url_filter.VOCABULARY["soft"].split()
+_WEIGHT = url_filter.listed()
+_STRICT = "|".join(t for t, w in _WEIGHT.items() if w == "strict")
+_SOFT = [t for t, w in _WEIGHT.items() if w == "soft"]
+_BEFORE, _AFTER = r"(^|[^\p{L}\p{N}])", r"([^\p{L}\p{N}]|$)"
 
 ORACLE_SQL = {
     "op3_decontamination": r"""
@@ -147,12 +151,12 @@ told AS (
       WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
       WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
       WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule,
-    lower(host || path) AS said FROM cut)
+    lower(url_decode(host || path)) AS said FROM cut)
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow'
     WHEN rule IS NOT NULL THEN 'block'
-    WHEN regexp_matches(said, '(^|[^a-z0-9])({_STRICT})([^a-z0-9]|$)') THEN 'block'
-    WHEN {" + ".join(f"CAST(regexp_matches(said, '(^|[^a-z0-9]){t}([^a-z0-9]|$)') AS INT)" for t in _SOFT)} >= {url_filter.SOFT_LIMIT} THEN 'block'
+    WHEN regexp_matches(said, '{_BEFORE}({_STRICT}){_AFTER}') THEN 'block'
+    WHEN {" + ".join(f"CAST(regexp_matches(said, '{_BEFORE}{t}{_AFTER}') AS INT)" for t in _SOFT)} >= {url_filter.SOFT_LIMIT} THEN 'block'
     ELSE 'allow' END AS verdict
 FROM told""",
 }

@@ -2,47 +2,76 @@
 
 Rules of (verdict, host, path) fit a host and all its subdomains where the url's
 path starts with the rule's; the longest fitting rule decides. Where none fits,
-one Aho-Corasick automaton counts the vocabulary's terms in host and path: a
-strict term, or ``soft_limit`` different soft terms, block. A term counts only
-between boundaries, so that `bet` is not found in `alphabet`.
+one Aho-Corasick automaton counts the vocabulary's terms in host and path, their
+%-escapes decoded and in small letters: a strict term, or ``soft_limit`` different
+soft terms, block. A term counts only between characters that are no letters or
+digits of any script, so that `bet` is not found in `alphabet`, nor in `béta`.
+
+The vocabulary is a list of (language, weight, terms) that the caller may replace;
+all languages' terms are looked for in every url, since a url names no language.
 
 Defined results: null urls and urls without `://` have empty host and path and
-are allowed by the vocabulary; terms repeated in one url count once.
+are allowed by the vocabulary; terms repeated in one url count once, also if several
+languages have them; an escape that is no UTF-8 counts as a boundary.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from urllib.parse import unquote
+
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The vocabulary. Weight "strict" blocks alone, "soft" in company.
-VOCABULARY = {
-    "strict": "adult casino casinos escort escorts hentai phishing porn porno pornhub sex viagra cialis warez xvideos xxx",
-    "soft": "ads bet bets betting bonus cheap click crack dating deal deals discount download farm free gamble jackpot "
-    "keygen loan loans nude pill pills poker popup promo serial slots spam spin torrent track tracker win winner",
-}
+from promptlake.llm.base import hidden
+
+# The vocabulary by language. Weight "strict" blocks alone, "soft" in company.
+VOCABULARY = [
+    ("en", "strict", "adult casino casinos escort escorts hentai phishing porn porno pornhub sex viagra cialis warez xvideos xxx"),
+    ("en", "soft", "ads bet bets betting bonus cheap click crack dating deal deals discount download farm free gamble jackpot keygen loan loans nude pill pills poker popup promo serial slots spam spin torrent track tracker win winner"),
+    ("de", "strict", "erotik pornos sexfilme spielhalle hurenbock potenzmittel raubkopie"),
+    ("de", "soft", "gewinnspiel gratis glücksspiel kredit kredite nackt partnersuche rabatt schnäppchen sportwetten wette wetten werbung"),
+    ("fr", "strict", "érotique erotique libertin pornographie sexe hameçonnage"),
+    ("fr", "soft", "argent cadeau crédit credit gagner gratuit gratuite jeux loterie pari paris promotion publicité remise rencontre rencontres télécharger"),
+    ("es", "strict", "erótico erotico pornografía pornografia prostitutas sexo"),
+    ("es", "soft", "apuesta apuestas barato crédito descarga descuento desnuda ganar gratis lotería oferta ofertas préstamo premio publicidad regalo"),
+]
 SOFT_LIMIT = 2
 
-_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+Terms = list[tuple[str, str, str]]
 
 
-def vocabulary(terms: dict[str, str] = VOCABULARY) -> ahocorasick.Automaton:
-    found = ahocorasick.Automaton()
-    for weight, words in terms.items():
+def listed(terms: Terms = VOCABULARY) -> dict[str, str]:
+    """The weight of each term; one that is strict in any language is strict."""
+    found: dict[str, str] = {}
+    for _, weight, words in terms:
         for term in words.split():
-            found.add_word(term, (term, weight))
+            if found.get(term) != "strict":
+                found[term] = weight
+    return found
+
+
+def vocabulary(terms: Terms = VOCABULARY) -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton()
+    for term, weight in listed(terms).items():
+        found.add_word(term, (term, weight))
     found.make_automaton()
     return found
 
 
+def _inside(c: str) -> bool:
+    """Whether a character continues a word: letters and numbers of any script."""
+    return unicodedata.category(c)[0] in "LN"
+
+
 def terms_in(text: str, automaton: ahocorasick.Automaton) -> tuple[set[str], set[str]]:
     """The different (strict, soft) terms that stand between boundaries."""
     found: dict[str, set[str]] = {"strict": set(), "soft": set()}
     for end, (term, weight) in automaton.iter(text):
         start = end - len(term) + 1
-        if (start == 0 or text[start - 1] not in _LETTERS) and (end + 1 == len(text) or text[end + 1] not in _LETTERS):
+        if (start == 0 or not _inside(text[start - 1])) and (end + 1 == len(text) or not _inside(text[end + 1])):
             found[weight].add(term)
     return found["strict"], found["soft"]
 
@@ -70,7 +99,7 @@ def fitting_rule(host, path, rules: list[tuple[str, str, str]]):
 
 
 def judge(
-    df: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", terms: dict[str, str] = VOCABULARY, soft_limit: int = SOFT_LIMIT, as_column: str = "judged"
+    df: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", terms: Terms = VOCABULARY, soft_limit: int = SOFT_LIMIT, as_column: str = "judged"
 ) -> DataFrame:
     """df with a struct column: host, path, rule, verdict, strict and soft (the counted terms)."""
     built: list[ahocorasick.Automaton] = []
@@ -79,24 +108,24 @@ def judge(
     def count(hosts: pa.Array, paths: pa.Array) -> pa.Array:
         if not built:
             built.append(vocabulary(terms))
-        told = [terms_in(f"{h.as_py()}{p.as_py().lower()}", built[0]) for h, p in zip(hosts, paths, strict=True)]
+        told = [terms_in(unquote(f"{h.as_py()}{p.as_py()}").lower(), built[0]) for h, p in zip(hosts, paths, strict=True)]
         return pa.StructArray.from_arrays(
             [pa.array([len(a) for a, _ in told], pa.int32()), pa.array([len(b) for _, b in told], pa.int32())], ["strict", "soft"]
         )
 
     h, p = host(F.col(url)), path(F.col(url))
-    rule, counts = "rule__", "counts__"
-    judged = df.withColumn("host__", h).withColumn("path__", p)
-    judged = judged.withColumn(rule, fitting_rule(F.col("host__"), F.col("path__"), rules)).withColumn(counts, count("host__", "path__"))
+    at, rest, rule, counts = (hidden(df, name) for name in ("host__", "path__", "rule__", "counts__"))
+    judged = df.withColumn(at, h).withColumn(rest, p)
+    judged = judged.withColumn(rule, fitting_rule(F.col(at), F.col(rest), rules)).withColumn(counts, count(at, rest))
     by_terms = F.when((F.col(f"{counts}.strict") > 0) | (F.col(f"{counts}.soft") >= soft_limit), "block").otherwise("allow")
     return judged.withColumn(
         as_column,
         F.struct(
-            F.col("host__").alias("host"),
-            F.col("path__").alias("path"),
+            F.col(at).alias("host"),
+            F.col(rest).alias("path"),
             F.col(f"{rule}.rule").alias("rule"),
             F.coalesce(F.col(f"{rule}.verdict"), by_terms).alias("verdict"),
             F.col(f"{counts}.strict").alias("strict"),
             F.col(f"{counts}.soft").alias("soft"),
         ),
-    ).drop("host__", "path__", rule, counts)
+    ).drop(at, rest, rule, counts)

@@ -67,8 +67,8 @@ def _padded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b" " + joined + b" " if n else b"", np.uint8), offsets + 2 * np.arange(n + 1)
 
 
-def train(labelled: DataFrame, text: str = "text", language: str = "lang") -> dict:
-    """{languages, log (languages x BINS)} from every labelled row."""
+def train(labelled: DataFrame, text: str = "text", language: str = "lang", max_languages: int = MAX_LANGUAGES) -> dict:
+    """{languages, log (languages x BINS)} from every labelled row; the model, which every task gets, is refused beyond max_languages."""
     named = labelled.select(F.col(text).alias("text"), F.col(language).alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
 
     def count(batches):
@@ -88,8 +88,8 @@ def train(labelled: DataFrame, text: str = "text", language: str = "lang") -> di
             yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(at), pa.string()), "bin": pa.array(at, pa.int32()), "n": pa.array(row[at], pa.int64())})
 
     counts = named.mapInArrow(count, "lang string, bin int, n bigint").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
-    per = counts.groupBy("lang").agg(F.collect_list(F.struct("bin", "n")).alias("bins")).limit(MAX_LANGUAGES + 1).collect()
-    if len(per) > MAX_LANGUAGES:
+    per = counts.groupBy("lang").agg(F.collect_list(F.struct("bin", "n")).alias("bins")).limit(max_languages + 1).collect()
+    if len(per) > max_languages:
         raise ValueError("too many languages for a model that every task receives")
     per.sort(key=lambda r: r.lang)
     table = np.full((len(per), BINS), 0.5)
@@ -152,9 +152,12 @@ def identify(
     n = len(languages)
     spark = df.sparkSession
     prior = F.array(*(F.lit(float(np.log(UNKNOWN if x == UND else (1 - UNKNOWN) / max(1, n - 1)))) for x in languages))
-    seen = df.withColumn("loglik__", likelihood(F.col(text), model, spark))
+    # numbered names, so that no column of df is taken for one of those made here
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    seen = df.toDF(*names.values())
+    seen = seen.withColumn("loglik__", likelihood(F.col(names[text]), model, spark))
     for name, column in (("host__", host), ("suffix__", suffix), ("declared__", declared)):
-        seen = seen.withColumn(name, F.col(column) if column else F.lit(None).cast("string"))
+        seen = seen.withColumn(name, F.col(names[column]) if column else F.lit(None).cast("string"))
     seen = seen.withColumn("own__", F.when(F.col("loglik__").isNotNull(), _softmax(_added(F.col("loglik__"), prior))))
 
     given = ["host__", "suffix__", "declared__"]
@@ -216,4 +219,4 @@ def identify(
         F.when(F.col("own__").isNotNull(), best(F.col("own__"))).otherwise(F.lit(UND)).alias("by_text"),
         (F.col("loglik__").isNotNull() & (lang != UND)).alias("accepted"),
     )
-    return seen.withColumn(as_column, result).select(*[F.col(f"`{c}`") for c in df.columns], as_column)
+    return seen.select(*(F.col(n).alias(c) for c, n in names.items() if c != as_column), result.alias(as_column))

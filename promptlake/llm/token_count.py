@@ -6,7 +6,8 @@ tokenizer version are grouped (pre-aggregated, so copies shuffle once), one row
 each is encoded, and the new counts are appended. Counts then join back by digest.
 
 A run that dies before its append leaves the cache as it was; one that repeats an
-append only repeats equal rows, which readers merge.
+append only repeats equal rows, which readers merge. Two runs may append to one cache
+at a time: each adds its own files, and what both encoded is there twice, alike.
 
 Defined results: null counts as an empty text with no tokens; repeated rows are
 counted one by one; normalising content only replaces null, since these
@@ -24,6 +25,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from promptlake.llm.base import hidden
 from promptlake.llm.pretoken import pieces
 
 SCHEMA = "content string, tokenizer string, n_tokens bigint"
@@ -133,6 +135,6 @@ def fill(docs: DataFrame, path: str, cache: str, text: str = "text") -> str:
 def token_counts(docs: DataFrame, path: str, cache: str, text: str = "text", as_column: str = "n_tokens") -> DataFrame:
     """docs with each text's number of tokens, from the cache that this call completes."""
     tokenizer = fill(docs, path, cache, text)
-    digest = "content__"
+    digest = hidden(docs, "content__")
     known = cached(docs.sparkSession, cache, tokenizer).select(F.col("content").alias(digest), F.col("n_tokens").alias(as_column))
     return docs.withColumn(digest, F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).join(known, digest, "left").drop(digest)

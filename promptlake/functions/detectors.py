@@ -112,9 +112,25 @@ def declared_values(normal: Column) -> Column:
     )
 
 
+#: Fixed value: a text's hits of one secret pattern beyond these aren't listed.
+MAX_SECRETS = 5
+
+
+def _may_hold(text: Column, pattern: str) -> Column:
+    """False where a text lacks a literal that every match of a secret's pattern holds."""
+    for literal in ("sk-", "AKIA", "-----BEGIN", "://"):
+        if literal in pattern:
+            return F.coalesce(F.contains(text, F.lit(literal)), F.lit(False))
+    held = F.contains(text, F.lit("="))
+    return F.coalesce(held | F.contains(text, F.lit(":")) if "[=:]" in pattern else held, F.lit(False))
+
+
 def secrets(text: Column) -> Column:
     """The first five of every pattern, without those that only name a placeholder."""
-    parts = [hits("REGEX", label, category, SECRET, F.slice(spans(text, pattern), 1, 5)) for label, category, pattern in SECRETS]
+    empty = F.expr("cast(array() as array<struct<start: int, end: int, text: string>>)")
+    # a literal that every match holds is searched first: most texts hold none
+    told = lambda pattern: F.when(_may_hold(text, pattern), spans(text, pattern)).otherwise(empty)
+    parts = [hits("REGEX", label, category, SECRET, F.slice(told(pattern), 1, MAX_SECRETS)) for label, category, pattern in SECRETS]
     value = lambda h: F.regexp_replace(strip(F.regexp_extract(h["text"], r"(?s)\A[^=:]*[=:](.*)\z", 1)), r"[\"',;]+\z", "")
     named = lambda h: value(h).rlike(r"(?i)\A<?(?:PASSWORD|API_KEY|TOKEN|SECRET)>?\z")
     return F.filter(F.concat(*parts), lambda h: (h["category"] != "credential") | ~named(h))
@@ -164,7 +180,11 @@ DICTIONARY_KINDS = {
 }
 
 
-def dictionary(text: Column, terms: dict[str, list[str]], limit: int = 201) -> Column:
+#: Hits of dictionary terms in one text, and of one compiled pattern, beyond these aren't listed.
+MAX_DICTIONARY, MAX_PATTERN = 201, 3
+
+
+def dictionary(text: Column, terms: dict[str, list[str]], limit: int = MAX_DICTIONARY) -> Column:
     """Terms by kind, over kinds at most `limit` hits."""
     parts = [none()]
     for kind, (label, category) in DICTIONARY_KINDS.items():
@@ -184,13 +204,13 @@ def readable(pattern: str) -> bool:
         return False
 
 
-def compiled_rules(normal: Column, rules: list[dict]) -> Column:
-    """Hits of a policy's compiled rules: REGEX (three at most), SEMANTIC (first keyword found), CHECKSUM."""
+def compiled_rules(normal: Column, rules: list[dict], limit: int = MAX_PATTERN) -> Column:
+    """Hits of a policy's compiled rules: REGEX (`limit` at most), SEMANTIC (first keyword found), CHECKSUM."""
     parts = [none()]
     for rule in rules:
         kind, rule_id = rule["detector_type"], rule["id"]
         if kind == "REGEX" and rule.get("pattern") and readable(rule["pattern"]):
-            parts.append(hits("REGEX", "قاعدهٔ سیاست", "policy_regex", KEYWORD, F.slice(spans(normal, rule["pattern"]), 1, 3), rule_id))
+            parts.append(hits("REGEX", "قاعدهٔ سیاست", "policy_regex", KEYWORD, F.slice(spans(normal, rule["pattern"]), 1, limit), rule_id))
         elif kind == "SEMANTIC" and rule.get("keywords"):
             parts.append(F.slice(phrases(normal, rule["keywords"], "SEMANTIC", "قاعدهٔ معنایی سیاست", "policy_semantic", KEYWORD, rule_id), 1, 1))
         elif kind == "CHECKSUM":
@@ -237,7 +257,9 @@ def dlp(text: Column, normal: Column, terms: dict[str, list[str]] | None = None,
 
 def legacy_layer(text: Column, normal: Column) -> Column:
     """struct of the first pipeline's counts, score and codes."""
-    count = lambda t, p, ok=None: F.size(found(t, p) if ok is None else F.filter(found(t, p), ok))
+    # counted only where a cheap test says that there may be something
+    digits, mail = normal.rlike("[0-9]{10}"), F.contains(text, F.lit("@"))
+    count = lambda t, p, ok=None: F.when(digits if t is normal else mail, F.size(found(t, p) if ok is None else F.filter(found(t, p), ok))).otherwise(0)
     secret_patterns = [
         f"{BEFORE}sk-[a-zA-Z0-9]{{20,}}{AFTER}",
         f"{BEFORE}AKIA[A-Z0-9]{{16}}{AFTER}",
@@ -248,7 +270,7 @@ def legacy_layer(text: Column, normal: Column) -> Column:
     ]
     family = F.lit(0)
     for i in range(len(secret_patterns), 0, -1):
-        family = F.when(text.rlike(secret_patterns[i - 1]), i).otherwise(family)
+        family = F.when(_may_hold(text, secret_patterns[i - 1]) & text.rlike(secret_patterns[i - 1]), i).otherwise(family)
     n = {
         "national_ids": count(normal, f"{BEFORE}[0-9]{{10}}{AFTER}", national_id_ok),
         "ibans": count(normal, f"(?i){BEFORE}IR[0-9]{{24}}{AFTER}"),

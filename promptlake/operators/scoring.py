@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -15,26 +17,67 @@ K1, B = 1.5, 0.75
 RRF = 60
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, words=tokens_ascii, query_key: str = "query_id", chunk_key: str = "chunk_id", text: str = "text") -> DataFrame:
+#: Terms of chunks (each chunk's counted) that may be sent to every task as an index, some 40 bytes each.
+MAX_INDEX = 2_000_000
+
+
+def bm25(
+    queries: DataFrame, chunks: DataFrame, words=tokens_ascii, query_key: str = "query_id", chunk_key: str = "chunk_id", text: str = "text", max_index: int = MAX_INDEX
+) -> DataFrame:
     """(query, chunk, score) of every pair that shares a term; a term repeated in the query counts again.
 
-    Terms meet by an equi-join, so pairs without a common term (score 0) are never made.
-    Repeated terms are summed before they are shuffled.
+    Chunks of up to `max_index` terms (counted first) are sent to the tasks as an
+    inverted index and scored where the query's text is. Beyond, terms meet by an
+    equi-join, repeated ones summed before they are shuffled. Pairs without a common
+    term (score 0) are made in neither way.
     """
+    ship_package(queries.sparkSession)
     told = chunks.select(F.col(chunk_key), words(F.col(text)).alias("words"))
     terms = told.select(chunk_key, F.size("words").alias("length"), F.explode("words").alias("term"))
     tf = terms.groupBy(chunk_key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     corpus = told.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("average"))
-    asked = queries.select(F.col(query_key), F.explode(words(F.col(text))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
     # one row of totals; its cross join adds two columns
     scored = tf.join(df, "term").crossJoin(F.broadcast(corpus))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.when(F.col("average") > 0, F.col("average")).otherwise(1.0)))
     scored = scored.select(chunk_key, "term", weight.alias("weight"))
+    if tf.limit(max_index + 1).count() <= max_index:
+        return _by_index(queries, scored.toArrow(), words(F.col(text)), query_key, chunk_key, scored.schema[chunk_key].dataType.simpleString())
+    asked = queries.select(F.col(query_key), F.explode(words(F.col(text))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
     return asked.join(scored, "term").groupBy(query_key, chunk_key).agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
 
 
+def _by_index(queries: DataFrame, scored: pa.Table, words: Column, query_key: str, chunk_key: str, kind: str) -> DataFrame:
+    """bm25 with the weights of (chunk, term) sent to every task."""
+    keys = scored[chunk_key].combine_chunks().dictionary_encode()
+    at, weight, of = keys.indices.to_numpy(), scored["weight"].to_numpy(), scored["term"].combine_chunks().dictionary_encode()
+    order = np.argsort(of.indices.to_numpy(), kind="stable")
+    cuts = np.searchsorted(of.indices.to_numpy()[order], np.arange(len(of.dictionary) + 1))
+    index = {t: (at[order[a:b]], weight[order[a:b]]) for t, a, b in zip(of.dictionary.to_pylist(), cuts, cuts[1:], strict=False)}
+    sent = queries.sparkSession.sparkContext.broadcast((keys.dictionary, index))
+
+    @F.arrow_udf(f"array<struct<chunk: {kind}, score: double>>")
+    def score(rows: pa.Array) -> pa.Array:
+        chunks, index = sent.value
+        counts, places, scores = [0], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for row in rows:
+            total = np.zeros(len(chunks))
+            for term, n in Counter(row.as_py() or ()).items():
+                if term in index:
+                    where, w = index[term]
+                    total[where] += n * w
+            some = np.flatnonzero(total)
+            counts.append(len(some))
+            places.append(some)
+            scores.append(total[some])
+        told = pa.StructArray.from_arrays([chunks.take(pa.array(np.concatenate(places))), pa.array(np.concatenate(scores))], ["chunk", "score"])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), told)
+
+    each = queries.select(query_key, F.explode(score(words)).alias("s")).select(query_key, F.col("s.chunk").alias(chunk_key), F.col("s.score").alias("score"))
+    return each.groupBy(query_key, chunk_key).agg(F.sum("score").alias("score"))
+
+
 def similar_chunks(queries: DataFrame, chunks: DataFrame, threshold: float = 0.3, **keys) -> DataFrame:
     """Per query: chunks over the threshold and the best score, at most 1; queries without any are kept."""
     query_key = keys.get("query_key", "query_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from promptlake.functions.vectors import hashed_words
 from promptlake.operators import evaluation, rules, scoring, store
 from promptlake.operators.numbering import numbered, placed
-from promptlake.sources.readers import table
+from promptlake.sources.readers import spread, table
 from promptlake.streaming import logs
 
 NOON = "2024-01-15 12:00:00"
@@ -23,13 +23,13 @@ def _benchmark(spark, sf_dir):
 
 def bm25_benchmark(spark, sf_dir):
     """Documents as queries against the benchmark's texts, the bounded corpus of restricted chunks."""
-    queries = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), "text")
+    queries = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), "text"))
     chunks = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("chunk_id"), "text")
     return scoring.bm25(queries, chunks).select("query_id", "chunk_id", F.round("score", 5).alias("score"))
 
 
 def similar_chunks(spark, sf_dir):
-    queries = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), "text")
+    queries = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), "text"))
     chunks = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("chunk_id"), "text")
     return scoring.similar_chunks(queries, chunks, 20.0).select("query_id", F.col("n_chunks").cast("bigint").alias("n_chunks"), "score")
 

@@ -268,3 +268,12 @@ def test_login_limiter_as_a_stream(spark, tmp_path):
     stream = logs.limited_stream(spark.readStream.schema(df.schema).parquet(f"file://{tmp_path}/in"), window=300, most=5)
     stream.writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/check").trigger(availableNow=True).start().awaitTermination(120)
     assert sorted((r.key, r.attempt_no, r.blocked) for r in spark.table("limited").collect()) == wanted
+
+
+def test_bm25_ways_agree(spark):
+    chunks = spark.createDataFrame([(1, "a a c"), (2, "b c"), (3, "c"), (4, None)], "chunk_id int, text string")
+    queries = spark.createDataFrame([(1, "a b"), (2, "a a"), (3, "zz"), (4, None), (1, "c")], "query_id int, text string")
+    ways = [{(r.query_id, r.chunk_id): round(r.score, 9) for r in scoring.bm25(queries, chunks, max_index=n).collect()} for n in (1000, 0)]
+    assert ways[0] == ways[1] and (2, 1) in ways[0] and not any(q in (3, 4) for q, _ in ways[0])
+    plain = {(r.query_id, r.chunk_id): r.score for r in scoring.bm25(queries.where("text <> 'c'"), chunks.where("chunk_id < 4")).collect()}
+    assert plain[1, 1] == pytest.approx(1.207174, abs=1e-6) and plain[1, 2] == pytest.approx(0.980829, abs=1e-6) and plain[2, 1] == pytest.approx(2.414349, abs=1e-6)

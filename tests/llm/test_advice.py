@@ -81,56 +81,6 @@ def test_very_long_labelled_text(spark):
     assert min(got[i] for i in range(1, 21)) > model["base"] > max(got[i] for i in range(21, 41))
 
 
-def _ranked(items):
-    """rank, id, scores of each item's five best, by brute force."""
-    import math
-    from collections import Counter
-
-    def place(word):
-        h = 0
-        for c in word:
-            h = (h * 31 + ord(c) + (1 << 31)) % (1 << 32) - (1 << 31)
-        return abs(h) % 32
-
-    words = {i: t.lower().split() for i, t in items}
-    vector = {i: [sum(place(w) == d for w in ws) for d in range(32)] for i, ws in words.items()}
-    cosine = lambda a, b: sum(map(lambda x, y: x * y, a, b)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
-    df = Counter(w for ws in words.values() for w in set(ws))
-    mean = sum(map(len, words.values())) / len(words)
-    weight = lambda tf, w, n: math.log((len(words) - df[w] + 0.5) / (df[w] + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / mean))
-    out = {}
-    for q, asked in words.items():
-        dense = {j: cosine(vector[q], vector[j]) for j in words}
-        lexical = {j: sum(weight(ws.count(w), w, len(ws)) for w in asked if w in ws) for j, ws in words.items() if set(ws) & set(asked)}
-        d = {j: r for r, j in enumerate(sorted(dense, key=lambda j: (-round(dense[j], 12), j))[:10], 1)}
-        x = {j: r for r, j in enumerate(sorted(lexical, key=lambda j: (-round(lexical[j], 12), j)), 1)}
-        score = {j: (1 / (60 + d[j]) if j in d else 0) + (1 / (60 + x[j]) if j in x else 0) for j in d.keys() | x.keys()}
-        best = sorted(score, key=lambda j: (-round(score[j], 14), d.get(j, 999), x.get(j, 999), j))[:5]
-        out |= {(q, j): (r, round(dense[j] if j in d else 0, 6), round(lexical.get(j, 0), 5), round(score[j], 8)) for r, j in enumerate(best, 1)}
-    return out
-
-
-def test_every_item_is_a_query(spark, tmp_path):
-    from promptlake.operators import scoring
-    from promptlake.plans import queries_store
-
-    pick = random.Random(3)
-    items = [(i, " ".join(f"t{pick.randrange(60)}" for _ in range(pick.randrange(8, 30)))) for i in range(25)]
-    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
-    wanted = _ranked(items)
-    got = {(r.query_id, r.id): (r.rank, r.dense_score, r.lexical_score, r.rrf_score) for r in queries_store.rrf_fusion(spark, f"file://{tmp_path}").collect()}
-    assert got.keys() == wanted.keys()
-    assert all(abs(x - y) < 2e-5 for key in got for x, y in zip(got[key], wanted[key], strict=True))
-    added = {r.query_id: (r.n, r.n_added) for r in queries_store.mandatory_inclusion(spark, f"file://{tmp_path}").collect()}
-    assert added == {q: (5 + m, m) for q in range(25) for m in [sum((q, j) not in wanted for j in range(3))]}
-
-    vectors = spark.createDataFrame([(i, [float(pick.randrange(-3, 4)) for _ in range(4)]) for i in range(60)], "id bigint, vector array<double>")
-    asked = vectors.withColumnRenamed("id", "query_id")
-    for minimum in (-1.0, 0.45):
-        rows = [{tuple(r) for r in f(asked, vectors, k=7, minimum=minimum, **more).select("query_id", "id", "dense_score", "dense_rank").collect()} for f, more in ((scoring.dense_top, {}), (scoring.dense_top_blocks, {"block": 9}))]
-        assert rows[0] == rows[1]
-
-
 def test_pipeline_keeps_one_row_of_each_group(spark):
     import corpus_pipeline as p
 

@@ -84,7 +84,7 @@ def retrieval_metrics(spark, sf_dir):
 
 
 def _judged(spark, sf_dir):
-    """Texts with exclamations as the sensitive class against the labels of quality."""
+    """Every labelled text: those with exclamations as the sensitive class, against the labels of quality."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
     n = F.regexp_count("text", F.lit("!!|###|\\*\\*\\*"))
     score = F.least(F.lit(1.0), n / 20.0)
@@ -104,7 +104,7 @@ def calibration_grid(spark, sf_dir):
 
 def end_to_end_metrics(spark, sf_dir):
     told = _judged(spark, sf_dir).select(
-        F.when(F.col("expected") == "SAFE", "EXTERNAL").otherwise("LOCAL").alias("expected"), F.when(F.col("score") >= 0.5, "LOCAL").otherwise("EXTERNAL_DIRECT").alias("route")
+        F.when(F.col("expected") == "SAFE", "EXTERNAL").when(F.col("doc_id") % 5 == 0, "BLOCKED").otherwise("LOCAL").alias("expected"), F.when(F.col("score") >= 0.5, "LOCAL").otherwise("EXTERNAL_DIRECT").alias("route")
     )
     m = evaluation.end_to_end_metrics(told)
     return m.select(*(F.round(c, 9).alias(c) if d == "double" else F.col(c) for c, d in m.dtypes))
@@ -283,9 +283,9 @@ t AS (SELECT sensitive_from, noise_below, expected, CASE WHEN score < noise_belo
 m AS (SELECT sensitive_from, noise_below, count(*) AS n, count_if(expected = actual) / count(*) AS accuracy, coalesce(count_if(expected = 'SENSITIVE' AND actual = 'SENSITIVE') / nullif(count_if(expected = 'SENSITIVE'), 0), 0) AS r FROM t GROUP BY ALL)
 SELECT sensitive_from, noise_below, n, round(accuracy, 9) AS accuracy, round(r, 9) AS sensitive_recall, r >= 0.9 AND accuracy >= 0.85 AS accepted FROM m""",
     "end_to_end_metrics": _JUDGED
-    + """, e AS (SELECT expected = 'SAFE' AS open, score < 0.5 AS out FROM j)
+    + """, e AS (SELECT expected = 'SAFE' AS open, score < 0.5 AS out, expected <> 'SAFE' AND doc_id % 5 = 0 AS blocked FROM j)
 SELECT count(*) AS n, count_if(open = out) AS n_right, round(count_if(open = out) / count(*), 9) AS accuracy, round(coalesce(count_if(NOT open AND NOT out) / nullif(count_if(NOT open), 0), 0), 9) AS sensitive_recall,
-  round(coalesce(count_if(open AND out) / nullif(count_if(open), 0), 0), 9) AS safe_accuracy, 0::BIGINT AS critical_misses FROM e""",
+  round(coalesce(count_if(open AND out) / nullif(count_if(open), 0), 0), 9) AS safe_accuracy, count_if(blocked AND out) AS critical_misses FROM e""",
     "p95_nearest": "SELECT l[CAST(floor(len(l) * 0.95) AS BIGINT) + 1] AS value, len(l) AS n FROM (SELECT list(value ORDER BY value) AS l FROM events WHERE value IS NOT NULL)",
     "p95_by_type": "SELECT event_type, l[CAST(floor(len(l) * 0.95) AS BIGINT) + 1] AS value, len(l) AS n FROM (SELECT event_type, list(value ORDER BY value) AS l FROM events WHERE value IS NOT NULL GROUP BY event_type)",
     "conflict_pairs": """

@@ -16,6 +16,7 @@ ORGANISATION = ["the", "ing", "ion", "der"]
 TERMS = {"SENIOR_OFFICER": ["the thand"], "TELCO_HUB_NODE": ["apache-license", "version 2.0"], "PROPRIETARY_SERVICE": ["licensed under", "copyright"]}
 #: Persian lines with turned ligatures beside whole ones, since the tables hold none.
 DAMAGED = [(-1, "کنترل مشتری متن معتبر کنترل"), (-2, "مشتری متن معتبر است"), (-3, "کنرتل مشرتی منت معترب"), (-4, "این متن سالم است .")]
+CLAUSES = "ماده ۲: افشای اطلاعات ممنوع است.\nبند ۳ متن کوتاه\nنکته: این را بخوانید\n• مورد یکم\nسطری که هیچ نیست و با نقطه تمام می‌شود."
 WORDS = ["the", "license", "schein", "que la"]
 RULES = [("R-001", ["licensed under", "copyright"], "HIGH", True), ("R-002", ["of the", "the"], "LOW", True), ("R-003", ["das ist", "und der"], "CRITICAL", True), ("R-004", ["a"], "CRITICAL", False)]
 
@@ -251,7 +252,8 @@ def candidate_docs(spark, sf_dir):
 
 
 def line_kinds(spark, sf_dir):
-    told = ingestion.lines(documents(spark, sf_dir), "doc_id")
+    """Lines by kind, with a few clauses beside the tables, which hold none."""
+    told = ingestion.lines(documents(spark, sf_dir).unionByName(spark.createDataFrame([(-1, CLAUSES)], "doc_id bigint, text string")), "doc_id")
     n = lambda c: F.count_if(c).alias(c)
     return told.groupBy("doc_id").agg(F.count("*").alias("n_lines"), n("table"), n("bullet"), n("clause"), n("heading"))
 
@@ -449,10 +451,10 @@ WITH i AS (SELECT DISTINCT item_id, array_to_string(w[k + 1:k + 8], ' ') AS run
 d AS (SELECT DISTINCT doc_id, array_to_string(w[k + 1:k + 8], ' ') AS run FROM (SELECT doc_id, w, unnest(generate_series(0, greatest(len(w) - 8, 0))) AS k FROM
   (SELECT doc_id, string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9À-ÿ]+', ' ', 'g'), ' ') AS w FROM documents)))
 SELECT doc_id, item_id, count(*) AS n_runs FROM d JOIN i USING (run) GROUP BY ALL""",
-    "line_kinds": """
-WITH l AS (SELECT doc_id, unnest(list_filter([regexp_replace(x, '^\\s+|\\s+$', '', 'g') FOR x IN string_split(coalesce(text, ''), chr(10))], lambda x: x <> '')) AS l FROM documents),
-f AS (SELECT doc_id, l, contains(l, '|') AND (starts_with(l, '|') OR ends_with(l, '|')) OR regexp_matches(l, '^(?i:T[0-9]+\\s+)') AS t,
+    "line_kinds": f"""
+WITH l AS (SELECT doc_id, unnest(list_filter([regexp_replace(x, '^\\s+|\\s+$', '', 'g') FOR x IN string_split(coalesce(text, ''), chr(10))], lambda x: x <> '')) AS l FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -1, '{CLAUSES}')),
+f AS (SELECT doc_id, l, contains(l, '|') AND (starts_with(l, '|') OR ends_with(l, '|')) OR regexp_matches(l, '^(?i:T[0-9]+\\s+)') AS t, regexp_matches(l, '^(?:ماده|بند|تبصره|قاعده|اصل|تعریف|نکته)\\s+') AS c,
   regexp_matches(l, '^[•*\\-–—]\\s+|^[۰-۹0-9]+[\\-.)]\\s+|^(?i:[الف-یabc]\\)\\s+)') AS b, length(l) <= 80 AND NOT regexp_matches(l, '[.!؟?؛]$') AND NOT ends_with(l, ':') AND regexp_matches(l, '^[.\\-–—]?[۰-۹0-9]+[\\-.)]?\\s+') AS numbered,
   NOT regexp_matches(l, '[.!؟?؛]$') AND NOT ends_with(l, ':') AND NOT starts_with(l, ':') AND length(l) <= 60 AND len(regexp_split_to_array(l, '\\s+')) BETWEEN 2 AND 8 AS short FROM l)
-SELECT doc_id, count(*) AS n_lines, count_if(t) AS "table", count_if(b) AS bullet, 0::BIGINT AS clause, count_if(NOT t AND length(l) <= 120 AND (numbered OR (NOT b AND short))) AS heading FROM f GROUP BY doc_id""",
+SELECT doc_id, count(*) AS n_lines, count_if(t) AS "table", count_if(b) AS bullet, count_if(c) AS clause, count_if(NOT t AND length(l) <= 120 AND (numbered OR (NOT b AND NOT c AND short))) AS heading FROM f GROUP BY doc_id""",
 }

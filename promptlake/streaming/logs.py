@@ -52,31 +52,38 @@ def limited(attempts: DataFrame, key: str = "user_id", at: str = "ts", tie: str
     return each.withColumn("blocked", F.col("attempt_no") > most)
 
 
-def limited_stream(attempts: DataFrame, key: str = "user_id", at: str = "ts", window: int = WINDOW_S, most: int = ATTEMPTS) -> DataFrame:
-    """The limiter on a stream: (key, ts, attempt_no, blocked), one state per key, dropped when its window has run out."""
+def limited_stream(attempts: DataFrame, key: str = "user_id", at: str = "ts", window: int = WINDOW_S, most: int = ATTEMPTS, late: str = "10 minutes") -> DataFrame:
+    """The limiter on a stream: (key, ts, attempt_no, blocked), one state per key.
+
+    Time is the attempts' own: a key's attempts of one micro-batch are judged in their
+    order, those later than `late` behind the newest are dropped by the watermark, and a
+    state goes when the watermark has passed its window's end.
+    """
 
     def fold(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         opened, count = state.get if state.exists else (None, 0)
-        for rows in batches:
-            rows = rows.sort_values("ts")
-            told = []
-            for ts in rows["ts"]:
-                opened, count, blocked = _judge(opened, count, ts.timestamp(), window, most)
-                told.append((keys[0], ts, count, blocked))
-            if told:
-                yield pd.DataFrame(told, columns=["key", "ts", "attempt_no", "blocked"])
-        state.update((opened, count))
-        state.setTimeoutDuration(window * 1000)
+        told = []
+        for ts in sorted(ts for rows in batches for ts in rows["ts"]):
+            opened, count, blocked = _judge(opened, count, ts.timestamp(), window, most)
+            told.append((keys[0], ts, count, blocked))
+        yield pd.DataFrame(told, columns=["key", "ts", "attempt_no", "blocked"])
+        ends = int((opened + window) * 1000) + 1
+        if ends > state.getCurrentWatermarkMs():
+            state.update((opened, count))
+            state.setTimeoutTimestamp(ends)
+        elif state.exists:
+            state.remove()
 
     kind = attempts.schema[key].dataType.simpleString()
     return (
-        attempts.select(F.col(key).alias("key"), F.col(at).alias("ts"))
+        attempts.withWatermark(at, late)
+        .select(F.col(key).alias("key"), F.col(at).alias("ts"))
         .groupBy("key")
         .applyInPandasWithState(
-            fold, f"key {kind}, ts timestamp, attempt_no int, blocked boolean", "opened double, count int", "append", GroupStateTimeout.ProcessingTimeTimeout
+            fold, f"key {kind}, ts timestamp, attempt_no int, blocked boolean", "opened double, count int", "append", GroupStateTimeout.EventTimeTimeout
         )
     )
 

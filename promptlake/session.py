@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 BATCH_ROWS = 2000
-BATCH_BYTES = "8m"
+BATCH_BYTES = "2m"
 
 
 def local_session(cores: str = "8", **settings: str) -> SparkSession:

@@ -69,8 +69,8 @@ class Matcher:
     last: tuple[str, Matcher] | None = None
 
     def __init__(self, found: dict[str, list[str]]):
-        self.empty = not found
         self.number: dict[bytes, int] = {}
+        self.shortest = min((w.count(" ") + 1 for w in found), default=0)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for window, items in found.items():
             split = window.encode().split()
@@ -87,10 +87,22 @@ class Matcher:
         return cls.last[1]
 
     def hits(self, split: list[bytes]) -> list[tuple[int, int, list[str]]]:
-        """(last word's place, words, items) of every window found; 0 stands for words that no window has."""
-        if self.empty:
+        """(last word's place, words, items) of every window found.
+
+        Only runs of words that windows have, as long as the shortest window, can hold one.
+        """
+        if not self.shortest:
             return []
-        return [(at, *value) for at, value in self.automaton.iter(tuple(map(self.number.get, split, repeat(0))))]
+        numbers = list(map(self.number.get, split, repeat(0)))
+        known = np.fromiter(numbers, np.int64, len(numbers)) > 0
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], known, [False]])))
+        starts, ends = edges[::2], edges[1::2]
+        long = ends - starts >= self.shortest
+        return [
+            (start + at, *value)
+            for start, end in zip(starts[long].tolist(), ends[long].tolist(), strict=True)
+            for at, value in self.automaton.iter(tuple(numbers[start:end]))
+        ]
 
 
 def judge(text: str | None, matcher: Matcher, before: dict | None = None) -> dict:

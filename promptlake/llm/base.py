@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Text handled at once inside a task, in UTF-8 bytes.
@@ -69,6 +69,29 @@ def hidden(df: DataFrame, name: str) -> str:
     return name
 
 
+def ranked(df: DataFrame, order: list, column: str) -> DataFrame:
+    """df with row numbers from 1 in this order, sorted in ranges by many tasks.
+
+    Row numbers within a range come with the sort; each range then moves on by the sizes
+    of the ranges before it, a table of one row a range. The sorted rows are stored, so the
+    caller may discard what is returned by `stored_at`. Rows equal in `order` lie in one range
+    and are numbered in any order: add a random last key where many may be equal.
+    """
+    place = hidden(df, "place__")
+    told = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(place, F.monotonically_increasing_id()), "ranked")
+    part, bits = F.shiftright(place, 33), F.lit((1 << 33) - 1)
+    sizes = told.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    start = F.map_from_entries(F.collect_list(F.struct("part", "before")))
+    starts = before.agg(start).first()[0]
+    if not starts:
+        return told.withColumn(column, F.lit(0).cast("bigint")).drop(place)
+    moved = F.element_at(F.create_map(*(F.lit(x).cast("bigint") for pair in starts.items() for x in pair)), part)
+    found = told.withColumn(column, moved + F.col(place).bitwiseAND(bits) + 1).drop(place)
+    found.stored_at = told.stored_at
+    return found
+
+
 def held_out(remainder: int, modulus: int, column: str = "doc_id"):
     """True where crc32 of the id as text leaves this remainder; a null id is never held out."""
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string")), F.lit(modulus)) == remainder, F.lit(False))
@@ -158,9 +181,9 @@ def words_of(low: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def texts_of(docs: DataFrame, chosen: DataFrame, key: str, text: str) -> DataFrame:
-    """chosen (column `key`, a bounded number of different ids) with one text each.
+    """chosen (column `key`, a bounded number of different ids) with one text each: of several, the smallest.
 
     The ids are broadcast to the documents, so no other text is shuffled.
     """
     told = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return told.join(F.broadcast(chosen), "key").groupBy(*chosen.columns).agg(F.first("text").alias("text"))
+    return told.join(F.broadcast(chosen), "key").groupBy(*chosen.columns).agg(F.min("text").alias("text"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptlake.llm import ann, bpe, decontaminate, html_extract, langid, quality_knn, simhash, token_count, toxicity, url_filter
+from promptlake.llm import ann, bpe, decontaminate, html_extract, langid, mixing, quality_knn, simhash, token_count, toxicity, url_filter
 from promptlake.llm.base import held_out, new_path, table
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -98,6 +98,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(2, 4).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to the weights 5, 2, 1 of their sources, three copies at most."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -111,6 +117,7 @@ QUERIES = {
         op8_url_filter,
         op9_token_counts,
         op10_quality,
+        op13_mixing,
     )
 }
 

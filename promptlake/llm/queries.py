@@ -1,4 +1,4 @@
-"""The queries of the ten operators, with the parameters that production uses."""
+"""The queries of the operators, with the parameters that production uses."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptlake.llm import ann, bpe, decontaminate, html_extract, langid, mixing, quality_knn, simhash, token_count, toxicity, url_filter
+from promptlake.llm import ann, bpe, decontaminate, html_extract, langid, mixing, quality_knn, resample, simhash, token_count, toxicity, url_filter
 from promptlake.llm.base import held_out, new_path, table
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -98,6 +98,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(2, 4).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents drawn towards the benchmark's distribution of words."""
+    drawn = resample.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return drawn.select(F.col("key").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the weights 5, 2, 1 of their sources, three copies at most."""
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -117,6 +123,7 @@ QUERIES = {
         op8_url_filter,
         op9_token_counts,
         op10_quality,
+        op12_importance_resampling,
         op13_mixing,
     )
 }
@@ -127,6 +134,33 @@ _SOFT = [t for t, w in _WEIGHT.items() if w == "soft"]
 _BEFORE, _AFTER = r"(^|[^\p{L}\p{N}])", r"([^\p{L}\p{N}]|$)"
 
 ORACLE_SQL = {
+    # crc32 bit by bit, over each different word's bytes
+    "op12_importance_resampling": r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+item AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+said AS (SELECT r, unnest(w) AS word FROM doc), asked AS (SELECT unnest(w) AS word FROM item),
+word AS (SELECT DISTINCT word FROM (SELECT word FROM said UNION ALL SELECT word FROM asked)),
+spelled AS (SELECT word, list_transform(generate_series(1, length(hex(word)) // 2), lambda i: CAST('0x' || substr(hex(word), 2 * i - 1, 2) AS BIGINT)) AS bytes FROM word),
+bucket AS (
+  SELECT word, xor(list_reduce(list_concat([4294967295::BIGINT], bytes), lambda crc, byte:
+    list_reduce(list_concat([xor(crc, byte)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)), 4294967295::BIGINT) % 10000 AS b
+  FROM spelled),
+s AS (SELECT b, count(*) AS n FROM said JOIN bucket USING (word) GROUP BY b),
+t AS (SELECT b, count(*) AS n FROM asked JOIN bucket USING (word) GROUP BY b),
+gain AS (
+  SELECT b, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM said) + 10000) / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM asked) + 10000)))) AS BIGINT) AS gain
+  FROM (SELECT b FROM s UNION SELECT b FROM t) LEFT JOIN s USING (b) LEFT JOIN t USING (b)),
+summed AS (SELECT r, sum(gain) AS weight FROM said JOIN bucket USING (word) JOIN gain USING (b) GROUP BY r),
+scored AS (
+  SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM doc LEFT JOIN summed USING (r)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS FIRST) AS place FROM scored)
+SELECT doc_id, n_features, weight, score,
+  CASE WHEN n_features >= 20 AND place <= (SELECT count(*) * 10 // 100 FROM scored WHERE n_features >= 20) THEN place END AS rank
+FROM placed""",
     "op3_decontamination": r"""
 WITH item AS (
   SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptlake.llm import ann, bpe, decontaminate, html_extract, langid, mixing, quality_knn, resample, simhash, token_count, toxicity, url_filter
+from promptlake.llm import ann, bpe, decontaminate, html_extract, langid, lexical, mixing, quality_knn, resample, simhash, token_count, toxicity, url_filter
 from promptlake.llm.base import held_out, new_path, table
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -98,6 +98,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(2, 4).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for each benchmark item."""
+    found = lexical.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), k=50)
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("key").alias("doc_id"), "score")
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of the documents drawn towards the benchmark's distribution of words."""
     drawn = resample.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
@@ -123,6 +129,7 @@ QUERIES = {
         op8_url_filter,
         op9_token_counts,
         op10_quality,
+        op11_lexical_search,
         op12_importance_resampling,
         op13_mixing,
     )
@@ -134,6 +141,22 @@ _SOFT = [t for t, w in _WEIGHT.items() if w == "soft"]
 _BEFORE, _AFTER = r"(^|[^\p{L}\p{N}])", r"([^\p{L}\p{N}]|$)"
 
 ORACLE_SQL = {
+    "op11_lexical_search": r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, w, len(w) AS n
+  FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents)
+  WHERE len(w) > 0),
+item AS (
+  SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+size AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM doc),
+asked AS (SELECT DISTINCT q, item_id, unnest(w) AS term FROM item),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM doc) SEMI JOIN asked USING (term) GROUP BY r, term),
+df AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, size GROUP BY term),
+scored AS (
+  SELECT q, item_id, doc_id, r, CAST(sum(df.w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM asked JOIN tf USING (term) JOIN df USING (term) JOIN doc USING (r), size GROUP BY q, item_id, doc_id, r),
+placed AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST, r) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM placed WHERE rank <= 50""",
     # crc32 bit by bit, over each different word's bytes
     "op12_importance_resampling": r"""
 WITH doc AS (

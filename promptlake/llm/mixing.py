@@ -35,11 +35,16 @@ NEAR, STEPS = 1e-6, 60
 REPAIRS, CLOSE = 6, 2e-4
 #: Further roundings tried for sources of which the first is more than five times as far away.
 ATTEMPTS = 64
-#: Documents of a class that are ordered in one task.
-ORDERED = 4096
+#: Documents of a class that are ordered in one task, and classes in one part of a table of classes.
+ORDERED, PART_ROWS = 512, 50_000
 _CLASS = ["none", "source", "size"]
 
 
+def _kept(df: DataFrame, name: str, parts: int) -> DataFrame:
+    """Stored in so many parts: the rounds write small tables again and again, one file for each partition of a shuffle."""
+    return stored(df.coalesce(parts), name)
+
+
 def _sum(x: Column) -> Column:
     return F.coalesce(F.sum(x), F.lit(0.0))
 
@@ -64,7 +69,7 @@ def source_targets(sources: DataFrame, weights: tuple[float, ...], share: float,
     return told.withColumn("target", F.least(F.col("weight") * level, F.col("top"))).drop("weight", "top")
 
 
-def multipliers(classes: DataFrame, sources: DataFrame, most: int) -> DataFrame:
+def multipliers(classes: DataFrame, sources: DataFrame, most: int, parts: int = 1) -> DataFrame:
     """(source_no, target, scale, lam): each source's multiplier of size / scale, by Newton steps on the dual.
 
     classes: source_no, size, n. The first bracket holds the solution: at its lower end even a size of 1
@@ -84,7 +89,7 @@ def multipliers(classes: DataFrame, sources: DataFrame, most: int) -> DataFrame:
         F.when(ratio > 1, F.col("scale") * math.log(most)).otherwise(0.0).alias("hi"),
         (full | (F.col("words") == 0)).alias("done"),
     )
-    state = stored(state, "mix-state")
+    state = _kept(state, "mix-state", parts)
     power = F.col("lam") * size / F.col("scale")
     rate = F.exp(F.least(power, F.lit(math.log(most))))
     for _ in range(STEPS):
@@ -99,7 +104,7 @@ def multipliers(classes: DataFrame, sources: DataFrame, most: int) -> DataFrame:
         inside = F.coalesce((newton > lo) & (newton < hi), F.lit(False))
         done = F.col("done") | (F.abs(F.col("words") - F.col("target")) <= NEAR * F.col("target"))
         moved = F.when(done, F.col("lam")).when(inside, newton).otherwise((lo + hi) / 2)
-        new = stored(sums.select("source_no", "target", "scale", moved.alias("lam"), lo.alias("lo"), hi.alias("hi"), done.alias("done")), "mix-state")
+        new = _kept(sums.select("source_no", "target", "scale", moved.alias("lam"), lo.alias("lo"), hi.alias("hi"), done.alias("done")), "mix-state", parts)
         discard(state)
         state = new
         if state.where("NOT done").isEmpty():
@@ -107,14 +112,14 @@ def multipliers(classes: DataFrame, sources: DataFrame, most: int) -> DataFrame:
     return state.select("source_no", "target", "scale", "lam")
 
 
-def _rounded(classes: DataFrame, found: DataFrame, most: int, seed: int, attempts: range) -> DataFrame:
+def _rounded(classes: DataFrame, found: DataFrame, most: int, seed: int, attempts: range, parts: int) -> DataFrame:
     """classes with whole `copies`, for each attempt a rounding of its own whose words come near the targets."""
     each = ["attempt", "source_no"]
     rate = F.exp(F.least(F.col("lam") * F.col("size") / F.col("scale"), F.lit(math.log(most))))
     chance = F.pmod(F.xxhash64(F.lit(seed), *each, "size"), F.lit(1 << 30)) / float(1 << 30)
     rounded = F.when(F.col("size") > 0, F.least(most * F.col("n"), F.floor(F.col("n") * rate + chance))).otherwise(0)
     told = classes.join(found, "source_no").withColumn("attempt", F.explode(F.array(*map(F.lit, attempts)))).withColumn("copies", rounded)
-    told = stored(told.select("attempt", *classes.columns, "target", "copies"), "mix-copies")
+    told = _kept(told.select("attempt", *classes.columns, "target", "copies"), "mix-copies", parts * len(attempts))
     for _ in range(REPAIRS):
         left = told.groupBy(*each, "target").agg(F.sum(F.col("size") * F.col("copies")).alias("words"))
         left = left.withColumn("lacks", F.floor(F.col("target") - F.col("words") + 0.5)).where(F.abs("lacks") > CLOSE * F.col("target")).drop("words", "target")
@@ -131,18 +136,18 @@ def _rounded(classes: DataFrame, found: DataFrame, most: int, seed: int, attempt
 
         moves = F.aggregate("offers", F.struct(F.abs("lacks").alias("open"), none.alias("moves")), take, lambda s: s["moves"])
         changes = lists.select(*each, F.signum("lacks").cast("long").alias("sign"), F.explode(moves).alias("m")).select(*each, "m.size", (F.col("sign") * F.col("m.change")).alias("change")).where("change != 0")
-        changes = stored(changes, "mix-changes")
+        changes = _kept(changes, "mix-changes", parts)
         if changes.isEmpty():
             discard(changes)
             break
-        new = stored(told.join(changes, [*each, "size"], "left").select("attempt", *classes.columns, "target", (F.col("copies") + F.coalesce("change", F.lit(0))).alias("copies")), "mix-copies")
+        new = _kept(told.join(changes, [*each, "size"], "left").select("attempt", *classes.columns, "target", (F.col("copies") + F.coalesce("change", F.lit(0))).alias("copies")), "mix-copies", parts * len(attempts))
         for old in (told, changes):
             discard(old)
         told = new
     return told
 
 
-def class_copies(classes: DataFrame, found: DataFrame, most: int, seed: int) -> DataFrame:
+def class_copies(classes: DataFrame, found: DataFrame, most: int, seed: int, parts: int = 1) -> DataFrame:
     """classes (source_no, size, n) with whole `copies` whose words come near each source's target.
 
     Sources of few documents that one rounding leaves too far away get ATTEMPTS more; the nearest counts.
@@ -152,17 +157,17 @@ def class_copies(classes: DataFrame, found: DataFrame, most: int, seed: int) ->
         gap = F.abs(F.sum(F.col("size") * F.col("copies")) - F.first("target"))
         return told.groupBy("source_no", "attempt").agg(gap.alias("gap"), F.first("target").alias("target"))
 
-    first = _rounded(classes, found, most, seed, range(1))
-    far = stored(missed(first).where(F.col("gap") > 5 * CLOSE * F.col("target")).select("source_no"), "mix-far")
+    first = _rounded(classes, found, most, seed, range(1), parts)
+    far = _kept(missed(first).where(F.col("gap") > 5 * CLOSE * F.col("target")).select("source_no"), "mix-far", parts)
     if far.isEmpty():
         discard(far)
         told = first.drop("attempt", "target")
         told.stored_at = first.stored_at
         return told
-    again = _rounded(classes.join(far, "source_no", "left_semi"), found, most, seed, range(1, ATTEMPTS + 1))
+    again = _rounded(classes.join(far, "source_no", "left_semi"), found, most, seed, range(1, ATTEMPTS + 1), parts)
     both = first.unionByName(again)
     nearest = missed(both).groupBy("source_no").agg(F.min(F.struct("gap", "attempt"))["attempt"].alias("attempt"))
-    best = stored(both.join(nearest, ["source_no", "attempt"], "left_semi").drop("attempt", "target"), "mix-copies")
+    best = _kept(both.join(nearest, ["source_no", "attempt"], "left_semi").drop("attempt", "target"), "mix-copies", parts)
     for old in (first, again, far):
         discard(old)
     return best
@@ -220,11 +225,13 @@ def mix(
     told = docs.withColumn(name, row)
     rows = stored(told.select(f"{name}.*"), "mix-rows")
     counted = stored(rows.groupBy(*_CLASS).agg(F.count("*").alias("n")), "mix-counts")
-    sources = stored(source_targets(counted.groupBy("none", "source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, share, most), "mix-sources")
-    classes = stored(counted.join(sources.select("none", "source", "source_no"), ["none", "source"]), "mix-classes")
-    copies = class_copies(classes, multipliers(classes, sources, most), most, seed)
+    parts = 1 + counted.count() // PART_ROWS
+    ordered = source_targets(counted.groupBy("none", "source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, share, most)
+    sources = _kept(ordered, "mix-sources", parts)
+    classes = _kept(counted.join(sources.select("none", "source", "source_no"), ["none", "source"]), "mix-classes", parts)
+    copies = class_copies(classes, multipliers(classes, sources, most, parts), most, seed, parts)
     plan = _cuts(rows, copies).join(sources.select("source_no", "source_size", "target"), "source_no").drop("source_no")
-    plan = stored(plan, "mix-plan")
+    plan = _kept(plan, "mix-plan", parts)
     for done in (rows, counted, sources, classes, copies):
         discard(done)
     place = hidden(docs, "plan__")

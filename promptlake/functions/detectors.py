@@ -7,12 +7,11 @@ and phrases, the original for secrets and dictionaries).
 
 from __future__ import annotations
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import IllegalArgumentException
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from promptlake.functions.checksums import card_ok, flat, iban_ok, national_id_ok
+from promptlake.functions.guarded import SECONDS, RowFunction, guarded, pattern_spans
 from promptlake.functions.patterns import AFTER, BEFORE, BLANK, BLANKS, SOLID, ZWNJ, found, has_any, quote, spans, text_of
 from promptlake.functions.text import ascii_digits, strip
 
@@ -194,24 +193,40 @@ def dictionary(text: Column, terms: dict[str, list[str]], limit: int = MAX_DICTI
     return F.slice(F.concat(*parts), 1, limit)
 
 
-def readable(pattern: str) -> bool:
-    """Whether Java can compile a pattern; one that it can't is a rule without hits, never a failed job."""
-    session = SparkSession.getActiveSession()
-    try:
-        session.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
-        return True
-    except (Py4JJavaError, IllegalArgumentException):
-        return False
+def checked_rules(normal: Column, rules: list[dict], limit: int = MAX_PATTERN, seconds: float = SECONDS) -> Column:
+    """struct<hits, error> of a policy's REGEX rules, the first `limit` hits of each.
+
+    A rule that can't be read has no hits; one that takes too long on a text is that text's error.
+    """
+    listed = [(r["id"], r["pattern"]) for r in rules if r["detector_type"] == "REGEX" and r.get("pattern")]
+    if not listed:
+        return F.struct(none().alias("hits"), F.lit(None).cast("string").alias("error"))
+    told = guarded(pattern_spans(listed, limit), "array<struct<id: string, start: int, end: int, text: string>>", seconds)(normal)
+    as_hit = lambda s: F.struct(
+        F.lit("REGEX").alias("detector_type"),
+        s["id"].alias("rule_id"),
+        F.lit("قاعدهٔ سیاست").alias("label"),
+        F.lit("policy_regex").alias("category"),
+        F.lit(KEYWORD).cast("double").alias("confidence"),
+        s["start"].alias("start"),
+        s["end"].alias("end"),
+        s["text"].alias("text"),
+    )
+    return F.struct(F.coalesce(F.transform(told["value"], as_hit), none()).alias("hits"), told["error"].alias("error"))
+
+
+def foreign(function: RowFunction, seconds: float = SECONDS):
+    """A detector from outside as a step of `dlp_outcome`: function(text, deadline) lists hits as dicts of HIT's fields, or raises."""
+    run = guarded(function, f"array<{HIT}>", seconds)
+    return lambda text: F.struct(F.coalesce(run(text)["value"], none()).alias("hits"), run(text)["error"].alias("error"))
 
 
 def compiled_rules(normal: Column, rules: list[dict], limit: int = MAX_PATTERN) -> Column:
-    """Hits of a policy's compiled rules: REGEX (`limit` at most), SEMANTIC (first keyword found), CHECKSUM."""
-    parts = [none()]
+    """Hits of a policy's compiled rules: REGEX (`limit` at most), then SEMANTIC (first keyword found) and CHECKSUM."""
+    parts = [checked_rules(normal, rules, limit)["hits"]]
     for rule in rules:
         kind, rule_id = rule["detector_type"], rule["id"]
-        if kind == "REGEX" and rule.get("pattern") and readable(rule["pattern"]):
-            parts.append(hits("REGEX", "قاعدهٔ سیاست", "policy_regex", KEYWORD, F.slice(spans(normal, rule["pattern"]), 1, limit), rule_id))
-        elif kind == "SEMANTIC" and rule.get("keywords"):
+        if kind == "SEMANTIC" and rule.get("keywords"):
             parts.append(F.slice(phrases(normal, rule["keywords"], "SEMANTIC", "قاعدهٔ معنایی سیاست", "policy_semantic", KEYWORD, rule_id), 1, 1))
         elif kind == "CHECKSUM":
             known = {"IR_NATIONAL_ID": national_ids, "IR_BANK_CARD": bank_cards, "IBAN": ibans}.get(rule.get("checksum_kind"))
@@ -227,14 +242,18 @@ ALWAYS_BLOCK = ("jailbreak_injection",)
 CRITICAL_V1 = CRITICAL[1:]
 
 
-def dlp(text: Column, normal: Column, terms: dict[str, list[str]] | None = None, rules: list[dict] | None = None) -> Column:
-    """All detectors' hits with always_block and severity.
+def dlp_outcome(text: Column, normal: Column, terms: dict[str, list[str]] | None = None, rules: list[dict] | None = None, steps: dict | None = None, seconds: float = SECONDS) -> Column:
+    """struct<hits, failed>: all detectors' hits with always_block and severity, and the names of the steps that failed.
 
-    Officers' names alone are no hits here; of the compiled rules only patterns run.
+    One step's failure takes no other's hits. Officers' names alone are no hits here; of the
+    compiled rules only patterns run. `steps` adds detectors from outside by name (see `foreign`), which
+    get the original text.
     """
     rules = [r for r in rules or [] if r["detector_type"] == "REGEX"]
     named = {k: v for k, v in (terms or {}).items() if k != "SENIOR_OFFICER"}
     blocking = [r["id"] for r in rules if r.get("action") == "BLOCK_EXTERNAL"]
+    checked = {"compiled_rules": checked_rules(normal, rules, seconds=seconds)} if rules else {}
+    checked |= {name: step(text) for name, step in (steps or {}).items()}
     every = F.concat(
         national_ids(normal),
         bank_cards(normal),
@@ -243,7 +262,7 @@ def dlp(text: Column, normal: Column, terms: dict[str, list[str]] | None = None,
         secrets(text),
         bulk_contacts(text, normal),
         dictionary(text, named),
-        compiled_rules(normal, rules),
+        *(c["hits"] for c in checked.values()),
         jailbreaks(normal),
     )
 
@@ -252,7 +271,13 @@ def dlp(text: Column, normal: Column, terms: dict[str, list[str]] | None = None,
         severity = F.when(critical, "critical").when(h["confidence"] >= 0.85, "high").otherwise("medium")
         return h.withField("always_block", h["category"].isin(*ALWAYS_BLOCK)).withField("severity", severity)
 
-    return F.transform(every, graded)
+    failed = F.array_compact(F.array(F.lit(None).cast("string"), *(F.when(c["error"].isNotNull(), F.lit(name)) for name, c in checked.items())))
+    return F.struct(F.transform(every, graded).alias("hits"), failed.alias("failed"))
+
+
+def dlp(text: Column, normal: Column, terms: dict[str, list[str]] | None = None, rules: list[dict] | None = None) -> Column:
+    """The hits of `dlp_outcome`."""
+    return dlp_outcome(text, normal, terms, rules)["hits"]
 
 
 def legacy_layer(text: Column, normal: Column) -> Column:

@@ -137,7 +137,7 @@ def page_of(offset: Column, pages: Column) -> Column:
     return F.get(F.filter(pages, lambda p: (offset >= p["start"]) & (offset < p["end"])), F.lit(0))["page"]
 
 
-def chunks(documents: DataFrame, key: str = "document_id", text: str = "full_text", pages: str | None = "pages", smallest: int = 800, largest: int = 1200, ratio: float = 0.17) -> DataFrame:
+def chunks(documents: DataFrame, key: str = "document_id", text: str = "full_text", pages: str | None = "pages", smallest: int = 800, largest: int = 1200, ratio: float = 0.17, words: list[str] | None = None) -> DataFrame:
     """(key, ordinal, span_start, span_end, text, text_hash, page, is_boilerplate, is_candidate)."""
     overlap = round(smallest * ratio)
 
@@ -149,7 +149,7 @@ def chunks(documents: DataFrame, key: str = "document_id", text: str = "full_tex
     kept = [key] + ([pages] if pages else [])
     each = documents.select(*kept, F.explode(cut(F.col(text))).alias("c")).select(*kept, "c.*")
     each = each.withColumn("text_hash", sha256(F.col("text"))).withColumn("is_boilerplate", boilerplate(F.col("text")))
-    each = each.withColumn("is_candidate", ~F.col("is_boilerplate") & candidate(F.col("text")))
+    each = each.withColumn("is_candidate", ~F.col("is_boilerplate") & candidate(F.col("text"), words))
     each = each.withColumn("page", page_of(F.col("span_start"), F.col(pages)) if pages else F.lit(None).cast("int"))
     return each.drop(pages) if pages else each
 

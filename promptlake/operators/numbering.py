@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,24 @@ def numbered(df: DataFrame, order: str, column: str = "row_no", buckets: int = 6
     return told.join(F.broadcast(before), "range__").withColumn(column, within + F.col("before__")).drop("range__", "before__")
 
 
+def in_groups(df: DataFrame, by: str, order: list[str], column: str, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """df with row numbers from 1 within each `by` (null is one, too), by `order`.
+
+    Rows are sorted into ranges of (by, order) and numbered within a range's share of the group; each
+    share then moves on by the sizes of the group's earlier shares. So a group that holds a third
+    of all rows is numbered by many tasks. Rows equal in `order` are numbered in any order.
+    `keep` writes a table and reads it back, so that the ranges are the same for both steps.
+    """
+    dealt = keep(df.repartitionByRange(by, *order).withColumn("part__", F.spark_partition_id()))
+    within = F.row_number().over(Window.partitionBy("part__", by).orderBy(*order))
+    told = dealt.withColumn("within__", within)
+    sizes = told.groupBy(by, "part__").agg(F.max("within__").alias("n__"))
+    earlier = Window.partitionBy(by).orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(F.col(by).alias("by__"), F.col("part__").alias("of__"), F.coalesce(F.sum("n__").over(earlier), F.lit(0)).alias("before__"))
+    joined = told.join(before, F.col(by).eqNullSafe(F.col("by__")) & (F.col("part__") == F.col("of__")))
+    return joined.select(*(F.col(c) for c in df.columns), (F.col("within__") + F.col("before__")).alias(column))
+
+
 def placed(df: DataFrame, by: str, coarse: list[str], value: str, tie: str, column: str = "place", buckets: int = 64) -> DataFrame:
     """df with each row's place from 1 within its group `by`: by the few values of `coarse`, then `value` from high to low, then `tie`.
 

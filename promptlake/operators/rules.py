@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from promptlake.functions.guarded import compiles
 from promptlake.functions.patterns import BLANK, BLANKS, ZWNJ
 from promptlake.functions.text import sha256
 
@@ -122,22 +121,14 @@ def dictionary_lookup(docs: DataFrame, terms: DataFrame, key: str, text: str, wo
     return seen.join(named, "run").select(key, "kind", "term", F.col("count").alias("n"))
 
 
-def _bad_pattern(source: str | None) -> bool:
-    try:
-        re.compile(source or "")
-        return False
-    except re.error:
-        return True
-
-
 def compiled(rules: DataFrame) -> DataFrame:
     """Rules with skip_reason (null: they run), by priority; a pattern that can't be read is skipped."""
-    patterns = [r.regex_source for r in rules.where("detector_type = 'REGEX' AND regex_source IS NOT NULL").select("regex_source").distinct().collect()]
-    bad = [p for p in patterns if _bad_pattern(p)]  # a policy's rules are few
+    # read by the engine that will run them
+    bad = F.when((F.col("detector_type") == "REGEX") & (F.length("regex_source") > 0), ~compiles(F.col("regex_source"))).otherwise(False)
     kind, blank = F.col("detector_type"), lambda c: F.coalesce(F.length(c), F.lit(0)) == 0
     reason = (
         F.when((kind == "REGEX") & blank("regex_source"), "REGEX rule missing source")
-        .when((kind == "REGEX") & (F.col("regex_source").isin(*bad) if bad else F.lit(False)), "invalid regex source")
+        .when((kind == "REGEX") & bad, "invalid regex source")
         .when((kind == "CHECKSUM") & blank("checksum_kind"), "CHECKSUM rule missing kind")
         .when((kind == "SEMANTIC") & (F.size(F.filter(F.coalesce("keywords", F.array()), lambda k: F.trim(k) != "")) == 0), "SEMANTIC rule missing keywords")
     )
@@ -173,18 +164,24 @@ def deduplicated(proposals: DataFrame, hashed: str = "identity_hash", label: str
     return told.drop("hash__", "first__")
 
 
-def conflicts(rules: DataFrame) -> DataFrame:
-    """(ordinal, conflict_group) of rules that share a keyword but not the action; the last pair names the group.
+def conflicts(rules: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """(*within, ordinal, conflict_group) of rules that share a keyword but not the action; the last pair names the group.
 
-    Rules meet by keyword, so only overlapping pairs are made.
+    A rule's last pair is that with the largest ordinal it conflicts with, so no pairs are made: of each
+    keyword the largest ordinals of its two leading actions are enough, and every rule meets one of the two.
+    Ordinals tell the rules of `within` (columns without nulls) apart. Rules without an action conflict with none.
     """
-    words = rules.select("ordinal", "action", "identity_hash", F.explode(F.array_distinct(F.transform("keywords", F.lower))).alias("keyword"))
-    a = words.select("keyword", F.col("ordinal").alias("i"), F.col("action").alias("action_i"), F.col("identity_hash").alias("hash_i"))
-    b = words.select("keyword", F.col("ordinal").alias("j"), F.col("action").alias("action_j"), F.col("identity_hash").alias("hash_j"))
-    pairs = a.join(b, "keyword").where((F.col("i") < F.col("j")) & (F.col("action_i") != F.col("action_j"))).select("i", "j", "hash_i", "hash_j").distinct()
-    named = pairs.withColumn("conflict_group", F.substring(sha256(F.concat_ws("~", "hash_i", "hash_j")), 1, 16))
-    each = named.select(F.explode(F.array("i", "j")).alias("ordinal"), "i", "j", "conflict_group")
-    return each.groupBy("ordinal").agg(F.max_by("conflict_group", F.struct("i", "j")).alias("conflict_group"))
+    same = list(within)
+    words = rules.where("action IS NOT NULL").select(*same, "ordinal", "action", "identity_hash", F.explode(F.array_distinct(F.transform("keywords", F.lower))).alias("keyword"))
+    last = words.groupBy(*same, "keyword", "action").agg(F.max(F.struct("ordinal", "identity_hash")).alias("last"))
+    # one entry for each action that rules may have
+    leading = last.groupBy(*same, "keyword").agg(F.slice(F.sort_array(F.collect_list(F.struct("last.ordinal", "last.identity_hash", "action")), asc=False), 1, 2).alias("top")).where(F.size("top") == 2)
+    met = words.join(leading, [*same, "keyword"])
+    other = F.when(F.col("top")[0]["action"] != F.col("action"), F.col("top")[0]).otherwise(F.col("top")[1])
+    pairs = met.groupBy(*same, "ordinal").agg(F.max(F.struct(other["ordinal"].alias("ordinal"), other["identity_hash"].alias("hash"))).alias("other"), F.first("identity_hash").alias("own"))
+    later = F.col("other.ordinal") > F.col("ordinal")
+    named = F.when(later, F.concat_ws("~", "own", "other.hash")).otherwise(F.concat_ws("~", "other.hash", "own"))
+    return pairs.select(*same, "ordinal", F.substring(sha256(named), 1, 16).alias("conflict_group"))
 
 
 def strictest_first(rules: DataFrame) -> DataFrame:

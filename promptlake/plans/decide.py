@@ -254,6 +254,14 @@ def closed_where_missing(decisions: DataFrame, inputs: DataFrame, key: str) -> D
     return told.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in closed.items() if c in decisions.columns})
 
 
+def closed_unless(decisions: DataFrame, states: DataFrame, key: str, state: str) -> DataFrame:
+    """decisions, closed (UNCERTAIN, LOCAL, FAILED) where the key's state isn't true; keys without a state are closed, too."""
+    open_ = states.groupBy(key).agg(F.coalesce(F.bool_and(state), F.lit(False)).alias("open__"))
+    told = decisions.join(open_, key, "left").withColumn("open__", F.coalesce("open__", F.lit(False)))
+    closed = {"route": "LOCAL", "decision": "UNCERTAIN", "action": "LOCAL_ONLY", "health": "FAILED"}
+    return told.withColumns({c: F.when(F.col("open__"), F.col(c)).otherwise(v) for c, v in closed.items() if c in decisions.columns}).drop("open__")
+
+
 def log_fields(route: Column, risk: Column) -> Column:
     """struct<action, risk, route> as the decision log stores them."""
     blocked, local = route == "BLOCKED", route == "LOCAL"

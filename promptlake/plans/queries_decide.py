@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import functions as F
 
+from promptlake.functions import detectors
 from promptlake.operators import conversations as conv
 from promptlake.plans import decide, queries_text
 from promptlake.plans.pipeline import detection, route_conversations
-from promptlake.sources.readers import table
+from promptlake.sources.readers import spread, table
 from promptlake.streaming import logs
 
 
@@ -32,7 +34,7 @@ def conv_payload_hash(spark, sf_dir):
 
 
 def conv_route(spark, sf_dir):
-    return route_conversations(messages(spark, sf_dir))
+    return route_conversations(messages(spark, sf_dir)).drop("failed")
 
 
 def _answered(normal, hits, candidates):
@@ -50,7 +52,34 @@ def _policy(spark, sf_dir):
 
 def detection_semantic(spark, sf_dir):
     """The second pipeline over all conversations, with retrieval over the benchmark's texts."""
-    return detection(messages(spark, sf_dir), "semantic", concepts=_policy(spark, sf_dir), classifier=_answered)
+    return detection(messages(spark, sf_dir), "semantic", concepts=_policy(spark, sf_dir), classifier=_answered).drop("failed")
+
+
+_DIGEST_RUN = "[0-9a-f]{16,}"
+
+
+def _digests(text: str, deadline: float) -> list[dict]:
+    """A detector from outside: runs of hex digits as digests. It can't read a run of odd length, and says so by raising."""
+    found = []
+    for m in re.finditer(_DIGEST_RUN, text):
+        bytes.fromhex(m[0])
+        found.append({"detector_type": "REGEX", "rule_id": None, "label": "digest", "category": "digest", "confidence": 0.6, "start": m.start(), "end": m.end(), "text": m[0]})
+    return found
+
+
+_RULES = [
+    {"id": "r1", "detector_type": "REGEX", "pattern": r"(?P<code>[0-9]{3}[-.][0-9]{3}[-.][0-9]{4})", "action": "BLOCK_EXTERNAL"},
+    {"id": "r2", "detector_type": "REGEX", "pattern": "([unclosed", "action": "BLOCK_EXTERNAL"},
+    {"id": "r3", "detector_type": "REGEX", "pattern": "licensed under", "action": "LOCAL_ONLY"},
+]
+
+
+def dlp_isolated(spark, sf_dir):
+    """Every document as a prompt, with rules of a policy and a detector that fails on some texts: their other hits stay, and they stay local."""
+    docs = spread(table(spark, sf_dir, "documents"))
+    prompts = docs.select(F.col("doc_id").alias("conv_id"), F.lit(0).alias("turn"), F.lit("user").alias("role"), "text")
+    routed = route_conversations(prompts, rules=_RULES, steps={"digests": detectors.foreign(_digests)})
+    return routed.select(F.col("conv_id").alias("doc_id"), F.col("n_hits").cast("bigint").alias("n_hits"), "categories", "failed", "health", "sensitivity", "route", "decision", "action")
 
 
 def detection_rules(spark, sf_dir):
@@ -163,7 +192,7 @@ def sse_parse(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (conv_last30, conv_last_user, conv_payload_hash, conv_route, conv_route_counts, detection_semantic, detection_rules, route_truth_table, fusion_truth_table, egress_guard, parsed_answers, sse_parse)
+    for f in (conv_last30, conv_last_user, conv_payload_hash, conv_route, conv_route_counts, dlp_isolated, detection_semantic, detection_rules, route_truth_table, fusion_truth_table, egress_guard, parsed_answers, sse_parse)
 }
 
 
@@ -189,8 +218,23 @@ SELECT conv_id, CAST(n_messages AS INT) AS n_messages, CAST(n_hits AS INT) AS n_
   CASE WHEN route = 'EXTERNAL_DIRECT' THEN 'SAFE' WHEN long AND route = 'LOCAL' THEN 'UNCERTAIN' ELSE 'SENSITIVE' END AS decision, CASE WHEN route = 'EXTERNAL_DIRECT' THEN 'EXTERNAL_ALLOWED' ELSE 'LOCAL_ONLY' END AS action, sha256(payload) AS payload_hash FROM d"""
 )
 
+_PROMPTS = f"SELECT doc_id, n, text FROM (SELECT doc_id, text, {queries_text._N} AS n FROM (SELECT doc_id, {_TRIM} AS text FROM documents)) WHERE text <> ''"
+_ISOLATED = f"""
+WITH d AS ({_PROMPTS}), x AS (SELECT doc_id, text, n, regexp_extract_all(text, '{_DIGEST_RUN}') AS runs, '[' || '{{"role":"user","content":' || to_json(text) || '}}]' AS payload FROM d),
+k AS (SELECT doc_id, payload, len(list_filter(runs, lambda r: length(r) % 2 = 1)) > 0 AS broken, len(runs) AS n_runs,
+  least(3, len(regexp_extract_all(n, '[0-9]{{3}}[-.][0-9]{{3}}[-.][0-9]{{4}}'))) AS r1, least(3, len(regexp_extract_all(n, 'licensed under'))) AS r3 FROM x),
+h AS ({queries_text.evidence_sql("d", "doc_id")}),
+e AS (SELECT doc_id, category, n FROM h UNION ALL SELECT doc_id, 'digest', n_runs FROM k WHERE NOT broken AND n_runs > 0 UNION ALL SELECT doc_id, 'policy_regex', r1 + r3 FROM k WHERE r1 + r3 > 0),
+s AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_hits, string_agg(DISTINCT category, ',' ORDER BY category) AS categories, bool_or(category = 'jailbreak_injection') AS always, bool_or(category IN ({queries_text._CRITICAL_SQL})) AS critical FROM e GROUP BY doc_id),
+r AS (SELECT k.doc_id, coalesce(n_hits, 0) AS n_hits, coalesce(categories, '') AS categories, coalesce(always, false) AS always, coalesce(critical, false) OR r1 > 0 AS critical, broken, length(payload) > 24000 AS long FROM k LEFT JOIN s USING (doc_id)),
+o AS (SELECT *, CASE WHEN always THEN 'BLOCKED' WHEN NOT long AND NOT broken AND n_hits = 0 THEN 'EXTERNAL_DIRECT' ELSE 'LOCAL' END AS route FROM r)
+SELECT doc_id, n_hits, categories, CASE WHEN broken THEN 'digests' ELSE '' END AS failed, CASE WHEN long OR broken THEN 'DEGRADED' ELSE 'HEALTHY' END AS health,
+  CASE WHEN always THEN 'HIGHLY_CONFIDENTIAL' WHEN critical OR (n_hits > 0 AND NOT long) THEN 'CONFIDENTIAL' ELSE 'PUBLIC' END AS sensitivity, route,
+  CASE WHEN route = 'EXTERNAL_DIRECT' THEN 'SAFE' WHEN long AND route = 'LOCAL' THEN 'UNCERTAIN' ELSE 'SENSITIVE' END AS decision, CASE WHEN route = 'EXTERNAL_DIRECT' THEN 'EXTERNAL_ALLOWED' ELSE 'LOCAL_ONLY' END AS action FROM o"""
+
 ORACLE_SQL = {
     "conv_route": _ROUTE,
+    "dlp_isolated": _ISOLATED,
     "conv_route_counts": f"SELECT route, decision, health, count(*) AS n FROM ({_ROUTE}) GROUP BY ALL",
     "detection_rules": _ROUTED.replace("{evidence}", queries_text.evidence_sql("p", "conv_id", [("proprietary_service", "(?i)que|der")]))
     + """, m AS (SELECT p.conv_id, coalesce(least(n_hits, 100000), 0) AS n_hits, categories FROM p LEFT JOIN e USING (conv_id))

@@ -366,7 +366,38 @@ l AS (SELECT doc_id, t, list_filter([trim(x) FOR x IN regexp_split_to_array(t, '
 SELECT doc_id, CASE WHEN length(t) < 40 THEN true WHEN length(regexp_replace(t, '[0-9\\s\\-–—/().،,:؛|صفحه]', '', 'g')) / length(t) < 0.2 THEN true
   ELSE len(l) >= 3 AND list_max([len(list_filter(l, lambda y: y = x)) FOR x IN list_distinct(l)]) >= 3 AND list_max([len(list_filter(l, lambda y: y = x)) FOR x IN list_distinct(l)]) / len(l) > 0.5 END AS is_boilerplate FROM l"""
 
+
+def boilerplate_sql(trimmed: str) -> str:
+    """Whether a trimmed text is boilerplate."""
+    lines = f"list_filter([trim(x) FOR x IN regexp_split_to_array({trimmed}, '\\n+')], lambda x: x <> '')"
+    most = f"list_max([len(list_filter({lines}, lambda y: y = x)) FOR x IN list_distinct({lines})])"
+    return f"""CASE WHEN length({trimmed}) < 40 THEN true WHEN length(regexp_replace({trimmed}, '[0-9\\s\\-–—/().،,:؛|صفحه]', '', 'g')) / length({trimmed}) < 0.2 THEN true
+  ELSE coalesce(len({lines}) >= 3 AND {most} >= 3 AND {most} / len({lines}) > 0.5, false) END"""
+
+
+def chunks_sql(relation: str) -> str:
+    """CTEs to pieces(r, ordinal, span_start, span_end, piece): windows of relation (r, t), one after the other.
+
+    A window of 1200 characters ends at the last sentence end past 800, and the next begins 136 before that.
+    """
+    cut = "length(regexp_extract(substr(t, start + 1, 1200), '(?s)^(?:.*(?:[.!؟?؛;۔][\\s]|\\n))'))"
+    stop = lambda start: f"CASE WHEN {start} + 1200 < length(t) AND {cut.replace('start', start)} >= 800 THEN {start} + {cut.replace('start', start)} ELSE least({start} + 1200, length(t)) END"
+    return f"""windows AS (
+  SELECT r, t, 0 AS start, {stop('0')} AS stop FROM {relation} WHERE length(t) > 0
+  UNION ALL SELECT r, t, start, {stop('start')} FROM (SELECT r, t, greatest(stop - 136, start + 1) AS start FROM windows WHERE stop < length(t))),
+pieces AS (
+  SELECT r, row_number() OVER (PARTITION BY r ORDER BY start) - 1 AS ordinal, start AS span_start, stop AS span_end, piece
+  FROM (SELECT r, start, stop, regexp_replace(substr(t, start + 1, stop - start), '^\\s+|\\s+$', '', 'g') AS piece FROM windows) WHERE piece <> '')"""
+
+
+def candidate_sql(normal: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({normal}, '{w}')" for w in words) + ")"
+
+
 ORACLE_SQL = {
+    "chunk_documents": f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), {chunks_sql('d')}
+SELECT doc_id, CAST(ordinal AS INT) AS ordinal, CAST(span_start AS INT) AS span_start, CAST(span_end AS INT) AS span_end, CAST(length(piece) AS INT) AS n_chars, sha256(piece) AS text_hash,
+  {boilerplate_sql('piece')} AS is_boilerplate, NOT {boilerplate_sql('piece')} AND {candidate_sql(_N.replace('text', 'piece'), [t.normalized_literal(w) for w in ingestion.CHUNK_WORDS])} AS is_candidate FROM pieces JOIN d USING (r)""",
     "normalize_text": f"SELECT doc_id, length({_N}) AS n_chars, sha256({_N}) AS digest FROM documents",
     "token_counts": (
         f"SELECT doc_id, len(list_filter(regexp_split_to_array({_N}, '[^0-9A-Za-z_\\x{{200C}}]+'), lambda x: x <> '')) AS n_ascii, "

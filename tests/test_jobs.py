@@ -225,7 +225,7 @@ def test_without_an_extractor_chunks_wait(spark):
 
 def test_concepts_are_drawn_once(spark):
     path = work_path(spark, "test-concepts")
-    told = spark.createDataFrame([(1, 1, "the license belongs to the company alone\n\nanother paragraph about the license here"), (2, 1, "the broken one says that a license of the company is not for sale anywhere else")], "document_id bigint, page int, text string")
+    told = spark.createDataFrame([(1, 1, "The license of this work belongs to the company alone, and nobody else may use it in any way.\n\nAnother paragraph says that the license ends when the contract ends, whatever else was agreed upon."), (2, 1, "The broken one says that a license of the company is not for sale, not now and not later either.")], "document_id bigint, page int, text string")
     extractor = extractors.WordConcepts({"license": ("INTERNAL", "ROUTE_LOCAL")}, "broken one")
     assert processing.ingest_concepts(told, path, extractor, words=["license"])
     store = BatchStore(spark, path)

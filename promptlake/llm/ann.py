@@ -19,8 +19,8 @@ block keeps its best k per query before the results are merged.
 Defined results: vectors that are null, zero, of another length than most, or that
 hold null or non-finite components take no part (one component is enough); a query
 never finds its own row; ties go to the smaller id; fewer than k candidates are all
-returned; a repeated id is a row of its own, found by other ids only; a null id takes
-no part.
+returned; a repeated id is a row of its own, as a query (with k neighbours of its own) and as a
+neighbour, also of the other rows of its id; a null id takes no part.
 """
 
 from __future__ import annotations
@@ -37,8 +37,10 @@ from promptlake.llm.base import stored
 MAX_TRAIN = 20_000
 MAX_CENTROIDS = 128
 MAX_TRIALS = 64
-BLOCK_VECTORS = 4096
-BLOCK_QUERIES = 1024
+#: Components of a block of vectors, and of one of queries, that meet in a task: the larger they are, the fewer copies of each are shuffled.
+BLOCK_COMPONENTS = 1 << 20
+#: Queries of a block that are scored at once.
+SCORED = 256
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -130,7 +132,7 @@ class Index:
 
 
 def build(vectors: DataFrame, n_centroids: int | None = None, max_train: int = MAX_TRAIN) -> tuple[Index, DataFrame, int]:
-    """The index, its table (id, v, row, column) with every vector, and their number."""
+    """The index, its table (at, id, v, row, column) with every vector, `at` telling rows apart, and their number."""
     n = vectors.count()
     sample = _matrix(vectors.orderBy(F.xxhash64("id")).limit(max_train).select("v").toArrow()["v"])
     k = n_centroids or max(2, min(MAX_CENTROIDS, int((8 * n) ** 0.5)))
@@ -143,42 +145,42 @@ def build(vectors: DataFrame, n_centroids: int | None = None, max_train: int = M
         row, column = sent.value.cells(_matrix(v))
         return pa.StructArray.from_arrays([pa.array(row, pa.int32()), pa.array(column, pa.int32())], ["row", "column"])
 
-    table = stored(vectors.withColumn("cell", place("v")).select("id", "v", "cell.row", "cell.column"), "ann-index")
+    table = stored(vectors.withColumn("cell", place("v")).select(F.monotonically_increasing_id().alias("at"), "id", "v", "cell.row", "cell.column"), "ann-index")
     for r in table.groupBy("row", "column").count().collect():  # at most MAX_CENTROIDS squared
         index.sizes[r.row, r.column] = r["count"]
     return index, table, n
 
 
 def exhaustive(table: DataFrame, queries: list[tuple[int, np.ndarray]], k: int) -> DataFrame:
-    """(query_id, id, score, row, column): exact neighbours of a few queries, best k of every batch merged."""
-    ids, q = np.array([i for i, _ in queries], np.int64), np.stack([v for _, v in queries])
+    """(query, id, score, row, column): exact neighbours of a few queries, rows `at` of the table; best k of every batch merged."""
+    rows, q = np.array([i for i, _ in queries], np.int64), np.stack([v for _, v in queries])
 
     def best(batches):
         for batch in batches:
-            v, own = _matrix(batch.column("v")), batch.column("id").to_numpy()
+            v, own = _matrix(batch.column("v")), batch.column("at").to_numpy()
             score = q @ v.T
-            score[ids[:, None] == own[None, :]] = -np.inf
-            top = np.argpartition(-score, min(k, len(own)) - 1, axis=1)[:, :k] if len(own) else np.zeros((len(ids), 0), int)
+            score[rows[:, None] == own[None, :]] = -np.inf
+            top = np.argpartition(-score, min(k, len(own)) - 1, axis=1)[:, :k] if len(own) else np.zeros((len(rows), 0), int)
             flat = top.ravel()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, top.shape[1])), pa.array(own[flat]), pa.array(np.take_along_axis(score, top, 1).ravel()), batch.column("row").take(pa.array(flat)), batch.column("column").take(pa.array(flat))],
-                ["query_id", "id", "score", "row", "column"],
+                [pa.array(np.repeat(rows, top.shape[1])), batch.column("id").take(pa.array(flat)), pa.array(np.take_along_axis(score, top, 1).ravel()), batch.column("row").take(pa.array(flat)), batch.column("column").take(pa.array(flat))],
+                ["query", "id", "score", "row", "column"],
             )
 
-    found = table.mapInArrow(best, "query_id long, id long, score double, row int, column int").where("score > double('-inf')")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    found = table.mapInArrow(best, "query long, id long, score double, row int, column int").where("score > double('-inf')")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def enough_candidates(index: Index, table: DataFrame, asked, k: int, recall: float, trials: int) -> int:
     """The number of candidates with which either of two samples of queries finds this share of its true neighbours."""
     sample = table.where(asked).orderBy(F.xxhash64("id"), "id").limit(2 * trials).toArrow()
-    queries = list(zip(sample["id"].to_pylist(), _matrix(sample["v"]), strict=True))
+    queries = list(zip(sample["at"].to_pylist(), _matrix(sample["v"]), strict=True))
     if not queries:
         return k + 1
     truth: dict[int, list[tuple[int, int]]] = {}
     for r in exhaustive(table, queries, k).collect():  # trials * k rows
-        truth.setdefault(r.query_id, []).append((r.row, r.column))
+        truth.setdefault(r.query, []).append((r.row, r.column))
     needed: tuple[list[int], list[int]] = ([], [])
     for half, (i, q) in enumerate(queries):
         seen, at, wanted = 0, {}, set(truth.get(i, []))
@@ -203,32 +205,34 @@ def search(
     table = usable(vectors, key, vector)
     if table.isEmpty():
         return table.sparkSession.createDataFrame([], "query_id long, rank int, id long, score double")
-    index, table, _ = build(table, n_centroids)
+    index, table, n = build(table, n_centroids)
     enough = enough_candidates(index, table, asked, k, recall, trials)
     context = table.sparkSession.sparkContext
     sent = context.broadcast(index)
 
-    groups = index.groups(BLOCK_VECTORS)
+    # small tables make blocks for all cores
+    block = min(max(SCORED, BLOCK_COMPONENTS // len(index.first[0]) // 2), max(SCORED, n // (4 * context.defaultParallelism)))
+    groups = index.groups(block)
     edges = np.array([lo for lo, _ in groups])
 
     def probe(batches):
         for batch in batches:
-            out: dict[str, list] = {"query_id": [], "q": [], "part": [], "cells": []}
-            for i, q in zip(batch.column("id").to_pylist(), _matrix(batch.column("v")), strict=True):
+            out: dict[str, list] = {"query": [], "query_id": [], "q": [], "part": [], "cells": []}
+            for at, i, q in zip(batch.column("at").to_pylist(), batch.column("id").to_pylist(), _matrix(batch.column("v")), strict=True):
                 seen = sent.value.probe(q, enough)
                 for part, (lo, hi) in enumerate(groups):
                     if seen[lo:hi].any():
-                        for name, value in zip(out, (i, q, part, np.packbits(seen[lo:hi]).tobytes()), strict=True):
+                        for name, value in zip(out, (at, i, q, part, np.packbits(seen[lo:hi]).tobytes()), strict=True):
                             out[name].append(value)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out["query_id"], pa.int64()), pa.array(out["q"], pa.list_(pa.float64())), pa.array(out["part"], pa.int32()), pa.array(out["cells"], pa.binary())],
+                [pa.array(out["query"], pa.int64()), pa.array(out["query_id"], pa.int64()), pa.array(out["q"], pa.list_(pa.float64())), pa.array(out["part"], pa.int32()), pa.array(out["cells"], pa.binary())],
                 list(out),
             )
 
-    probes = stored(table.where(asked).select("id", "v").mapInArrow(probe, "query_id long, q array<double>, part int, cells binary"), "ann-probes")
+    probes = stored(table.where(asked).select("at", "id", "v").mapInArrow(probe, "query long, query_id long, q array<double>, part int, cells binary"), "ann-probes")
     # blocks of grid rows are at most MAX_CENTROIDS; each is cut by the numbers counted here
     per_part = {r.part: r["count"] for r in probes.groupBy("part").count().collect()}
-    cuts = {p: (-(-int(index.sizes[slice(*groups[p])].sum()) // BLOCK_VECTORS), -(-int(m) // BLOCK_QUERIES)) for p, m in per_part.items()}
+    cuts = {p: (-(-int(index.sizes[slice(*groups[p])].sum()) // block), -(-int(m) // block)) for p, m in per_part.items()}
     if not cuts:
         return table.sparkSession.createDataFrame([], "query_id long, rank int, id long, score double")
     by_part = F.create_map(*(F.lit(x) for p, c in cuts.items() for x in (p, c[0]))), F.create_map(*(F.lit(x) for p, c in cuts.items() for x in (p, c[1])))
@@ -236,42 +240,49 @@ def search(
     v_cut, q_cut = (F.element_at(m, F.col("part")) for m in by_part)
     part_of = F.element_at(F.array(*(F.lit(int(np.searchsorted(edges, r, "right")) - 1) for r in range(len(index.first)))), F.col("row") + 1)
     left = table.withColumn("part", part_of).where(F.col("part").isin(list(cuts)))
-    left = left.select("id", "v", "row", "column", "part", F.pmod(F.xxhash64("id"), v_cut).cast("int").alias("vb"), numbers(q_cut).alias("qb"))
-    right = probes.select("query_id", "q", "cells", "part", F.pmod(F.xxhash64("query_id"), q_cut).cast("int").alias("qb"), numbers(v_cut).alias("vb"))
+    left = left.select("at", "id", "v", "row", "column", "part", F.pmod(F.xxhash64("at"), v_cut).cast("int").alias("vb"), numbers(q_cut).alias("qb"))
+    right = probes.select("query", "query_id", "q", "cells", "part", F.pmod(F.xxhash64("query"), q_cut).cast("int").alias("qb"), numbers(v_cut).alias("vb"))
     grid = ["part", "vb", "qb"]
 
     def rerank(v: pa.Table, q: pa.Table) -> pa.Table:
-        out = {"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())}
-        if not len(v) or not len(q):
-            return pa.table(out)
-        lo, hi = groups[v["part"][0].as_py()]
-        width = len(sent.value.second)
-        order = np.argsort(v["row"].to_numpy(), kind="stable")
-        v = v.take(pa.array(order))
-        ids, x, column, row = v["id"].to_numpy(), _matrix(v["v"]), v["column"].to_numpy(), v["row"].to_numpy()
-        asked_ids, y = q["query_id"].to_numpy(), _matrix(q["q"])
-        bits = np.stack([np.frombuffer(c.as_py(), np.uint8) for c in q["cells"]])
-        seen = np.unpackbits(bits, axis=1, count=(hi - lo) * width).reshape(len(y), hi - lo, width).astype(bool)
-        score = np.full((len(y), len(ids)), -np.inf)
-        for r in np.unique(row):  # rows of the grid that a query doesn't visit cost it nothing
-            some = np.flatnonzero(seen[:, r - lo].any(1))
-            at = slice(*np.searchsorted(row, [r, r + 1]))
-            if len(some):
-                score[some, at] = np.where(seen[some, r - lo][:, column[at]], y[some] @ x[at].T, -np.inf)
-        score[asked_ids[:, None] == ids[None, :]] = -np.inf
-        order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k] if len(ids) <= 4 * k else _best(score, ids, k)
-        best = np.take_along_axis(score, order, 1)
-        some = best > -np.inf
-        return pa.table({"query_id": pa.array(np.repeat(asked_ids, order.shape[1])[some.ravel()]), "id": pa.array(ids[order][some]), "score": pa.array(best[some])})
-
-    found = left.groupBy(*grid).cogroup(right.groupBy(*grid)).applyInArrow(rerank, "query_id long, id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+        parts = [pa.table({"query": pa.array([], pa.int64()), "query_id": pa.array([], pa.int64()), "at": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})]
+        if len(v) and len(q):
+            lo, hi = groups[v["part"][0].as_py()]
+            # by grid row, then id and row number, which break ties
+            v = v.sort_by([("row", "ascending"), ("id", "ascending"), ("at", "ascending")])
+            held = [v[c].to_numpy() for c in ("at", "id", "row", "column")], _matrix(v["v"])
+            parts += [_scored(*held, q.slice(start, SCORED), lo, hi, len(sent.value.second), k) for start in range(0, len(q), SCORED)]
+        return pa.concat_tables(parts)
+
+    found = left.groupBy(*grid).cogroup(right.groupBy(*grid)).applyInArrow(rerank, "query long, query_id long, at long, id long, score double")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "id", "at")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
-def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Columns of each row's k best; among equal scores at the edge the smaller ids."""
-    by_id = np.argsort(ids, kind="stable")
+def _scored(columns: list[np.ndarray], x: np.ndarray, q: pa.Table, lo: int, hi: int, width: int, k: int) -> pa.Table:
+    """The k best of a block of vectors for each of some queries, over the cells that it visits."""
+    at, ids, row, column = columns
+    asked, y = q["query"].to_numpy(), _matrix(q["q"])
+    bits = np.stack([np.frombuffer(c.as_py(), np.uint8) for c in q["cells"]])
+    seen = np.unpackbits(bits, axis=1, count=(hi - lo) * width).reshape(len(y), hi - lo, width).astype(bool)
+    score = np.full((len(y), len(ids)), -np.inf)
+    for r in np.unique(row):  # rows of the grid that a query doesn't visit cost it nothing
+        some = np.flatnonzero(seen[:, r - lo].any(1))
+        of = slice(*np.searchsorted(row, [r, r + 1]))
+        if len(some):
+            score[some, of] = np.where(seen[some, r - lo][:, column[of]], y[some] @ x[of].T, -np.inf)
+    score[asked[:, None] == at[None, :]] = -np.inf
+    order = _best(score, ids, at, k)
+    best = np.take_along_axis(score, order, 1)
+    some = best > -np.inf
+    who = np.broadcast_to(np.arange(len(y))[:, None], order.shape)[some]
+    return pa.table({"query": pa.array(asked[who]), "query_id": pa.array(q["query_id"].to_numpy()[who]), "at": pa.array(at[order][some]), "id": pa.array(ids[order][some]), "score": pa.array(best[some])})
+
+
+def _best(score: np.ndarray, ids: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Columns of each row's k best; among equal scores at the edge the smaller ids, then row numbers."""
+    k = min(k, len(ids))
+    by_id = np.lexsort((at, ids))
     score = score[:, by_id]
     edge = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
     above = score > edge

@@ -10,7 +10,10 @@ character of every article block's text is ``MARK``. ``labelled_pages`` writes a
 bounded set of invented ones whose layouts vary (with and without speaking tags).
 
 Defined results: null and empty html give an empty text; unclosed and misnested
-tags, cut-off tags and raw elements are read as browsers do; text outside any
+tags, cut-off tags and raw elements are read as browsers do, and an unclosed head ends
+where a body's content begins; formulas are text, without their annotations; a button is a control and
+left out where its block holds nothing else, but words of a sentence where it stands in one, and an
+unclosed button hides nothing; text outside any
 element is a block like others; repeated rows are treated alike.
 """
 
@@ -29,13 +32,18 @@ from pyspark.sql import functions as F
 MARK = ""
 
 # Element kinds of HTML.
-RAW = frozenset("script style noscript template iframe object svg math head title textarea select option button canvas audio video".split())
+RAW = frozenset("script style noscript template iframe object svg head title textarea select option canvas audio video annotation annotation-xml".split())
 #: Of these, the content up to the end tag is not markup.
 UNPARSED = frozenset("script style textarea title iframe noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input".split()
+    "a abbr acronym b bdi bdo big button cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input "
+    "math maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation annotation-xml".split()
 )
+#: Elements of formulas and drawings, which a slash ends.
+FOREIGN = frozenset(t for t in INLINE if t[0] == "m" and t != "mark") | {"svg", "semantics", "annotation", "annotation-xml"}
+#: A head ends, closed or not, where anything else begins.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noscript script style template title".split())
 #: A start tag of these ends an open element of the same group within the same container.
 CLOSES = {t: frozenset(x) for x in (("li",), ("dt", "dd"), ("tr",), ("td", "th"), ("option",)) for t in x}
 CONTAINERS = frozenset("ul ol dl table tbody thead div section article aside nav header footer main form body html".split())
@@ -71,6 +79,19 @@ def _told(attributes: str) -> tuple[tuple[str, ...], bool]:
     return tuple(words), hidden
 
 
+_BUTTON = re.compile(r"<(/?)button(?=[\s/>])", re.I)
+
+
+def _closed_buttons(page: str) -> set[int]:
+    """Where buttons begin that an end tag closes before the next one begins."""
+    closed, last = set(), -1
+    for m in _BUTTON.finditer(page):
+        if m[1] and last >= 0:
+            closed.add(last)
+        last = -1 if m[1] else m.start()
+    return closed
+
+
 def blocks(page: str | None) -> list[Block]:
     """The page's leaf blocks in order, their text decoded and with single blanks."""
     page = page or ""
@@ -78,14 +99,17 @@ def blocks(page: str | None) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...], bool]] = []
     parts: list[str] = []
     linked, links, hidden, at = 0, 0, 0, 0
+    # ends of closed buttons; whether text stands in one, and whether the block has other text
+    buttons = _closed_buttons(page)
+    pressed, plain = 0, False
 
     def flush():
-        nonlocal linked
+        nonlocal linked, plain
         text = " ".join(html_lib.unescape("".join(parts)).split())
-        if text and not hidden:
+        if text and not hidden and plain:
             found.append(Block(text, tuple((t, n) for t, n, _ in stack if t not in INLINE), min(1.0, linked / len(text))))
         parts.clear()
-        linked = 0
+        linked, plain = 0, False
 
     def pop():
         nonlocal links, hidden
@@ -103,8 +127,13 @@ def blocks(page: str | None) -> list[Block]:
                 return
 
     def say(text: str):
-        nonlocal linked
+        nonlocal linked, plain
+        if stack and stack[-1][0] == "head" and text.strip():
+            close({"head"})
+        if hidden:
+            return
         parts.append(text)
+        plain = plain or (not pressed and not text.isspace())
         if links:
             linked += len(text)
 
@@ -136,6 +165,9 @@ def blocks(page: str | None) -> list[Block]:
                 break
         tag = m[2].lower()
         if m[1]:
+            if tag == "button":
+                pressed = 0
+                continue
             if tag not in INLINE:
                 flush()
             if tag in INLINE:
@@ -143,6 +175,12 @@ def blocks(page: str | None) -> list[Block]:
             else:
                 close({tag})
             continue
+        if tag not in IN_HEAD and any(t == "head" for t, _, _ in stack):
+            flush()
+            close({"head"})
+        if tag == "button":
+            pressed = int(lt in buttons)
+            continue
         if tag not in INLINE:
             if tag == "br":
                 say(" ")
@@ -152,8 +190,6 @@ def blocks(page: str | None) -> list[Block]:
                 close({"p"}, CONTAINERS | {"td", "th", "li"})
             if tag in CLOSES:
                 close(CLOSES[tag], CONTAINERS - {"tbody", "thead"} if tag == "tr" else CONTAINERS)
-            if tag in ("body",):
-                close({"head"})
         if tag in VOID:
             continue
         if tag in UNPARSED:
@@ -161,7 +197,7 @@ def blocks(page: str | None) -> list[Block]:
             at = page.find(">", end.end()) + 1 if end else len(page)
             at = at or len(page)
             continue
-        if m[3].endswith("/") and tag in ("svg", "math"):
+        if m[3].endswith("/") and tag in FOREIGN:
             continue
         names, off = _told(m[3]) if m[3] else ((), False)
         off = off or tag in RAW

@@ -8,10 +8,12 @@ are mapped back to code-point offsets of the original text. The automaton's symb
 are whole words, numbered by the benchmark's own vocabulary.
 
 The windows travel to the tasks as text, and each Python worker builds the
-automaton once and keeps one at a time. Their size is measured first: beyond
-``max_window_words`` the items are dealt over several sets, each within the bound,
-that are collected, sent and scanned one after the other, in one pass over the
-documents each, so neither the driver nor a worker ever holds two of them.
+automaton once and keeps one at a time. Their size is measured first. A benchmark beyond
+``max_window_words`` is screened: windows become 64-bit hashes (8 bytes each instead of
+hundreds), one pass over the documents finds which hashes occur at all, and
+the one automaton is built of those windows alone, which a join has given back their text. The screen loses
+nothing, since equal words have equal hashes, and what it finds too much the automaton doesn't match.
+Only if even the windows that occur are beyond the bound do they go in several sets, each within it.
 
 Defined results: null and wordless texts have no words, no hits and are clean;
 null or wordless items match nothing; an item without an id hits words, but is no
@@ -24,10 +26,12 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import defaultdict
+from functools import reduce
 from itertools import repeat
 
 import ahocorasick
 import numpy as np
+import xxhash
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,9 +41,14 @@ from promptlake.llm.base import LOWER, WORD, discard, hidden, stored
 WINDOW = 13
 #: Words of windows (each window's counted) in one automaton, which takes some 50 bytes for each.
 MAX_WINDOW_WORDS = 4_000_000
+#: Hashes of windows (8 bytes each) that one pass looks for.
+MAX_SCREENED = 16_000_000
 _NORMAL = np.where(WORD, LOWER, 32).astype(np.uint8).tobytes()
 _WORDS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
+#: Words remembered with their hash in a task, and what a window's hash is built with.
+_KNOWN, _BASE = 1 << 18, np.uint64(0x9E3779B97F4A7C15)
+
 _RANGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _RESULT = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", _RANGES), ("words", _RANGES)])
 _DDL = (
@@ -156,17 +165,24 @@ def contamination(
     item_text: str = "text",
     size: int = WINDOW,
     max_window_words: int = MAX_WINDOW_WORDS,
+    max_screened: int = MAX_SCREENED,
     as_column: str = "contamination",
 ) -> DataFrame:
     """docs with a struct column: n_words, n_hit, items (sorted ids), spans of the original text (code points), words (places of hit words)."""
     context = docs.sparkSession.sparkContext
     items = benchmark.select(F.col(item_key).cast("string").alias("item"), F.col(item_text).alias("text")).where("text IS NOT NULL")
     n_words = items.agg(F.sum(F.regexp_count("text", F.lit(_WORDS.pattern)))).first()[0] or 0
-    n_sets = max(1, -(-int(n_words) * size // max_window_words))
+    if int(n_words) * size <= max_window_words:
+        sets = iter([windows([(r.item, r.text) for r in items.collect()], size)])
+        n_sets, kept = 1, None
+    else:
+        kept = occurring(docs, items, text, size, max_screened)
+        held = kept.agg(F.sum("n")).first()[0] or 0
+        n_sets = max(1, -(-int(held) // max_window_words))
+        of = lambda k: kept.where(F.pmod(F.xxhash64("window"), F.lit(n_sets)) == k) if n_sets > 1 else kept
+        sets = ({r.window: sorted(r["items"]) for r in of(k).toLocalIterator()} for k in range(n_sets))
     told, part, older = docs, hidden(docs, "found"), None
-    for k in range(n_sets):
-        dealt = items.where(F.pmod(F.xxhash64("text"), F.lit(n_sets)) == k).collect() if n_sets > 1 else items.collect()
-        found = windows([(r.item, r.text) for r in dealt], size)
+    for k, found in enumerate(sets):
         key = hashlib.sha256(repr(sorted(found.items())).encode()).hexdigest()
         sent = context.broadcast(found)
 
@@ -178,9 +194,84 @@ def contamination(
             if older is not None:
                 discard(older)
             older = told
+    if kept is not None:
+        discard(kept)
     return told.drop(part)
 
 
+def _hashes(split: list[bytes], n: int, known: dict[bytes, int]) -> np.ndarray:
+    """A 64-bit hash of every n words that follow one another."""
+    if len(split) < n:
+        return np.zeros(0, np.uint64)
+    for w in split:
+        if w not in known:
+            if len(known) > _KNOWN:
+                known.clear()
+            known[w] = xxhash.xxh64_intdigest(w)
+    one = np.array([known[w] if w in known else xxhash.xxh64_intdigest(w) for w in split], np.uint64)
+    total = np.zeros(len(split) - n + 1, np.uint64)
+    for i in range(n):
+        total = total * _BASE + one[i : len(split) - n + 1 + i]
+    return total * _BASE + np.uint64(n)
+
+
+def _window_rows(size: int):
+    """Batches of (item, text) to (h, n, window, item) of every window."""
+
+    def rows(batches):
+        known: dict[bytes, int] = {}
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                w = words(text)
+                if w:
+                    n = min(size, len(w))
+                    h = _hashes(w, n, known).view(np.int64)
+                    said = [b" ".join(w[i : i + n]).decode() for i in range(len(h))]
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([n] * len(h), pa.int32()), pa.array(said, pa.string()), pa.array([item] * len(h), pa.string())], names=["h", "n", "window", "item"])
+
+    return rows
+
+
+def _screen(sent):
+    """Batches of texts to the hashes (h) of windows that occur in them, each once a batch."""
+
+    def look(batches):
+        lengths, wanted = sent.value
+        known: dict[bytes, int] = {}
+        for batch in batches:
+            found = [np.zeros(0, np.uint64)]
+            for text in batch.column(0).to_pylist():
+                split = words(text)
+                for n in lengths:
+                    h = _hashes(split, n, known)
+                    at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
+                    found.append(h[wanted[at] == h])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)).view(np.int64))], names=["h"])
+
+    return look
+
+
+def occurring(docs: DataFrame, items: DataFrame, text: str = "text", size: int = WINDOW, max_screened: int = MAX_SCREENED) -> DataFrame:
+    """(window, n, items) of the windows of items (item, text) whose hashes occur in the documents; stored."""
+    context = docs.sparkSession.sparkContext
+    every = stored(items.select("item", "text").mapInArrow(_window_rows(size), "h bigint, n int, window string, item string"), "decontaminate-windows")
+    lengths = [r.n for r in every.select("n").distinct().collect()]  # at most `size` of them
+    hashes = every.select("h").distinct()
+    n_passes = -(-hashes.count() // max_screened)
+    parts = []
+    for k in range(n_passes):
+        some = (hashes.where(F.pmod("h", F.lit(n_passes)) == k) if n_passes > 1 else hashes).toArrow()["h"].to_numpy()
+        sent = context.broadcast((lengths, np.sort(some.view(np.uint64))))
+        parts.append(docs.select(F.col(text).alias("text")).mapInArrow(_screen(sent), "h bigint"))
+    if not parts:
+        return stored(every.select("window", "n", F.array("item").alias("items")).where("false"), "decontaminate-found")
+    met = reduce(DataFrame.unionByName, parts).distinct()
+    told = every.join(met, "h", "left_semi").groupBy("window").agg(F.first("n").alias("n"), F.collect_set("item").alias("items"))
+    found = stored(told, "decontaminate-found")
+    discard(every)
+    return found
+
+
 def contaminated(found: str = "contamination"):
     """Five in a hundred of the words, and at least one, are hit."""
     return (F.col(f"{found}.n_hit") > 0) & (20 * F.col(f"{found}.n_hit") >= F.col(f"{found}.n_words"))
@@ -208,4 +299,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     return contamination(docs, benchmark, as_column=name, **options).where(~contaminated(name)).drop(name)
 
 
-__all__ = ["clean", "contaminated", "contamination", "cut_spans", "judge", "windows"]
+__all__ = ["clean", "contaminated", "contamination", "cut_spans", "judge", "occurring", "windows"]

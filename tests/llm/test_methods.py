@@ -80,13 +80,26 @@ def test_quality_hears_words(spark):
     assert all((got[i] >= 0.5) == bool(i % 2) for i in range(150, 200))
 
 
-def test_several_sets_find_what_one_does(spark):
+def test_a_screened_benchmark_finds_what_one_automaton_does(spark):
     docs, items = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
-    one, many = (
-        {r.doc_id: (r.c.n_words, r.c.n_hit, tuple(r.c["items"]), tuple(map(tuple, r.c.spans))) for r in decontaminate.contamination(docs, items, max_window_words=bound, as_column="c").collect()}
-        for bound in (20_000_000, 20_000)
-    )
-    assert one == many and any(x[1] for x in one.values())
+    found = [
+        {r.doc_id: (r.c.n_words, r.c.n_hit, tuple(r.c["items"]), tuple(map(tuple, r.c.spans))) for r in decontaminate.contamination(docs, items, as_column="c", **bounds).collect()}
+        # all windows; those that occur; those in two passes; those in several sets
+        for bounds in ({}, {"max_window_words": 15_000}, {"max_window_words": 15_000, "max_screened": 700}, {"max_window_words": 3_000})
+    ]
+    assert any(x[1] for x in found[0].values())
+    assert all(f == found[0] for f in found)
+
+
+def test_a_benchmark_of_any_size_is_one_automaton_of_what_occurs(spark, monkeypatch):
+    """Four thousand items, a bound of 20 words: only the window that occurs is built, and the documents aren't written."""
+    sent = []
+    monkeypatch.setattr(decontaminate, "_scanned", lambda key, told, text, before=None, f=decontaminate._scanned: sent.append(told.value) or f(key, told, text, before))
+    docs = spark.createDataFrame([(1, "one two three four five"), (2, "nothing here")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(i, f"never{i} seen{i} words{i}") for i in range(4000)] + [(-1, "two three four")], "item_id bigint, text string")
+    got = {r.doc_id: r.contamination for r in decontaminate.contamination(docs, items, max_window_words=20).collect()}
+    assert sent == [{"two three four": ["-1"]}]
+    assert (got[1].n_hit, got[1]["items"], got[2].n_hit) == (3, ["-1"], 0)
 
 
 def test_pages_give_their_article():

@@ -82,19 +82,25 @@ def none() -> Column:
     return F.expr(f"cast(array() as array<{HIT}>)")
 
 
+def _spans_if(test: Column, text: Column, pattern: str) -> Column:
+    """spans where a cheap test, which every match passes, holds; most texts hold none."""
+    return F.when(F.coalesce(test, F.lit(False)), spans(text, pattern)).otherwise(F.expr("cast(array() as array<struct<start: int, end: int, text: string>>)"))
+
+
 def national_ids(normal: Column) -> Column:
-    runs = spans(normal, r"(?<![0-9.])[0-9]{10}(?![0-9.])")
+    runs = _spans_if(normal.rlike("[0-9]{10}"), normal, r"(?<![0-9.])[0-9]{10}(?![0-9.])")
     return hits("CHECKSUM", "کد ملی", "national_id", CHECKSUM, F.filter(runs, lambda s: national_id_ok(s["text"])))
 
 
 def bank_cards(normal: Column) -> Column:
-    runs = spans(normal, rf"(?<![0-9.])[0-9][0-9\-{BLANKS}]{{14,18}}[0-9](?![0-9.])")
+    # sixteen digits with four marks between them at most have four that touch
+    runs = _spans_if(normal.rlike("[0-9]{4}"), normal, rf"(?<![0-9.])[0-9][0-9\-{BLANKS}]{{14,18}}[0-9](?![0-9.])")
     return hits("CHECKSUM", "شماره کارت بانکی", "ir_bank_card", CHECKSUM, F.filter(runs, lambda s: card_ok(flat(s["text"]))))
 
 
 def ibans(normal: Column) -> Column:
     """Iranian numbers by their checksum; others only where `iban` follows from 40 characters before their first place."""
-    runs = spans(normal, f"(?i){BEFORE}(?:IR[0-9]{{2}}[0-9]{{21}}|[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}){AFTER}")
+    runs = _spans_if(normal.rlike("[0-9]{2}[0-9A-Za-z]{11}"), normal, f"(?i){BEFORE}(?:IR[0-9]{{2}}[0-9]{{21}}|[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}){AFTER}")
 
     def valid(s):
         around = normal.substr(F.greatest(F.instr(normal, s["text"]) - 40, F.lit(1)), F.length(normal))
@@ -104,7 +110,8 @@ def ibans(normal: Column) -> Column:
 
 
 def declared_values(normal: Column) -> Column:
-    plain = lambda pattern: F.filter(spans(normal, pattern), lambda s: ~F.regexp_extract(s["text"], pattern, 1).rlike(r"(?i)\A(?:password|api_key|token|secret)\z"))
+    tests = {_SECRET_DECLARED: has_any(normal, ["رمز", "گذرواژه", "پسورد", "کلید", "توکن"]), _PHONE_DECLARED: normal.rlike("[0-9][0-9 ()\\-]{6}")}
+    plain = lambda pattern: F.filter(_spans_if(tests[pattern], normal, pattern), lambda s: ~F.regexp_extract(s["text"], pattern, 1).rlike(r"(?i)\A(?:password|api_key|token|secret)\z"))
     return F.concat(
         hits("REGEX", "رمز عبور اعلام‌شده", "credential", DECLARED, plain(_SECRET_DECLARED)),
         hits("REGEX", "شماره تماس شخصی اعلام‌شده", "personal_contact", DECLARED, plain(_PHONE_DECLARED)),
@@ -142,8 +149,8 @@ def bulk_contacts(text: Column, normal: Column) -> Column:
         one = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.concat_ws(" ", count.cast("string"), F.lit(unit)).alias("text")))
         return hits("REGEX", label, category, BULK, F.filter(one, lambda _: count >= 3))
 
-    mails = F.regexp_count(text, F.lit(EMAIL))
-    mobiles = F.size(found(normal, r"(?:\A|[^0-9])(09[0-9]{9})(?![0-9])"))
+    mails = F.when(F.contains(text, F.lit("@")), F.regexp_count(text, F.lit(EMAIL))).otherwise(0)
+    mobiles = F.when(~F.contains(normal, F.lit("09")), 0).otherwise(F.size(found(normal, r"(?:\A|[^0-9])(09[0-9]{9})(?![0-9])")))
     return F.concat(bulk("آدرس ایمیل (انبوه)", "bulk_email", mails, "ایمیل"), bulk("شماره موبایل (انبوه)", "bulk_mobile", mobiles, "موبایل"))
 
 
@@ -156,6 +163,10 @@ def phrases(normal: Column, terms: list[str], kind: str, label: str, category: s
 
 
 def jailbreaks(normal: Column) -> Column:
+    return F.when(~has_any(F.lower(normal), JAILBREAK_PHRASES), none()).otherwise(_jailbreaks(normal))
+
+
+def _jailbreaks(normal: Column) -> Column:
     return phrases(normal, JAILBREAK_PHRASES, "SEMANTIC", "تلاش دور زدن فیلتر", "jailbreak_injection", JAILBREAK)
 
 
@@ -217,8 +228,12 @@ def checked_rules(normal: Column, rules: list[dict], limit: int = MAX_PATTERN, s
 
 def foreign(function: RowFunction, seconds: float = SECONDS):
     """A detector from outside as a step of `dlp_outcome`: function(text, deadline) lists hits as dicts of HIT's fields, or raises."""
-    run = guarded(function, f"array<{HIT}>", seconds)
-    return lambda text: F.struct(F.coalesce(run(text)["value"], none()).alias("hits"), run(text)["error"].alias("error"))
+
+    def step(text: Column) -> Column:
+        told = guarded(function, f"array<{HIT}>", seconds)(text)
+        return F.struct(F.coalesce(told["value"], none()).alias("hits"), told["error"].alias("error"))
+
+    return step
 
 
 def compiled_rules(normal: Column, rules: list[dict], limit: int = MAX_PATTERN) -> Column:

@@ -66,3 +66,40 @@ def still_current(decisions: DataFrame, revisions: DataFrame) -> DataFrame:
     """decisions with `current`: whether their policy revision is the one in force. Nothing is lost."""
     now = revisions.where("ready").select("document_id", F.col("revision").alias("now__"))
     return decisions.join(now, "document_id", "left").withColumn("current", F.coalesce(F.col("revision") == F.col("now__"), F.lit(False))).drop("now__")
+
+
+#: A tenant's history and its requests meet by days of this length.
+DAY_S = 86_400
+
+
+def policies_in_force(requests: DataFrame, history: DataFrame, key: str, tenant: str = "org_id", at: str = "at", document: str = "document_id", status: str = "status", order: str = "version") -> DataFrame:
+    """(key, n_active, document, in_force): at each request's time, how many documents of its tenant are ACTIVE, and which if it is just one.
+
+    history (tenant, document, status, at, order) lists changes of state; one at the request's very time counts, and of
+    changes at one time the last by `order`. Requests without a time or tenant, or before any change, have none in force. The history becomes
+    intervals with a running count of active documents; intervals and requests meet by tenant and day, so a
+    tenant with a third of all requests is as many keys as it has days.
+    """
+    ticks = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    day = lambda c: F.floor(c / (DAY_S * 1_000_000))
+    each = Window.partitionBy(tenant, document).orderBy("t__", order)
+    told = history.where(F.col(tenant).isNotNull() & F.col(at).isNotNull()).select(tenant, document, order, ticks(at).alias("t__"), (F.coalesce(F.col(status), F.lit("")) == "ACTIVE").cast("int").alias("on__"))
+    told = told.withColumn("step__", F.col("on__") - F.coalesce(F.lag("on__").over(each), F.lit(0))).where("step__ <> 0")
+    # a sum of numbers that stand for documents is the one document's number where only one is active
+    number = F.xxhash64(document).cast("decimal(38,0)")
+    moves = told.groupBy(tenant, "t__").agg(F.sum("step__").alias("n"), F.sum(F.col("step__") * number).alias("which"))
+    line = Window.partitionBy(tenant).orderBy("t__")
+    upto = line.rowsBetween(Window.unboundedPreceding, 0)
+    spans_ = moves.select(tenant, "t__", F.lead("t__").over(line).alias("until__"), F.sum("n").over(upto).alias("n_active"), F.sum("which").over(upto).alias("which__"))
+    asked = requests.select(key, F.col(tenant).alias("tenant__"), ticks(at).alias("at__"))
+    last = asked.agg(F.max("at__").alias("last__"))
+    # one row with the last request's time
+    spans_ = spans_.crossJoin(F.broadcast(last)).where("t__ <= last__").withColumn("until__", F.coalesce("until__", F.col("last__") + 1))
+    spans_ = spans_.where("until__ > t__").withColumn("day__", F.explode(F.sequence(day(F.col("t__")), day(F.least(F.col("until__") - 1, F.col("last__"))))))
+    met = asked.withColumn("day__", day(F.col("at__"))).alias("a").join(
+        spans_.alias("s"), (F.col("a.tenant__") == F.col(f"s.{tenant}")) & (F.col("a.day__") == F.col("s.day__")) & (F.col("a.at__") >= F.col("s.t__")) & (F.col("a.at__") < F.col("s.until__")), "left"
+    )
+    found = met.select(F.col(f"a.{key}").alias(key), F.col("a.tenant__").alias("tenant__"), F.coalesce("s.n_active", F.lit(0)).cast("bigint").alias("n_active"), F.when(F.col("s.n_active") == 1, F.col("s.which__")).alias("which__"))
+    names = told.select(F.col(tenant).alias("of__"), number.alias("which__"), F.col(document).alias("document")).distinct()
+    named = found.alias("f").join(names.alias("n"), (F.col("f.tenant__") == F.col("n.of__")) & (F.col("f.which__") == F.col("n.which__")), "left")
+    return named.select(F.col(f"f.{key}").alias(key), F.col("f.n_active").alias("n_active"), F.col("n.document").alias("document"), (F.col("f.n_active") == 1).alias("in_force"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,8 +69,8 @@ def phrase_pattern(keyword: Column) -> Column:
 MAX_KEYWORDS = 10_000
 
 
-def keyword_rules(docs: DataFrame, rules: DataFrame, key: str, normal: str, max_keywords: int = MAX_KEYWORDS) -> DataFrame:
-    """(key, codes, score) of every document: active rules with a keyword that stands in the text.
+def keyword_hits(rules: DataFrame, max_keywords: int = MAX_KEYWORDS) -> Callable[[Column], Column]:
+    """Active rules as a column function: normal text to array<struct<code, severity, score>> of the rules with a keyword that stands in it.
 
     rules (code, keywords, severity, is_active) is the policy's bounded list: it is read
     first, each rule becomes one pattern of all its keywords (compiled once in a task),
@@ -81,9 +83,15 @@ def keyword_rules(docs: DataFrame, rules: DataFrame, key: str, normal: str, max_
     patterns: dict[tuple[str, str | None], list[str]] = {}
     for r in listed:
         patterns.setdefault((r.code, r.severity), []).append(r.pattern)
-    empty = F.expr("cast(array() as array<struct<code: string, score: double>>)")
-    hit = [F.when(F.col(normal).rlike("|".join(p)), F.struct(F.lit(code).alias("code"), F.lit(SEVERITY.get(severity, 0.5)).alias("score"))) for (code, severity), p in sorted(patterns.items(), key=repr)]
-    told = docs.select(key, F.array_compact(F.array(*hit)).alias("hit") if hit else empty.alias("hit"))
+    empty = F.expr("cast(array() as array<struct<code: string, severity: string, score: double>>)")
+    of = lambda code, severity: F.struct(F.lit(code).alias("code"), F.lit(severity).cast("string").alias("severity"), F.lit(SEVERITY.get(severity, 0.5)).alias("score"))
+    hit = lambda normal: [F.when(normal.rlike("|".join(p)), of(*named)) for named, p in sorted(patterns.items(), key=repr)]
+    return lambda normal: F.array_compact(F.array(*hit(normal))) if patterns else empty
+
+
+def keyword_rules(docs: DataFrame, rules: DataFrame, key: str, normal: str, max_keywords: int = MAX_KEYWORDS) -> DataFrame:
+    """(key, codes, score) of every document by `keyword_hits`."""
+    told = docs.select(key, keyword_hits(rules, max_keywords)(F.col(normal)).alias("hit"))
     score = F.coalesce(F.array_max(F.transform("hit", lambda r: r["score"])), F.lit(0.0))
     return told.select(key, F.array_sort(F.array_distinct(F.transform("hit", lambda r: r["code"]))).alias("codes"), score.alias("score"))
 

@@ -247,6 +247,48 @@ def first_engine(layers: list[tuple[Column, Column]]) -> Column:
     )
 
 
+#: What a layer of the layered engine says; a null layer is one that failed.
+LAYER = "struct<score: double, blocked: boolean, reasons: array<string>, rules: array<struct<code: string, severity: string>>>"
+# Reasons when there is nothing to judge by, and when a layer fails.
+NO_POLICY, FAILED_LAYER = "امکان ارزیابی سیاست‌های سازمان وجود ندارد", "خطا در ارزیابی سیاست‌های سازمان"
+
+
+def layered(layers: Column, has_policy: Column | None = None) -> Column:
+    """struct<action, score, reasons, rules, layers_run> of the layered engine.
+
+    layers: array of LAYER in order, folded in one pass. Reasons and rules gather over the layers, each
+    reason once and the first rule of each code; the score is the largest. The run ends after a layer that blocks once any gathered rule is
+    CRITICAL. Any reason blocks. Without a policy, or if a layer that runs has failed, the answer is BLOCK with score 1 and that reason alone.
+    """
+    start = F.expr(
+        "struct(false as stop, false as failed, 0D as score, 0 as ran, cast(array() as array<string>) as reasons, cast(array() as array<struct<code: string, severity: string>>) as rules)"
+    )
+
+    def step(s: Column, x: Column) -> Column:
+        seen = F.transform(s["rules"], lambda r: r["code"])
+        # the first of each code, also within the layer
+        own = F.coalesce(x["rules"], s["rules"])
+        codes = F.transform(own, lambda r: r["code"])
+        new = F.filter(own, lambda r, i: ~F.coalesce(F.array_contains(seen, r["code"]), F.lit(False)) & (F.array_position(codes, r["code"]) == i + 1))
+        rules = F.concat(s["rules"], new)
+        reasons = F.array_distinct(F.concat(s["reasons"], F.coalesce(x["reasons"], F.array().cast("array<string>"))))
+        critical = F.coalesce(x["blocked"], F.lit(False)) & F.exists(rules, lambda r: F.coalesce(r["severity"] == "CRITICAL", F.lit(False)))
+        gone = F.struct(F.lit(True).alias("stop"), F.lit(True).alias("failed"), F.lit(1.0).alias("score"), (s["ran"] + 1).alias("ran"), s["reasons"].alias("reasons"), s["rules"].alias("rules"))
+        went = F.struct(critical.alias("stop"), F.lit(False).alias("failed"), F.greatest(s["score"], F.coalesce(x["score"], F.lit(0.0))).alias("score"), (s["ran"] + 1).alias("ran"), reasons.alias("reasons"), rules.alias("rules"))
+        return F.when(s["stop"], s).when(x.isNull(), gone).otherwise(went)
+
+    def closed(reason: str, ran: Column) -> Column:
+        return F.struct(F.lit("BLOCK").alias("action"), F.lit(1.0).alias("score"), F.array(F.lit(reason)).alias("reasons"), start["rules"].alias("rules"), ran.alias("layers_run"))
+
+    def finish(s: Column) -> Column:
+        some = F.size(s["reasons"]) > 0
+        told = F.struct(F.when(some, "BLOCK").otherwise("ALLOW").alias("action"), F.when(some, s["score"]).otherwise(0.0).alias("score"), s["reasons"].alias("reasons"), s["rules"].alias("rules"), s["ran"].alias("layers_run"))
+        return F.when(s["failed"], closed(FAILED_LAYER, s["ran"])).otherwise(told)
+
+    told = F.aggregate(layers, start, step, finish)
+    return told if has_policy is None else F.when(F.coalesce(has_policy, F.lit(False)), told).otherwise(closed(NO_POLICY, F.lit(0)))
+
+
 def closed_where_missing(decisions: DataFrame, inputs: DataFrame, key: str) -> DataFrame:
     """One row for every input; those without a decision are UNCERTAIN, LOCAL, FAILED."""
     told = inputs.select(key).distinct().join(decisions, key, "left")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from promptlake.functions import detectors
 from promptlake.operators import conversations as conv
+from promptlake.operators import rules
 from promptlake.plans import decide, queries_text
 from promptlake.plans.pipeline import detection, route_conversations
 from promptlake.sources.readers import spread, table
@@ -82,6 +83,37 @@ def dlp_isolated(spark, sf_dir):
     return routed.select(F.col("conv_id").alias("doc_id"), F.col("n_hits").cast("bigint").alias("n_hits"), "categories", "failed", "health", "sensitivity", "route", "decision", "action")
 
 
+def policy_in_force(spark, sf_dir):
+    """At each error event: which of its user's policies is in force. Event types are documents, active from a large value until a small one."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", F.col("ts").alias("at"))
+    history = e.where("event_type <> 'error'").withColumn("status", F.when(F.col("value") > 60, "ACTIVE").otherwise("ARCHIVED"))
+    return conv.policies_in_force(e.where("event_type = 'error'"), history, "event_id", tenant="user_id", document="event_type", order="event_id")
+
+
+def layered_documents(spark, sf_dir):
+    """The layered engine over all documents: identifiers and secrets, keyword rules, behaviour."""
+    listed = spark.createDataFrame(queries_text.RULES, "code string, keywords array<string>, severity string, is_active boolean")
+    text, normal = F.col("text"), F.col("normal")
+    told = queries_text.normal(spark, sf_dir).withColumns(
+        {"legacy": detectors.legacy_layer(text, normal), "hit": rules.keyword_hits(listed)(normal), "behaviour": detectors.behaviour(text, normal, ["only"], ["licensed"], queries_text.ORGANISATION)}
+    )
+    kinds = {"national_ids": ("CRITICAL", 1), "ibans": ("CRITICAL", 1), "cards": ("CRITICAL", 1), "secret_family": ("CRITICAL", 1), "emails": ("HIGH", 3), "mobiles": ("HIGH", 3)}
+    found = F.array_compact(F.array(*(F.when(F.col(f"legacy.{k}") >= least, F.struct(F.lit(k).alias("code"), F.lit(severity).alias("severity"))) for k, (severity, least) in kinds.items())))
+    code = lambda r: r["code"]
+    sensitive = F.struct(F.col("legacy.score").alias("score"), F.col("legacy.blocked").alias("blocked"), F.transform(found, code).alias("reasons"), found.alias("rules"))
+    keyword = F.struct(
+        F.coalesce(F.array_max(F.transform("hit", lambda r: r["score"])), F.lit(0.0)).alias("score"),
+        (F.size("hit") > 0).alias("blocked"),
+        F.transform("hit", lambda r: F.concat(F.lit("rule "), r["code"])).alias("reasons"),
+        F.transform("hit", lambda r: F.struct(r["code"].alias("code"), r["severity"].alias("severity"))).alias("rules"),
+    )
+    b = F.col("behaviour.score")
+    behaviour = F.struct(b.alias("score"), (b > 0).alias("blocked"), F.when(F.col("behaviour.rewriting"), F.array(F.lit("rewriting"))).when(b > 0, F.array(F.lit("organisations"))).otherwise(F.array().cast("array<string>")).alias("reasons"), F.array().cast("array<struct<code: string, severity: string>>").alias("rules"))
+    out = decide.layered(F.array(*(c.cast(decide.LAYER) for c in (sensitive, keyword, behaviour))))
+    said = told.select("doc_id", out.alias("o"))
+    return said.select("doc_id", "o.action", "o.score", F.array_join("o.reasons", ",").alias("reasons"), F.array_join(F.transform("o.rules", code), ",").alias("rules"), F.col("o.layers_run").cast("bigint").alias("layers_run"))
+
+
 def detection_rules(spark, sf_dir):
     return detection(messages(spark, sf_dir), "rules", terms={"PROPRIETARY_SERVICE": ["que", "der"]})
 
@@ -192,7 +224,7 @@ def sse_parse(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (conv_last30, conv_last_user, conv_payload_hash, conv_route, conv_route_counts, dlp_isolated, detection_semantic, detection_rules, route_truth_table, fusion_truth_table, egress_guard, parsed_answers, sse_parse)
+    for f in (conv_last30, conv_last_user, conv_payload_hash, conv_route, conv_route_counts, dlp_isolated, policy_in_force, layered_documents, detection_semantic, detection_rules, route_truth_table, fusion_truth_table, egress_guard, parsed_answers, sse_parse)
 }
 
 
@@ -235,6 +267,19 @@ SELECT doc_id, n_hits, categories, CASE WHEN broken THEN 'digests' ELSE '' END A
 ORACLE_SQL = {
     "conv_route": _ROUTE,
     "dlp_isolated": _ISOLATED,
+    "policy_in_force": """
+WITH h AS (SELECT event_id, user_id, event_type, ts, value > 60 AS active FROM events WHERE event_type <> 'error'), q AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'error'),
+last AS (SELECT q.event_id, h.event_type, arg_max(h.active, (h.ts, h.event_id)) AS active FROM q JOIN h ON h.user_id = q.user_id AND h.ts <= q.ts GROUP BY ALL),
+n AS (SELECT event_id, count_if(active) AS n, max(event_type) FILTER (active) AS one FROM last GROUP BY event_id)
+SELECT event_id, coalesce(n, 0) AS n_active, CASE WHEN n = 1 THEN one END AS document, coalesce(n, 0) = 1 AS in_force FROM q LEFT JOIN n USING (event_id)""",
+    "layered_documents": f"""
+WITH l AS ({queries_text.ORACLE_SQL['legacy_layer']}), x AS (SELECT doc_id, regexp_matches(coalesce(text, ''), '{queries_text.SECRET_SQL}') AS secret FROM documents), k AS ({queries_text.ORACLE_SQL['keyword_rules']}), b AS ({queries_text.ORACLE_SQL['behaviour']}),
+j AS (SELECT doc_id, concat_ws(',', CASE WHEN national_ids > 0 THEN 'national_ids' END, CASE WHEN ibans > 0 THEN 'ibans' END, CASE WHEN cards > 0 THEN 'cards' END, CASE WHEN secret THEN 'secret_family' END, CASE WHEN emails >= 3 THEN 'emails' END, CASE WHEN mobiles >= 3 THEN 'mobiles' END) AS one,
+  national_ids > 0 OR ibans > 0 OR cards > 0 OR secret AS critical, l.score AS s1, codes, k.score AS s2, rewriting, b.score AS s3 FROM l JOIN x USING (doc_id) JOIN k USING (doc_id) JOIN b USING (doc_id)),
+r AS (SELECT *, CASE WHEN critical THEN 1 WHEN list_contains(string_split(codes, ','), 'R-003') THEN 2 ELSE 3 END AS ran FROM j),
+o AS (SELECT doc_id, ran, concat_ws(',', nullif(one, ''), CASE WHEN ran >= 2 AND codes <> '' THEN 'rule ' || replace(codes, ',', ',rule ') END, CASE WHEN ran >= 3 AND s3 > 0 THEN CASE WHEN rewriting THEN 'rewriting' ELSE 'organisations' END END) AS reasons,
+  concat_ws(',', nullif(one, ''), CASE WHEN ran >= 2 AND codes <> '' THEN codes END) AS rules, greatest(s1, CASE WHEN ran >= 2 THEN s2 ELSE 0 END, CASE WHEN ran >= 3 THEN s3 ELSE 0 END) AS score FROM r)
+SELECT doc_id, CASE WHEN reasons <> '' THEN 'BLOCK' ELSE 'ALLOW' END AS action, score::DOUBLE AS score, reasons, rules, ran::BIGINT AS layers_run FROM o""",
     "conv_route_counts": f"SELECT route, decision, health, count(*) AS n FROM ({_ROUTE}) GROUP BY ALL",
     "detection_rules": _ROUTED.replace("{evidence}", queries_text.evidence_sql("p", "conv_id", [("proprietary_service", "(?i)que|der")]))
     + """, m AS (SELECT p.conv_id, coalesce(least(n_hits, 100000), 0) AS n_hits, categories FROM p LEFT JOIN e USING (conv_id))

@@ -367,6 +367,9 @@ SELECT doc_id, CASE WHEN length(t) < 40 THEN true WHEN length(regexp_replace(t,
   ELSE len(l) >= 3 AND list_max([len(list_filter(l, lambda y: y = x)) FOR x IN list_distinct(l)]) >= 3 AND list_max([len(list_filter(l, lambda y: y = x)) FOR x IN list_distinct(l)]) / len(l) > 0.5 END AS is_boilerplate FROM l"""
 
 
+SECRET_SQL = "\\bsk-[a-zA-Z0-9]{20,}\\b|\\bAKIA[A-Z0-9]{16}\\b|(?s:-----BEGIN.*?PRIVATE KEY-----)|(?i)\\b(?:password|passwd|secret|token)\\s*=\\s*\\S+|(?i)\\b(?:mongodb|mysql|postgres|redis|amqp)\\+?\\S*://\\S+|(?is)\\bhost\\s*=\\s*\\S+.*?(?:port|password)\\s*=\\s*\\S+"
+
+
 def boilerplate_sql(trimmed: str) -> str:
     """Whether a trimmed text is boilerplate."""
     lines = f"list_filter([trim(x) FOR x IN regexp_split_to_array({trimmed}, '\\n+')], lambda x: x <> '')"
@@ -446,7 +449,7 @@ c AS (SELECT doc_id,
   len(list_filter(regexp_extract_all(n, '\\b[0-9]{{16}}\\b'), lambda x: {_LUHN})) AS cards,
   len(regexp_extract_all(text, '[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{{2,}}')) AS emails,
   len(regexp_extract_all(n, '\\b09[0-9]{{9}}\\b')) AS mobiles,
-  regexp_matches(text, '\\bsk-[a-zA-Z0-9]{{20,}}\\b|\\bAKIA[A-Z0-9]{{16}}\\b|(?s:-----BEGIN.*?PRIVATE KEY-----)|(?i)\\b(?:password|passwd|secret|token)\\s*=\\s*\\S+|(?i)\\b(?:mongodb|mysql|postgres|redis|amqp)\\+?\\S*://\\S+|(?is)\\bhost\\s*=\\s*\\S+.*?(?:port|password)\\s*=\\s*\\S+') AS secret FROM d)
+  regexp_matches(text, '{SECRET_SQL}') AS secret FROM d)
 SELECT doc_id, national_ids, ibans, cards, emails, mobiles,
   CASE WHEN national_ids > 0 OR ibans > 0 OR cards > 0 OR secret THEN 1.0 WHEN emails >= 3 OR mobiles >= 3 THEN 0.8 ELSE 0.0 END::DOUBLE AS score FROM c""",
     "behaviour": f"""

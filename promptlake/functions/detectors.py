@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from promptlake.functions.checksums import card_ok, flat, iban_ok, national_id_ok
 from promptlake.functions.guarded import SECONDS, RowFunction, guarded, pattern_spans
+from promptlake.functions.lexicon import term_spans
 from promptlake.functions.patterns import AFTER, BEFORE, BLANK, BLANKS, SOLID, ZWNJ, found, has_any, quote, spans, text_of
 from promptlake.functions.text import ascii_digits, strip
 
@@ -194,8 +195,18 @@ DICTIONARY_KINDS = {
 MAX_DICTIONARY, MAX_PATTERN = 201, 3
 
 
-def dictionary(text: Column, terms: dict[str, list[str]], limit: int = MAX_DICTIONARY) -> Column:
-    """Terms by kind, over kinds at most `limit` hits."""
+#: Terms that may be one pattern; more are an automaton.
+PATTERN_TERMS = 200
+
+
+def dictionary(text: Column, terms: dict[str, list[str]], limit: int = MAX_DICTIONARY, pattern_terms: int = PATTERN_TERMS) -> Column:
+    """Terms by kind, over kinds at most `limit` hits. Few terms are one pattern of a kind, many one automaton of all kinds; both find the same."""
+    if sum(map(len, terms.values())) > pattern_terms:
+        kinds = list(DICTIONARY_KINDS)
+        found = term_spans(text, [(i, t) for i, kind in enumerate(kinds) for t in terms.get(kind, [])])
+        of_kind = lambda i: F.filter(found, lambda s: s["kind"] == i)
+        named = [of_kind(i) for i in range(len(kinds))]
+        return F.slice(F.concat(none(), *(hits("DICTIONARY", *DICTIONARY_KINDS[k], DICTIONARY, n) for k, n in zip(kinds, named, strict=True))), 1, limit)
     parts = [none()]
     for kind, (label, category) in DICTIONARY_KINDS.items():
         pattern = alternation(terms.get(kind, []))

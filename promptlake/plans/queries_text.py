@@ -216,6 +216,18 @@ def dictionary_hits(spark, sf_dir):
     return every.groupBy("doc_id", F.col("h.category").alias("category")).agg(F.count("*").alias("n"))
 
 
+def dictionary_terms(spark, sf_dir):
+    """A large dictionary: every two words that follow one another in the benchmark, found in all documents."""
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-zà-ÿ]+"), lambda w: w != "")
+    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.array_join(F.slice("w", i, 2), " "))
+    listed = table(spark, sf_dir, "benchmark").select(words.alias("w")).where("size(w) > 1").select(F.explode(pairs).alias("term")).distinct()
+    # a dictionary's terms are read first; they go to the tasks in bounded sets
+    terms = {"PROPRIETARY_SERVICE": [r.term for r in listed.toLocalIterator()]}
+    found = detectors.dictionary(F.col("text"), terms, limit=1 << 30, pattern_terms=0)
+    said = F.transform("h", lambda h: F.lower(h["text"]))
+    return documents(spark, sf_dir).select("doc_id", found.alias("h")).where("size(h) > 0").select("doc_id", F.size("h").cast("bigint").alias("n"), F.sha2(F.array_join(said, "|"), 256).alias("digest"))
+
+
 def dictionary_lookup(spark, sf_dir):
     """A large dictionary by hash join: country names and the documents' own markets."""
     words = ["licensed under", "apache license", "version", "all rights reserved", "the the", "copyright"]
@@ -336,6 +348,7 @@ QUERIES = {
         keyword_rules,
         dictionary_hits,
         dictionary_lookup,
+        dictionary_terms,
         mask_documents,
         mask_findings,
         mask_report,

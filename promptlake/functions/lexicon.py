@@ -31,7 +31,8 @@ MAX_TERMS = 500_000
 MAX_HYPHENS = 4
 _ALIKE = str.maketrans({"ي": "ی", "ك": "ک"})
 _GAP = regex.compile(f"[{BLANKS}{ZWNJ}]+")
-_CANDIDATE = "array<struct<start: int, end: int, size: int, kind: int>>"
+_FIELDS = ("start", "end", "size", "place", "kind")
+_CANDIDATE = f"array<struct<{', '.join(f'{n}: int' for n in _FIELDS)}>>"
 
 
 def _low(text: str) -> str:
@@ -71,17 +72,17 @@ def forms(term: str) -> set[str]:
 
 
 class Lexicon:
-    """An automaton of a set of terms: (kind, term) each."""
+    """An automaton of a set of terms: (kind, term, place in the list) each."""
 
     #: The last one built, with its key: a worker keeps no other.
     last: tuple[str, Lexicon] | None = None
 
-    def __init__(self, terms: list[tuple[int, str]]):
+    def __init__(self, terms: list[tuple[int, str, int]]):
         self.automaton = ahocorasick.Automaton()
-        of: dict[str, list[tuple[int, str]]] = {}
-        for kind, term in terms:
+        of: dict[str, list[tuple[int, str, int]]] = {}
+        for kind, term, place in terms:
             for form in forms(term):
-                of.setdefault(form, []).append((kind, term))
+                of.setdefault(form, []).append((kind, term, place))
         for form, listed in of.items():
             self.automaton.add_word(form, (len(form), listed))
         if of:
@@ -103,21 +104,22 @@ class Lexicon:
         found = {}
         for end, (size, listed) in self.automaton.iter(low):
             start = at[end - size + 1]
-            for kind, term in listed:
+            for kind, term, place in listed:
                 # hyphens that a term begins with may stand before what the form holds
                 lead = min(start, len(term) - len(term.lstrip("-")))
                 while lead and not set(text[start - lead : start]) <= {"-", ZWNJ}:
                     lead -= 1
-                m = next(filter(None, (spelled(term).match(text, start - k) for k in range(lead, -1, -1))), None)
-                if m and m.end() > m.start():
-                    found[kind, m.start(), m.end(), len(term)] = None
-        return [{"start": s, "end": e, "size": n, "kind": k} for k, s, e, n in found]
+                for k in range(lead + 1):  # a hyphen may be taken by the hit before
+                    m = spelled(term).match(text, start - k)
+                    if m and m.end() > m.start():
+                        found[m.start(), m.end(), len(term), place, kind] = None
+        return [dict(zip(_FIELDS, x, strict=True)) for x in found]
 
 
 def chosen(found: list[dict]) -> list[dict]:
-    """Of each kind the leftmost candidates that don't overlap, the longest term of those that begin together; kinds in order."""
+    """Of each kind the leftmost candidates that don't overlap, the longest term of those that begin together, of equal ones that listed first; kinds in order."""
     out, kind, free = [], None, 0
-    for x in sorted(found, key=lambda x: (x["kind"], x["start"], -x["size"], x["end"])):
+    for x in sorted(found, key=lambda x: (x["kind"], x["start"], -x["size"], x["place"])):
         if x["kind"] != kind:
             kind, free = x["kind"], 0
         if x["start"] >= free:
@@ -131,16 +133,16 @@ def term_spans(text: Column, terms: list[tuple[int, str]], max_terms: int = MAX_
 
     Terms are trimmed; those of fewer than two characters, or of nothing but hyphens and blanks, are left out. Offsets count code points.
     """
-    kept = sorted({(k, t.strip()) for k, t in terms if len(t.strip()) >= 2})
+    kept = [(k, t, i) for i, (k, t) in enumerate(dict.fromkeys((k, t.strip()) for k, t in terms if len(t.strip()) >= 2))]
     context = SparkSession.getActiveSession().sparkContext
 
-    def scan(part: list[tuple[int, str]]) -> Column:
+    def scan(part: list[tuple[int, str, int]]) -> Column:
         key, sent = hashlib.sha256(repr(part).encode()).hexdigest(), context.broadcast(part)
 
         @F.arrow_udf(_CANDIDATE)
         def each(texts: pa.Array) -> pa.Array:
             lexicon = Lexicon.of(key, lambda: sent.value)
-            kind = pa.list_(pa.struct([(n, pa.int32()) for n in ("start", "end", "size", "kind")]))
+            kind = pa.list_(pa.struct([(n, pa.int32()) for n in _FIELDS]))
             return pa.array([lexicon.candidates(t or "") for t in texts.to_pylist()], kind)
 
         return each(text)

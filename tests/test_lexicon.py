@@ -15,12 +15,12 @@ ZWNJ = "‌"
 
 def by_pattern(text, terms):
     """The same spans by one alternation, longest term first."""
-    kept = sorted({t.strip() for t in terms if len(t.strip()) >= 2}, key=len, reverse=True)
+    kept = sorted((t.strip() for t in terms if len(t.strip()) >= 2), key=len, reverse=True)
     return [(m.start(), m.end()) for m in regex.finditer("|".join(lexicon.spelled(t).pattern for t in kept), text, regex.IGNORECASE)] if kept else []
 
 
 def by_lexicon(text, terms):
-    return [(x["start"], x["end"]) for x in lexicon.chosen(lexicon.Lexicon([(0, t.strip()) for t in terms if len(t.strip()) >= 2]).candidates(text))]
+    return [(x["start"], x["end"]) for x in lexicon.chosen(lexicon.Lexicon([(0, t.strip(), i) for i, t in enumerate(terms) if len(t.strip()) >= 2]).candidates(text))]
 
 
 @pytest.mark.parametrize(

@@ -136,9 +136,18 @@ QUERIES = {
 }
 
 _WEIGHT = url_filter.listed()
-_STRICT = "|".join(t for t, w in _WEIGHT.items() if w == "strict")
-_SOFT = [t for t, w in _WEIGHT.items() if w == "soft"]
+_STRICT = "|".join(t for t, w in _WEIGHT.items() if max(w.values()) >= url_filter.LIMIT)
 _BEFORE, _AFTER = r"(^|[^\p{L}\p{N}])", r"([^\p{L}\p{N}]|$)"
+_CONTEXTS = url_filter.context_pattern(url_filter.CONTEXTS).replace("\\ ", " ")
+
+
+def _soft_sql(language: str) -> str:
+    """The sum of a language's soft weights in `said`, 0 for a single term."""
+    own = [(t, w[language]) for t, w in _WEIGHT.items() if language in w and max(w.values()) < url_filter.LIMIT]
+    met = ", ".join(f"CASE WHEN regexp_matches(said, '{_BEFORE}{t}{_AFTER}') THEN {w} END" for t, w in own)
+    counts = "true" if language == "en" else f"coalesce(spoken = '{language}', true)"
+    return f"CASE WHEN {counts} AND len(list_filter([{met}], lambda x: x IS NOT NULL)) > 1 THEN list_sum(list_filter([{met}], lambda x: x IS NOT NULL)) ELSE 0 END"
+
 
 ORACLE_SQL = {
     "op11_lexical_search": r"""
@@ -215,12 +224,13 @@ told AS (
       WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
       WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
       WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule,
-    lower(url_decode(host || path)) AS said FROM cut)
+    regexp_replace(regexp_replace(lower(url_decode(host || path)), '{_CONTEXTS}', '\1/\2', 'g'), '{_CONTEXTS}', '\1/\2', 'g') AS said,
+    CASE regexp_extract(host, '[^.]*$') {" ".join(f"WHEN '{x}' THEN '{y}'" for x, y in url_filter.SUFFIXES.items())} END AS spoken FROM cut)
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow'
     WHEN rule IS NOT NULL THEN 'block'
     WHEN regexp_matches(said, '{_BEFORE}({_STRICT}){_AFTER}') THEN 'block'
-    WHEN {" + ".join(f"CAST(regexp_matches(said, '{_BEFORE}{t}{_AFTER}') AS INT)" for t in _SOFT)} >= {url_filter.SOFT_LIMIT} THEN 'block'
+    WHEN greatest({", ".join(_soft_sql(x) for x in sorted({x for x, _, _ in url_filter.VOCABULARY}))}) >= {url_filter.LIMIT} THEN 'block'
     ELSE 'allow' END AS verdict
 FROM told""",
 }

@@ -140,6 +140,43 @@ def cascade(parent: DataFrame, children: dict[str, DataFrame], gone: DataFrame,
     return {"parent": deleted(parent, gone, key)} | {name: deleted(child, gone, key) for name, child in children.items()}
 
 
+def write_keyed(table: DataFrame, path: str, keys: list[str], buckets: int) -> None:
+    """A table by key hash: one folder a bucket, so that a change of some keys rewrites only theirs."""
+    table.withColumn(BUCKET, bucket_of(keys, buckets)).repartition(buckets, BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(path)
+
+
+BUCKET = "bucket__"
+
+
+def bucket_of(keys: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def merge_keyed(path: str, keys: list[str], buckets: int, changes: DataFrame, gone: DataFrame | None = None) -> list[int]:
+    """Replace the rows of changes' keys (one row a key, the table's columns) and delete those of `gone`; the buckets rewritten.
+
+    Only the touched buckets are read and written (dynamic partition overwrite), so the cost is that of
+    the touched share. The new buckets are complete before they are moved into place, one after the
+    other; a job that dies meanwhile is run again with the same changes, which gives the same table. Keys may be null.
+    """
+    spark = changes.sparkSession
+    touched = changes.select(*keys).unionByName(gone.select(*keys)) if gone is not None else changes.select(*keys)
+    touched = touched.distinct().withColumn(BUCKET, bucket_of(keys, buckets))
+    numbers = sorted(r[BUCKET] for r in touched.select(BUCKET).distinct().collect())  # at most `buckets`
+    if not numbers:
+        return []
+    old = spark.read.parquet(path).where(F.col(BUCKET).isin(numbers))
+    same = [F.col(f"o.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
+    kept = old.alias("o").join(touched.drop(BUCKET).alias("t"), same, "left_anti")
+    new = kept.unionByName(changes.withColumn(BUCKET, bucket_of(keys, buckets)).select(kept.columns))
+    # a bucket that loses all its rows keeps an empty file, or dynamic overwrite would leave its old ones
+    hollow = [b for b in numbers if b not in {r[BUCKET] for r in new.select(BUCKET).distinct().collect()}]
+    new.repartition(len(numbers), BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+    for b in hollow:
+        old.limit(0).drop(BUCKET).write.mode("overwrite").parquet(f"{path}/{BUCKET}={b}")
+    return numbers
+
+
 def duplicate_keys(table: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that break uniqueness, with their numbers of rows."""
     return table.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from promptlake.functions.extractors import WordConcepts, WordRules
+from promptlake.operators import store
 from promptlake.plans import processing
 from promptlake.plans.queries_text import WORDS, _N, boilerplate_sql, candidate_sql, chunks_sql
+from promptlake.sources import logs
 from promptlake.sources.batches import BatchStore, work_path
 from promptlake.sources.readers import spread, table
+from promptlake.streaming import logs as stream_logs
 
 #: Words to (category, action), and to (sensitivity, action); texts with a run of marks break the extractor.
 PROPOSED = {"license": ("legal", "MASK"), "the": ("general", "FLAG_REVIEW"), "schein": ("papers", "MASK")}
@@ -48,7 +51,34 @@ def ingested_concepts(spark, sf_dir):
     return processing.unit_report(path, spark)
 
 
-QUERIES = {f.__name__: f for f in (processed_documents, processed_rules, ingested_concepts)}
+def log_stream_daily(spark, sf_dir):
+    """The log's daily totals by a stream: events come in as a stream, changed totals go out in update mode, the last of each day counts."""
+    path = work_path(spark, "daily")
+    kept = BatchStore(spark, f"{path}/store")
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    # times are UTC, whatever the session's zone
+    at = F.expr("timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts))") if schema["ts"].dataType.typeName() == "timestamp_ntz" else F.col("ts")
+    action = F.when(F.col("event_type").isin("error", "purchase"), "BLOCK").otherwise("ALLOW")
+    daily = stream_logs.daily_stats(events.select(at.alias("created_at"), action.alias("action")))
+    running = daily.writeStream.outputMode("update").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(logs.latest_sink(kept, "daily")).start()
+    running.awaitTermination()
+    told = logs.latest(kept, "day timestamp, total bigint, blocked bigint, allowed bigint", "day")
+    return told.withColumn("day", F.date_from_unix_date(F.floor(F.unix_micros("day") / 86_400_000_000).cast("int")))
+
+
+def merged_customers(spark, sf_dir):
+    """Customers merged by key: those with orders get their last one's price, those with a negative balance and none go."""
+    path = work_path(spark, "customers")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    store.write_keyed(c, path, ["c_custkey"], 16)
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max_by("o_totalprice", F.struct("o_orderdate", "o_orderkey")).cast(c.schema["c_acctbal"].dataType).alias("c_acctbal"))
+    gone = c.where("c_acctbal < 0").join(o, "c_custkey", "left_anti").select("c_custkey")
+    store.merge_keyed(path, ["c_custkey"], 16, o, gone)
+    return spark.read.parquet(path).select("c_custkey", "c_acctbal")
+
+
+QUERIES = {f.__name__: f for f in (processed_documents, processed_rules, ingested_concepts, log_stream_daily, merged_customers)}
 
 _CLEAN = "regexp_replace(regexp_replace(coalesce(text, ''), '\\s+\\n', chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
 _QUOTED = ", ".join(f"'{w}'" for w in PROPOSED)
@@ -68,6 +98,9 @@ p AS (SELECT r, count(*) AS n_proposed FROM rule GROUP BY r), o AS (SELECT r, co
 w AS (SELECT r, count(*) AS n_pending FROM chunk LEFT JOIN said USING (r, ordinal) WHERE candidate AND (broken OR len(said) = 0) GROUP BY r)"""
 
 ORACLE_SQL = {
+    "log_stream_daily": "SELECT CAST(ts AS DATE) AS day, count(*) AS total, count_if(event_type IN ('error', 'purchase')) AS blocked, count_if(event_type NOT IN ('error', 'purchase')) AS allowed FROM events GROUP BY 1",
+    "merged_customers": """WITH o AS (SELECT o_custkey AS c_custkey, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS p FROM orders GROUP BY 1)
+SELECT c_custkey, coalesce(p, c_acctbal) AS c_acctbal FROM customer LEFT JOIN o USING (c_custkey) WHERE p IS NOT NULL OR c_acctbal >= 0""",
     # no document has a rule's header, and no chunk restricts, numbers or lists: the SQL counts both
     "processed_documents": _JOB
     + f""", h AS (SELECT r, count(*) AS n_rules FROM chunk WHERE NOT b AND (regexp_matches(piece, '(?m)^[\\-•●▪►◆*]') OR regexp_matches(piece, '(?:بند|ماده|تبصره|قانون|بخش)\\s*[0-9۰-۹]+') OR regexp_matches(piece, 'ممنوع|محرمانه|نباید')) GROUP BY r)

@@ -75,13 +75,17 @@ class BatchStore:
             fs.delete(draft, False)
             return False
 
-    def attempts(self) -> list[str]:
-        """The attempts that count, one for each batch."""
+    def batches(self) -> set[str]:
+        """Names of the committed batches."""
         where, fs = self._hadoop(f"{self.path}/{_MARKERS}")
         if not fs.exists(where):
-            return []
+            return set()
         names = [s.getPath().getName() for s in fs.listStatus(where)]
-        if not any(n.endswith(".json") for n in names):
+        return {n.removesuffix(".json") for n in names if n.endswith(".json")}
+
+    def attempts(self) -> list[str]:
+        """The attempts that count, one for each batch."""
+        if not self.batches():
             return []
         rows = self.spark.read.schema("attempt string").json(f"{self.path}/{_MARKERS}/*.json")
         return sorted(r.attempt for r in rows.collect())

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptlake.functions.text import tokens_ascii
-from promptlake.functions.vectors import cosine, usable
+from promptlake.functions.vectors import usable
 from promptlake.session import ship_package
 
 K1, B = 1.5, 0.75
@@ -19,15 +19,18 @@ RRF = 60
 
 #: Terms of chunks (each chunk's counted) that may be sent to every task as an index, some 40 bytes each.
 MAX_INDEX = 2_000_000
+#: Rows that every query must be given whatever their rank.
+MAX_MANDATORY = 1000
 
 
 def bm25(
-    queries: DataFrame, chunks: DataFrame, words=tokens_ascii, query_key: str = "query_id", chunk_key: str = "chunk_id", text: str = "text", max_index: int = MAX_INDEX
+    queries: DataFrame, chunks: DataFrame, words=tokens_ascii, query_key: str = "query_id", chunk_key: str = "chunk_id", text: str = "text", max_index: int = MAX_INDEX, least: float = 0.0
 ) -> DataFrame:
-    """(query, chunk, score) of every pair that shares a term; a term repeated in the query counts again.
+    """(query, chunk, score) of every pair that shares a term and scores above `least`; a term repeated in the query counts again.
 
     Chunks of up to `max_index` terms (counted first) are sent to the tasks as an
-    inverted index and scored where the query's text is. Beyond, terms meet by an
+    inverted index and scored where the query's text is, and pairs at `least` or below are never rows (rows of one query id
+    are summed first, if any id is repeated). Beyond, terms meet by an
     equi-join, repeated ones summed before they are shuffled. Pairs without a common
     term (score 0) are made in neither way.
     """
@@ -43,12 +46,12 @@ def bm25(
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.when(F.col("average") > 0, F.col("average")).otherwise(1.0)))
     scored = scored.select(chunk_key, "term", weight.alias("weight"))
     if tf.limit(max_index + 1).count() <= max_index:
-        return _by_index(queries, scored.toArrow(), words(F.col(text)), query_key, chunk_key, scored.schema[chunk_key].dataType.simpleString())
+        return _by_index(queries, scored.toArrow(), words(F.col(text)), query_key, chunk_key, scored.schema[chunk_key].dataType.simpleString(), least)
     asked = queries.select(F.col(query_key), F.explode(words(F.col(text))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
-    return asked.join(scored, "term").groupBy(query_key, chunk_key).agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
+    return asked.join(scored, "term").groupBy(query_key, chunk_key).agg(F.sum(F.col("qtf") * F.col("weight")).alias("score")).where(F.col("score") > least)
 
 
-def _by_index(queries: DataFrame, scored: pa.Table, words: Column, query_key: str, chunk_key: str, kind: str) -> DataFrame:
+def _by_index(queries: DataFrame, scored: pa.Table, words: Column, query_key: str, chunk_key: str, kind: str, least: float) -> DataFrame:
     """bm25 with the weights of (chunk, term) sent to every task."""
     keys = scored[chunk_key].combine_chunks().dictionary_encode()
     at, weight, of = keys.indices.to_numpy(), scored["weight"].to_numpy(), scored["term"].combine_chunks().dictionary_encode()
@@ -56,6 +59,8 @@ def _by_index(queries: DataFrame, scored: pa.Table, words: Column, query_key: st
     cuts = np.searchsorted(of.indices.to_numpy()[order], np.arange(len(of.dictionary) + 1))
     index = {t: (at[order[a:b]], weight[order[a:b]]) for t, a, b in zip(of.dictionary.to_pylist(), cuts, cuts[1:], strict=False)}
     sent = queries.sparkSession.sparkContext.broadcast((keys.dictionary, index))
+    repeated = not queries.groupBy(query_key).count().where("count > 1").isEmpty()
+    below = 0.0 if repeated else least
 
     @F.arrow_udf(f"array<struct<chunk: {kind}, score: double>>")
     def score(rows: pa.Array) -> pa.Array:
@@ -67,7 +72,7 @@ def _by_index(queries: DataFrame, scored: pa.Table, words: Column, query_key: st
                 if term in index:
                     where, w = index[term]
                     total[where] += n * w
-            some = np.flatnonzero(total)
+            some = np.flatnonzero(total > below)
             counts.append(len(some))
             places.append(some)
             scores.append(total[some])
@@ -75,30 +80,18 @@ def _by_index(queries: DataFrame, scored: pa.Table, words: Column, query_key: st
         return pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), told)
 
     each = queries.select(query_key, F.explode(score(words)).alias("s")).select(query_key, F.col("s.chunk").alias(chunk_key), F.col("s.score").alias("score"))
-    return each.groupBy(query_key, chunk_key).agg(F.sum("score").alias("score"))
+    return each.groupBy(query_key, chunk_key).agg(F.sum("score").alias("score")).where(F.col("score") > least) if repeated else each
 
 
 def similar_chunks(queries: DataFrame, chunks: DataFrame, threshold: float = 0.3, **keys) -> DataFrame:
     """Per query: chunks over the threshold and the best score, at most 1; queries without any are kept."""
     query_key = keys.get("query_key", "query_id")
-    over = bm25(queries, chunks, **keys).where(F.col("score") > threshold)
+    over = bm25(queries, chunks, least=threshold, **keys)
     best = over.groupBy(query_key).agg(F.count("*").alias("n_chunks"), F.least(F.max("score"), F.lit(1.0)).alias("score"))
     joined = queries.select(query_key).join(best, query_key, "left")
     return joined.select(query_key, F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def dense_top(queries: DataFrame, candidates: DataFrame, k: int = 5, minimum: float = 0.45, query_key: str = "query_id", key: str = "id", vector: str = "vector") -> DataFrame:
-    """(query, candidate, dense_score, dense_rank) of each query's k best cosines; for a bounded set of queries or concepts.
-
-    The smaller side is broadcast by Spark if its measured size allows, so neither is forced.
-    """
-    asked = queries.select(F.col(query_key), F.col(vector).alias("q__"))
-    pairs = asked.crossJoin(candidates.select(F.col(key), F.col(vector).alias("v__")))
-    scored = pairs.select(query_key, key, cosine(F.col("q__"), F.col("v__")).alias("dense_score")).where(F.col("dense_score") >= minimum)
-    order = Window.partitionBy(query_key).orderBy(F.desc("dense_score"), key)
-    return scored.withColumn("dense_rank", F.row_number().over(order)).where(F.col("dense_rank") <= k)
-
-
 def _best(asked: np.ndarray, told: np.ndarray, k: int, minimum: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of asked, row of told, cosine) of each asked row's k best; ties by row of told.
 
@@ -120,7 +113,7 @@ def _best(asked: np.ndarray, told: np.ndarray, k: int, minimum: float) -> tuple[
 
 
 def dense_top_blocks(queries: DataFrame, candidates: DataFrame, k: int = 5, minimum: float = 0.45, block: int = 512, query_key: str = "query_id", key: str = "id", vector: str = "vector") -> DataFrame:
-    """What dense_top gives, for queries and candidates of any number whose vectors have one length and no nulls.
+    """(query, candidate, dense_score, dense_rank) of each query's k best cosines, for queries and candidates of any number whose vectors have one length and no nulls.
 
     Both are packed into blocks of about `block` rows. Every pair of blocks is one row; a query's best of each
     block meet in the last ranking, so pairs of rows are never rows of Spark.
@@ -172,8 +165,10 @@ def fused(dense: DataFrame, lexical: DataFrame, k: int = 5, constant: int = RRF,
 def with_mandatory(selected: DataFrame, queries: DataFrame, mandatory: DataFrame, query_key: str = "query_id", key: str = "id") -> DataFrame:
     """Rows that must be judged whatever their rank, appended with zero scores after the selected ones.
 
-    mandatory is the policy's bounded list of blocking concepts, needed by each query.
+    mandatory is the policy's list of blocking concepts, needed by each query; more than MAX_MANDATORY are refused.
     """
+    if mandatory.select(key).distinct().limit(MAX_MANDATORY + 1).count() > MAX_MANDATORY:
+        raise ValueError("more mandatory rows than every query can be given")
     every = queries.select(query_key).distinct().crossJoin(mandatory.select(key).distinct())
     missing = every.join(selected.select(query_key, key), [query_key, key], "left_anti")
     zero = F.lit(0.0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from promptlake.functions.extractors import WordConcepts, WordRules
-from promptlake.operators import store
+from promptlake.operators import store, vector_index
 from promptlake.plans import processing
 from promptlake.plans.queries_text import WORDS, _N, boilerplate_sql, candidate_sql, chunks_sql
 from promptlake.sources import logs
@@ -78,7 +78,18 @@ def merged_customers(spark, sf_dir):
     return spark.read.parquet(path).select("c_custkey", "c_acctbal")
 
 
-QUERIES = {f.__name__: f for f in (processed_documents, processed_rules, ingested_concepts, log_stream_daily, merged_customers)}
+def indexed_topk(spark, sf_dir):
+    """The five nearest of every hundredth vector through a stored index; of the other vectors those of odd labels are stale."""
+    path = work_path(spark, "vectors")
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("string").alias("text_hash"))
+    vector_index.write_index(e, path, 64, cells=16, key="vec_id", vector="embedding", text_hash="text_hash")
+    current = e.select(F.col("vec_id").alias("key"), F.when(F.col("text_hash").cast("int") % 2 == 0, F.col("text_hash")).otherwise("changed").alias("text_hash"))
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = vector_index.search_index(spark, asked, path, 64, k=5, probes=16, minimum=-1.0, current=current)
+    return found.select("query_id", F.col("key").alias("vec_id"), F.round("dense_score", 6).alias("dense_score"), "dense_rank")
+
+
+QUERIES = {f.__name__: f for f in (processed_documents, processed_rules, ingested_concepts, log_stream_daily, merged_customers, indexed_topk)}
 
 _CLEAN = "regexp_replace(regexp_replace(coalesce(text, ''), '\\s+\\n', chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
 _QUOTED = ", ".join(f"'{w}'" for w in PROPOSED)
@@ -98,6 +109,10 @@ p AS (SELECT r, count(*) AS n_proposed FROM rule GROUP BY r), o AS (SELECT r, co
 w AS (SELECT r, count(*) AS n_pending FROM chunk LEFT JOIN said USING (r, ordinal) WHERE candidate AND (broken OR len(said) = 0) GROUP BY r)"""
 
 ORACLE_SQL = {
+    # all cells are visited here, so the answer is exact; tests measure recall with few
+    "indexed_topk": """WITH e AS (SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings),
+p AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(q.v, e.v) AS s FROM e AS q, e WHERE q.vec_id % 100 = 0 AND e.label % 2 = 0)
+SELECT query_id, vec_id, round(s, 6) AS dense_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS INT) AS dense_rank FROM p QUALIFY dense_rank <= 5""",
     "log_stream_daily": "SELECT CAST(ts AS DATE) AS day, count(*) AS total, count_if(event_type IN ('error', 'purchase')) AS blocked, count_if(event_type NOT IN ('error', 'purchase')) AS allowed FROM events GROUP BY 1",
     "merged_customers": """WITH o AS (SELECT o_custkey AS c_custkey, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS p FROM orders GROUP BY 1)
 SELECT c_custkey, coalesce(p, c_acctbal) AS c_acctbal FROM customer LEFT JOIN o USING (c_custkey) WHERE p IS NOT NULL OR c_acctbal >= 0""",

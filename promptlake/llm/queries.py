@@ -16,6 +16,7 @@ TOKEN_LIMIT = 1024
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity by the classifier learned from the labels of four fifths of the ids."""
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out(0, 5))
     scored = toxicity.score(docs.select("doc_id", "text"), model, as_column="score")
@@ -28,11 +29,13 @@ def page_model() -> html_extract.Model:
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     pages = html_extract.extract(table(spark, sf_dir, "pages"), page_model(), as_column="main_text")
     return pages.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document shares with the benchmark, in words and items."""
     found = decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     items = F.col("contamination.items")
     return found.select(
@@ -46,11 +49,13 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again: token count and digests of both."""
     coded = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
     return coded.select("doc_id", "coded.n_tokens", "coded.ids_sha256", "coded.decoded_sha256")
 
 
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest of every twentieth vector, among all vectors."""
     found = ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
@@ -74,11 +79,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the component of fingerprints that it is linked to."""
     groups = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, distance=2)
     return groups.select("doc_id", simhash.hexadecimal(F.col("mark")).alias("fingerprint"), "component_id")
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url, by rule or by vocabulary."""
     judged = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
     return judged.select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict")
 
@@ -92,6 +99,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality by its labelled neighbours, learned from three quarters of the ids."""
     docs = table(spark, sf_dir, "documents")
     model = quality_knn.train(docs, table(spark, sf_dir, "labels"), ~held_out(2, 4))
     scored = quality_knn.score(docs.select("doc_id", "text"), model, as_column="score")

@@ -35,8 +35,12 @@ def persian_letters(text: Column) -> Column:
     return F.translate(text, "يك", "یک")
 
 
+#: The characters of BLANKS.
+_BLANK_CHARACTERS = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{BLANK}+|{BLANK}+\z", "")
+    return F.btrim(text, F.lit(_BLANK_CHARACTERS))
 
 
 def squeeze(text: Column) -> Column:

@@ -75,17 +75,17 @@ UNIT_WORDS = [
 def boilerplate(text: Column) -> Column:
     """Too short, mostly digits and marks, or one line over half of at least three lines and three times."""
     t = strip(text_of(text))
-    solid = F.length(F.regexp_replace(t, rf"[0-9{BLANKS}\-–—/().،,:؛|صفحه]+", ""))
-    lines = F.array_sort(F.filter(F.transform(F.split(t, r"\n+"), strip), lambda x: x != ""))
-    start = F.struct(F.lit("").alias("line"), F.lit(0).alias("run"), F.lit(0).alias("most"), F.lit(0).alias("n"))
-
-    def step(s, x):  # equal lines stand together once sorted
-        run = F.when(x == s["line"], s["run"] + 1).otherwise(1)
-        return F.struct(x.alias("line"), run.alias("run"), F.greatest(s["most"], run).alias("most"), (s["n"] + 1).alias("n"))
-
-    repeated = F.aggregate(lines, start, step, lambda s: (s["n"] >= 3) & (s["most"] >= 3) & (s["most"] / s["n"] > 0.5))
-    # only texts that pass the cheap tests pay for counting lines
-    return F.when(F.length(t) < 40, True).when(solid / F.length(t) < 0.2, True).otherwise(F.coalesce(repeated, F.lit(False)))
+    size = F.length(t)
+    # a fifth of plain letters settles it; only other texts pay for the larger class
+    letters = (size - F.length(F.regexp_replace(t, "[A-Za-z]+", ""))) / size >= 0.2
+    solid = letters | (F.length(F.regexp_replace(t, rf"[0-9{BLANKS}\-–—/().،,:؛|صفحه]+", "")) / size >= 0.2)
+    lines = F.filter(F.transform(F.split(t, r"\n+"), strip), lambda x: x != "")
+    n = F.size(lines)
+    # a line that is more than half of all stands in the middle once they are sorted; few different ones are needed first
+    middle = F.get(F.array_sort(lines), F.floor(n / 2).cast("int"))
+    most = F.size(F.filter(lines, lambda x: x == middle))
+    repeated = F.when((n >= 3) & (2 * F.size(F.array_distinct(lines)) <= n + 2), (most >= 3) & (most / n > 0.5)).otherwise(False)
+    return F.when(size < 40, True).when(~solid, True).otherwise(F.coalesce(repeated, F.lit(False)))
 
 
 def candidate(text: Column, words: list[str] | None = None) -> Column:
@@ -119,9 +119,14 @@ def _windows(text: str, smallest: int, largest: int, overlap: int) -> list[dict]
     return out
 
 
+def _unpadded(text: Column) -> Column:
+    """Lines without blanks at their ends; most texts have none, which a look back from each line break tells."""
+    return F.when(text.rlike(f"\n(?<={BLANK}\n)"), F.regexp_replace(text, f"{BLANK}+\n", "\n")).otherwise(text)
+
+
 def page_table(pages: DataFrame, key: str = "document_id", page: str = "page", text: str = "text") -> DataFrame:
     """(key, full_text, pages array<struct<page, start, end>>): a document's pages joined by line breaks."""
-    told = pages.select(F.col(key), F.col(page).alias("page"), strip(F.regexp_replace(text_of(F.col(text)), f"{BLANK}+\n", "\n")).alias("text")).where("text <> ''")
+    told = pages.select(F.col(key), F.col(page).alias("page"), strip(_unpadded(text_of(F.col(text)))).alias("text")).where("text <> ''")
     one = told.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("p"))
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<page: int, start: int, end: int>>)").alias("out"))
 

@@ -46,8 +46,23 @@ def test_every_item_is_a_query(spark, tmp_path):
     added = {r.query_id: (r.n, r.n_added) for r in queries_store.mandatory_inclusion(spark, f"file://{tmp_path}").collect()}
     assert added == {q: (5 + m, m) for q in range(25) for m in [sum((q, j) not in wanted for j in range(3))]}
 
-    vectors = spark.createDataFrame([(i, [float(pick.randrange(-3, 4)) for _ in range(4)]) for i in range(60)], "id bigint, vector array<double>")
+
+
+def test_blocks_find_the_best_of_all_pairs(spark):
+    import math
+
+    from promptlake.operators import scoring
+
+    pick = random.Random(4)
+    rows = [(i, [float(pick.randrange(-3, 4)) for _ in range(4)]) for i in range(60)]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    cosine = lambda a, b: dot(a, b) / (math.sqrt(dot(a, a)) * math.sqrt(dot(b, b))) if dot(a, a) * dot(b, b) else 0.0
+    vectors = spark.createDataFrame(rows, "id bigint, vector array<double>")
     asked = vectors.withColumnRenamed("id", "query_id")
     for minimum in (-1.0, 0.45):
-        rows = [{tuple(r) for r in f(asked, vectors, k=7, minimum=minimum, **more).select("query_id", "id", "dense_score", "dense_rank").collect()} for f, more in ((scoring.dense_top, {}), (scoring.dense_top_blocks, {"block": 9}))]
-        assert rows[0] == rows[1]
+        wanted = set()
+        for q, a in rows:
+            best = sorted((-round(cosine(a, b), 12), j) for j, b in rows if cosine(a, b) >= minimum)[:7]
+            wanted |= {(q, j, r) for r, (_, j) in enumerate(best, 1)}
+        found = scoring.dense_top_blocks(asked, vectors, k=7, minimum=minimum, block=9)
+        assert {(r.query_id, r.id, r.dense_rank) for r in found.collect()} == wanted

@@ -21,3 +21,8 @@ def test_entry_without_training_data_operators(spark):
     assert set(QUERIES) <= set(e.queries())
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).columns
+
+
+def test_findings_are_not_computed_inside_a_filter(spark, sf_dir):
+    plan = QUERIES["mask_findings"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line[:80] for line in plan.splitlines() if "Filter" in line and "regexp" in line]

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptlake.llm import bpe, decontaminate, langid, similar, toxicity
-from promptlake.llm.base import held_out, hidden, stored, table
+from promptlake.llm.base import apart, held_out, hidden, stored, table
 from promptlake.session import ship_package
 
 
@@ -37,7 +37,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each group of near copies: that with the smallest id, then the smallest digests of text and row.
 
-    Near copies have a Jaccard similarity of 0.8 or more in shingles of five words; rows without an id come last.
+    Candidates come by SimHash fingerprints and, beyond their reach, by MinHash bands; near copies have a Jaccard similarity
+    of 0.8 or more in shingles of five words. Rows without an id come last.
     """
     ship_package(spark)
     place = F.struct(F.isnull("doc_id").alias("none"), "doc_id", F.sha2("text", 256).alias("text"), F.xxhash64(*docs.columns).alias("row"))
@@ -46,7 +47,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     text, row = hidden(docs, "text__"), hidden(docs, "row__")
     same = [F.col(f"d.{c}").eqNullSafe(F.col(f"k.{c}")) for c in ("doc_id", text, row)]
     told = docs.withColumns({text: F.sha2("text", 256), row: F.xxhash64(*docs.columns)}).alias("d")
-    one = told.join(kept.select("doc_id", F.col("text").alias(text), F.col("row").alias(row)).alias("k"), reduce(and_, same), "left_semi")
+    one = told.join(apart(kept.select("doc_id", F.col("text").alias(text), F.col("row").alias(row))).alias("k"), reduce(and_, same), "left_semi")
     # what is left of a group are equal rows
     return one.dropDuplicates(["doc_id", text, row]).select(docs.columns)
 

@@ -61,6 +61,11 @@ def discard(df: DataFrame) -> None:
     hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """df for a join in which it is never broadcast: for tables that grow with the input, whose files are small only as they are compressed."""
+    return df.hint("merge")
+
+
 def hidden(df: DataFrame, name: str) -> str:
     """A column name like `name` that df doesn't have."""
     taken = {c.lower() for c in df.columns}

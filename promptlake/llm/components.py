@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptlake.llm.base import discard, stored
+from promptlake.llm.base import apart, discard, stored
 
 
 def _large(edges: DataFrame) -> DataFrame:
     """Every node's larger neighbours move to the smallest node in its reach of one; edges may repeat."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a < b")
+    return both.where("b > a").join(apart(least), "a").select(F.col("m").alias("a"), "b").where("a < b")
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Every node and its smaller neighbours move to the smallest of them."""
     down = edges.select(F.col("b").alias("n"), F.col("a").alias("s"))
     least = down.groupBy("n").agg(F.min("s").alias("m"))
-    moved = down.join(least, "n")
+    moved = down.join(apart(least), "n")
     return (
         moved.select(F.col("m").alias("a"), F.col("s").alias("b"))
         .unionByName(least.select(F.col("m").alias("a"), F.col("n").alias("b")))

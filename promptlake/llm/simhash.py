@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptlake.llm.base import LOWER, stored
+from promptlake.llm.base import LOWER, apart, discard, stored
 from promptlake.llm.components import connected
 
 BITS = 64
@@ -74,6 +74,12 @@ def fingerprint(text, size: int = 5):
     return f(text)
 
 
+def mark_of(hashes: np.ndarray) -> int:
+    """The fingerprint, as a signed number, of a text whose shingles have these hashes."""
+    ones = sum((_ones(hashes[at : at + (1 << 16)]) for at in range(0, len(hashes), 1 << 16)), np.zeros(BITS, np.int64))
+    return _signed(int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big"))
+
+
 def hexadecimal(mark):
     return F.lower(F.lpad(F.hex(mark), 16, "0"))
 
@@ -93,7 +99,8 @@ def links(marks: DataFrame, distance: int = 2, dense: int = 64) -> DataFrame:
     """Edges (a, b), a < b, that connect distinct fingerprints (column `mark`) as far as links reach.
 
     Sparse blocks give every linked pair; dense ones a star for each shared
-    neighbour, which joins the same fingerprints into the same components.
+    neighbour, which joins the same fingerprints into the same components. The blocks
+    are stored; the caller may discard what is returned by `stored_at`.
     """
     if distance not in (1, 2):
         raise ValueError("distance must be 1 or 2")
@@ -102,10 +109,10 @@ def links(marks: DataFrame, distance: int = 2, dense: int = 64) -> DataFrame:
         "mark", F.posexplode(F.array(*(F.col("mark").bitwiseAND(F.lit(_signed(m)).cast("long")) for m in masks))).alias("choice", "key")
     )
     counted = keyed.groupBy("choice", "key").agg(F.count("*").alias("n"), F.min("mark").alias("one")).where("n > 1")
-    keyed = stored(keyed.join(counted.select("choice", "key", "n"), ["choice", "key"]), "simhash-blocks")
+    keyed = stored(keyed.join(apart(counted.select("choice", "key", "n")), ["choice", "key"]), "simhash-blocks")
     sparse = keyed.where(F.col("n") <= dense).select("choice", "key", F.col("mark").alias("a"))
     pairs = (
-        sparse.join(sparse.withColumnRenamed("a", "b"), ["choice", "key"])
+        sparse.join(apart(sparse.withColumnRenamed("a", "b")), ["choice", "key"])
         .where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance))
         .select("a", "b")
     )
@@ -119,10 +126,12 @@ def links(marks: DataFrame, distance: int = 2, dense: int = 64) -> DataFrame:
         .select("choice", "near", "mark")
     )
     if distance == 1:
-        near = near.join(marks.select(F.col("mark").alias("near")), "near", "left_semi")
+        near = near.join(apart(marks.select(F.col("mark").alias("near"))), "near", "left_semi")
     centre = near.groupBy("choice", "near").agg(F.min("mark").alias("a"), F.count("*").alias("n")).where("n > 1")
-    stars = near.join(centre.select("choice", "near", "a"), ["choice", "near"]).select("a", F.col("mark").alias("b")).where("a < b")
-    return pairs.unionByName(stars).distinct()
+    stars = near.join(apart(centre.select("choice", "near", "a")), ["choice", "near"]).select("a", F.col("mark").alias("b")).where("a < b")
+    found = pairs.unionByName(stars).distinct()
+    found.stored_at = keyed.stored_at
+    return found
 
 
 def near_duplicates(
@@ -133,11 +142,12 @@ def near_duplicates(
     groups = marked.groupBy("mark").agg(F.min("key").alias("least"))
     edges = links(groups.select("mark"), distance, dense)
     reach = connected(edges, "simhash")
+    discard(edges)
     # a component of fingerprints is named by the smallest id below any of them
-    member = groups.join(reach.select(F.col("node").alias("mark"), "root"), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
+    member = groups.join(apart(reach.select(F.col("node").alias("mark"), "root")), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
     named = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = member.join(named, "root").select("mark", "component_id")
-    return marked.join(labels, "mark", "left").select(F.col("key").alias(key), "mark", "component_id")
+    labels = member.join(apart(named), "root").select("mark", "component_id")
+    return marked.join(apart(labels), "mark", "left").select(F.col("key").alias(key), "mark", "component_id")
 
 
 __all__ = ["fingerprint", "hexadecimal", "links", "near_duplicates"]

@@ -30,7 +30,8 @@ MAX_TERMS = 500_000
 #: Hyphens of a term whose spellings are listed; a term with more is found by its longest part without one.
 MAX_HYPHENS = 4
 _ALIKE = str.maketrans({"ي": "ی", "ك": "ک"})
-_GAP = regex.compile(f"[{BLANKS}{ZWNJ}]+")
+_WIDE = regex.compile(f"[{BLANKS}{ZWNJ}]{{2,}}")
+_GAP = regex.compile(f"(?! )[{BLANKS}{ZWNJ}]")
 _FIELDS = ("start", "end", "size", "place", "kind")
 _CANDIDATE = f"array<struct<{', '.join(f'{n}: int' for n in _FIELDS)}>>"
 
@@ -43,16 +44,17 @@ def _low(text: str) -> str:
 
 def canonical(text: str) -> tuple[str, list[int]]:
     """(canonical text, where each of its characters begins in the original, and the original's end)."""
-    low = _low(text.translate(_ALIKE))
+    low = _low(text if text.isascii() else text.translate(_ALIKE))
     out, at, start = [], [], 0
-    for m in _GAP.finditer(low):
+    # a single blank keeps its place; only wider gaps move what follows
+    for m in _WIDE.finditer(low):
         out.append(low[start : m.start()])
         at.extend(range(start, m.start() + 1))
         out.append(" ")
         start = m.end()
     out.append(low[start:])
     at.extend(range(start, len(low) + 1))
-    return "".join(out), at
+    return _GAP.sub(" ", "".join(out)), at
 
 
 @cache
@@ -79,10 +81,12 @@ class Lexicon:
 
     def __init__(self, terms: list[tuple[int, str, int]]):
         self.automaton = ahocorasick.Automaton()
-        of: dict[str, list[tuple[int, str, int]]] = {}
+        of: dict[str, list[tuple[int, str, int, bool]]] = {}
         for kind, term, place in terms:
+            # such a term stands wherever its only form does in an ASCII text
+            sure = term.isascii() and "-" not in term and canonical(term)[0] == term.lower()
             for form in forms(term):
-                of.setdefault(form, []).append((kind, term, place))
+                of.setdefault(form, []).append((kind, term, place, sure))
         for form, listed in of.items():
             self.automaton.add_word(form, (len(form), listed))
         if of:
@@ -102,9 +106,13 @@ class Lexicon:
             return []
         low, at = canonical(text)
         found = {}
+        plain = text.isascii()
         for end, (size, listed) in self.automaton.iter(low):
             start = at[end - size + 1]
-            for kind, term, place in listed:
+            for kind, term, place, sure in listed:
+                if sure and (plain or text[start : at[end] + 1].isascii()):
+                    found[start, at[end] + 1, len(term), place, kind] = None
+                    continue
                 # hyphens that a term begins with may stand before what the form holds
                 lead = min(start, len(term) - len(term.lstrip("-")))
                 while lead and not set(text[start - lead : start]) <= {"-", ZWNJ}:

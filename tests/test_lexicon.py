@@ -83,3 +83,17 @@ def test_the_query_against_one_pattern(spark, sf_dir):
     docs = pq.read_table(f"{sf_dir}/documents.parquet")
     wanted = {i: len(by_pattern(t or "", terms)) for i, t in zip(docs["doc_id"].to_pylist(), docs["text"].to_pylist(), strict=True)}
     assert {r.doc_id: r.n for r in QUERIES["dictionary_terms"](spark, sf_dir).collect()} == {i: n for i, n in wanted.items() if n}
+
+
+def test_plain_terms_need_no_pattern(spark, sf_dir, monkeypatch):
+    from promptlake.functions import lexicon
+    from promptlake.plans.catalogue import QUERIES
+
+    texts = ["x AB\n cd, ab-cd", "é ab cd", "ab  cd"]
+    wanted = {t: [(0, m.start(), m.end()) for m in lexicon.spelled("ab cd").finditer(t)] for t in texts}
+    assert lexicon.Lexicon([(0, "ab  cd", 0)]).candidates("ab cd ab  cd") == [{"start": 6, "end": 12, "size": 6, "place": 0, "kind": 0}]
+    monkeypatch.setattr(lexicon, "spelled", None)
+    for said in texts:
+        assert [(x["kind"], x["start"], x["end"]) for x in lexicon.Lexicon([(0, "ab cd", 0)]).candidates(said)] == wanted[said]
+    plan = QUERIES["dictionary_terms"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2

@@ -26,3 +26,27 @@ def test_entry_without_training_data_operators(spark):
 def test_findings_are_not_computed_inside_a_filter(spark, sf_dir):
     plan = QUERIES["mask_findings"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert not [line[:80] for line in plan.splitlines() if "Filter" in line and "regexp" in line]
+
+
+def test_words_that_are_no_terms_are_not_counted(spark, sf_dir):
+    plan = QUERIES["dictionary_lookup"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Join")
+
+
+def test_keywords_shuffle_no_words(spark, sf_dir):
+    plan = QUERIES["top_keywords"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan
+    assert not [line for line in plan.splitlines() if "hashpartitioning" in line and ", w#" in line]
+
+
+def test_large_dictionaries_meet_by_a_shuffle(spark, monkeypatch):
+    from promptlake.operators import rules
+
+    docs = spark.createDataFrame([(1, "a b a b"), (2, None), (1, "b c")], "doc_id long, text string")
+    terms = spark.createDataFrame([("k", "A b"), ("j", "a b"), ("k", "b")], "kind string, term string")
+    wanted = [(1, "j", "a b", 2), (1, "k", "A b", 2), (1, "k", "b", 3)]
+    for most in (1, 100):
+        monkeypatch.setattr(rules, "BROADCAST_TERMS", most)
+        df = rules.dictionary_lookup(docs, terms, "doc_id", "text")
+        assert sorted(map(tuple, df.collect())) == wanted
+        assert ("rightHint=(strategy=broadcast)" in df._jdf.queryExecution().optimizedPlan().toString()) == (most == 100)

@@ -392,8 +392,12 @@ def keywords(text: Column, n: int = 8) -> Column:
 
 
 def top_keywords(docs: DataFrame, key: str, text: str, n: int = 8) -> DataFrame:
-    """(key, keywords) of long texts: words are counted by Spark's aggregation, the best n kept per text."""
-    words = docs.select(key, F.posexplode(_clean_words(F.col(text))).alias("at", "w"))
+    """(key, keywords) of long texts: words are counted by Spark's aggregation, the best n kept per text.
+
+    Texts are dealt out by key once, so neither words nor their counts are shuffled.
+    """
+    dealt = docs.select(key, text).repartition(key)
+    words = dealt.select(key, F.posexplode_outer(_clean_words(F.col(text))).alias("at", "w")).where("w IS NOT NULL")
     counts = words.groupBy(key, "w").agg(F.count("*").alias("n"), F.min("at").alias("at"))
     best = Window.partitionBy(key).orderBy(F.desc("n"), "at")
     kept = counts.withColumn("place", F.row_number().over(best)).where(F.col("place") <= n)

@@ -233,7 +233,8 @@ def lines(documents: DataFrame, key: str = "document_id", text: str = "text", or
     keys = [key, *order]
     trimmed = F.filter(F.transform(F.split(text_of(F.col(text)), "\n"), strip), lambda x: x != "")
     pairs = F.zip_with(trimmed, F.slice(trimmed, 2, 1 << 30), lambda a, b: F.struct(a.alias("line"), b.alias("following")))
-    each = documents.select(*keys, F.posexplode(pairs).alias("line_no", "p"))
+    # outer, here and below: an inner generator's inferred filter would work its array out a second time
+    each = documents.select(*keys, F.posexplode_outer(pairs).alias("line_no", "p")).where("line_no IS NOT NULL")
     flags = line_flags(F.col("p.line"), F.col("p.following"))
     return each.select(*keys, "line_no", F.col("p.line").alias("line"), *(c.alias(n) for n, c in flags.items()))
 
@@ -330,13 +331,13 @@ def units(pages: DataFrame, key: str = "document_id", page: str = "page", text:
     flagged = F.transform(pairs, lambda p: F.struct(p["line"].alias("line"), *(c.alias(n) for n, c in line_flags(p["line"], p["following"]).items() if n in FLAGS)))
     told = pages.select(F.col(key), F.col(page).alias("page"), flagged.alias("lines"))
     told = told.withColumn("runs", _unit_runs("lines"))
-    each = told.select(key, "page", "lines", F.posexplode("runs").alias("run_no", "u"))
+    each = told.select(key, "page", "lines", F.posexplode_outer("runs").alias("run_no", "u")).where("run_no IS NOT NULL")
     line = lambda i: F.get(F.col("lines"), i)["line"]
     joined = F.array_join(F.transform(F.concat("u.carried", F.sequence("u.first", "u.last")), line), "\n")
     each = each.select(key, "page", "run_no", F.col("u.kind").alias("unit_type"), joined.alias("joined"))
     split = F.col("unit_type").isin("CLAUSE", "PARAGRAPH") & (F.length("joined") > largest)
     parts = F.when(split, packed_sentences(F.col("joined"), largest)).otherwise(F.array("joined"))
-    each = each.select(key, "page", "run_no", "unit_type", F.posexplode(parts).alias("part", "text"))
+    each = each.select(key, "page", "run_no", "unit_type", F.posexplode_outer(parts).alias("part", "text")).where("part IS NOT NULL")
     order = Window.partitionBy(key).orderBy("page", "run_no", "part")
     before = order.rowsBetween(Window.unboundedPreceding, 0)
     each = each.withColumns(
@@ -738,7 +739,7 @@ def validated_extraction(raw: Column, chunk: Column) -> Column:
 
 def extraction(df: DataFrame, raw: str, chunk: str) -> DataFrame:
     """df, one row for each proposed rule: rule, quote, rejection. Anchors are looked up in the chunk."""
-    each = df.withColumn("e__", F.explode(validated_extraction(F.col(raw), text_of(F.col(chunk)))))
+    each = df.withColumn("e__", F.explode_outer(validated_extraction(F.col(raw), text_of(F.col(chunk))))).where("e__ IS NOT NULL")
     anchored = F.col("e__.rejection").isNull() & (F.coalesce(F.col("e__.rule.anchor"), F.lit("")) != "")
     each = each.withColumn("at__", F.when(anchored, anchor_quote(F.col(chunk), F.col("e__.rule.anchor"))))
     rejection = F.when(anchored & F.col("at__").isNull(), REJECTIONS[2]).otherwise(F.col("e__.rejection"))

@@ -50,3 +50,8 @@ def test_large_dictionaries_meet_by_a_shuffle(spark, monkeypatch):
         df = rules.dictionary_lookup(docs, terms, "doc_id", "text")
         assert sorted(map(tuple, df.collect())) == wanted
         assert ("rightHint=(strategy=broadcast)" in df._jdf.queryExecution().optimizedPlan().toString()) == (most == 100)
+
+
+def test_units_are_found_once(spark, sf_dir):
+    plan = QUERIES["segment_documents"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_unit_runs") == 1 and plan.count("ArrowEvalPython") == 2

@@ -50,7 +50,16 @@ def squeeze(text: Column) -> Column:
 _FOLDED = {ord(d): str(i) for script in (PERSIAN_DIGITS, ARABIC_DIGITS) for i, d in enumerate(script)} | {ord("ي"): "ی", ord("ك"): "ک"}
 _TO_FOLD = re.compile(f"[{''.join(map(chr, _FOLDED))}]")
 _STRAY = re.compile(f"(?<!{_LETTER}){ZWNJ}|{ZWNJ}(?!{_LETTER})")
-_BLANK_RUN, _EDGES = re.compile(f"{BLANK}+"), re.compile(rf"\A{BLANK}+|{BLANK}+\Z")
+_BLANK_RUN = re.compile(f"{BLANK}+")
+#: What str.split() cuts at and BLANKS lacks, and what BLANKS has beside.
+_SPLIT_DIFFERS = "\x1c\x1d\x1e\x1f\x85\ufeff"
+
+
+def _squeezed(text: str) -> str:
+    """Each run of blanks as one space, none at the ends."""
+    if any(c in text for c in _SPLIT_DIFFERS):
+        return _BLANK_RUN.sub(" ", text).strip(_BLANK_CHARACTERS)
+    return " ".join(text.split())
 
 
 def normalized_literal(text: str) -> str:
@@ -60,10 +69,11 @@ def normalized_literal(text: str) -> str:
             text = text.translate(_FOLDED)
         if ZWNJ in text:
             text = _STRAY.sub("", text)
-    text = _BLANK_RUN.sub(" ", text)
+    text = _squeezed(text)
     if not text.isascii() and not unicodedata.is_normalized("NFKC", text):
-        text = unicodedata.normalize("NFKC", text)
-    return _EDGES.sub("", text).lower()
+        # may turn a sign into a space and a mark
+        text = unicodedata.normalize("NFKC", text).strip(_BLANK_CHARACTERS)
+    return text.lower()
 
 
 @F.arrow_udf(StringType())
@@ -96,6 +106,22 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text_of(text)), cut), lambda w: F.length(w) > 1)
 
 
+#: What both keep of small letters, for Python's re.
+RUNS = {tokens_ascii: re.compile(f"[0-9A-Za-z_{ZWNJ}]+"), tokens: re.compile(rf"[^{BLANKS},،؛.!؟?:\-_()\[\]{{}}\"]{{2,}}")}
+
+
+def token_numbers(normal: Column) -> Column:
+    """struct<n_ascii, n_tokens>: how many of `tokens_ascii` and of `tokens` a normal text has; no token becomes a value."""
+    ddl, runs = "struct<n_ascii: bigint, n_tokens: bigint>", [RUNS[tokens_ascii], RUNS[tokens]]
+
+    @F.arrow_udf(ddl)
+    def count(texts: pa.Array) -> pa.Array:
+        told = [t or "" for t in texts.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([len(r.findall(t)) for t in told], pa.int64()) for r in runs], ["n_ascii", "n_tokens"])
+
+    return count(normal)
+
+
 def sentences(text: Column) -> Column:
     """Pieces after . ! ? ؟ ؛ or a line break; the trimmed text itself if there are none."""
     parts = F.filter(F.transform(F.split(text_of(text), rf"(?<=[.!؟؛?\n]){BLANK}+"), strip), lambda s: s != "")

@@ -1,5 +1,8 @@
 """Known values of checksums and normalisation."""
 
+import re
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,3 +33,19 @@ def test_literals_are_normalised_like_columns(spark):
 
 def test_checksums_are_columns(spark):
     assert [x for x in dir(checksums) if not x.startswith("_")]
+
+
+def test_blanks_are_squeezed_as_by_their_class():
+    from promptlake.functions.patterns import BLANK
+
+    # what Python's split and the class of blanks tell apart, beside others; a sign that NFKC opens into a space
+    for said in ("a \x1c b", "\x85a\x1f", "﻿ a﻿\xa0b ", " a　 \tb\n", "¨ a ¨", " ̧a", "\u0085", "", " \n"):
+        plain = unicodedata.normalize("NFKC", re.sub(f"{BLANK}+", " ", said))
+        assert text.normalized_literal(said) == re.sub(rf"\A{BLANK}+|{BLANK}+\Z", "", plain).lower()
+
+
+def test_tokens_are_counted_without_arrays(spark):
+    said = [("",), (None,), ("ab, c-d e‌f 𝔘 𝔘𝔘 é_9 ?x",), ("a b  cc (dd)[ee]{ff}\"gg\"",)]
+    df = spark.createDataFrame(said, "t string").select(text.normalize(F.col("t")).alias("n"))
+    told = df.select(text.token_numbers(F.col("n")).alias("k"), F.size(text.tokens_ascii(F.col("n"))), F.size(text.tokens(F.col("n"))))
+    assert [tuple(r.k) == tuple(r)[1:] for r in told.collect()] == [True] * len(said)

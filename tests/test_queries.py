@@ -55,3 +55,8 @@ def test_large_dictionaries_meet_by_a_shuffle(spark, monkeypatch):
 def test_units_are_found_once(spark, sf_dir):
     plan = QUERIES["segment_documents"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("_unit_runs") == 1 and plan.count("ArrowEvalPython") == 2
+
+
+def test_tokens_are_not_arrays_of_the_jvm(spark, sf_dir):
+    plan = QUERIES["token_counts"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptlake.functions.text import tokens_ascii
+from promptlake.functions.patterns import text_of
+from promptlake.functions.text import RUNS, tokens_ascii
 from promptlake.functions.vectors import usable
 from promptlake.session import ship_package
 
@@ -46,32 +47,39 @@ def bm25(
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.when(F.col("average") > 0, F.col("average")).otherwise(1.0)))
     scored = scored.select(chunk_key, "term", weight.alias("weight"))
     if tf.limit(max_index + 1).count() <= max_index:
-        return _by_index(queries, scored.toArrow(), words(F.col(text)), query_key, chunk_key, scored.schema[chunk_key].dataType.simpleString(), least)
+        return _by_index(queries, scored.toArrow(), words, text, query_key, chunk_key, scored.schema[chunk_key].dataType.simpleString(), least)
     asked = queries.select(F.col(query_key), F.explode(words(F.col(text))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
     return asked.join(scored, "term").groupBy(query_key, chunk_key).agg(F.sum(F.col("qtf") * F.col("weight")).alias("score")).where(F.col("score") > least)
 
 
-def _by_index(queries: DataFrame, scored: pa.Table, words: Column, query_key: str, chunk_key: str, kind: str, least: float) -> DataFrame:
-    """bm25 with the weights of (chunk, term) sent to every task."""
+def _by_index(queries: DataFrame, scored: pa.Table, words, text: str, query_key: str, chunk_key: str, kind: str, least: float) -> DataFrame:
+    """bm25 with the weights of (chunk, term) sent to every task.
+
+    Words that Python's re can find go to the tasks as the text they stand in, others as arrays.
+    """
     keys = scored[chunk_key].combine_chunks().dictionary_encode()
     at, weight, of = keys.indices.to_numpy(), scored["weight"].to_numpy(), scored["term"].combine_chunks().dictionary_encode()
     order = np.argsort(of.indices.to_numpy(), kind="stable")
     cuts = np.searchsorted(of.indices.to_numpy()[order], np.arange(len(of.dictionary) + 1))
-    index = {t: (at[order[a:b]], weight[order[a:b]]) for t, a, b in zip(of.dictionary.to_pylist(), cuts, cuts[1:], strict=False)}
-    sent = queries.sparkSession.sparkContext.broadcast((keys.dictionary, index))
+    place = {t: i for i, t in enumerate(of.dictionary.to_pylist())}
+    sent = queries.sparkSession.sparkContext.broadcast((keys.dictionary, place, cuts, at[order], weight[order]))
     repeated = not queries.groupBy(query_key).count().where("count > 1").isEmpty()
     below = 0.0 if repeated else least
+    run = RUNS.get(words)
+    asked = words(F.col(text)) if run is None else F.lower(text_of(F.col(text)))
 
     @F.arrow_udf(f"array<struct<chunk: {kind}, score: double>>")
     def score(rows: pa.Array) -> pa.Array:
-        chunks, index = sent.value
+        chunks, place, cuts, at, weight = sent.value
         counts, places, scores = [0], [np.zeros(0, np.int64)], [np.zeros(0)]
         for row in rows:
-            total = np.zeros(len(chunks))
-            for term, n in Counter(row.as_py() or ()).items():
-                if term in index:
-                    where, w = index[term]
-                    total[where] += n * w
+            told = row.as_py() or ()
+            known = [(place[t], n) for t, n in Counter(told if run is None or not told else run.findall(told)).items() if t in place]
+            term, n = np.array(known, np.int64).reshape(-1, 2).T
+            size = cuts[term + 1] - cuts[term]
+            # the terms' stretches of the index, one after the other: bincount adds them in this order
+            where = np.arange(size.sum()) + np.repeat(cuts[term] - np.cumsum(size) + size, size)
+            total = np.bincount(at[where], np.repeat(n, size) * weight[where], len(chunks))
             some = np.flatnonzero(total > below)
             counts.append(len(some))
             places.append(some)
@@ -79,7 +87,7 @@ def _by_index(queries: DataFrame, scored: pa.Table, words: Column, query_key: st
         told = pa.StructArray.from_arrays([chunks.take(pa.array(np.concatenate(places))), pa.array(np.concatenate(scores))], ["chunk", "score"])
         return pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), told)
 
-    each = queries.select(query_key, F.explode(score(words)).alias("s")).select(query_key, F.col("s.chunk").alias(chunk_key), F.col("s.score").alias("score"))
+    each = queries.select(query_key, F.explode(score(asked)).alias("s")).select(query_key, F.col("s.chunk").alias(chunk_key), F.col("s.score").alias("score"))
     return each.groupBy(query_key, chunk_key).agg(F.sum("score").alias("score")).where(F.col("score") > least) if repeated else each
 
 

@@ -66,3 +66,19 @@ def test_blocks_find_the_best_of_all_pairs(spark):
             wanted |= {(q, j, r) for r, (_, j) in enumerate(best, 1)}
         found = scoring.dense_top_blocks(asked, vectors, k=7, minimum=minimum, block=9)
         assert {(r.query_id, r.id, r.dense_rank) for r in found.collect()} == wanted
+
+
+def test_words_are_found_where_they_are_scored(spark):
+    from promptlake.functions.text import tokens_ascii
+    from promptlake.operators import scoring
+
+    queries = spark.createDataFrame([(1, "A b, b c"), (2, None), (3, "z"), (4, "İd B-a"), (4, "b"), (5, "")], "query_id long, text string")
+    chunks = spark.createDataFrame([(10, "a b"), (11, "b b d"), (12, None), (13, "c a a")], "chunk_id long, text string")
+    told = scoring.bm25(queries, chunks)
+    # an unknown function's words travel as arrays, and both give the same doubles
+    arrays = scoring.bm25(queries, chunks, words=lambda c: tokens_ascii(c))
+    assert sorted(map(tuple, told.collect())) == sorted(map(tuple, arrays.collect()))
+    split = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("split(")
+    assert (split(told), split(arrays) > 0) == (0, True)
+    nothing = scoring.bm25(queries, chunks.where("chunk_id = 12"))
+    assert nothing.count() == 0

@@ -341,11 +341,18 @@ CONFIDENTIAL = ["صورت جلسه", "قرارداد", "محرمانه", "داخ
 ORGANISATION = ["سازمان", "شرکت", "مدیر", "هیئت", "دستگاه", "وزارت", "اداره", "معاونت", "بخش", "واحد", "ستاد", "دولت"]
 
 
+def _places(text: Column, word: str) -> Column:
+    """How often a word stands in a text, overlapping places too."""
+    if not word or any(word.startswith(word[-i:]) for i in range(1, len(word))):
+        return F.regexp_count(text, F.lit(f"(?={quote(word)})"))
+    # places of such a word can't overlap: what is gone without it tells their number
+    return ((F.length(text) - F.length(F.replace(text, F.lit(word), F.lit("")))) / len(word)).cast("int")
+
+
 def behaviour(text: Column, normal: Column, rewrite=None, confidential=None, organisation=None, min_length: int = 500, density: float = 5.0) -> Column:
     """struct: an order to rewrite confidential matter; words for organisations per 1000 characters of a long text."""
     rewriting = has_any(normal, rewrite or REWRITE) & has_any(normal, confidential or CONFIDENTIAL)
-    # a look-ahead counts overlapping places too
-    n = sum((F.regexp_count(normal, F.lit(f"(?={quote(w)})")) for w in (organisation or ORGANISATION)), F.lit(0))
+    n = sum((_places(normal, w) for w in (organisation or ORGANISATION)), F.lit(0))
     dense = F.when(F.length(text) > min_length, n * 1000.0 / F.length(text)).otherwise(0.0)
     return F.struct(rewriting.alias("rewriting"), n.alias("mentions"), dense.alias("density"), F.when(rewriting, 1.0).when(dense > density, 0.8).otherwise(0.0).alias("score"))
 

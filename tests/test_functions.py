@@ -49,3 +49,27 @@ def test_tokens_are_counted_without_arrays(spark):
     df = spark.createDataFrame(said, "t string").select(text.normalize(F.col("t")).alias("n"))
     told = df.select(text.token_numbers(F.col("n")).alias("k"), F.size(text.tokens_ascii(F.col("n"))), F.size(text.tokens(F.col("n"))))
     assert [tuple(r.k) == tuple(r)[1:] for r in told.collect()] == [True] * len(said)
+
+
+def test_keywords_stand_alone(spark):
+    from promptlake.operators import rules
+
+    listed = spark.createDataFrame([("a", ["Of the"], "LOW", True), ("b", ["x+y"], "LOW", True), ("c", ["𝔘‌é"], "LOW", True)], "code string, keywords array<string>, severity string, is_active boolean")
+    patterns = [r[0] for r in listed.select(rules.phrase_pattern(F.col("keywords")[0])).collect()]
+    # no search begins with a class of blanks
+    assert all(p.startswith(f"(?i){w}") for p, w in zip(patterns, ("Of", "x\\+y", "𝔘"), strict=True))
+    said = {"of the": "a", "off the": "", "x of  THE": "a", "of the.": "", "often the of": "", "𝔘 é": "c", "𝔘𝔘 é": "", "é x+Y\n": "b", "xx+y": "", "x+y,": "", "a of the x+y 𝔘  é": "abc"}
+    df = spark.createDataFrame(list(said.items()), "t string, want string")
+    told = df.select("want", F.array_join(F.transform(rules.keyword_hits(listed)(F.col("t")), lambda r: r["code"]), "").alias("got"))
+    assert [r.got for r in told.collect()] == [r.want for r in told.collect()]
+
+
+def test_places_of_words_overlap(spark):
+    from promptlake.functions import detectors
+
+    said = [("ababa aba",), ("ing inging",), ("",), ("éé𝔘é",)]
+    for word in ("aba", "ing", "a", "éé", "𝔘", ".", "ab"):
+        for r in spark.createDataFrame(said, "t string").select("t", detectors._places(F.col("t"), word).alias("n")).collect():
+            assert r.n == sum(r.t.startswith(word, i) for i in range(len(r.t)))
+    plan = spark.range(1).select(detectors.behaviour(F.lit("x"), F.col("id").cast("string"))["mentions"])._jdf.queryExecution().analyzed().toString()
+    assert "(?=" not in plan

@@ -36,11 +36,11 @@ def persian_letters(text: Column) -> Column:
 
 
 #: The characters of BLANKS.
-_BLANK_CHARACTERS = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+BLANK_CHARACTERS = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def strip(text: Column) -> Column:
-    return F.btrim(text, F.lit(_BLANK_CHARACTERS))
+    return F.btrim(text, F.lit(BLANK_CHARACTERS))
 
 
 def squeeze(text: Column) -> Column:
@@ -58,7 +58,7 @@ _SPLIT_DIFFERS = "\x1c\x1d\x1e\x1f\x85\ufeff"
 def _squeezed(text: str) -> str:
     """Each run of blanks as one space, none at the ends."""
     if any(c in text for c in _SPLIT_DIFFERS):
-        return _BLANK_RUN.sub(" ", text).strip(_BLANK_CHARACTERS)
+        return _BLANK_RUN.sub(" ", text).strip(BLANK_CHARACTERS)
     return " ".join(text.split())
 
 
@@ -72,7 +72,7 @@ def normalized_literal(text: str) -> str:
     text = _squeezed(text)
     if not text.isascii() and not unicodedata.is_normalized("NFKC", text):
         # may turn a sign into a space and a mark
-        text = unicodedata.normalize("NFKC", text).strip(_BLANK_CHARACTERS)
+        text = unicodedata.normalize("NFKC", text).strip(BLANK_CHARACTERS)
     return text.lower()
 
 

@@ -7,10 +7,10 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from promptlake.functions.patterns import AFTER, BLANK, BLANKS, SOLID, found, has_any, spans, text_of
-from promptlake.functions.text import normalize, normalized_literal, sentences, sha256, squeeze, strip
+from promptlake.functions.text import BLANK_CHARACTERS, normalize, normalized_literal, sentences, sha256, squeeze, strip
 
 # Words that make a chunk, or a unit, a candidate for rules.
 CHUNK_WORDS = [
@@ -72,20 +72,36 @@ UNIT_WORDS = [
 ]
 
 
+_LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+_MARKS = re.compile(rf"[0-9{BLANKS}\-–—/().،,:؛|صفحه]+")
+
+
+def _is_boilerplate(text: str) -> bool:
+    t = text.strip(BLANK_CHARACTERS)
+    size = len(t)
+    if size < 40:
+        return True
+    # a fifth of plain letters settles it; only other texts pay for the larger class
+    raw = t.encode()
+    if (len(raw) - len(raw.translate(None, _LETTERS))) / size < 0.2 and len(_MARKS.sub("", t)) / size < 0.2:
+        return True
+    lines = [x for x in (x.strip(BLANK_CHARACTERS) for x in t.split("\n")) if x]
+    n = len(lines)
+    if n < 3:
+        return False
+    # a line that is more than half of all stands in the middle once they are sorted
+    most = lines.count(sorted(lines)[n // 2])
+    return most >= 3 and most / n > 0.5
+
+
+@F.arrow_udf(BooleanType())
+def _boilerplate(texts: pa.Array) -> pa.Array:
+    return pa.array([_is_boilerplate(t or "") for t in texts.to_pylist()], pa.bool_())
+
+
 def boilerplate(text: Column) -> Column:
     """Too short, mostly digits and marks, or one line over half of at least three lines and three times."""
-    t = strip(text_of(text))
-    size = F.length(t)
-    # a fifth of plain letters settles it; only other texts pay for the larger class
-    letters = (size - F.length(F.regexp_replace(t, "[A-Za-z]+", ""))) / size >= 0.2
-    solid = letters | (F.length(F.regexp_replace(t, rf"[0-9{BLANKS}\-–—/().،,:؛|صفحه]+", "")) / size >= 0.2)
-    lines = F.filter(F.transform(F.split(t, r"\n+"), strip), lambda x: x != "")
-    n = F.size(lines)
-    # a line that is more than half of all stands in the middle once they are sorted; few different ones are needed first
-    middle = F.get(F.array_sort(lines), F.floor(n / 2).cast("int"))
-    most = F.size(F.filter(lines, lambda x: x == middle))
-    repeated = F.when((n >= 3) & (2 * F.size(F.array_distinct(lines)) <= n + 2), (most >= 3) & (most / n > 0.5)).otherwise(False)
-    return F.when(size < 40, True).when(~solid, True).otherwise(F.coalesce(repeated, F.lit(False)))
+    return _boilerplate(text)
 
 
 def candidate(text: Column, words: list[str] | None = None) -> Column:
@@ -142,8 +158,8 @@ def page_of(offset: Column, pages: Column) -> Column:
     return F.get(F.filter(pages, lambda p: (offset >= p["start"]) & (offset < p["end"])), F.lit(0))["page"]
 
 
-def chunks(documents: DataFrame, key: str = "document_id", text: str = "full_text", pages: str | None = "pages", smallest: int = 800, largest: int = 1200, ratio: float = 0.17, words: list[str] | None = None) -> DataFrame:
-    """(key, ordinal, span_start, span_end, text, text_hash, page, is_boilerplate, is_candidate)."""
+def chunks(documents: DataFrame, key: str = "document_id", text: str = "full_text", pages: str | None = "pages", smallest: int = 800, largest: int = 1200, ratio: float = 0.17, words: list[str] | None = None, beside: tuple[str, ...] = ()) -> DataFrame:
+    """(key, *beside, ordinal, span_start, span_end, text, text_hash, page, is_boilerplate, is_candidate)."""
     overlap = round(smallest * ratio)
 
     @F.arrow_udf(_CHUNKS)
@@ -151,7 +167,7 @@ def chunks(documents: DataFrame, key: str = "document_id", text: str = "full_tex
         kind = pa.list_(pa.struct([("ordinal", pa.int32()), ("span_start", pa.int32()), ("span_end", pa.int32()), ("text", pa.string())]))
         return pa.array([_windows(t.as_py() or "", smallest, largest, overlap) for t in texts], kind)
 
-    kept = [key] + ([pages] if pages else [])
+    kept = [key, *beside] + ([pages] if pages else [])
     each = documents.select(*kept, F.explode(cut(F.col(text))).alias("c")).select(*kept, "c.*")
     each = each.withColumn("text_hash", sha256(F.col("text"))).withColumn("is_boilerplate", boilerplate(F.col("text")))
     each = each.withColumn("is_candidate", ~F.col("is_boilerplate") & candidate(F.col("text"), words))
@@ -406,10 +422,20 @@ def top_keywords(docs: DataFrame, key: str, text: str, n: int = 8) -> DataFrame:
     return docs.select(key).join(told, key, "left").withColumn("keywords", F.coalesce("keywords", F.array()))
 
 
+def _numbered(text: Column) -> Column:
+    """The first numbered part that a chunk names; its words are looked for first."""
+    part = F.regexp_extract(text, rf"(?:بند|ماده|ماده{BLANK}*[0-9]|تبصره|قانون|بخش){BLANK}*[0-9۰-۹]+", 0)
+    return F.when(has_any(text, ["بند", "ماده", "تبصره", "قانون", "بخش"]), part).otherwise("")
+
+
+def heuristic_fires(text: Column) -> Column:
+    """Whether anything in a chunk restricts, numbers or lists."""
+    return has_any(text, RESTRICTION) | (_numbered(text) != "") | text.rlike(r"(?m)^[\-•●▪►◆*]")
+
+
 def heuristic_rule(text: Column, index: Column) -> Column:
     """struct<title, keywords, severity, category>, or null where nothing in the chunk restricts, numbers or lists."""
-    numbered = F.regexp_extract(text, rf"(?:بند|ماده|ماده{BLANK}*[0-9]|تبصره|قانون|بخش){BLANK}*[0-9۰-۹]+", 0)
-    fires = has_any(text, RESTRICTION) | (numbered != "") | text.rlike(r"(?m)^[\-•●▪►◆*]")
+    numbered, fires = _numbered(text), heuristic_fires(text)
     severity = F.when(has_any(text, SEVERE["CRITICAL"]), "CRITICAL").when(has_any(text, SEVERE["HIGH"]), "HIGH").when(has_any(text, SEVERE["MEDIUM"]), "MEDIUM").otherwise("LOW")
     votes = [F.struct(sum((F.contains(text, F.lit(w)).cast("int") for w in words), F.lit(0)).alias("n"), F.lit(-i).alias("order"), F.lit(c).alias("c")) for i, (c, words) in enumerate(CATEGORIES.items())]
     best = F.array_max(F.array(*votes))
@@ -419,8 +445,8 @@ def heuristic_rule(text: Column, index: Column) -> Column:
     return F.when(fires, rule)
 
 
-# A structured rule's header, a section's, and categories by code.
-_RULE_HEADER = rf"(?<!{SOLID})قاعده{BLANK}+[A-Za-z]{{2,8}}[\-–—]?{BLANK}?[0-9]{{1,4}}{BLANK}*[ـ–—\-]*{BLANK}*[^\n]{{2,100}}"
+# A structured rule's header (its word comes before the look back, so that a search looks for the word), a section's, and categories by code.
+_RULE_HEADER = rf"قاعده(?<!{SOLID}قاعده){BLANK}+[A-Za-z]{{2,8}}[\-–—]?{BLANK}?[0-9]{{1,4}}{BLANK}*[ـ–—\-]*{BLANK}*[^\n]{{2,100}}"
 _RULE_PARTS = rf"قاعده{BLANK}+([A-Za-z]{{2,8}})[\-–—]?{BLANK}?([0-9]{{1,4}}){BLANK}*[ـ–—\-]*{BLANK}*([^\n]{{2,100}})"
 _SECTION_HEADER = rf"(?<!{SOLID})[۰-۹0-9]{{1,2}}{BLANK}*[.)–]{BLANK}*[^\n]{{2,80}}"
 CODE_CATEGORY = {
@@ -441,7 +467,9 @@ def structured_rules(documents: DataFrame, key: str = "document_id", text: str =
     A rule's body runs to the next header; the first of equal codes counts.
     """
     headers = spans(F.col(text), _RULE_HEADER)
-    told = documents.select(key, F.col(text).alias("t"), F.col(pages).alias("pages"), headers.alias("headers")).where(F.size("headers") >= 2)
+    # a header's word is looked for first: most texts hold none
+    held = documents.where(F.contains(F.col(text), F.lit("قاعده")))
+    told = held.select(key, F.col(text).alias("t"), F.col(pages).alias("pages"), headers.alias("headers")).where(F.size("headers") >= 2)
     sections = F.filter(spans(F.col("t"), _SECTION_HEADER), lambda s: ~F.exists("headers", lambda h: F.abs(h["start"] - s["start"]) < 3))
     starts = F.array_sort(F.concat(F.transform("headers", lambda h: h["start"]), F.transform(sections, lambda s: s["start"])))
     told = told.withColumn("starts", starts)
@@ -708,14 +736,26 @@ PROPOSAL = (
 )
 
 
+def _proposals(raw: Column) -> Column:
+    return F.from_json(json_part(raw), f"struct<sourceQuote: string, rules: array<{PROPOSAL}>>")
+
+
+def _quoted(told: Column, chunk: Column) -> Column:
+    """Whether the proposals' quote stands in the chunk, blanks apart."""
+    quote = strip(F.coalesce(told["sourceQuote"], F.lit("")))
+    return (quote != "") & (F.contains(chunk, quote) | F.contains(squeeze(chunk), squeeze(quote)))
+
+
 def validated_extraction(raw: Column, chunk: Column) -> Column:
     """array<struct<rule, quote, rejection>> of a model's answer about a chunk: every proposed rule with its quote, or why it is refused.
 
     An answer that is no object with a list of rules is one MALFORMED_RESPONSE.
     """
-    told = F.from_json(json_part(raw), f"struct<sourceQuote: string, rules: array<{PROPOSAL}>>")
+    return _validated(_proposals(raw), _quoted(_proposals(raw), chunk))
+
+
+def _validated(told: Column, quoted: Column) -> Column:
     quote = strip(F.coalesce(told["sourceQuote"], F.lit("")))
-    quoted = (quote != "") & (F.contains(squeeze(chunk), squeeze(quote)) | F.contains(chunk, quote))
     between = lambda c, lo, hi: F.coalesce(F.length(c).between(lo, hi), F.lit(False))
     among = lambda c, known: F.coalesce(c.isin(*known), F.lit(False))
     hints = lambda r: F.coalesce((F.size(r["keywordsHint"]) <= 12) & F.forall(r["keywordsHint"], lambda k: F.length(k).between(2, 60)), F.lit(True))
@@ -739,8 +779,13 @@ def validated_extraction(raw: Column, chunk: Column) -> Column:
 
 def extraction(df: DataFrame, raw: str, chunk: str) -> DataFrame:
     """df, one row for each proposed rule: rule, quote, rejection. Anchors are looked up in the chunk."""
-    each = df.withColumn("e__", F.explode_outer(validated_extraction(F.col(raw), text_of(F.col(chunk))))).where("e__ IS NOT NULL")
+    # what all rules of an answer share is worked out once, outside the function over its rules
+    told = df.withColumn("told__", _proposals(F.col(raw)))
+    told = told.withColumn("quoted__", _quoted(F.col("told__"), text_of(F.col(chunk))))
+    each = told.withColumn("e__", F.explode_outer(_validated(F.col("told__"), F.col("quoted__")))).drop("told__", "quoted__").where("e__ IS NOT NULL")
     anchored = F.col("e__.rejection").isNull() & (F.coalesce(F.col("e__.rule.anchor"), F.lit("")) != "")
-    each = each.withColumn("at__", F.when(anchored, anchor_quote(F.col(chunk), F.col("e__.rule.anchor"))))
+    # only chunks that an anchor is looked up in go to Python
+    given = lambda c: F.when(anchored, c)
+    each = each.withColumn("at__", given(anchor_quote(given(F.col(chunk)), given(F.col("e__.rule.anchor")))))
     rejection = F.when(anchored & F.col("at__").isNull(), REJECTIONS[2]).otherwise(F.col("e__.rejection"))
     return each.withColumns({"rule": F.col("e__.rule"), "quote": F.coalesce("e__.quote", "at__"), "rejection": rejection}).drop("e__", "at__")

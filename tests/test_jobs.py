@@ -273,3 +273,25 @@ def test_numbers_in_groups(spark):
     for g in ("hot", None):
         own = sorted((v, i) for i, x, v in rows if x == g)
         assert [got[i] for _, i in own] == list(range(1, len(own) + 1))
+
+
+def test_documents_are_searched_for_headers_only_where_their_word_stands(spark):
+    from promptlake.operators import ingestion
+
+    body = "This rule says that nothing leaves the house. BLOCKED"
+    texts = {1: f"قاعده SEC-01 ـ first\n{body}\nقاعده SEC-02 ـ second\n{body}", 2: f"xقاعده SEC-01 ـ first\n{body}\nقاعده SEC-02 ـ second\n{body}", 3: "plain"}
+    docs = spark.createDataFrame([(i, t, [(1, 0, 500)]) for i, t in texts.items()], "document_id long, full_text string, pages array<struct<page: int, start: int, end: int>>")
+    found = ingestion.structured_rules(docs)
+    assert sorted((r.document_id, r.policy_code) for r in found.collect()) == [(1, "SEC-01"), (1, "SEC-02")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    first = [line for line in plan.splitlines() if "Filter" in line][-1]
+    assert "Contains(full_text" in first
+
+
+def test_an_answer_is_read_once_for_all_its_rules(spark):
+    from promptlake.operators import ingestion
+
+    df = spark.createDataFrame([("a chunk", '{"sourceQuote": " a  chunk ", "rules": [{"label": "abc"}]}')], "text string, answer string")
+    found = ingestion.extraction(df, "answer", "text")
+    assert [r.rejection for r in found.collect()] == ["INVALID_RULE"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1

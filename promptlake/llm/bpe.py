@@ -7,7 +7,8 @@ neighbours. Decoding concatenates the vocabulary's byte strings.
 
 The vocabulary file is a parameter; it is read on the driver and sent to the
 tasks by broadcast (its size is checked). Each Python worker keeps one codec and
-remembers the ids of pieces it has met, up to ``memory`` bytes, then starts afresh.
+remembers the ids of pieces it has met, up to ``memory`` bytes: what half of it holds
+stays until another half is full, and what is met again meanwhile stays longer.
 
 Defined results: null counts as empty; an empty text has no ids; special tokens
 inside a text are recognised as the library does by default; texts are encoded whole.
@@ -19,6 +20,7 @@ import hashlib
 import heapq
 import json
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -57,14 +59,15 @@ class Codec:
         for token, i in special.items():
             self.bytes_of[i] = token.encode()
         self.byte_id = [vocabulary[c] for _, c in sorted(byte_letters().items())]
-        #: rank of each mergeable pair, and (left, right, joined) of each rank
+        #: rank of each mergeable pair, and what each rank joins it to
         self.rank: dict[tuple[int, int], int] = {}
-        self.rule: list[tuple[int, int, int]] = []
+        self.rule: list[int] = []
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.rule.append((vocabulary[left], vocabulary[right], vocabulary[left + right]))
-            self.rank[self.rule[-1][:2]] = rank
-        self.memory, self.used, self.known = memory, 0, {}
+            self.rule.append(vocabulary[left + right])
+            self.rank[vocabulary[left], vocabulary[right]] = rank
+        #: pieces and their ids: those met of late, and those met before; each takes up to half the memory
+        self.memory, self.used, self.known, self.older = memory, 0, {}, {}
 
     @classmethod
     def of(cls, key: str, spec: str) -> Codec:
@@ -74,48 +77,54 @@ class Codec:
         return cls.last[1]
 
     def merge(self, piece: bytes) -> list[int]:
-        """The ids of one piece. A queued number is rank * n + place, so ranks order it, then places."""
+        """The ids of one piece. A queued number is a rank, then a place in its low bits, so ranks order it, then places."""
         symbols = list(map(self.byte_id.__getitem__, piece))
         n, rank, rule = len(symbols), self.rank.get, self.rule
-        queue = [r * n + i for i, r in enumerate(map(rank, zip(symbols, symbols[1:], strict=False))) if r is not None]
+        # the rank of each symbol with its right neighbour, as it is now: what is queued with another rank is stale
+        now = [*map(rank, zip(symbols, symbols[1:], strict=False)), None]
+        bits, pop, push = n.bit_length(), heapq.heappop, heapq.heappush
+        low = (1 << bits) - 1
+        queue = [r << bits | i for i, r in enumerate(now) if r is not None]
         if not queue:
             return symbols
         heapq.heapify(queue)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         while queue:
-            r, i = divmod(heapq.heappop(queue), n)
-            left, right, joined = rule[r]
+            top = pop(queue)
+            i, r = top & low, top >> bits
+            if now[i] != r:
+                continue
             j = after[i]
-            if symbols[i] != left or j < 0 or symbols[j] != right:
-                continue  # stale: one of the two has changed since
             k = after[i] = after[j]
-            symbols[i], symbols[j] = joined, -1
+            joined = symbols[i] = rule[r]
+            symbols[j], now[i], now[j] = -1, None, None
             if k >= 0:
                 before[k] = i
-                r = rank((joined, symbols[k]))
+                r = now[i] = rank((joined, symbols[k]))
                 if r is not None:
-                    heapq.heappush(queue, r * n + i)
+                    push(queue, r << bits | i)
             h = before[i]
             if h >= 0:
-                r = rank((symbols[h], joined))
+                r = now[h] = rank((symbols[h], joined))
                 if r is not None:
-                    heapq.heappush(queue, r * n + h)
+                    push(queue, r << bits | h)
         return [s for s in symbols if s >= 0]
 
     def _plain(self, text: str) -> bytes:
-        parts, known = pieces(text), self.known
-        if self.used > self.memory:
-            known.clear()
-            self.used = 0
-        long = {}
+        parts = pieces(text)
+        if 2 * self.used > self.memory:
+            self.older, self.known, self.used = self.known, {}, 0
+        known, older, long = self.known, self.older, {}
         for p in set(parts).difference(known):
-            raw = p.encode("utf-8", "surrogatepass")
-            ids = np.array(self.merge(raw), "<u4").tobytes()
-            if len(raw) > LONGEST:
-                long[p] = ids
-            else:
-                known[p] = ids
-                self.used += len(raw) + len(ids) + ENTRY_BYTES
+            raw, ids = p.encode("utf-8", "surrogatepass"), older.get(p)
+            if ids is None:
+                merged = self.merge(raw)
+                ids = struct.pack(f"<{len(merged)}I", *merged)
+                if len(raw) > LONGEST:
+                    long[p] = ids
+                    continue
+            known[p] = ids
+            self.used += len(raw) + len(ids) + ENTRY_BYTES
         if not long:
             return b"".join(map(known.__getitem__, parts))
         return b"".join(long[p] if p in long else known[p] for p in parts)

@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import json
+
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -182,3 +184,13 @@ def test_stages(spark, docs, none, sf_dir):
             mine = docs.withColumns({c: F.lit("mine") for c in ("language__", "toxicity__", "text__", "row__", "contamination")})
             out = stage(spark, mine, sf_dir)
             assert out.columns == mine.columns and out.where("language__ <> 'mine' OR toxicity__ <> 'mine' OR text__ <> 'mine' OR row__ <> 'mine' OR contamination <> 'mine'").isEmpty()
+
+
+def test_pieces_met_again_are_not_merged_again(monkeypatch):
+    codec = bpe.Codec(json.loads(bpe.read_spec(BPE)), memory=4000)
+    merged, merge = [], codec.merge
+    monkeypatch.setattr(codec, "merge", lambda raw: merged.append(raw) or merge(raw))
+    for i in range(200):
+        codec.encode(f"the word{chr(97 + i % 26)}{chr(97 + i // 26)}")
+        assert codec.used <= codec.memory
+    assert merged.count(b"the") == 1

@@ -41,6 +41,10 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: The ranks of a symbol that no merge begins with.
+_NONE: dict[int, int] = {}
+
+
 class Codec:
     """Encodes and decodes with one byte-level vocabulary."""
 
@@ -59,13 +63,16 @@ class Codec:
         for token, i in special.items():
             self.bytes_of[i] = token.encode()
         self.byte_id = [vocabulary[c] for _, c in sorted(byte_letters().items())]
-        #: rank of each mergeable pair, and what each rank joins it to
-        self.rank: dict[tuple[int, int], int] = {}
+        #: of each symbol the rank of its merge with a right neighbour, and what each rank joins
+        self.ranks: list[dict[int, int]] = [_NONE] * len(self.bytes_of)
         self.rule: list[int] = []
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             self.rule.append(vocabulary[left + right])
-            self.rank[vocabulary[left], vocabulary[right]] = rank
+            i = vocabulary[left]
+            if self.ranks[i] is _NONE:
+                self.ranks[i] = {}
+            self.ranks[i][vocabulary[right]] = rank
         #: pieces and their ids: those met of late, and those met before; each takes up to half the memory
         self.memory, self.used, self.known, self.older = memory, 0, {}, {}
 
@@ -79,42 +86,54 @@ class Codec:
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one piece. A queued number is a rank, then a place in its low bits, so ranks order it, then places."""
         symbols = list(map(self.byte_id.__getitem__, piece))
-        n, rank, rule = len(symbols), self.rank.get, self.rule
-        # the rank of each symbol with its right neighbour, as it is now: what is queued with another rank is stale
-        now = [*map(rank, zip(symbols, symbols[1:], strict=False)), None]
+        n, ranks, rule = len(symbols), self.ranks, self.rule
+        if n < 2:
+            return symbols
         bits, pop, push = n.bit_length(), heapq.heappop, heapq.heappush
         low = (1 << bits) - 1
-        queue = [r << bits | i for i, r in enumerate(now) if r is not None]
+        # what is queued for each symbol with its right neighbour, as it is now: a queued number that differs is stale
+        now, queue, left = [None] * n, [], symbols[0]
+        for i in range(1, n):
+            r = ranks[left].get(left := symbols[i])
+            if r is not None:
+                now[i - 1] = r = r << bits | i - 1
+                queue.append(r)
         if not queue:
             return symbols
         heapq.heapify(queue)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        before, after = list(range(-1, n)), list(range(1, n + 1))
+        symbols.append(-1)  # the end, which joins nothing
         while queue:
             top = pop(queue)
-            i, r = top & low, top >> bits
-            if now[i] != r:
+            i = top & low
+            if now[i] != top:
                 continue
             j = after[i]
             k = after[i] = after[j]
-            joined = symbols[i] = rule[r]
-            symbols[j], now[i], now[j] = -1, None, None
-            if k >= 0:
-                before[k] = i
-                r = now[i] = rank((joined, symbols[k]))
-                if r is not None:
-                    push(queue, r << bits | i)
+            before[k] = i
+            joined = symbols[i] = rule[top >> bits]
+            symbols[j], now[j] = -1, None
+            r = ranks[joined].get(symbols[k])
+            if r is None:
+                now[i] = None
+            else:
+                now[i] = r = r << bits | i
+                push(queue, r)
             h = before[i]
             if h >= 0:
-                r = now[h] = rank((symbols[h], joined))
-                if r is not None:
-                    push(queue, r << bits | h)
+                r = ranks[symbols[h]].get(joined)
+                if r is None:
+                    now[h] = None
+                else:
+                    now[h] = r = r << bits | h
+                    push(queue, r)
         return [s for s in symbols if s >= 0]
 
     def _plain(self, text: str) -> bytes:
         parts = pieces(text)
         if 2 * self.used > self.memory:
             self.older, self.known, self.used = self.known, {}, 0
-        known, older, long = self.known, self.older, {}
+        known, older, long, used = self.known, self.older, {}, 0
         for p in set(parts).difference(known):
             raw, ids = p.encode("utf-8", "surrogatepass"), older.get(p)
             if ids is None:
@@ -124,7 +143,8 @@ class Codec:
                     long[p] = ids
                     continue
             known[p] = ids
-            self.used += len(raw) + len(ids) + ENTRY_BYTES
+            used += len(raw) + len(ids) + ENTRY_BYTES
+        self.used += used
         if not long:
             return b"".join(map(known.__getitem__, parts))
         return b"".join(long[p] if p in long else known[p] for p in parts)

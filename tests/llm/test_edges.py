@@ -1,6 +1,8 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import json
+import random
+import tracemalloc
 
 import public_tokenizers
 import pytest
@@ -194,3 +196,19 @@ def test_pieces_met_again_are_not_merged_again(monkeypatch):
         codec.encode(f"the word{chr(97 + i % 26)}{chr(97 + i // 26)}")
         assert codec.used <= codec.memory
     assert merged.count(b"the") == 1
+
+
+def test_codec_holds_no_object_a_merge_and_joins_as_the_library():
+    from tokenizers import Tokenizer
+
+    spec = json.loads(bpe.read_spec(BPE))
+    tracemalloc.start()
+    codec = bpe.Codec(spec)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 180 * len(codec.rule)
+    library, some = Tokenizer.from_file(BPE), random.Random(7)
+    parts = ["ung", "queue", "tion", "\xe9", "\xe8\xe8", "der", "aaaa", "x", "\u0635", "\U0001f600", "9", " ", "!!", "'s", "\n", "<|endoftext|>"]
+    for _ in range(500):
+        text = "".join(some.choices(parts, k=some.randrange(1, 40)))
+        assert codec.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids

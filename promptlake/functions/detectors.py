@@ -17,6 +17,8 @@ from promptlake.functions.patterns import AFTER, BEFORE, BLANK, BLANKS, SOLID, Z
 from promptlake.functions.text import ascii_digits, strip
 
 HIT = "struct<detector_type: string, rule_id: string, label: string, category: string, confidence: double, start: int, end: int, text: string>"
+#: A hit with what follows from it.
+GRADED = f"{HIT[:-1]}, always_block: boolean, severity: string>"
 
 # Confidence of each kind of hit.
 CHECKSUM, SECRET, DICTIONARY, KEYWORD, BULK, JAILBREAK, DECLARED = 0.95, 0.92, 0.88, 0.85, 0.8, 0.95, 0.98
@@ -50,9 +52,11 @@ SECRETS = [
     ("رشته اتصال پایگاه داده", "connection_string", rf"(?i){BEFORE}(?:mongodb|mysql|postgres(?:ql)?|redis|amqp)(?:\+{SOLID}*)?://{SOLID}+"),
 ]
 
-EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
+# begins where its run of signs does, or where the last address ended: from inside a run no more is found than from its first sign
+EMAIL = r"(?:(?<![a-zA-Z0-9._%+\-])|\G)[a-zA-Z0-9._%+\-]++@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
 
-# Values that a text declares as its author's.
+# Values that a text declares as its author's, and the words one of which comes before a secret.
+DECLARING = ["رمز", "گذرواژه", "پسورد", "کلید", "توکن"]
 _SECRET_DECLARED = (
     rf"(?i)(?:رمز{BLANK}*(?:عبور)?|گذرواژه|پسورد|کلید{BLANK}*api|توکن{BLANK}*دسترسی){BLANK}*(?:(?:من|ما|حساب|سرور){BLANK}*)?"
     rf"(?:[:=]{BLANK}*)?([a-z0-9_!@#$%^&*+.\-]{{4,}})"
@@ -111,7 +115,7 @@ def ibans(normal: Column) -> Column:
 
 
 def declared_values(normal: Column) -> Column:
-    tests = {_SECRET_DECLARED: has_any(normal, ["رمز", "گذرواژه", "پسورد", "کلید", "توکن"]), _PHONE_DECLARED: normal.rlike("[0-9][0-9 ()\\-]{6}")}
+    tests = {_SECRET_DECLARED: has_any(normal, DECLARING), _PHONE_DECLARED: normal.rlike("[0-9][0-9 ()\\-]{6}")}
     plain = lambda pattern: F.filter(_spans_if(tests[pattern], normal, pattern), lambda s: ~F.regexp_extract(s["text"], pattern, 1).rlike(r"(?i)\A(?:password|api_key|token|secret)\z"))
     return F.concat(
         hits("REGEX", "رمز عبور اعلام‌شده", "credential", DECLARED, plain(_SECRET_DECLARED)),
@@ -147,8 +151,9 @@ def bulk_contacts(text: Column, normal: Column) -> Column:
     """Three or more addresses, or mobile numbers, in one text."""
 
     def bulk(label, category, count, unit):
-        one = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.concat_ws(" ", count.cast("string"), F.lit(unit)).alias("text")))
-        return hits("REGEX", label, category, BULK, F.filter(one, lambda _: count >= 3))
+        one = F.filter(F.array(count), lambda n: n >= 3)  # counted once
+        told = F.transform(one, lambda n: F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.concat_ws(" ", n.cast("string"), F.lit(unit)).alias("text")))
+        return hits("REGEX", label, category, BULK, told)
 
     mails = F.when(F.contains(text, F.lit("@")), F.regexp_count(text, F.lit(EMAIL))).otherwise(0)
     mobiles = F.when(~F.contains(normal, F.lit("09")), 0).otherwise(F.size(found(normal, r"(?:\A|[^0-9])(09[0-9]{9})(?![0-9])")))
@@ -164,11 +169,9 @@ def phrases(normal: Column, terms: list[str], kind: str, label: str, category: s
 
 
 def jailbreaks(normal: Column) -> Column:
-    return F.when(~has_any(F.lower(normal), JAILBREAK_PHRASES), none()).otherwise(_jailbreaks(normal))
-
-
-def _jailbreaks(normal: Column) -> Column:
-    return phrases(normal, JAILBREAK_PHRASES, "SEMANTIC", "تلاش دور زدن فیلتر", "jailbreak_injection", JAILBREAK)
+    found_in = lambda low: phrases(low, JAILBREAK_PHRASES, "SEMANTIC", "تلاش دور زدن فیلتر", "jailbreak_injection", JAILBREAK)
+    # small letters are made once, not for each phrase
+    return F.flatten(F.transform(F.array(F.lower(normal)), lambda low: F.when(~has_any(low, JAILBREAK_PHRASES), none()).otherwise(found_in(low))))
 
 
 def variants(term: str) -> str:
@@ -261,6 +264,18 @@ def compiled_rules(normal: Column, rules: list[dict], limit: int = MAX_PATTERN)
     return F.concat(*parts)
 
 
+#: What begins every identifier: four digits of a card, two digits and eleven more signs of an account, a declared telephone's first seven signs.
+_NUMBERS = r"[0-9](?:[0-9]{3}|[0-9][0-9A-Za-z]{11}|[0-9 ()\-]{6})"
+
+
+def may_hit(text: Column, normal: Column) -> Column:
+    """False where none of the detectors that need no terms, rules or steps can find anything: most texts, by searches that every hit passes."""
+    held = has_any(text, ["@", "=", ":", "sk-", "AKIA", "-----BEGIN"])
+    words = [*DECLARING, *JAILBREAK_PHRASES]
+    persian = normal.rlike("[\u0600-\u06ff]") & has_any(normal, [w for w in words if not w.isascii()])
+    return F.coalesce(normal.rlike(_NUMBERS) | held | persian | has_any(F.lower(normal), [w for w in words if w.isascii()]), F.lit(False))
+
+
 # Categories whose hits are critical, and the one that always blocks.
 CRITICAL = ("personal_contact", "national_id", "ir_bank_card", "iban", "api_key", "private_key", "credential", "connection_string", "jailbreak_injection")
 ALWAYS_BLOCK = ("jailbreak_injection",)
@@ -297,8 +312,13 @@ def dlp_outcome(text: Column, normal: Column, terms: dict[str, list[str]] | None
         severity = F.when(critical, "critical").when(h["confidence"] >= 0.85, "high").otherwise("medium")
         return h.withField("always_block", h["category"].isin(*ALWAYS_BLOCK)).withField("severity", severity)
 
+    # most texts hold nothing: what hits have in common is searched first, and the detectors run for the others
+    some = may_hit(text, normal) if not named else F.lit(True)
+    for c in checked.values():
+        some = some | (F.size(c["hits"]) > 0)
+    graded_hits = F.when(some, F.transform(every, graded)).otherwise(F.expr(f"cast(array() as array<{GRADED}>)"))
     failed = F.array_compact(F.array(F.lit(None).cast("string"), *(F.when(c["error"].isNotNull(), F.lit(name)) for name, c in checked.items())))
-    return F.struct(F.transform(every, graded).alias("hits"), failed.alias("failed"))
+    return F.struct(graded_hits.alias("hits"), failed.alias("failed"))
 
 
 def dlp(text: Column, normal: Column, terms: dict[str, list[str]] | None = None, rules: list[dict] | None = None) -> Column:

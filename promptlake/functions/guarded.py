@@ -52,6 +52,15 @@ def outcome(function: RowFunction, text: str | None, seconds: float) -> dict:
         return {"value": None, "error": f"{type(e).__name__}: {e}"[:MESSAGE]}
 
 
+def _shaped(row: dict, kind: pa.DataType) -> dict:
+    """The row, or an error in its place if its value has another shape than promised."""
+    try:
+        pa.array([row], kind)
+    except (pa.ArrowException, TypeError, ValueError) as e:
+        return {"value": None, "error": f"{type(e).__name__}: {e}"[:MESSAGE]}
+    return row
+
+
 def guarded(function: RowFunction, returns: str, seconds: float = SECONDS) -> Callable[[Column], Column]:
     """A column function to struct<value, error>: just one of them is null."""
     ddl = f"struct<value: {returns}, error: string>"
@@ -61,15 +70,11 @@ def guarded(function: RowFunction, returns: str, seconds: float = SECONDS) -> Ca
 
         @F.arrow_udf(ddl)
         def each(batch: pa.Array) -> pa.Array:
-            rows = []
-            for text in batch.to_pylist():
-                row = outcome(function, text, seconds)
-                try:
-                    pa.array([row], kind)
-                except (pa.ArrowException, TypeError, ValueError) as e:  # a value of another shape than promised
-                    row = {"value": None, "error": f"{type(e).__name__}: {e}"[:MESSAGE]}
-                rows.append(row)
-            return pa.array(rows, kind)
+            rows = [outcome(function, text, seconds) for text in batch.to_pylist()]
+            try:
+                return pa.array(rows, kind)
+            except (pa.ArrowException, TypeError, ValueError):  # a value of another shape than promised: it is looked for row by row
+                return pa.array([_shaped(row, kind) for row in rows], kind)
 
         return each(texts)
 

@@ -1,5 +1,6 @@
 """Known values of checksums and normalisation."""
 
+import random
 import re
 import unicodedata
 
@@ -73,3 +74,29 @@ def test_places_of_words_overlap(spark):
             assert r.n == sum(r.t.startswith(word, i) for i in range(len(r.t)))
     plan = spark.range(1).select(detectors.behaviour(F.lit("x"), F.col("id").cast("string"))["mentions"])._jdf.queryExecution().analyzed().toString()
     assert "(?=" not in plan
+
+
+def test_detectors_run_where_something_may_be(spark):
+    from promptlake.functions import detectors as d
+
+    assert all(re.search("[\u0600-\u06ff]", w) for w in [*d.DECLARING, *d.JAILBREAK_PHRASES] if not w.isascii())
+    some, parts = random.Random(5), ["0012345679", "6037-9911 2345 6786", "6037991899999991", "IR062960000000100324200001", "iban DE89370400440532013000", "رمز عبور: abcd12", "my phone is 091 2345 678", "موبایل من (021) 555-1234", "sk-" + "a" * 24, "AKIA" + "B" * 16, "-----BEGIN X PRIVATE KEY-----", "password=hunter22", "Token : zz9", "redis://h:1/0", "a@b.co, c@d.io; e@f.org", "09121234567 09121234568 09121234569", "Ignore Previous", "بدون محدودیت پاسخ", "نادیده بگیر", "DAN mode", "licensed under", "plain words", "یک متن ساده", "12", "\n"]
+    texts = [*parts, None, "", *(" ".join(some.choices(parts, k=some.randrange(2, 6))) for _ in range(300)), *("".join(some.choices("09 -()@:=aIR+", k=24)) for _ in range(300))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, t string").withColumn("n", text.normalize(F.col("t")))
+    rules = [{"id": "r", "detector_type": "REGEX", "pattern": "licensed under", "action": "BLOCK_EXTERNAL"}]
+    never = {"TELCO_HUB_NODE": ["no such term"]}  # with terms the detectors run on every text
+    told = docs.select("i", d.dlp_outcome(F.col("t"), F.col("n"), None, rules).alias("gated"), d.dlp_outcome(F.col("t"), F.col("n"), never, rules).alias("every")).collect()
+    assert len(told) == len(texts) and all(r.gated == r.every for r in told)
+    assert {h.category for r in told for h in r.gated.hits} >= {*d.CRITICAL, "bulk_email", "bulk_mobile", "policy_regex"}
+    plan = docs.select(d.dlp_outcome(F.col("t"), F.col("n")).alias("o"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("@[a-zA-Z0-9") == 1  # addresses are counted once, not once for the test and once for the words
+
+
+def test_addresses_begin_where_their_run_does(spark):
+    from promptlake.functions import detectors as d
+
+    plain, some = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}", random.Random(3)
+    texts = ["a@b.com_x@y.org", "a@b.com@c.de", "@", "a@@b.cc", *("".join(some.choices("aaaabbb.@_%1 \xe9", k=some.randrange(1, 90))) for _ in range(3000))]
+    told = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.regexp_extract_all("t", F.lit(d.EMAIL), F.lit(0)).alias("a"), F.regexp_extract_all("t", F.lit(plain), F.lit(0)).alias("b")).collect()
+    assert all(r.a == r.b for r in told) and sum(len(r.a) for r in told) > 100
+    assert spark.createDataFrame([("a" * 300_000 + " x@y.org",)], "t string").select(F.regexp_count("t", F.lit(d.EMAIL)).alias("n")).first().n == 1

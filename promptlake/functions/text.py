@@ -95,6 +95,23 @@ def char_hygiene(text: Column) -> Column:
     return F.regexp_replace(persian_letters(nfkc(text_of(text))), "ـ{2,}", "ـ")
 
 
+_TATWEELS = re.compile("ـ{2,}")
+
+
+def hygienic_literal(text: str) -> str:
+    """What `char_hygiene` makes of a literal, without a job."""
+    if text.isascii():
+        return text
+    return _TATWEELS.sub("ـ", unicodedata.normalize("NFKC", text).replace("ي", "ی").replace("ك", "ک"))
+
+
+def words_of(text: str) -> list[str]:
+    """What lies between the blanks of a literal."""
+    if any(c in text for c in _SPLIT_DIFFERS):
+        return [w for w in _BLANK_RUN.split(text) if w]
+    return text.split()
+
+
 def tokens_ascii(text: Column) -> Column:
     """Small-letter runs of ASCII word characters and joiners."""
     return F.filter(F.split(F.lower(text_of(text)), f"[^0-9A-Za-z_{ZWNJ}]+"), lambda w: w != "")

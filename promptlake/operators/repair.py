@@ -1,27 +1,38 @@
 """Repair of Persian text whose ligatures were turned round when it was extracted.
 
-Damaged words are looked up once per different word: texts are cut into words by
-Spark, the different words repaired, and the repairs joined back by hash, so the
-work grows with the vocabulary. The lexicon (word, rank) is a table of any size that
+Damaged words are looked up once per different word: the different words that may have
+a repair are repaired, and the repairs joined back by hash, so that work grows with the
+vocabulary. What remains is done text by text in one Arrow function. The lexicon (word, rank) is a table of any size that
 the caller gives: whatever a word's repair may look up is joined to it.
 """
 
 from __future__ import annotations
 
+import re
+from itertools import islice
+from operator import eq
+
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from promptlake.functions.patterns import BLANK, BLANKS, ZWNJ
-from promptlake.functions.text import char_hygiene, strip
+from promptlake.functions.patterns import ZWNJ
+from promptlake.functions.text import BLANK_CHARACTERS, hygienic_literal, words_of
 from promptlake.session import ship_package
 
 # Pairs that extraction turns round, and endings that a stem may carry.
 PAIRS = ("ال", "لا", "رت", "تر", "نت", "تن", "رب", "بر")
 ENDINGS = ("های", "ها", "ان", "ی")
 
-_PERSIAN = "[؀-ۿ]"
+PERSIAN = "[؀-ۿ]"
+#: What may hold Persian: its signs, and forms of them that NFKC opens up.
+MAY_BE_PERSIAN = r"[؀-ۿ\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFC}\x{1EE00}-\x{1EEFF}]"
+_PERSIAN_SIGN = re.compile(PERSIAN)
+_DIGIT = re.compile("[0-9۰-۹]")
+_WORD = regex.compile(rf"[\p{{L}}\p{{N}}{ZWNJ}]+")
+_LONE = frozenset((".", "،", "؛", ":", "!", "؟", "..", "..."))
 
 
 def lexicon(words: DataFrame) -> DataFrame:
@@ -83,79 +94,123 @@ def word_repairs(words: DataFrame, lexicon_: DataFrame) -> DataFrame:
     return known.select("word", fix("word", "known").alias("repaired")).where("repaired IS NOT NULL AND repaired <> word")
 
 
-def _is_persian(token: Column) -> Column:
-    n = F.regexp_count(token, F.lit(_PERSIAN))
-    return (n > 0) & (n >= F.length(F.regexp_replace(token, f"[{BLANKS}{ZWNJ}]", "")) / 2)
-
-
-def tidy(line: Column) -> Column:
-    """struct<text, glued, junk>: lone marks joined to the word before, stray Latin letters among Persian words dropped."""
-    words = F.filter(F.split(line, f"{BLANK}+"), lambda w: w != "")
-    near = lambda i: F.coalesce(_is_persian(F.get(words, i)), F.lit(False))
-
-    def mark(w, i):
-        lone = w.isin(".", "،", "؛", ":", "!", "؟", "..", "...")
-        noise = (F.length(w) <= 2) & ~w.rlike(_PERSIAN) & ~w.rlike("[0-9۰-۹]")
-        beside = near(i + 1) | F.when(i > 0, near(i - 1)).otherwise(False)
-        return F.struct(w.alias("w"), F.when(lone, "glue").when(noise & beside, "junk").otherwise("keep").alias("how"))
-
-    marked = F.transform(words, mark)
-    joined = F.aggregate(
-        marked,
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("glued")),
-        lambda s, x: F.when(x["how"] == "junk", s)
-        .when((x["how"] == "glue") & (s["out"] != ""), F.struct(F.concat(s["out"], x["w"]).alias("out"), (s["glued"] + 1).alias("glued")))
-        .when(x["how"] == "glue", s)
-        .otherwise(F.struct(F.when(s["out"] == "", x["w"]).otherwise(F.concat(s["out"], F.lit(" "), x["w"])).alias("out"), s["glued"].alias("glued"))),
-    )
-    clean = strip(F.regexp_replace(F.regexp_replace(joined["out"], f"{BLANK}+([،؛!؟])", "$1"), f"{BLANK}{{2,}}", " "))
-    return F.struct(clean.alias("text"), joined["glued"].alias("glued"), F.size(F.filter(marked, lambda x: x["how"] == "junk")).alias("junk"))
+def damaged(text: str) -> set[str]:
+    """The different Persian words of a text, joiners left out, that may have a repair: those that hold a turned pair."""
+    if not _PERSIAN_SIGN.search(text):
+        return set()
+    bare = {w.replace(ZWNJ, "") for w in _WORD.findall(text)}
+    return {w for w in bare if 3 <= len(w) <= 32 and any(p in w for p in PAIRS)}
+
+
+def _swapped(text: str, repairs: dict[str, str]) -> tuple[str, int]:
+    n = 0
+
+    def put(m):
+        nonlocal n
+        word = repairs.get(m[0].replace(ZWNJ, ""))
+        n += word is not None
+        return m[0] if word is None else word
+
+    return (_WORD.sub(put, text), n) if repairs else (text, 0)
+
+
+def _is_persian(token: str) -> bool:
+    n = len(_PERSIAN_SIGN.findall(token))
+    return n > 0 and n >= (len(token) - token.count(ZWNJ)) / 2
+
+
+def _is_noise(token: str) -> bool:
+    return len(token) <= 2 and not _PERSIAN_SIGN.search(token) and not _DIGIT.search(token)
+
+
+def tidy(line: str) -> tuple[str, int, int]:
+    """(text, glued, junk): lone marks joined to the word before, stray Latin letters among Persian words dropped."""
+    words, glued, junk = words_of(line), 0, 0
+    # most lines hold no Persian word, many no lone mark
+    persian = [_is_persian(w) for w in words] if _PERSIAN_SIGN.search(line) else []
+    if persian or not _LONE.isdisjoint(words):
+        out: list[str] = []
+        for i, w in enumerate(words):
+            if w in _LONE:
+                if out:
+                    out[-1] += w
+                    glued += 1
+            elif persian and _is_noise(w) and (any(persian[i + 1 : i + 2]) or (i > 0 and persian[i - 1])):
+                junk += 1
+            else:
+                out.append(w)
+        words = out
+    text = " ".join(words)
+    for mark in "،؛!؟":
+        text = text.replace(" " + mark, mark)
+    return text, glued, junk
+
+
+def _repeat(words: list[str]) -> tuple[int, int] | None:
+    """(place, number of words) of a phrase that follows itself: the longest, of these the first."""
+    for n in range(8, 2, -1):
+        # a phrase of n words follows itself where n words on end stand again n places on
+        same, run = bytes(map(eq, words, islice(words, n, None))), b"\1" * n
+        at = same.find(run)
+        while at >= 0:
+            if sum(map(len, words[at : at + n])) >= 12:
+                return at, n
+            at = same.find(run, at + 1)
+    return None
 
 
 def _collapse(line: str) -> tuple[str, int]:
+    """A line without phrases of 3 to 8 words that follow themselves; up to three."""
     words, times = line.split(), 0
-    while times < 3:
-        at = next(
-            (
-                (i, n)
-                for n in range(8, 2, -1)
-                for i in range(len(words) - 2 * n + 1)
-                if words[i : i + n] == words[i + n : i + 2 * n] and sum(map(len, words[i : i + n])) >= 12
-            ),
-            None,
-        )
-        if not at:
-            break
-        del words[at[0] + at[1] : at[0] + 2 * at[1]]
+    while times < 3 and (found := _repeat(words)):
+        at, n = found
+        del words[at + n : at + 2 * n]
         times += 1
     return (" ".join(words), times) if times else (line, 0)
 
 
-@F.arrow_udf(StructType([StructField("text", StringType()), StructField("collapsed", IntegerType())]))
-def collapsed_repeats(lines: pa.Array) -> pa.Array:
-    """A line without phrases of 3 to 8 words that follow themselves; up to three."""
-    told = [_collapse(x.as_py() or "") for x in lines]
-    return pa.StructArray.from_arrays([pa.array([a for a, _ in told], pa.string()), pa.array([n for _, n in told], pa.int32())], ["text", "collapsed"])
+def repaired_text(text: str, repairs: dict[str, str]) -> tuple[str, int, int, int, int]:
+    """(text, swapped, glued, junk, collapsed) of one text, line by line."""
+    text, swapped = _swapped(hygienic_literal(text), repairs)
+    lines, glued, junk, collapsed = [], 0, 0, 0
+    for line in text.split("\n"):
+        line, g, j = tidy(line)
+        line, c = _collapse(line)
+        lines.append(line)
+        glued, junk, collapsed = glued + g, junk + j, collapsed + c
+    return "\n".join(lines).strip(BLANK_CHARACTERS), swapped, glued, junk, collapsed
+
+
+_COUNTS = ("swapped", "glued", "junk", "collapsed")
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def _damaged(texts: pa.Array) -> pa.Array:
+    return pa.array([sorted(damaged(hygienic_literal(t or ""))) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+
+@F.arrow_udf(StructType([StructField("text", StringType()), *(StructField(n, LongType()) for n in _COUNTS)]))
+def _repaired(texts: pa.Array, repairs: pa.Array) -> pa.Array:
+    told = [repaired_text(t or "", {x["word"]: x["repaired"] for x in r or ()}) for t, r in zip(texts.to_pylist(), repairs.to_pylist(), strict=True)]
+    columns = [pa.array([x[0] for x in told], pa.string()), *(pa.array([x[i] for x in told], pa.int64()) for i in range(1, 5))]
+    return pa.StructArray.from_arrays(columns, ["text", *_COUNTS])
 
 
 def repaired(docs: DataFrame, lexicon_: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, text, swapped, glued, junk, collapsed) of every row, line by line."""
-    lines = docs.select(key, F.posexplode(F.split(char_hygiene(F.col(text)), "\n")).alias("line_no", "line"))
-    parts = lines.select(key, "line_no", F.posexplode(F.split("line", rf"(?<=[\p{{L}}\p{{N}}{ZWNJ}])(?=[^\p{{L}}\p{{N}}{ZWNJ}])|(?<=[^\p{{L}}\p{{N}}{ZWNJ}])(?=[\p{{L}}\p{{N}}{ZWNJ}])")).alias("at", "part"))
-    parts = parts.withColumn("word", F.when(F.col("part").rlike(_PERSIAN), F.replace("part", F.lit(ZWNJ), F.lit(""))))
-    repairs = word_repairs(parts.where("word IS NOT NULL"), lexicon_)
-    fixed = parts.join(repairs, "word", "left")
-    rebuilt = fixed.groupBy(key, "line_no").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("repaired", "part").alias("part")))), lambda x: x["part"]), "").alias("line"),
-        F.count("repaired").alias("swapped"),
-    )
-    tidied = rebuilt.select(key, "line_no", "swapped", tidy(F.col("line")).alias("t"))
-    told = tidied.select(key, "line_no", "swapped", "t.glued", "t.junk", collapsed_repeats("t.text").alias("c"))
-    return told.groupBy(key).agg(
-        strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.col("c.text").alias("text")))), lambda x: x["text"]), "\n")).alias("text"),
-        *(F.sum(n).alias(n) for n in ("swapped", "glued", "junk")),
-        F.sum("c.collapsed").alias("collapsed"),
-    )
+    """(key, text, swapped, glued, junk, collapsed) of every row, line by line.
+
+    Only words that may have a repair are shuffled, and of the texts those that hold
+    Persian, to meet their words' repairs; all others are worked on where they are read.
+    """
+    ship_package(docs.sparkSession)
+    told = docs.select(key, F.col(text).alias("text"))
+    persian = F.coalesce(F.col("text").rlike(MAY_BE_PERSIAN), F.lit(False))
+    asked = told.where(persian).select(F.col(key).alias("key__"), F.explode(_damaged("text")).alias("word"))
+    met = asked.join(word_repairs(asked, lexicon_), "word").groupBy("key__").agg(F.collect_set(F.struct("word", "repaired")).alias("repairs"))
+    some = told.where(persian).join(met, F.col(key).eqNullSafe(F.col("key__")), "left").select(key, "text", "repairs")
+    rest = told.where(~persian).withColumn("repairs", F.expr("cast(null as array<struct<word: string, repaired: string>>)"))
+    each = [df.select(key, _repaired("text", "repairs").alias("r")) for df in (rest, some)]
+    return each[0].unionByName(each[1]).select(key, "r.text", *(f"r.{n}" for n in _COUNTS))
 
 
 def looks_corrupted(text: Column, known: Column, least: int = 3, words: int = 400) -> Column:

@@ -152,6 +152,35 @@ def test_repairs(spark):
     assert got[4].text == "کنترل مشتری متن سالم پنج" and got[4].collapsed == 1
 
 
+@pytest.mark.parametrize(
+    ("line", "wanted"),
+    [
+        ("this is . plain , text !", ("this is. plain , text!", 2, 0)),
+        (". one\ttwo  three ؛d", ("one two three؛d", 0, 0)),
+        ("متن ab سالم x1 z é", ("متن سالم x1 z é", 0, 1)),
+        ("ab\x85cd ef", ("ab\x85cd ef", 0, 0)),
+        ("", ("", 0, 0)),
+    ],
+)
+def test_lines_are_tidied(line, wanted):
+    assert repair.tidy(line) == wanted
+
+
+def test_repairs_leave_rows_alone(spark):
+    words = spark.createDataFrame([("کنترل", 1), ("سالم", 2)], "word string, rank int")
+    long = " ".join(f"w{i % 997}" for i in range(20_000))
+    docs = spark.createDataFrame([(1, "کنر‌تل سالم"), (1, "one . two"), (None, "ﮐﻨﺮﺗﻞ"), (2, long)], "doc_id int, text string")
+    got = [(r.doc_id, r.text, r.swapped, r.glued) for r in repair.repaired(docs, repair.lexicon(words)).collect()]
+    assert sorted(got, key=repr) == sorted([(1, "کنترل سالم", 1, 0), (1, "one. two", 0, 1), (None, "کنترل", 1, 0), (2, long, 0, 0)], key=repr)
+
+
+def test_texts_without_persian_are_not_shuffled_for_repair(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id int, text string")
+    words = spark.createDataFrame([("متن", 1)], "word string, rank int")
+    plan = repair.repaired(docs, repair.lexicon(words))._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and plan.splitlines()[0].startswith("Union")
+
+
 def test_every_lookup_of_a_repair_is_listed():
     asked = set()
 

@@ -52,6 +52,26 @@ def test_large_dictionaries_meet_by_a_shuffle(spark, monkeypatch):
         assert ("rightHint=(strategy=broadcast)" in df._jdf.queryExecution().optimizedPlan().toString()) == (most == 100)
 
 
+def test_terms_of_any_number_of_words_are_found(spark, monkeypatch):
+    from promptlake.operators import rules
+
+    docs = spark.createDataFrame([(1, "so: One two, three-FOUR five one two three four"), (2, "four"), (3, None)], "doc_id long, text string")
+    terms = spark.createDataFrame([("k", "one two three four"), ("k", "two three four five one two"), ("k", "Four"), ("k", "..."), ("k", None)], "kind string, term string")
+    for most in (1, 100):
+        monkeypatch.setattr(rules, "BROADCAST_TERMS", most)
+        found = rules.dictionary_lookup(docs, terms, "doc_id", "text").select("doc_id", "term", "n").collect()
+        assert sorted(map(tuple, found)) == [(1, "Four", 2), (1, "one two three four", 2), (1, "two three four five one two", 1), (2, "Four", 1)]
+    assert rules.dictionary_lookup(docs, terms.where("false"), "doc_id", "text").count() == 0
+
+
+def test_dictionary_holds_countries_and_markets(spark, tmp_path):
+    spark.createDataFrame([(1, "From nation 3 to machinery, nation_3; copyright"), (2, "nation 33")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("NATION_3",), ("NATION_4",)], "n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([("MACHINERY",)] * 3, "c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    found = QUERIES["dictionary_lookup"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == [(1, "MACHINERY", 1), (1, "NATION_3", 2), (1, "copyright", 1)]
+
+
 def test_units_are_found_once(spark, sf_dir):
     plan = QUERIES["segment_documents"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("_unit_runs") == 1 and plan.count("ArrowEvalPython") == 2

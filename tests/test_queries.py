@@ -64,6 +64,17 @@ def test_terms_of_any_number_of_words_are_found(spark, monkeypatch):
     assert rules.dictionary_lookup(docs, terms.where("false"), "doc_id", "text").count() == 0
 
 
+def test_runs_that_the_end_cuts_short_are_not_counted_twice():
+    from promptlake.operators import rules
+
+    assert rules.term_runs("x a b", {"a b", "a b c"}, {"a": [2, 3]}) == ["a b"]
+
+
+def test_runs_of_small_dictionaries_are_no_arrays_of_the_jvm(spark, sf_dir):
+    plan = QUERIES["dictionary_lookup"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(" not in plan and plan.count("ArrowEvalPython") == 1
+
+
 def test_dictionary_holds_countries_and_markets(spark, tmp_path):
     spark.createDataFrame([(1, "From nation 3 to machinery, nation_3; copyright"), (2, "nation 33")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([("NATION_3",), ("NATION_4",)], "n_name string").write.parquet(f"{tmp_path}/nation.parquet")
